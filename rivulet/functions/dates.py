@@ -79,7 +79,7 @@ def iso_utc(ts) -> Column:
     """ISO-8601 with offset, fraction only when non-zero
     (``datetime.isoformat()`` of an aware UTC time)."""
     t = as_col(ts)
-    micros = F.unix_micros(t) % 1000000
+    micros = F.unix_micros(t.cast("timestamp")) % 1000000
     frac = F.when(micros != 0, F.concat(F.lit("."), F.date_format(t, "SSSSSS"))).otherwise(F.lit(""))
     return F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), frac, F.lit("+00:00"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ._col import as_col
+from ._col import as_col, let
 from ._regex import apply_rules, sql_apply_rules, sql_str, sql_strip_ws, strip_ws
 from .text import truncate_markdown
 
@@ -91,10 +91,11 @@ MARKDOWN_TO_HTML_RULES = [
 
 def normalize_html(html) -> Column:
     """Empty → ''; text without any tag besides html/body is wrapped in <p>."""
-    h = as_col(html)
-    has_tag = F.regexp_replace(h, _HTML_BODY_TAGS, "").rlike(_ANY_OPEN_TAG)
-    wrapped = F.concat(F.lit("<p>"), strip_ws(h), F.lit("</p>"))
-    return F.when(h.isNull() | (h == ""), F.lit("")).when(has_tag, h).otherwise(wrapped)
+    def body(h):
+        has_tag = F.regexp_replace(h, _HTML_BODY_TAGS, "").rlike(_ANY_OPEN_TAG)
+        wrapped = F.concat(F.lit("<p>"), strip_ws(h), F.lit("</p>"))
+        return F.when(h.isNull() | (h == ""), F.lit("")).when(has_tag, h).otherwise(wrapped)
+    return let(as_col(html), body)
 
 
 def sql_normalize_html(expr: str) -> str:
@@ -106,9 +107,8 @@ def sql_normalize_html(expr: str) -> str:
 
 def html_to_markdown(html) -> Column:
     """Convert HTML to Markdown with the rule list; NULL/empty → ''."""
-    h = as_col(html)
-    md = strip_ws(apply_rules(h, HTML_TO_MARKDOWN_RULES))
-    return F.when(h.isNull() | (h == ""), F.lit("")).otherwise(md)
+    # the chain maps '' to '' and NULL to NULL: one reference to the input
+    return F.coalesce(strip_ws(apply_rules(as_col(html), HTML_TO_MARKDOWN_RULES)), F.lit(""))
 
 
 def sql_html_to_markdown(expr: str) -> str:

@@ -41,7 +41,7 @@ def iso_datetime(ts) -> Column:
     """
     t = as_col(ts)
     base = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.unix_micros(t) % 1000000
+    micros = F.unix_micros(t.cast("timestamp")) % 1000000
     return F.when(t.isNotNull(),
                   F.concat(base, F.when(micros != 0, F.concat(F.lit("."), F.date_format(t, "SSSSSS")))
                            .otherwise(F.lit(""))))

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ._col import as_col
+from ._col import as_col, let
 from ._regex import NOT_WS, WS, strip_ws
 
 # U+E000 is private use; the original also reserves it as a separator.
@@ -31,14 +31,15 @@ def truncate_markdown(text, max_sentences: int = 0, max_chars: int = 0) -> Colum
     """First ``max_sentences`` sentences joined by one space; then, if longer
     than ``max_chars``, cut to ``max_chars``, drop what follows the last line
     break and strip.  A limit of 0 is off.  NULL or empty gives ''."""
-    t = as_col(text)
-    out = F.coalesce(t, F.lit(""))
+    out = F.coalesce(as_col(text), F.lit(""))
     if max_sentences > 0:
         out = F.array_join(F.slice(sentences(out), 1, max_sentences), " ")
     if max_chars > 0:
-        cut = strip_ws(F.regexp_replace(F.substring(out, 1, max_chars), "\n[^\n]*\\z", ""))
-        out = F.when(F.length(out) > max_chars, cut).otherwise(out)
-    return F.when(t.isNull() | (t == ""), F.lit("")).otherwise(out)
+        def cut(x):
+            short = strip_ws(F.regexp_replace(F.substring(x, 1, max_chars), "\n[^\n]*\\z", ""))
+            return F.when(F.length(x) > max_chars, short).otherwise(x)
+        out = let(out, cut)
+    return out
 
 
 def truncate_by_sentences(text, max_sentences: int, max_chars: int) -> Column:
@@ -85,6 +86,8 @@ def readability_raw(text) -> Column:
     Characters per word stand in for syllables per word, as in the original
     approximation.  Operation order matches it so results are bit-identical.
     """
+    # repeated sub-expressions here are unconditional, so whole-stage codegen
+    # evaluates each count once (subexpression elimination)
     w = word_count(text)
     s = sentence_mark_count(text)
     c = nonspace_char_count(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ._col import as_col
+from ._col import as_col, let
 from ._regex import strip_ws
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#\s]*)(.*)$"
@@ -17,7 +17,10 @@ def normalize_url(col) -> Column:
     lower-cased, default port dropped, ``/`` for an empty path, spaces in
     the rest escaped as ``%20``.  Anything that is not an absolute http or
     https URL with a host gives NULL."""
-    u = strip_ws(as_col(col))
+    return let(strip_ws(as_col(col)), _normalize)
+
+
+def _normalize(u: Column) -> Column:
     scheme = F.lower(F.regexp_extract(u, _URL, 1))
     authority = F.regexp_extract(u, _URL, 2)
     rest = F.regexp_extract(u, _URL, 3)

@@ -95,3 +95,252 @@ def html_to_markdown(spark, sf_dir):
     """F10a + F10b over whole pages."""
     p = load(spark, sf_dir, "pages")
     return p.select("page_id", RF.html_to_markdown(RF.normalize_html("html")).alias("markdown"))
+
+
+# ------------------------------------------------------------ helpers --
+
+def _joined(c):
+    """Arrays are reported as '|'-joined text so both engines print them alike."""
+    return F.array_join(c, "|")
+
+
+def _items(spark, sf_dir):
+    from ..sources.tables import feed_items_from_documents
+    return feed_items_from_documents(load(spark, sf_dir, "documents"))
+
+
+def _feeds(spark, sf_dir):
+    from ..operators.entities import build_feeds
+    from ..sources.tables import feeds_from_documents
+    return build_feeds(feeds_from_documents(load(spark, sf_dir, "documents")))
+
+
+def _entries(spark, sf_dir):
+    """Typed entries of all documents: items joined to their feed by
+    source (feed count is checked before it is broadcast)."""
+    from ..operators.entities import build_entries
+    from ..operators.relational import broadcast_if_small
+    feeds = _feeds(spark, sf_dir).select(F.col("title").alias("feed_title"),
+                                         F.col("row_key").alias("feed_key"),
+                                         F.col("entry_partition").alias("partition_key"))
+    items = _items(spark, sf_dir).join(broadcast_if_small(feeds), "feed_title")
+    return build_entries(items)
+
+
+RUN_START = "2024-02-01 06:00:00"   # the run's start time, passed in as a parameter
+SPLIT_AT = "2024-01-16 00:00:00"    # earlier events form the stored snapshot
+
+
+# ---------------------------------------------------------- functions --
+
+@query
+def summary_clean(spark, sf_dir):
+    """HTML normalised → Markdown → 20 sentences / 2000 characters."""
+    d = load(spark, sf_dir, "documents")
+    return d.select("doc_id", RF.clean_summary("text").alias("summary"))
+
+
+@query
+def str_to_bool(spark, sf_dir):
+    """F9 over label flags (valid words) and event types (invalid → NULL)."""
+    lab = load(spark, sf_dir, "labels")
+    ev = load(spark, sf_dir, "events")
+    a = lab.select(F.lit("quality").alias("kind"), F.col("doc_id").alias("id"),
+                   F.col("quality").cast("string").alias("raw"))
+    b = lab.select(F.lit("toxic").alias("kind"), F.col("doc_id").alias("id"),
+                   F.col("toxic").cast("string").alias("raw"))
+    c = ev.select(F.lit("event").alias("kind"), F.col("event_id").alias("id"),
+                  F.col("event_type").alias("raw"))
+    return a.unionByName(b).unionByName(c).withColumn("value", RF.str_to_bool("raw"))
+
+
+@query
+def parse_date(spark, sf_dir):
+    """F11 over event times printed as RFC 822 (with weekday), ISO 8601
+    with fraction and zone, and slashed dates."""
+    ev = load(spark, sf_dir, "events")
+    rfc = F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss Z")
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    slash = F.date_format("ts", "yyyy/MM/dd HH:mm:ss")
+    return ev.select("event_id", RF.parse_date(rfc).alias("from_rfc"),
+                     RF.parse_date(iso).alias("from_iso"), RF.parse_date(slash).alias("from_slash"),
+                     RF.parse_date(F.lit("not a date")).alias("bad"))
+
+
+@query
+def month_key(spark, sf_dir):
+    """F13 partition key per event."""
+    ev = load(spark, sf_dir, "events")
+    return ev.select("event_id", RF.month_key("ts").alias("month_key"))
+
+
+@query
+def timestamp_formats(spark, sf_dir):
+    """F14 (RFC 1123 watermark text) and F15 (ISO envelope time)."""
+    ev = load(spark, sf_dir, "events")
+    from ..functions.dates import iso_utc, rfc1123
+    return ev.select("event_id", rfc1123("ts").alias("rfc1123"), iso_utc("ts").alias("iso"))
+
+
+@query
+def url_normalise(spark, sf_dir):
+    """F1 over page URLs and feed URLs written with upper case and ports."""
+    p = load(spark, sf_dir, "pages")
+    d = load(spark, sf_dir, "documents")
+    a = p.select(F.col("page_id").alias("id"), F.col("url").alias("raw"))
+    b = d.select(F.col("doc_id").alias("id"),
+                 F.concat(F.lit("HTTPS://"), F.upper("source"), F.lit(".Example.COM:443")).alias("raw"))
+    return a.unionByName(b).select("id", "raw", RF.normalize_url("raw").alias("url"))
+
+
+@query
+def conform_13(spark, sf_dir):
+    """13-column frame over all items (Entry_ID is a hash: keyed only)."""
+    from ..operators.conform import conform_frame13
+    f = conform_frame13(_items(spark, sf_dir))
+    return f.select("Title", "URL", "Summary", "Published_Date", "Full_Content",
+                    _joined("Categories").alias("Categories"), "Author",
+                    F.size("Embeddings").cast("long").alias("n_embeddings"), "Sentiment",
+                    "Sentiment_Score", "Readability_FK", "Readability_DC",
+                    F.length("Entry_ID").cast("long").alias("entry_id_len"))
+
+
+@query
+def conform_15(spark, sf_dir):
+    """15-column list frame over all items."""
+    from ..operators.conform import conform_list15
+    f = conform_list15(_items(spark, sf_dir))
+    return f.select(*[(_joined(c).alias(c) if c in ("Categories", "Engagement_Type") else F.col(c))
+                      for c in fixed.LIST_COLUMNS])
+
+
+@query
+def validate_entries(spark, sf_dir):
+    """V1–V10 on typed entries; violations per entry (key columns are
+    hashes, so the id identifies the row)."""
+    from ..operators.validate import entry_rules, validate
+    v = validate(_entries(spark, sf_dir), entry_rules())
+    return v.select("id", "partition_key", "title", "link", "published",
+                    _joined("violations").alias("violations"),
+                    (F.size("violations") == 0).alias("valid"))
+
+
+@query
+def log_once(spark, sf_dir):
+    """A3 over validation failures: one line per message, count, first id."""
+    from ..operators.relational import log_once as once
+    from ..operators.validate import entry_rules, validate
+    v = validate(_entries(spark, sf_dir), entry_rules())
+    errs = v.select(F.explode("violations").alias("message"), F.col("id").cast("long").alias("ts"))
+    return once(errs, "message", "ts").select("message", F.col("n").cast("long").alias("n"),
+                                              F.col("first_at").alias("first_id"))
+
+
+@query
+def reject_reasons(spark, sf_dir):
+    """P1 + A5: queue messages made from events, decoded and checked;
+    rejected messages counted per reason."""
+    from ..operators.relational import reject_summary
+    from ..sources.queue import decode_body, with_reject_reasons
+    msgs = _messages(spark, sf_dir)
+    checked = with_reject_reasons(msgs.withColumn("payload", decode_body(F.col("body"))))
+    return reject_summary(checked).select("reason", F.col("n_messages").cast("long"))
+
+
+def _messages(spark, sf_dir):
+    """Stage-1 queue messages built from events: a signup is a message in
+    the wrong state, an error one has no feed URL, a purchase one is sent
+    as raw JSON instead of base64 (undecodable)."""
+    from ..functions.dates import iso_utc
+    from ..sources.queue import encode_body
+    ev = load(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "signup", F.lit("retrieved")).otherwise(F.lit("enqueued"))
+    url = F.when(F.col("event_type") == "error", F.lit(None).cast("string")) \
+        .otherwise(F.concat(F.lit("https://feed"), F.col("user_id").cast("string"), F.lit(".example.com/rss")))
+    payload = F.struct(F.struct(status.alias("status"), iso_utc("ts").alias("timestamp")).alias("envelope"),
+                       F.struct(F.concat(F.lit("feed"), F.col("user_id").cast("string")).alias("name"),
+                                url.alias("url"), F.lit("rss").alias("type")).alias("feed"))
+    body = F.when(F.col("event_type") == "purchase", F.to_json(payload)).otherwise(encode_body(payload))
+    return ev.select("event_id", body.alias("body"))
+
+
+@query
+def queue_roundtrip(spark, sf_dir):
+    """S6 then S5: every message encoded and decoded again."""
+    from ..sources.queue import decode_body
+    m = _messages(spark, sf_dir).withColumn("p", decode_body(F.col("body")))
+    return m.select("event_id", F.col("p.envelope.status").alias("status"),
+                    F.col("p.envelope.timestamp").alias("enqueued_at"),
+                    F.col("p.feed.name").alias("feed_name"), F.col("p.feed.url").alias("feed_url"))
+
+
+@query
+def redelivery_dedupe(spark, sf_dir):
+    """T6 (batch form): every message delivered twice; dedupe on
+    (feed_url, enqueued_at) leaves each once."""
+    from ..sources.queue import accepted, decode_body, with_reject_reasons
+    m = _messages(spark, sf_dir)
+    twice = m.unionByName(m).withColumn("payload", decode_body(F.col("body")))
+    ok = accepted(with_reject_reasons(twice))
+    return (ok.select(F.col("payload.feed.url").alias("feed_url"),
+                      F.col("payload.envelope.timestamp").alias("enqueued_at"))
+            .dropDuplicates(["feed_url", "enqueued_at"]))
+
+
+@query
+def json_path(spark, sf_dir):
+    """a value inside the events' JSON properties."""
+    ev = load(spark, sf_dir, "events")
+    return ev.select("event_id", RF.json_path("props", "$.k").alias("k"))
+
+
+@query
+def tags_to_terms(spark, sf_dir):
+    """F16 over item tags (list of {term})."""
+    it = _items(spark, sf_dir)
+    return it.select("id", _joined(RF.tags_to_terms("tags", it.schema["tags"].dataType)).alias("terms"))
+
+
+@query
+def full_content(spark, sf_dir):
+    """F17 over pages as feed content lists ([{value: html}])."""
+    p = load(spark, sf_dir, "pages").select("page_id", F.array(F.struct(F.col("html").alias("value")))
+                                            .alias("content"))
+    return p.select("page_id", RF.full_content("content", p.schema["content"].dataType).alias("full_content"))
+
+
+@query
+def image_json(spark, sf_dir):
+    """page image maps to JSON text and back."""
+    from ..functions.structured import image_from_json, image_to_json
+    p = load(spark, sf_dir, "pages")
+    img = F.create_map(F.lit("url"), F.col("url"), F.lit("title"), RF.page_title("html"))
+    back = image_from_json(image_to_json(img))
+    return p.select("page_id", back["url"].alias("image_url"), back["title"].alias("image_title"))
+
+
+@query
+def embedding_json(spark, sf_dir):
+    """embeddings to JSON text; parsed back they must be equal."""
+    e = load(spark, sf_dir, "embeddings")
+    back = F.from_json(RF.embedding_to_json("embedding"), "array<float>")
+    return e.select("vec_id", F.size(back).cast("long").alias("n_dims"),
+                    (back == F.col("embedding")).alias("roundtrip_equal"))
+
+
+@query
+def engagement_score(spark, sf_dir):
+    """A4 + F24: interactions per entry and the engagement score."""
+    from ..operators.relational import interaction_counts
+    from ..sources.tables import interactions_from_events
+    c = interaction_counts(interactions_from_events(load(spark, sf_dir, "events")))
+    return c.select("entry_id", F.col("likes").cast("long"), F.col("shares").cast("long"),
+                    F.col("comments").cast("long"), "engagement_score")
+
+
+@query
+def prompt_render(spark, sf_dir):
+    """F10f + F10g: the engagement prompt pair for every user turn."""
+    c = load(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    return c.select("conv_id", "turn", F.lit(fixed.ENGAGEMENT_SYSTEM_PROMPT).alias("system"),
+                    RF.render_prompt("text").alias("prompt"), RF.preview("text").alias("preview"))

@@ -117,3 +117,200 @@ FROM s LEFT JOIN k USING (doc_id)
 SQL["html_to_markdown"] = f"""
 SELECT page_id, {sql_html_to_markdown(sql_normalize_html('html'))} AS markdown FROM pages
 """
+
+
+# ------------------------------------------------------------ helpers --
+
+def md_of(expr):
+    return sql_html_to_markdown(expr)
+
+
+def cut(j, m):
+    return sql_strip_ws(f"regexp_replace(substring({j}, 1, {m}), {sql_str(chr(10) + '[^' + chr(10) + ']*$')}, '')")
+
+
+def clean_summary_ctes(src_table, id_col, text_col):
+    """CTEs a, b, cs: ``cs(id, summary)`` is F10c of ``text_col``."""
+    n, m = fixed.MAX_SUMMARY_SENTENCES, fixed.MAX_SUMMARY_CHARACTERS
+    return f"""
+cs_n AS (SELECT {id_col} AS cid, {text_col} AS t, {sql_normalize_html(text_col)} AS nh FROM {src_table}),
+cs_m AS (SELECT cid, t, {md_of('nh')} AS md FROM cs_n),
+cs_j AS (SELECT cid, t, md, array_to_string(list_slice({sentences('md')}, 1, {n}), ' ') AS j FROM cs_m),
+cs AS (SELECT cid, CASE WHEN t IS NULL OR t = '' THEN NULL WHEN md = '' THEN ''
+                        WHEN length(j) > {m} THEN {cut('j', m)} ELSE j END AS summary FROM cs_j)"""
+
+
+_URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#\s]*)(.*)$"
+_AUTH = r"^(?:([^@]*)@)?([^:@]*)(?::([0-9]*))?$"
+
+
+def normalize_url(raw):
+    u = sql_strip_ws(raw)
+    scheme = f"lower(regexp_extract({u}, {sql_str(_URL)}, 1))"
+    auth = f"regexp_extract({u}, {sql_str(_URL)}, 2)"
+    rest = f"regexp_extract({u}, {sql_str(_URL)}, 3)"
+    userinfo = f"regexp_extract({auth}, {sql_str(_AUTH)}, 1)"
+    host = f"lower(regexp_extract({auth}, {sql_str(_AUTH)}, 2))"
+    port = f"regexp_extract({auth}, {sql_str(_AUTH)}, 3)"
+    ok = (f"regexp_matches({u}, {sql_str(_URL)}) AND {scheme} IN ('http', 'https') "
+          f"AND regexp_matches({auth}, {sql_str(_AUTH)}) AND {host} <> '' "
+          f"AND regexp_matches({host}, '^[a-z0-9.-]+$')")
+    port_txt = (f"CASE WHEN {port} = '' OR ({scheme} = 'http' AND {port} = '80') "
+                f"OR ({scheme} = 'https' AND {port} = '443') THEN '' ELSE ':' || {port} END")
+    user_txt = f"CASE WHEN {userinfo} = '' THEN '' ELSE {userinfo} || '@' END"
+    path = (f"replace(CASE WHEN {rest} = '' OR starts_with({rest}, '?') OR starts_with({rest}, '#') "
+            f"THEN '/' || {rest} ELSE {rest} END, ' ', '%20')")
+    return f"(CASE WHEN {ok} THEN {scheme} || '://' || {user_txt} || {host} || {port_txt} || {path} END)"
+
+
+def iso_utc(ts):
+    return (f"(strftime({ts}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us({ts}) % 1000000 <> 0 "
+            f"THEN '.' || strftime({ts}, '%f') ELSE '' END || '+00:00')")
+
+
+def str_to_bool(raw):
+    v = f"lower({sql_strip_ws(raw)})"
+    t = ", ".join(sql_str(x) for x in fixed.TRUE_WORDS)
+    f_ = ", ".join(sql_str(x) for x in fixed.FALSE_WORDS)
+    return f"(CASE WHEN {raw} IS NULL THEN false WHEN {v} IN ({t}) THEN true WHEN {v} IN ({f_}) THEN false END)"
+
+
+PAGE_TITLE = "nullif(regexp_extract(html, " + sql_str(r"(?is)<title\b[^>]*>(.*?)</title\s*>") + ", 1), '')"
+ENTRY_LINK = "'https://' || source || '.example.com/entries/' || CAST(doc_id AS VARCHAR)"
+
+
+def entries_cte():
+    """Typed entries of all documents with their violations."""
+    return f"""WITH {clean_summary_ctes('documents', 'doc_id', 'text')},
+e AS (SELECT d.doc_id, CAST(d.doc_id AS VARCHAR) AS id, {partition_key('d.source')} AS partition_key,
+             {first_line('d.text')} AS title, {normalize_url(ENTRY_LINK.replace('source', 'd.source').replace('doc_id', 'd.doc_id'))} AS link,
+             TIMESTAMP '1970-01-01 00:00:00' AS published, cs.summary
+      FROM documents d JOIN cs ON cs.cid = d.doc_id),
+v AS (SELECT *, list_filter([
+        CASE WHEN partition_key IS NULL OR NOT regexp_matches(partition_key, {sql_str(fixed.KEY_PATTERN)}) THEN 'partition_key_pattern' END,
+        CASE WHEN id IS NULL OR length(id) < 1 OR length(id) > 200 THEN 'id_length' END,
+        CASE WHEN length(title) < 1 OR length(title) > 200 THEN 'title_length' END,
+        CASE WHEN link IS NULL THEN 'link_not_http_url' END,
+        CASE WHEN length(summary) > {fixed.MAX_SUMMARY_CHARACTERS} THEN 'summary_length' END,
+        CASE WHEN published IS NULL THEN 'published_unparsable' END], lambda x: x IS NOT NULL) AS vl
+      FROM e)"""
+
+
+SQL["summary_clean"] = f"""
+WITH {clean_summary_ctes('documents', 'doc_id', 'text')}
+SELECT cid AS doc_id, summary FROM cs
+"""
+
+SQL["str_to_bool"] = f"""
+WITH t AS (
+  SELECT 'quality' AS kind, doc_id AS id, CAST(quality AS VARCHAR) AS raw FROM labels
+  UNION ALL SELECT 'toxic', doc_id, CAST(toxic AS VARCHAR) FROM labels
+  UNION ALL SELECT 'event', event_id, event_type FROM events)
+SELECT kind, id, raw, {str_to_bool('raw')} AS value FROM t
+"""
+
+SQL["parse_date"] = """
+SELECT event_id, date_trunc('second', ts) AS from_rfc, ts AS from_iso,
+       date_trunc('second', ts) AS from_slash, CAST(NULL AS TIMESTAMP) AS bad
+FROM events
+"""
+
+SQL["month_key"] = "SELECT event_id, strftime(ts, '%Y-%m') AS month_key FROM events"
+
+SQL["timestamp_formats"] = f"""
+SELECT event_id, strftime(ts, '%a, %d %b %Y %H:%M:%S') || ' +0000' AS rfc1123, {iso_utc('ts')} AS iso
+FROM events
+"""
+
+SQL["url_normalise"] = f"""
+WITH t AS (SELECT page_id AS id, url AS raw FROM pages
+           UNION ALL SELECT doc_id, 'HTTPS://' || upper(source) || '.Example.COM:443' FROM documents)
+SELECT id, raw, {normalize_url('raw')} AS url FROM t
+"""
+
+SQL["conform_13"] = f"""
+SELECT {first_line('text')} AS Title, {ENTRY_LINK} AS URL, text AS Summary,
+       CAST(NULL AS VARCHAR) AS Published_Date, coalesce(text, {sql_str(fixed.DEFAULT_CONTENT)}) AS Full_Content,
+       concat_ws('|', lang, source) AS Categories, CAST(NULL AS VARCHAR) AS Author,
+       CAST(0 AS BIGINT) AS n_embeddings, {sql_str(fixed.DEFAULT_SENTIMENT)} AS Sentiment,
+       CAST(0.0 AS DOUBLE) AS Sentiment_Score, CAST(0.0 AS DOUBLE) AS Readability_FK,
+       CAST(0.0 AS DOUBLE) AS Readability_DC, CAST(16 AS BIGINT) AS entry_id_len
+FROM documents
+"""
+
+SQL["conform_15"] = f"""
+SELECT {first_line('text')} AS Title, {ENTRY_LINK} AS URL, text AS Summary,
+       CAST(doc_id AS VARCHAR) AS Entry_ID, CAST(NULL AS VARCHAR) AS Published_Date,
+       coalesce(text, {sql_str(fixed.DEFAULT_CONTENT)}) AS Full_Content,
+       concat_ws('|', lang, source) AS Categories, CAST(NULL AS VARCHAR) AS Author, '' AS Keywords,
+       {sql_str(fixed.DEFAULT_SENTIMENT)} AS Sentiment, CAST(0.0 AS DOUBLE) AS Readability_Score,
+       CAST(0 AS BIGINT) AS Engagement_Score, false AS Processed, '' AS Engagement_Type,
+       false AS Response_Received
+FROM documents
+"""
+
+SQL["validate_entries"] = entries_cte() + """
+SELECT id, partition_key, title, link, published, array_to_string(vl, '|') AS violations,
+       len(vl) = 0 AS valid
+FROM v
+"""
+
+SQL["log_once"] = entries_cte() + """
+SELECT message, count(*) AS n, min(doc_id) AS first_id
+FROM (SELECT doc_id, unnest(vl) AS message FROM v) GROUP BY message
+"""
+
+_EVENT_OK = "event_type NOT IN ('signup', 'purchase')"
+_EVENT_URL = "CASE WHEN event_type = 'error' THEN NULL ELSE 'https://feed' || CAST(user_id AS VARCHAR) || '.example.com/rss' END"
+
+SQL["reject_reasons"] = f"""
+WITH r AS (
+  SELECT 'invalid_status' AS reason FROM events WHERE NOT ({_EVENT_OK})
+  UNION ALL SELECT 'invalid_payload' FROM events WHERE event_type = 'purchase'
+  UNION ALL SELECT 'missing_feed_url' FROM events WHERE event_type IN ('error', 'purchase'))
+SELECT reason, count(*) AS n_messages FROM r GROUP BY reason
+"""
+
+SQL["queue_roundtrip"] = f"""
+SELECT event_id,
+       CASE WHEN event_type = 'purchase' THEN NULL WHEN event_type = 'signup' THEN 'retrieved' ELSE 'enqueued' END AS status,
+       CASE WHEN event_type = 'purchase' THEN NULL ELSE {iso_utc('ts')} END AS enqueued_at,
+       CASE WHEN event_type = 'purchase' THEN NULL ELSE 'feed' || CAST(user_id AS VARCHAR) END AS feed_name,
+       CASE WHEN event_type = 'purchase' THEN NULL ELSE {_EVENT_URL} END AS feed_url
+FROM events
+"""
+
+SQL["redelivery_dedupe"] = f"""
+SELECT DISTINCT {_EVENT_URL} AS feed_url, {iso_utc('ts')} AS enqueued_at
+FROM events WHERE {_EVENT_OK} AND event_type <> 'error'
+"""
+
+SQL["json_path"] = "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events"
+
+SQL["tags_to_terms"] = "SELECT CAST(doc_id AS VARCHAR) AS id, concat_ws('|', lang, source) AS terms FROM documents"
+
+SQL["full_content"] = f"SELECT page_id, coalesce(html, {sql_str(fixed.DEFAULT_CONTENT)}) AS full_content FROM pages"
+
+SQL["image_json"] = f"SELECT page_id, url AS image_url, {PAGE_TITLE} AS image_title FROM pages"
+
+SQL["embedding_json"] = """
+SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n_dims, embedding IS NOT NULL AS roundtrip_equal
+FROM embeddings
+"""
+
+SQL["engagement_score"] = """
+SELECT entry_id, likes, shares, comments,
+       likes * CAST(0.4 AS DOUBLE) + shares * CAST(0.4 AS DOUBLE) + comments * CAST(0.2 AS DOUBLE) AS engagement_score
+FROM (SELECT user_id AS entry_id,
+             count(*) FILTER (WHERE event_type = 'click') AS likes,
+             count(*) FILTER (WHERE event_type = 'purchase') AS shares,
+             count(*) FILTER (WHERE event_type = 'view') AS comments
+      FROM events GROUP BY user_id)
+"""
+
+SQL["prompt_render"] = f"""
+SELECT conv_id, turn, {sql_str(fixed.ENGAGEMENT_SYSTEM_PROMPT)} AS system,
+       replace({sql_str(fixed.ENGAGEMENT_USER_TEMPLATE)}, '{{content_text}}', text) AS prompt,
+       substring(text, 1, {fixed.TEXT_PREVIEW_CHARS}) AS preview
+FROM conversations WHERE role = 'user'
+"""
