@@ -344,3 +344,206 @@ def prompt_render(spark, sf_dir):
     c = load(spark, sf_dir, "conversations").filter(F.col("role") == "user")
     return c.select("conv_id", "turn", F.lit(fixed.ENGAGEMENT_SYSTEM_PROMPT).alias("system"),
                     RF.render_prompt("text").alias("prompt"), RF.preview("text").alias("preview"))
+
+
+# -------------------------------------------------- joins / aggregates --
+
+def _list_status(spark, sf_dir):
+    """The processed-list index: labels' docs, processed when quality = 1."""
+    lab = load(spark, sf_dir, "labels")
+    return lab.select(F.col("doc_id").cast("string").alias("Entry_ID"),
+                      (F.col("quality") == 1).alias("Processed"))
+
+
+@query
+def new_entries_anti(spark, sf_dir):
+    """List rows whose Entry_ID is not yet in the list."""
+    from ..operators.conform import conform_list15
+    from ..operators.relational import new_only
+    rows = conform_list15(_items(spark, sf_dir))
+    return new_only(rows, _list_status(spark, sf_dir), "Entry_ID").select("Entry_ID", "Title")
+
+
+@query
+def processed_status(spark, sf_dir):
+    """A6 + P13: status per Entry_ID, then the rows not processed yet."""
+    from ..operators.conform import conform_list15, unprocessed
+    from ..operators.relational import processed_status as status
+    rows = conform_list15(_items(spark, sf_dir))
+    st = status(_list_status(spark, sf_dir), "Entry_ID", "Processed")
+    return unprocessed(rows, st, "Entry_ID").select("Entry_ID", "Title")
+
+
+@query
+def entry_feed_join(spark, sf_dir):
+    """Entries joined to their feed on the hashed feed key."""
+    from ..operators.relational import attach_feed
+    j = attach_feed(_entries(spark, sf_dir), _feeds(spark, sf_dir))
+    return j.select("id", "partition_key", F.col("feed_title"), F.col("feed_link"),
+                    F.col("feed_language"), F.col("feed_partition_key"))
+
+
+@query
+def feed_rows(spark, sf_dir):
+    """Feed table rows (P9/P10/F1/F2/F4) with their violations."""
+    from ..operators.validate import feed_rules, validate
+    v = validate(_feeds(spark, sf_dir), feed_rules())
+    return v.select("partition_key", "title", "link", "language", "updated", "entry_partition",
+                    F.length("row_key").cast("long").alias("row_key_len"),
+                    _joined("violations").alias("violations"))
+
+
+@query
+def entry_enrichment(spark, sf_dir):
+    """Entries ⟕ enrichment (embeddings keyed like their entry)."""
+    from ..operators.entities import build_enrichment
+    from ..operators.relational import with_enrichment
+    entries = _entries(spark, sf_dir)
+    emb = load(spark, sf_dir, "embeddings")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source")
+    raw = emb.join(docs, emb.vec_id == docs.doc_id).select(
+        RF.partition_key_from_title("source").alias("PartitionKey"),
+        RF.entry_key(F.col("vec_id")).alias("RowKey"),
+        F.col("embedding").alias("Embeddings"),
+        F.col("label").cast("double").alias("EngagementScore"))
+    j = with_enrichment(entries, build_enrichment(raw))
+    return j.select("id", F.size("enr_embeddings").cast("long").alias("n_dims"),
+                    F.col("enr_engagement_score").alias("engagement_score"))
+
+
+@query
+def content_fallback(spark, sf_dir):
+    """Stored content, else the page converted to Markdown."""
+    from ..functions.html import html_to_markdown, normalize_html
+    from ..operators.relational import content_with_fallback
+    pages = load(spark, sf_dir, "pages")
+    entries = pages.select(F.lit(fixed.ENTRY_PARTITION_KEY).alias("partition_key"),
+                           RF.entry_key(F.col("page_id")).alias("row_key"),
+                           F.col("page_id").alias("id"), F.col("url").alias("link"))
+    docs = load(spark, sf_dir, "documents")
+    stored = docs.join(load(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select(
+        F.lit(fixed.ENTRY_PARTITION_KEY).alias("partition_key"),
+        RF.entry_key(F.col("doc_id")).alias("row_key"), F.col("text").alias("content"))
+    out = content_with_fallback(entries, stored, pages, lambda h: html_to_markdown(normalize_html(h)))
+    return out.select("id", "content_source", "content")
+
+
+def _state(spark, sf_dir):
+    ev = load(spark, sf_dir, "events")
+    return (ev.filter(F.col("event_type") == "signup").groupBy(F.col("user_id").alias("feed_id"))
+            .agg(F.max("ts").cast("timestamp").alias("last_ingestion")))
+
+
+@query
+def changed_feeds(spark, sf_dir):
+    """Which feeds are due (latest fetch 200 and newer than the
+    feed's last ingestion)."""
+    from ..operators.relational import changed_feeds as due
+    from ..sources.tables import fetch_log_from_events
+    log = fetch_log_from_events(load(spark, sf_dir, "events"))
+    return due(log.withColumn("last_modified", F.col("last_modified").cast("timestamp")), _state(spark, sf_dir))
+
+
+@query
+def next_watermark(spark, sf_dir):
+    """The state after the run — due feeds move to the run's start."""
+    from ..operators.relational import changed_feeds as due
+    from ..sources.store import merge_upsert
+    from ..sources.tables import fetch_log_from_events
+    log = fetch_log_from_events(load(spark, sf_dir, "events"))
+    state = _state(spark, sf_dir)
+    ch = due(log.withColumn("last_modified", F.col("last_modified").cast("timestamp")), state)
+    new = ch.filter("changed").select("feed_id", F.lit(RUN_START).cast("timestamp").alias("last_ingestion"))
+    return merge_upsert(state, new, ["feed_id"])
+
+
+@query
+def entry_key_lists(spark, sf_dir):
+    """A1: per feed, entry keys in arrival order cut into payload chunks."""
+    from ..operators.relational import entry_key_lists as lists
+    d = load(spark, sf_dir, "documents").select(
+        "source", "doc_id", RF.partition_key_from_title("source").alias("partition_key"),
+        RF.entry_key(F.col("doc_id")).alias("row_key"))
+    out = lists(d, "source", "doc_id")
+    return out.select("source", "chunk", F.col("n_entries").cast("long"), "first_entry", "last_entry",
+                      F.size("entries").cast("long").alias("n_keys"))
+
+
+def _events_entity(ev):
+    return ev.select("user_id", "event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query
+def last_write_wins(spark, sf_dir):
+    """Per user, the latest event by (ts, event_id)."""
+    from ..operators.relational import last_write_wins as lww
+    return lww(_events_entity(load(spark, sf_dir, "events")), ["user_id"], ["ts", "event_id"])
+
+
+@query
+def upsert_merge(spark, sf_dir):
+    """The snapshot of early events merged with the later batch; a
+    NULL property in the batch keeps the stored value."""
+    from ..operators.relational import last_write_wins as lww
+    from ..sources.store import merge_upsert
+    ev = _events_entity(load(spark, sf_dir, "events"))
+    old = lww(ev.filter(F.col("ts") < F.lit(SPLIT_AT).cast("timestamp")), ["user_id"], ["ts", "event_id"])
+    new = lww(ev.filter(F.col("ts") >= F.lit(SPLIT_AT).cast("timestamp")), ["user_id"], ["ts", "event_id"])
+    new = new.withColumn("value", F.when(F.col("event_type") != "view", F.col("value")))
+    return merge_upsert(old, new, ["user_id"])
+
+
+@query
+def keyed_delete(spark, sf_dir):
+    """Entries minus the ones flagged toxic."""
+    from ..sources.store import keyed_delete as delete
+    d = load(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), "source", RF.partition_key_from_title("source").alias("partition_key"),
+        RF.entry_key(F.col("doc_id")).alias("row_key"))
+    tox = load(spark, sf_dir, "labels").filter(F.col("toxic") == 1).select("doc_id")
+    gone = d.join(tox, d.id == tox.doc_id, "left_semi")
+    return delete(d, gone, ["partition_key", "row_key"]).select("id", "source")
+
+
+# ------------------------------------------------------ parse / score --
+
+@query
+def feed_xml_parse(spark, sf_dir):
+    """S3: every document as an RSS 2.0 document, parsed back with
+    ``from_xml`` and exploded to items."""
+    from ..sources.feeds import parse_feed_xml, rss_document
+    d = load(spark, sf_dir, "documents")
+    docs = d.select(F.col("doc_id").alias("doc"), rss_document(d).alias("xml"))
+    items = parse_feed_xml(docs, "xml")
+    return items.select(F.col("id").cast("long").alias("doc_id"), "feed_title", "feed_language",
+                        "title", "link", F.col("summary").alias("text"),
+                        _joined("categories").alias("categories"))
+
+
+@query
+def markdown_to_html(spark, sf_dir):
+    """F10d: page Markdown rendered back to HTML."""
+    p = load(spark, sf_dir, "pages")
+    md = RF.html_to_markdown(RF.normalize_html("html"))
+    return p.select("page_id", RF.markdown_to_html(md).alias("html_out"))
+
+
+@query
+def sentiment_lexicon(spark, sf_dir):
+    """U3b offline model over whole documents."""
+    from ..operators.enrich import lexicon_sentiment
+    d = load(spark, sf_dir, "documents")
+    s = lexicon_sentiment("text")
+    return d.select("doc_id", s["sentiment"].alias("sentiment"), s["score"].alias("score"),
+                    s["positive"].alias("positive"), s["negative"].alias("negative"))
+
+
+@query
+def model_reply_parse(spark, sf_dir):
+    """replies parsed — user turns answered by the offline model in
+    the reply format, assistant turns are free text (→ Error, 0.0)."""
+    from ..operators.enrich import sentiment_reply
+    c = load(spark, sf_dir, "conversations").filter(F.col("role").isin("user", "assistant"))
+    reply = F.when(F.col("role") == "user", sentiment_reply("text")).otherwise(F.col("text"))
+    r = RF.parse_sentiment_reply(reply)
+    return c.select("conv_id", "turn", r["sentiment"].alias("sentiment"), r["score"].alias("score"))

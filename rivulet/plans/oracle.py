@@ -314,3 +314,157 @@ SELECT conv_id, turn, {sql_str(fixed.ENGAGEMENT_SYSTEM_PROMPT)} AS system,
        substring(text, 1, {fixed.TEXT_PREVIEW_CHARS}) AS preview
 FROM conversations WHERE role = 'user'
 """
+
+
+# -------------------------------------------------- joins / aggregates --
+
+SQL["new_entries_anti"] = f"""
+SELECT CAST(doc_id AS VARCHAR) AS Entry_ID, {first_line('text')} AS Title
+FROM documents WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)
+"""
+
+SQL["processed_status"] = f"""
+SELECT CAST(doc_id AS VARCHAR) AS Entry_ID, {first_line('text')} AS Title
+FROM documents WHERE CAST(doc_id AS VARCHAR) NOT IN (
+  SELECT CAST(doc_id AS VARCHAR) FROM labels GROUP BY doc_id HAVING bool_or(quality = 1))
+"""
+
+FEED_LINK = "'https://' || source || '.example.com/feed'"
+
+SQL["entry_feed_join"] = f"""
+SELECT CAST(doc_id AS VARCHAR) AS id, {partition_key('source')} AS partition_key, source AS feed_title,
+       {normalize_url(FEED_LINK)} AS feed_link, CAST(NULL AS VARCHAR) AS feed_language,
+       'feed' AS feed_partition_key
+FROM documents
+"""
+
+SQL["feed_rows"] = f"""
+SELECT 'feed' AS partition_key, source AS title, {normalize_url(FEED_LINK)} AS link,
+       CAST(NULL AS VARCHAR) AS language, TIMESTAMP '1970-01-01 00:00:00' AS updated,
+       {partition_key('source')} AS entry_partition, CAST(16 AS BIGINT) AS row_key_len,
+       concat_ws('|', CASE WHEN length(source) < 1 OR length(source) > 200 THEN 'title_length' END,
+                      CASE WHEN {normalize_url(FEED_LINK)} IS NULL THEN 'link_not_http_url' END) AS violations
+FROM (SELECT DISTINCT source FROM documents)
+"""
+
+SQL["entry_enrichment"] = """
+SELECT CAST(d.doc_id AS VARCHAR) AS id, CAST(len(e.embedding) AS BIGINT) AS n_dims,
+       CAST(e.label AS DOUBLE) AS engagement_score
+FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id
+"""
+
+_PAGE_MD = sql_html_to_markdown(sql_normalize_html("p2.html"))
+SQL["content_fallback"] = f"""
+WITH stored AS (
+  SELECT doc_id, text FROM documents
+  WHERE doc_id IN (SELECT doc_id FROM labels) AND text IS NOT NULL AND text <> '' AND text <> {sql_str(SEP)}),
+e AS (SELECT p.page_id, p.url, s.text FROM pages p LEFT JOIN stored s ON s.doc_id = p.page_id),
+f AS (SELECT e.page_id, e.text, p2.html, {_PAGE_MD} AS md FROM e LEFT JOIN pages p2 ON p2.url = e.url
+      WHERE e.text IS NULL)
+SELECT page_id AS id, 'store' AS content_source, text AS content FROM e WHERE text IS NOT NULL
+UNION ALL
+SELECT page_id, CASE WHEN html IS NOT NULL AND md <> '' THEN 'page' ELSE 'missing' END,
+       CASE WHEN html IS NOT NULL AND md <> '' THEN md END FROM f
+"""
+
+_STATE = """state AS (SELECT user_id AS feed_id, max(ts) AS last_ingestion FROM events
+                      WHERE event_type = 'signup' GROUP BY user_id)"""
+_CHANGED = f"""WITH l AS (
+  SELECT user_id AS feed_id, CASE event_type WHEN 'error' THEN 500 WHEN 'view' THEN 304 ELSE 200 END AS status,
+         ts AS last_modified,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+  FROM events),
+{_STATE},
+ch AS (
+  SELECT l.feed_id, l.status, l.last_modified,
+         coalesce(s.last_ingestion, TIMESTAMP '1970-01-01 00:00:00') AS since,
+         coalesce(l.status = 200 AND l.last_modified > coalesce(s.last_ingestion, TIMESTAMP '1970-01-01 00:00:00'),
+                  false) AS changed
+  FROM l LEFT JOIN state s ON s.feed_id = l.feed_id WHERE l.rn = 1)"""
+
+SQL["changed_feeds"] = _CHANGED + "\nSELECT feed_id, status, last_modified, since, changed FROM ch\n"
+
+SQL["next_watermark"] = _CHANGED + """
+SELECT coalesce(n.feed_id, s.feed_id) AS feed_id,
+       coalesce(n.last_ingestion, s.last_ingestion) AS last_ingestion
+FROM state s FULL OUTER JOIN
+     (SELECT feed_id, TIMESTAMP '2024-02-01 06:00:00' AS last_ingestion FROM ch WHERE changed) n
+  ON n.feed_id = s.feed_id
+"""
+
+SQL["entry_key_lists"] = """
+SELECT source, chunk, count(*) AS n_entries, min(doc_id) AS first_entry, max(doc_id) AS last_entry,
+       count(*) AS n_keys
+FROM (SELECT source, doc_id,
+             CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 400) AS BIGINT) AS chunk
+      FROM documents)
+GROUP BY source, chunk
+"""
+
+_LAST = """SELECT user_id, event_id, event_type, value, ts FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+  FROM events {where}) WHERE rn = 1"""
+
+SQL["last_write_wins"] = _LAST.format(where="")
+
+SQL["upsert_merge"] = f"""
+WITH o AS ({_LAST.format(where="WHERE ts < TIMESTAMP '2024-01-16 00:00:00'")}),
+n AS (SELECT user_id, event_id, event_type, CASE WHEN event_type <> 'view' THEN value END AS value, ts
+      FROM ({_LAST.format(where="WHERE ts >= TIMESTAMP '2024-01-16 00:00:00'")}))
+SELECT coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.event_id, o.event_id) AS event_id,
+       coalesce(n.event_type, o.event_type) AS event_type, coalesce(n.value, o.value) AS value,
+       coalesce(n.ts, o.ts) AS ts
+FROM o FULL OUTER JOIN n ON n.user_id = o.user_id
+"""
+
+SQL["keyed_delete"] = """
+SELECT doc_id AS id, source FROM documents
+WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+"""
+
+# ------------------------------------------------------ parse / score --
+
+SQL["feed_xml_parse"] = f"""
+SELECT doc_id, source AS feed_title, lang AS feed_language, {first_line('text')} AS title,
+       {ENTRY_LINK} AS link, text, concat_ws('|', lang, source) AS categories
+FROM documents
+"""
+
+POSITIVE = "', '".join(__import__("rivulet.operators.enrich", fromlist=["x"]).POSITIVE_WORDS)
+NEGATIVE = "', '".join(__import__("rivulet.operators.enrich", fromlist=["x"]).NEGATIVE_WORDS)
+
+
+def lexicon(t):
+    toks = f"list_filter(string_split_regex(lower({t}), '[^\\p{{L}}]+'), lambda x: x <> '')"
+    return f"""(SELECT {{'pos': p, 'neg': n, 'score': CAST(p - n AS DOUBLE) / greatest(1, p + n)}} FROM (
+      SELECT CAST(len(list_filter(tk, lambda x: x IN ('{POSITIVE}'))) AS BIGINT) AS p,
+             CAST(len(list_filter(tk, lambda x: x IN ('{NEGATIVE}'))) AS BIGINT) AS n
+      FROM (SELECT {toks} AS tk)))"""
+
+
+def lexicon_label(s):
+    return (f"CASE WHEN {s}.pos + {s}.neg = 0 THEN 'Neutral' WHEN {s}.score > 0.2 THEN 'Positive' "
+            f"WHEN {s}.score < -0.2 THEN 'Negative' ELSE 'Mixed' END")
+
+
+SQL["sentiment_lexicon"] = f"""
+SELECT doc_id, {lexicon_label('s')} AS sentiment, s.score AS score, s.pos AS positive, s.neg AS negative
+FROM (SELECT doc_id, {lexicon('text')} AS s FROM documents)
+"""
+
+SQL["model_reply_parse"] = f"""
+SELECT conv_id, turn,
+       CASE WHEN role = 'user' THEN {lexicon_label('s')} ELSE 'Error' END AS sentiment,
+       CASE WHEN role = 'user' THEN s.score ELSE CAST(0.0 AS DOUBLE) END AS score
+FROM (SELECT conv_id, turn, role, {lexicon('text')} AS s FROM conversations WHERE role IN ('user', 'assistant'))
+"""
+
+from ..functions.html import MARKDOWN_TO_HTML_RULES  # noqa: E402
+from ..functions._regex import sql_apply_rules  # noqa: E402
+
+SQL["markdown_to_html"] = f"""
+WITH m AS (SELECT page_id, {sql_html_to_markdown(sql_normalize_html('html'))} AS md FROM pages)
+SELECT page_id, CASE WHEN md IS NULL OR md = '' THEN NULL
+                     ELSE {sql_strip_ws(sql_apply_rules('md', MARKDOWN_TO_HTML_RULES))} END AS html_out
+FROM m
+"""
