@@ -83,7 +83,8 @@ MARKDOWN_TO_HTML_RULES = [
     (r"\*\*([^*\n]+)\*\*", "<strong>{1}</strong>"),
     (r"_([^_\n]+)_", "<em>{1}</em>"),
     (r"(?m)^[ \t]*[*+-] (.*)$", "<li>{1}</li>"),
-    (r"((?:<li>.*</li>\n?)+)", "<ul>\n{1}</ul>\n"),
+    (r"</li>\z", "</li>\n"),
+    (r"((?:<li>.*</li>\n)+)", "<ul>\n{1}</ul>\n"),
     (r"(?m)^([^<\n][^\n]*)$", "<p>{1}</p>"),
     (r"\n{2,}", "\n"),
 ]
