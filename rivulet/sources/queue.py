@@ -21,14 +21,15 @@ ENTRY_MESSAGE_SCHEMA = ("envelope struct<status: string, timestamp: string>, "
 
 
 def encode_body(payload: Column) -> Column:
-    """JSON of a struct, base64 text."""
-    return F.base64(F.encode(F.to_json(payload), "UTF-8"))
+    """JSON of a struct, base64 text on one line (Spark's base64 may
+    break lines every 76 characters; a queue line is one message)."""
+    return F.regexp_replace(F.base64(F.encode(F.to_json(payload), "UTF-8")), "[\r\n]", "")
 
 
 def decode_body(body: Column, schema: str = FEED_MESSAGE_SCHEMA) -> Column:
     """base64 → UTF-8 → JSON struct; NULL when any step fails."""
     raw = F.try_to_binary(body, F.lit("base64"))
-    text = F.when(raw.isNotNull(), F.decode(raw, "UTF-8"))
+    text = F.try_validate_utf8(raw.cast("string"))  # invalid UTF-8 → NULL, never an error
     return F.from_json(text, schema, {"mode": "PERMISSIVE"})
 
 

@@ -79,7 +79,7 @@ class KeyedTable:
     def _swap_in(self, merged: DataFrame, touched: list) -> None:
         stage = scratch_path(self.spark, f"stage-{uuid.uuid4().hex}")
         merged.write.mode("overwrite").partitionBy(self.partition_col).parquet(stage)
-        staged = self.spark.read.parquet(stage)
+        staged = self.spark.read.schema(merged.schema).parquet(stage)
         (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(self.partition_col).parquet(self.path))
         # a touched partition left without rows (all deleted) is removed

@@ -60,13 +60,18 @@ def enqueue_changed_feeds(spark: SparkSession, feeds: DataFrame, fetch_log: Data
 
 # ------------------------------------------------------------ stage 1 --
 
-def decoded_feed_messages(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
+def decoded_feed_messages(stream: DataFrame) -> DataFrame:
     """S5 + P1 + T6 on a stream of ``value`` lines."""
     m = with_reject_reasons(stream.withColumn("payload", decode_body(F.col("value"), FEED_MESSAGE_SCHEMA)))
-    return m.withColumn("enqueued_at", F.col("payload.envelope.timestamp")) \
-            .withColumn("feed_url", F.col("payload.feed.url")) \
-            .withColumn("event_time", F.coalesce(F.try_to_timestamp("enqueued_at"),
-                                                 F.lit("1970-01-01").cast("timestamp")))
+    m = m.withColumn("enqueued_at", F.col("payload.envelope.timestamp")) \
+         .withColumn("feed_url", F.col("payload.feed.url"))
+    # one key per message: the feed and its enqueue time, or the raw body
+    # for a message that cannot be used (so distinct bad ones stay apart)
+    key = F.when(F.size("reject_reasons") == 0, F.concat_ws("|", "feed_url", "enqueued_at")) \
+           .otherwise(F.concat(F.lit("raw:"), F.col("value")))
+    # arrival time drives the watermark: nothing is ever "late", so a
+    # delayed message is processed; redeliveries within the span are dropped
+    return m.withColumn("dedupe_key", key).withColumn("arrived_at", F.current_timestamp())
 
 
 def ingest_batch(batch: DataFrame, epoch_id: int, spark: SparkSession, landed: DataFrame,
@@ -99,7 +104,10 @@ def ingest_batch(batch: DataFrame, epoch_id: int, spark: SparkSession, landed: D
         good_entries = ev.filter(F.size("violations") == 0).drop("violations")
         KeyedTable(spark, tables["entries"], ["partition_key", "row_key"]).upsert(good_entries)
         ts = F.lit(now).cast("timestamp") if now else F.current_timestamp()
-        lists = entry_key_lists(good_entries.withColumn("__ord", F.xxhash64("id")), "feed_key", "__ord")
+        # arrival order inside the batch; ids are unique and increase inside
+        # each partition, which keeps ordered_index's blocks bounded
+        lists = entry_key_lists(good_entries.withColumn("__ord", F.monotonically_increasing_id()),
+                                "feed_key", "__ord")
         lists.select(encode_body(mark_retrieved(F.col("feed_key"), F.col("entries"), iso_utc(ts))).alias("value")) \
             .write.mode("append").text(entry_queue_dir)
         ev.unpersist()
@@ -117,7 +125,7 @@ def start_feed_ingest(spark: SparkSession, queue_dir: str, landed: DataFrame, ta
     m = decoded_feed_messages(stream)
     # A redelivered message (same feed and enqueue time) is dropped,
     # with dedupe state kept for the watermark's span only
-    m = m.withWatermark("event_time", "1 day").dropDuplicatesWithinWatermark(["feed_url", "enqueued_at"])
+    m = m.withWatermark("arrived_at", "1 day").dropDuplicatesWithinWatermark(["dedupe_key"])
     w = (m.writeStream.option("checkpointLocation", scratch_path(spark, f"ckpt-{name}"))
          .foreachBatch(lambda b, i: ingest_batch(b, i, spark, landed, tables, entry_queue_dir, now)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
