@@ -15,14 +15,20 @@ from pyspark.sql import functions as F
 from .. import fixed
 
 
+# Each rule refers to its column once, so Catalyst never has to copy an
+# expensive column expression (a cleaned summary) into several places.
+
 def _len_outside(c: Column, lo: int | None, hi: int | None, nullable: bool = True) -> Column:
     n = F.length(c)
-    bad = F.lit(False)
-    if lo is not None:
-        bad = bad | (n < lo)
-    if hi is not None:
-        bad = bad | (n > hi)
-    return F.when(c.isNull(), F.lit(not nullable)).otherwise(bad)
+    if lo is not None and hi is not None:
+        bad = ~n.between(lo, hi)
+    elif lo is not None:
+        bad = n < lo
+    elif hi is not None:
+        bad = n > hi
+    else:
+        bad = F.lit(False) & n.isNotNull()
+    return F.coalesce(bad, F.lit(not nullable))
 
 
 def _range_outside(c: Column, lo: float, hi: float) -> Column:
@@ -30,7 +36,7 @@ def _range_outside(c: Column, lo: float, hi: float) -> Column:
 
 
 def _pattern_fails(c: Column, pattern: str, nullable: bool = False) -> Column:
-    return F.when(c.isNull(), F.lit(not nullable)).otherwise(~c.rlike(pattern))
+    return F.coalesce(~c.rlike(pattern), F.lit(not nullable))
 
 
 def _subset_fails(c: Column, allowed: list[str], lo: int, hi: int) -> Column:

@@ -9,8 +9,23 @@ from pyspark.sql import functions as F
 from ..functions.text import first_line
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer splits than the cluster has cores.
+
+    Small landed files (one parquet row group) scan as one partition, which
+    would run per-row text work on a single core.  Only then are the rows
+    dealt round-robin over ``defaultParallelism`` partitions; at scale a
+    scan has far more splits than cores and this is a no-op (no shuffle).
+    Catalyst still prunes columns below the exchange.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def feed_url_of(source) -> F.Column:
