@@ -17,6 +17,9 @@ WS = (r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
       r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 NOT_WS = "[^" + WS[1:]
 
+# The same set as characters, derived from Python's own definition.
+WS_CHARS = "".join(c for c in map(chr, range(0x110000)) if c.isspace())
+
 
 def java_repl(repl: str) -> str:
     return re.sub(r"\{(\d)\}", r"$\1", repl)
@@ -43,9 +46,18 @@ def sql_apply_rules(expr: str, rules) -> str:
     return expr
 
 
+def fold_ws(col: Column) -> Column:
+    """Every whitespace character becomes a plain space (one pass)."""
+    return F.translate(col, WS_CHARS, " " * len(WS_CHARS))
+
+
 def strip_ws(col: Column) -> Column:
-    """Python ``str.strip()``: drop leading and trailing whitespace."""
-    return F.regexp_replace(col, f"^{WS}+|{WS}+\\z", "")
+    """Python ``str.strip()``: drop leading and trailing whitespace.
+
+    Both ends use a start-anchored pattern (the tail on the reversed
+    text): an unanchored ``WS+\\z`` would test the class at every position."""
+    head = F.regexp_replace(col, f"^{WS}+", "")
+    return F.reverse(F.regexp_replace(F.reverse(head), f"^{WS}+", ""))
 
 
 def sql_strip_ws(expr: str) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ._col import as_col, let
-from ._regex import NOT_WS, WS, strip_ws
+from ._regex import WS, WS_CHARS, fold_ws, strip_ws
 
 # U+E000 is private use; the original also reserves it as a separator.
 _SEP = "\ue000"
@@ -66,7 +66,7 @@ def format_summary(text) -> Column:
 
 def word_count(text) -> Column:
     """Number of whitespace-separated words (Python ``len(t.split())``)."""
-    return F.regexp_count(as_col(text), F.lit(NOT_WS + "+")).cast("long")
+    return F.regexp_count(fold_ws(as_col(text)), F.lit("[^ ]+")).cast("long")
 
 
 def sentence_mark_count(text) -> Column:
@@ -77,7 +77,7 @@ def sentence_mark_count(text) -> Column:
 
 def nonspace_char_count(text) -> Column:
     """Characters that are not whitespace (sum of word lengths)."""
-    return F.length(F.regexp_replace(as_col(text), WS, "")).cast("long")
+    return F.length(F.translate(as_col(text), WS_CHARS, "")).cast("long")
 
 
 def readability_raw(text) -> Column:

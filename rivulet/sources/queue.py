@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..functions._col import let
 
 FEED_MESSAGE_SCHEMA = ("envelope struct<status: string, timestamp: string>, "
                        "feed struct<name: string, url: string, type: string>")
@@ -40,16 +41,17 @@ def envelope(status: str, timestamp: Column) -> Column:
 def with_reject_reasons(df: DataFrame, payload: str = "payload") -> DataFrame:
     """``reject_reasons`` lists why a stage-1 message cannot be used:
     wrong status, empty payload, no feed URL (each reported)."""
-    p = F.col(payload)
-    status_ok = F.coalesce(p["envelope"]["status"] == fixed.ENVELOPE_ENQUEUED, F.lit(False))
-    empty = p.isNull() | (p["envelope"].isNull() & p["feed"].isNull())
-    url = p["feed"]["url"]
-    no_url = url.isNull() | (url == "")
-    reasons = F.array_compact(F.array(
-        F.when(~status_ok, F.lit("invalid_status")),
-        F.when(empty, F.lit("invalid_payload")),
-        F.when(no_url, F.lit("missing_feed_url"))))
-    return df.withColumn("reject_reasons", reasons)
+    def reasons(p):
+        status_ok = F.coalesce(p["envelope"]["status"] == fixed.ENVELOPE_ENQUEUED, F.lit(False))
+        empty = p.isNull() | (p["envelope"].isNull() & p["feed"].isNull())
+        url = p["feed"]["url"]
+        no_url = url.isNull() | (url == "")
+        return F.array_compact(F.array(
+            F.when(~status_ok, F.lit("invalid_status")),
+            F.when(empty, F.lit("invalid_payload")),
+            F.when(no_url, F.lit("missing_feed_url"))))
+    # the payload is bound once: its decoding is not repeated per reference
+    return df.withColumn("reject_reasons", let(F.col(payload), reasons))
 
 
 def accepted(df: DataFrame) -> DataFrame:

@@ -3,12 +3,17 @@ domain (which driver column plays which domain column)."""
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import first_line
 
 
+_SPREAD_IDS = itertools.count()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a scan that yields fewer splits than the cluster has cores.
 
@@ -16,11 +21,15 @@ def spread(df: DataFrame) -> DataFrame:
     would run per-row text work on a single core.  Only then are the rows
     dealt round-robin over ``defaultParallelism`` partitions; at scale a
     scan has far more splits than cores and this is a no-op (no shuffle).
-    Catalyst still prunes columns below the exchange.
+    Catalyst still prunes columns below the exchange.  An observed row
+    count sits on top of the exchange: predicates are not pushed through it,
+    so expensive filters (decoding, regex) run after the spread on all cores
+    instead of in the one scan task.
     """
     want = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
+        name = f"spread_rows_{next(_SPREAD_IDS)}"
+        return df.repartition(want).observe(name, F.count(F.lit(1)).alias("rows"))
     return df
 
 

@@ -14,7 +14,7 @@ from rivulet.functions.dates import iso_utc, rfc1123
 
 
 def _rand_text(rng, n):
-    alphabet = "abcXYZ éàüß.!? \n\t-_,;:0123456789ÉÀ"
+    alphabet = "abcXYZ éàüß.!? \n\t-_,;:0123456789ÉÀ\xa0\u2003\x1c\r"
     return "".join(rng.choice(alphabet) for _ in range(n))
 
 
