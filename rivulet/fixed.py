@@ -79,3 +79,24 @@ GRADE_LEVEL_RANGE = (0.0, 15.0)
 DIFFICULTY_RANGE = (4.9, 11.0)
 ENGAGEMENT_SCORE_RANGE = (0.0, 10.0)
 REPLY_SCORE_RANGE = (1.0, 10.0)
+
+# --- fixed values: list schema rules (display name, type, nullable, allowed, range)
+LIST_SCHEMA = {"fields": [
+    {"display_name": "Title", "type": "Single Line of Text", "nullable": False},
+    {"display_name": "URL", "type": "Hyperlink", "nullable": False},
+    {"display_name": "Summary", "type": "Multiple Lines of Text", "nullable": True},
+    {"display_name": "Entry_ID", "type": "Single Line of Text", "nullable": False},
+    {"display_name": "Published_Date", "type": "Date and Time", "nullable": False},
+    {"display_name": "Full_Content", "type": "Multiple Lines of Text", "nullable": True},
+    {"display_name": "Categories", "type": "Choice (Multi-select)", "nullable": True},
+    {"display_name": "Author", "type": "Single Line of Text", "nullable": True},
+    {"display_name": "Keywords", "type": "Single Line of Text", "nullable": True},
+    {"display_name": "Sentiment", "type": "Choice (Single-select)", "nullable": False,
+     "allowed_values": ["Positive", "Neutral", "Negative", "Mixed"]},
+    {"display_name": "Readability_Score", "type": "Number", "nullable": False, "range": [0.0, 100.0]},
+    {"display_name": "Engagement_Score", "type": "Number", "nullable": False, "range": [0, 1000]},
+    {"display_name": "Processed", "type": "Yes/No (Boolean)", "nullable": False},
+    {"display_name": "Engagement_Type", "type": "Choice (Multi-select)", "nullable": True,
+     "allowed_values": ["Shared", "Liked", "Commented"]},
+    {"display_name": "Response_Received", "type": "Yes/No (Boolean)", "nullable": False},
+]}

@@ -547,3 +547,57 @@ def model_reply_parse(spark, sf_dir):
     reply = F.when(F.col("role") == "user", sentiment_reply("text")).otherwise(F.col("text"))
     r = RF.parse_sentiment_reply(reply)
     return c.select("conv_id", "turn", r["sentiment"].alias("sentiment"), r["score"].alias("score"))
+
+
+@query
+def list_schema_rules(spark, sf_dir):
+    """List rows scored (F25 readability, lexicon sentiment, A4+F24
+    engagement) and checked against the list schema's rules."""
+    from ..operators.conform import conform_list15
+    from ..operators.enrich import lexicon_sentiment
+    from ..operators.validate import rules_from_list_schema, validate
+    rows = conform_list15(_items(spark, sf_dir))
+    scored = rows.withColumn("Readability_Score", RF.readability("Summary")) \
+                 .withColumn("Sentiment", lexicon_sentiment("Summary")["sentiment"])
+    v = validate(scored, rules_from_list_schema(fixed.LIST_SCHEMA))
+    return v.select("Entry_ID", "Readability_Score", "Sentiment", _joined("violations").alias("violations"))
+
+
+def _batch_summary_model():
+    """Offline stand-in for a hosted summary+score model (U3a/U3d), built
+    once per task: first sentence as summary, score 1..10 from length."""
+    import json as _json
+    import re as _re
+    split = _re.compile(r"(?<=[.!?])\s+")
+
+    def predict(texts):
+        out = []
+        for t in texts:
+            if t is None:
+                out.append(None)
+                continue
+            first = split.split(t.strip(), 1)[0][: fixed.MAX_SUMMARY_CHARACTERS]
+            out.append(_json.dumps({"summary": first, "score": min(10, 1 + len(t) // 2000)}))
+        return out
+    return predict
+
+
+@query
+def model_batch_score(spark, sf_dir):
+    """Pluggable batch scoring (mapInPandas, one model per task,
+    retry + error policy) over whole documents, replies parsed (F22)."""
+    from ..operators.enrich import score_text
+    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    s = score_text(d, "text", _batch_summary_model, "reply", on_error="null", retries=1, delay_ms=100)
+    r = RF.parse_summary_reply("reply")
+    return s.select("doc_id", r["summary"].alias("summary"), r["score"].alias("score"), "reply_error")
+
+
+@query
+def enrich_pipeline(spark, sf_dir):
+    """U3e: cleaned summary → summary → sentiment → readability →
+    embedding (Spark ML hashing) for every document."""
+    from ..operators.enrich import enrich
+    d = load(spark, sf_dir, "documents").select("doc_id", RF.clean_summary("text").alias("summary"))
+    e = enrich(d, "summary")
+    return e.select("doc_id", "ai_summary", "sentiment", "sentiment_score", "readability", "embedding")

@@ -468,3 +468,26 @@ SELECT page_id, CASE WHEN md IS NULL OR md = '' THEN NULL
                      ELSE {sql_strip_ws(sql_apply_rules('md', MARKDOWN_TO_HTML_RULES))} END AS html_out
 FROM m
 """
+
+
+def _list_rules_sql():
+    rl = "floor(" + readability_raw("text") + " * 100 + 0.5) / 100"
+    return f"""
+WITH r AS (SELECT CAST(doc_id AS VARCHAR) AS Entry_ID, {rl} AS Readability_Score,
+                  {lexicon_label('s')} AS Sentiment, {first_line('text')} AS Title,
+                  {ENTRY_LINK} AS URL
+           FROM (SELECT *, {lexicon('text')} AS s FROM documents))
+SELECT Entry_ID, Readability_Score, Sentiment,
+       concat_ws('|', CASE WHEN Title IS NULL THEN 'Title_null' END,
+                      CASE WHEN URL IS NULL THEN 'URL_null' END,
+                      CASE WHEN Entry_ID IS NULL THEN 'Entry_ID_null' END,
+                      'Published_Date_null',
+                      CASE WHEN Sentiment IS NULL THEN 'Sentiment_null' END,
+                      CASE WHEN Sentiment NOT IN ('Positive', 'Neutral', 'Negative', 'Mixed') THEN 'Sentiment_allowed' END,
+                      CASE WHEN Readability_Score IS NULL THEN 'Readability_Score_null' END,
+                      CASE WHEN NOT (Readability_Score BETWEEN 0.0 AND 100.0) THEN 'Readability_Score_range' END) AS violations
+FROM r
+"""
+
+
+SQL["list_schema_rules"] = _list_rules_sql()
