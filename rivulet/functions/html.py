@@ -117,12 +117,27 @@ def sql_html_to_markdown(expr: str) -> str:
     return f"(CASE WHEN {expr} IS NULL OR {expr} = '' THEN '' ELSE {md} END)"
 
 
+# the trailing whitespace rules of HTML_TO_MARKDOWN_RULES
+_WS_RULES = HTML_TO_MARKDOWN_RULES[-3:]
+
+
+def text_or_html_to_markdown(value) -> Column:
+    """F10a then F10b.  Text with neither ``<`` nor ``&`` is wrapped in one
+    paragraph and no other rule can match it, so it takes a short path
+    (whitespace rules only); anything else runs the whole rule list."""
+    def body(v):
+        plain = ~v.contains("<") & ~v.contains("&")
+        short = F.coalesce(strip_ws(apply_rules(strip_ws(v), _WS_RULES)), F.lit(""))
+        return F.when(plain, short).otherwise(html_to_markdown(normalize_html(v)))
+    return let(as_col(value), body)
+
+
 def clean_summary(summary,
                   max_sentences: int = fixed.MAX_SUMMARY_SENTENCES,
                   max_chars: int = fixed.MAX_SUMMARY_CHARACTERS) -> Column:
     """Summary cleaning: normalise → Markdown → truncate; empty input → NULL."""
     s = as_col(summary)
-    md = html_to_markdown(normalize_html(s))
+    md = text_or_html_to_markdown(s)
     return F.when(s.isNull() | (s == ""), F.lit(None).cast("string")) \
             .otherwise(truncate_markdown(md, max_sentences, max_chars))
 

@@ -146,3 +146,42 @@ def save_content(table: KeyedTable, rows: DataFrame) -> None:
     """S7 write: non-empty content only."""
     c = F.col("content")
     table.upsert(rows.filter(c.isNotNull() & (c != "") & (c != fixed.MISSING_CONTENT_SENTINEL)))
+
+
+def create_posts(spark: SparkSession, raw: DataFrame, path: str, quarantine_path: str | None = None) -> DataFrame:
+    """Validate post drafts (V4, V15–V17, F12), key them (F3) and
+    upsert the good ones by (yyyy-MM, key); bad ones go to the quarantine.
+    Returns the stored rows."""
+    from ..operators.entities import build_posts
+    from ..operators.validate import post_rules, validate
+    v = validate(build_posts(raw), post_rules())
+    good = v.filter(F.size("violations") == 0).drop("violations")
+    if quarantine_path:
+        v.filter(F.size("violations") > 0).write.mode("append").parquet(quarantine_path)
+    KeyedTable(spark, path, ["partition_key", "row_key"]).upsert(good)
+    return good
+
+
+def publish_new_rows(rows: DataFrame, list_path: str, rename: dict[str, str], rules: dict,
+                     quarantine_path: str | None = None, key: str = "Entry_ID") -> DataFrame:
+    """S14 (with J1 and P7): list rows that pass the list's rules and whose
+    key is not in the list yet are appended under the list's internal
+    column names; rows breaking a rule go to the quarantine instead of
+    stopping the others.  Returns the rows appended."""
+    from ..operators.conform import rename_columns
+    from ..operators.validate import validate
+    spark = rows.sparkSession
+    v = validate(rows, rules)
+    good = v.filter(F.size("violations") == 0).drop("violations")
+    if quarantine_path:
+        v.filter(F.size("violations") > 0).write.mode("append").parquet(quarantine_path)
+    out = rename_columns(good, rename)
+    internal_key = rename.get(key, key)
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(list_path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(hpath):
+        existing = spark.read.parquet(list_path).select(F.col(internal_key).alias("__k")).distinct()
+        out = out.join(existing, out[internal_key] == existing["__k"], "left_anti")
+    out.write.mode("append").parquet(list_path)
+    return out

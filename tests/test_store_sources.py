@@ -156,3 +156,25 @@ def test_blob_type_dispatch(spark, tmp_dir):
     rows = {os.path.basename(r.path): r for r in S.read_blobs(spark, d).collect()}
     assert rows["a_content.md"].text == "# héllo" and rows["a_content.md"].content is None
     assert rows["a_embeddings.npy"].text is None and bytes(rows["a_embeddings.npy"].content).startswith(b"\x93NUMPY")
+
+
+def test_create_posts_and_publish(spark, tmp_dir):
+    from datetime import datetime
+    from rivulet.sources.store import create_posts, publish_new_rows
+    from rivulet.operators.conform import entries_json
+    raw = spark.createDataFrame([("Hello", datetime(2025, 3, 4), ["k"], "# Hi", ["Draft"]),
+                                 ("", datetime(2025, 3, 4), [], "", ["Nope"])],
+                                "title string, draft_date timestamp, keywords array<string>, content string, "
+                                "draft_status array<string>")
+    stored = create_posts(spark, raw, os.path.join(tmp_dir, "posts"), os.path.join(tmp_dir, "posts_bad"))
+    assert stored.count() == 1 and spark.read.parquet(os.path.join(tmp_dir, "posts_bad")).count() == 1
+    rows = spark.createDataFrame([("1", "T1", "Neutral"), ("2", "T2", "Angry")], "Entry_ID string, Title string, Sentiment string")
+    rules = {"Sentiment_allowed": ~F.col("Sentiment").isin("Positive", "Neutral", "Negative", "Mixed")}
+    lp = os.path.join(tmp_dir, "list")
+    assert publish_new_rows(rows, lp, {"Entry_ID": "field_e5"}, rules, os.path.join(tmp_dir, "q")).count() == 1
+    again = spark.createDataFrame([("1", "T1", "Neutral"), ("3", "T3", "Mixed")], "Entry_ID string, Title string, Sentiment string")
+    publish_new_rows(again, lp, {"Entry_ID": "field_e5"}, rules)
+    assert sorted(r.field_e5 for r in spark.read.parquet(lp).collect()) == ["1", "3"]
+    e = spark.createDataFrame([("p", "r", "t")], "partition_key string, row_key string, title string")
+    c = spark.createDataFrame([("p", "r", "body")], "partition_key string, row_key string, content string")
+    assert '"content":"body"' in entries_json(e, c).first().json
