@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from .. import fixed
 from ..functions._col import as_col
@@ -83,6 +83,38 @@ class ModelRegistry(dict):
             raise ValueError(f"model roles not configured: {missing}")
 
 
+def offline_registry() -> ModelRegistry:
+    """The five roles of the original deployment, served by offline
+    factories (summary, light summary, ranking, fast and deep embedding)."""
+    def summary():
+        import re as _re
+        split = _re.compile(r"(?<=[.!?])\s+")
+        return lambda texts: [None if t is None else split.split(t.strip(), 1)[0] for t in texts]
+
+    def ranking():
+        return lambda texts: [None if t is None else min(10.0, 1.0 + len(t) / 2000.0) for t in texts]
+
+    def embedding(dims):
+        def factory():
+            import numpy as np
+            import zlib
+
+            def predict(texts):
+                out = []
+                for t in texts:
+                    v = np.zeros(dims, dtype=np.float32)
+                    for w in (t or "").lower().split():
+                        v[zlib.crc32(w.encode()) % dims] += 1.0
+                    n = float(np.linalg.norm(v))
+                    out.append((v / n if n else v).tolist())
+                return out
+            return predict
+        return factory
+
+    return ModelRegistry(MODEL_SUMMARY=summary, MODEL_SUMMARY_LIGHT=summary, MODEL_RANKING=ranking,
+                         EMBEDDING_FAST=embedding(64), EMBEDDING_DEEP=embedding(256))
+
+
 # ------------------------------------------------------ batch scoring --
 
 def retry_call(fn: Callable, *args, retries: int = 3, delay_ms: int = 1000, backoff: float = 2.0,
@@ -112,7 +144,8 @@ def score_text(df: DataFrame, text_col: str, model_factory: Callable, out_col: s
     NULL, ``default`` gives ``default``; an ``{out_col}_error`` column
     keeps the message so failures can be reported once per message (A3).
     """
-    schema = StructType(list(df.schema.fields)).add(out_col, out_type).add(f"{out_col}_error", "string")
+    schema = StructType(list(df.schema.fields)).add(out_col, _parse_datatype_string(out_type)) \
+        .add(f"{out_col}_error", "string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = model_factory()

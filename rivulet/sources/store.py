@@ -51,12 +51,20 @@ def keyed_delete(df: DataFrame, deletes: DataFrame, keys: list[str]) -> DataFram
 
 
 class KeyedTable:
-    """A parquet table keyed by (partition column, row key)."""
+    """A parquet table keyed by (partition column, row key).
+
+    ``buckets`` > 0 adds a ``bucket`` = pmod(xxhash64(keys), buckets) level
+    under each partition, so a write rewrites only the (partition, bucket)
+    folders its keys fall in: a hot partition (a feed with a third of all
+    entries) is not rewritten whole by every small batch.
+    """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str],
-                 partition_col: str = "partition_key", seq_cols: list[str] | None = None):
+                 partition_col: str = "partition_key", seq_cols: list[str] | None = None,
+                 buckets: int = 0):
         self.spark, self.path, self.keys = spark, path, keys
-        self.partition_col, self.seq_cols = partition_col, seq_cols
+        self.partition_col, self.seq_cols, self.buckets = partition_col, seq_cols, buckets
+        self.part_cols = [partition_col] + (["bucket"] if buckets else [])
 
     def exists(self) -> bool:
         jvm, fs = self._fs()
@@ -64,67 +72,87 @@ class KeyedTable:
         return bool(fs.exists(hpath)) and len(fs.listStatus(hpath)) > 0
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        df = self.spark.read.parquet(self.path)
+        return df.drop("bucket") if self.buckets else df
+
+    def _with_bucket(self, df: DataFrame) -> DataFrame:
+        if not self.buckets:
+            return df
+        return df.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+
+    def _folder_key(self):
+        return F.concat_ws("/", *[F.col(c).cast("string") for c in self.part_cols])
 
-    def _touched(self, batch: DataFrame) -> list:
-        # distinct partition values of the batch: one per partition folder
-        # (feed or month), i.e. the size of the table's folder listing
-        return [r[0] for r in batch.select(self.partition_col).distinct().collect()]
+    def _touched(self, batch: DataFrame) -> list[str]:
+        # the partition folders the batch writes to: at most one per folder
+        # of the table, i.e. the size of the table's folder listing
+        return [r[0] for r in batch.select(self._folder_key().alias("k")).distinct().collect()]
+
+    def _old(self, touched: list[str]) -> DataFrame:
+        # a predicate on partition columns only: the scan lists touched folders
+        df = self.spark.read.parquet(self.path)
+        return df.filter(self._folder_key().isin(touched))
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
         hpath = jvm.org.apache.hadoop.fs.Path(self.path)
         return jvm, hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _swap_in(self, merged: DataFrame, touched: list) -> None:
+    def _folder(self, key: str) -> str:
+        parts = key.split("/")
+        return os.path.join(self.path, *[f"{c}={v}" for c, v in zip(self.part_cols, parts)])
+
+    def _swap_in(self, merged: DataFrame, touched: list[str]) -> None:
         stage = scratch_path(self.spark, f"stage-{uuid.uuid4().hex}")
-        merged.write.mode("overwrite").partitionBy(self.partition_col).parquet(stage)
+        merged.write.mode("overwrite").partitionBy(*self.part_cols).parquet(stage)
         staged = self.spark.read.schema(merged.schema).parquet(stage)
         (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(self.partition_col).parquet(self.path))
-        # a touched partition left without rows (all deleted) is removed
-        kept = {r[0] for r in staged.select(self.partition_col).distinct().collect()}
+         .partitionBy(*self.part_cols).parquet(self.path))
+        # a touched folder left without rows (all deleted) is removed
+        kept = {r[0] for r in staged.select(self._folder_key()).distinct().collect()}
         jvm, fs = self._fs()
         for v in touched:
             if v not in kept:
-                fs.delete(jvm.org.apache.hadoop.fs.Path(
-                    os.path.join(self.path, f"{self.partition_col}={v}")), True)
+                fs.delete(jvm.org.apache.hadoop.fs.Path(self._folder(v)), True)
 
     def upsert(self, batch: DataFrame) -> None:
         """Merge a batch (S10).  Within the batch the last row per key wins
         when ``seq_cols`` orders it (A2); otherwise keys must be unique."""
         if self.seq_cols:
             batch = last_write_wins(batch, self.keys, self.seq_cols).drop(*self.seq_cols)
+        batch = self._with_bucket(batch)
         if not self.exists():
-            batch.write.mode("overwrite").partitionBy(self.partition_col).parquet(self.path)
+            batch.write.mode("overwrite").partitionBy(*self.part_cols).parquet(self.path)
             return
         touched = self._touched(batch)
         if not touched:
             return
-        old = self.read().filter(F.col(self.partition_col).isin(touched))
-        self._swap_in(merge_upsert(old, batch, self.keys).select(*self._order(batch)), touched)
+        keys = self.keys + (["bucket"] if self.buckets else [])
+        merged = merge_upsert(self._old(touched), batch, keys)
+        self._swap_in(merged.select(*self._order(batch)), touched)
 
     def delete(self, keys_df: DataFrame) -> None:
         """Keyed delete (S11) of the given keys."""
         if not self.exists():
             return
+        keys_df = self._with_bucket(keys_df.select(*self.keys, self.partition_col)
+                                    if self.partition_col not in self.keys else keys_df.select(*self.keys))
         touched = self._touched(keys_df)
         if not touched:
             return
-        old = self.read().filter(F.col(self.partition_col).isin(touched))
-        kept = keyed_delete(old, keys_df, self.keys)
-        self._swap_in(kept.select(*self._order(old)), touched)
+        old = self._old(touched)
+        self._swap_in(keyed_delete(old, keys_df, self.keys).select(*self._order(old)), touched)
 
     def append_new(self, batch: DataFrame) -> DataFrame:
         """Append only rows whose key is not yet stored; returns them."""
         if self.exists():
             batch = batch.join(self.read().select(*self.keys), self.keys, "left_anti")
-        batch.write.mode("append").partitionBy(self.partition_col).parquet(self.path)
+        self._with_bucket(batch).write.mode("append").partitionBy(*self.part_cols).parquet(self.path)
         return batch
 
     def _order(self, df: DataFrame) -> list[str]:
-        cols = [c for c in df.columns if c != self.partition_col]
-        return cols + [self.partition_col]
+        cols = [c for c in df.columns if c not in self.part_cols]
+        return cols + self.part_cols
 
 
 def content_table(spark: SparkSession, path: str) -> KeyedTable:

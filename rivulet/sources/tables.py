@@ -26,8 +26,12 @@ def spread(df: DataFrame) -> DataFrame:
     so expensive filters (decoding, regex) run after the spread on all cores
     instead of in the one scan task.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a remote session): leave the scan as is
+        return df
+    if have < want:
         name = f"spread_rows_{next(_SPREAD_IDS)}"
         return df.repartition(want).observe(name, F.count(F.lit(1)).alias("rows"))
     return df

@@ -35,6 +35,10 @@ from ..sources.queue import (ENTRY_MESSAGE_SCHEMA, FEED_MESSAGE_SCHEMA, decode_b
 from ..sources.store import KeyedTable, merge_upsert
 
 
+# hash sub-buckets per feed partition of the entry tables (hot feeds)
+ENTRY_BUCKETS = 16
+
+
 # ------------------------------------------------------------ stage 0 --
 
 def enqueue_changed_feeds(spark: SparkSession, feeds: DataFrame, fetch_log: DataFrame,
@@ -102,7 +106,7 @@ def ingest_batch(batch: DataFrame, epoch_id: int, spark: SparkSession, landed: D
         ev.filter(F.size("violations") > 0).withColumn("epoch", F.lit(epoch_id).cast("long")) \
             .write.mode("append").parquet(tables["quarantine"])
         good_entries = ev.filter(F.size("violations") == 0).drop("violations")
-        KeyedTable(spark, tables["entries"], ["partition_key", "row_key"]).upsert(good_entries)
+        KeyedTable(spark, tables["entries"], ["partition_key", "row_key"], buckets=ENTRY_BUCKETS).upsert(good_entries)
         ts = F.lit(now).cast("timestamp") if now else F.current_timestamp()
         # arrival order inside the batch; ids are unique and increase inside
         # each partition, which keeps ordered_index's blocks bounded
@@ -138,9 +142,10 @@ def enrich_batch(batch: DataFrame, epoch_id: int, spark: SparkSession, tables: d
     keys = (batch.select(F.explode_outer("payload.entries").alias("k"))
             .select(F.col("k")[0].alias("partition_key"), F.col("k")[1].alias("row_key"))
             .dropna().distinct())
-    entries = spark.read.parquet(tables["entries"]).join(keys, ["partition_key", "row_key"], "left_semi")
+    entries = KeyedTable(spark, tables["entries"], ["partition_key", "row_key"], buckets=ENTRY_BUCKETS).read() \
+        .join(keys, ["partition_key", "row_key"], "left_semi")
     e = enrich(entries, "summary")
-    KeyedTable(spark, tables["enrichment"], ["partition_key", "row_key"]).upsert(
+    KeyedTable(spark, tables["enrichment"], ["partition_key", "row_key"], buckets=ENTRY_BUCKETS).upsert(
         e.select("partition_key", "row_key", F.col("ai_summary").alias("summary"),
                  F.col("sentiment"), F.col("sentiment_score"), F.col("readability"),
                  F.col("embedding").alias("embeddings")))

@@ -77,3 +77,13 @@ def test_native_pipeline_has_no_python_eval(spark):
     df = spark.createDataFrame([("x",)], "summary string")
     plan = E.enrich(df, embed=False)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_offline_registry_roles(spark):
+    reg = E.offline_registry()
+    reg.require("MODEL_SUMMARY", "MODEL_RANKING", "EMBEDDING_FAST")
+    df = spark.createDataFrame([("One two. Three",)], "t string")
+    out = E.score_text(df, "t", reg["EMBEDDING_FAST"], "e", "array<float>", retries=0, delay_ms=0).first()
+    assert len(out.e) == 64 and out.e_error is None
+    s = E.score_text(df, "t", reg["MODEL_SUMMARY"], "s", retries=0, delay_ms=0).first()
+    assert s.s == "One two."

@@ -178,3 +178,19 @@ def test_create_posts_and_publish(spark, tmp_dir):
     e = spark.createDataFrame([("p", "r", "t")], "partition_key string, row_key string, title string")
     c = spark.createDataFrame([("p", "r", "body")], "partition_key string, row_key string, content string")
     assert '"content":"body"' in entries_json(e, c).first().json
+
+
+def test_bucketed_table_rewrites_only_touched_buckets(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "b")
+    t = KeyedTable(spark, path, ["partition_key", "row_key"], buckets=8)
+    t.upsert(spark.createDataFrame([("hot", str(i), f"t{i}", float(i)) for i in range(200)], SCHEMA))
+    buckets = sorted(os.listdir(os.path.join(path, "partition_key=hot")))
+    assert len([b for b in buckets if b.startswith("bucket=")]) == 8
+    before = {b: sorted(os.listdir(os.path.join(path, "partition_key=hot", b))) for b in buckets if b.startswith("bucket=")}
+    t.upsert(spark.createDataFrame([("hot", "5", "changed", None)], SCHEMA))
+    after = {b: sorted(os.listdir(os.path.join(path, "partition_key=hot", b))) for b in buckets if b.startswith("bucket=")}
+    assert sum(before[b] != after[b] for b in before) == 1   # one bucket folder rewritten
+    rows = {r.row_key: (r.title, r.score) for r in t.read().collect()}
+    assert len(rows) == 200 and rows["5"] == ("changed", 5.0)
+    t.delete(spark.createDataFrame([("hot", "5")], "partition_key string, row_key string"))
+    assert t.read().count() == 199 and "bucket" not in t.read().columns
