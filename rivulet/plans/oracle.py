@@ -475,13 +475,13 @@ def _list_rules_sql():
     return f"""
 WITH r AS (SELECT CAST(doc_id AS VARCHAR) AS Entry_ID, {rl} AS Readability_Score,
                   {lexicon_label('s')} AS Sentiment, {first_line('text')} AS Title,
-                  {ENTRY_LINK} AS URL
+                  {ENTRY_LINK} AS URL, CAST(NULL AS VARCHAR) AS Published_Date
            FROM (SELECT *, {lexicon('text')} AS s FROM documents))
 SELECT Entry_ID, Readability_Score, Sentiment,
        concat_ws('|', CASE WHEN Title IS NULL THEN 'Title_null' END,
                       CASE WHEN URL IS NULL THEN 'URL_null' END,
                       CASE WHEN Entry_ID IS NULL THEN 'Entry_ID_null' END,
-                      'Published_Date_null',
+                      CASE WHEN Published_Date IS NULL THEN 'Published_Date_null' END,
                       CASE WHEN Sentiment IS NULL THEN 'Sentiment_null' END,
                       CASE WHEN Sentiment NOT IN ('Positive', 'Neutral', 'Negative', 'Mixed') THEN 'Sentiment_allowed' END,
                       CASE WHEN Readability_Score IS NULL THEN 'Readability_Score_null' END,

@@ -167,5 +167,21 @@ def feed_partition(title) -> F.Column:
     return partition_key_from_title(title)
 
 
-__all__ = ["enqueue_changed_feeds", "start_feed_ingest", "start_entry_enrichment",
+def run_pipeline(spark: SparkSession, feeds: DataFrame, fetch_log: DataFrame, landed: DataFrame,
+                 root: str, run_start: str) -> dict[str, str]:
+    """T4 + T7: one scheduled (or on-demand) run of all stages: enqueue the
+    due feeds, drain the feed queue, drain the entry queue.  Each stage
+    stops when its input is processed (``availableNow``); the schedule
+    itself lives outside.  Returns the table paths."""
+    import os
+    paths = {k: os.path.join(root, k) for k in
+             ("feeds", "entries", "quarantine", "rejected", "enrichment", "state", "q_feeds", "q_entries")}
+    enqueue_changed_feeds(spark, feeds, fetch_log, paths["state"], paths["q_feeds"], run_start)
+    start_feed_ingest(spark, paths["q_feeds"], landed, paths, paths["q_entries"],
+                      name="feed_ingest", now=run_start).awaitTermination()
+    start_entry_enrichment(spark, paths["q_entries"], paths, name="entry_enrichment").awaitTermination()
+    return paths
+
+
+__all__ = ["run_pipeline", "enqueue_changed_feeds", "start_feed_ingest", "start_entry_enrichment",
            "ingest_batch", "enrich_batch", "decoded_feed_messages", "merge_upsert"]

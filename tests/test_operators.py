@@ -182,3 +182,11 @@ def test_union_and_category_set(spark):
     assert R.union_all([a, b]).count() == 2
     df = spark.createDataFrame([(["a", "b"], ["b", "c"])], "l array<string>, r array<string>")
     assert df.select(R.category_set(F.col("l"), F.col("r"))).first()[0] == ["a", "b", "c"]
+
+
+def test_missing_id_guard_and_content_exclusion(spark):
+    items = spark.createDataFrame([("1", "a"), (None, "b")], "id string, title string")
+    assert C.drop_missing_ids(items).count() == 1
+    assert C.drop_missing_ids(items.drop("id")).count() == 0
+    e = spark.createDataFrame([("p", "r", "c")], "partition_key string, row_key string, content string")
+    assert C.without_content(e).columns == ["partition_key", "row_key"]

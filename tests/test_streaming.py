@@ -77,3 +77,16 @@ def test_enqueue_changed_feeds_advances_state(spark, tmp_dir):
     # same fetch log again: nothing new after the watermark
     enqueue_changed_feeds(spark, feeds, log, state, qdir, "2024-01-11 06:00:00")
     assert spark.read.text(qdir).count() == 1
+
+
+def test_run_pipeline_end_to_end(spark, tmp_dir):
+    from datetime import datetime
+    from rivulet.streaming.ingest import run_pipeline
+    feeds = spark.createDataFrame([("one", "https://feed1.example.com/rss", "rss"),
+                                   ("two", "https://feed2.example.com/rss", "rss")], "name string, url string, type string")
+    log = spark.createDataFrame([("https://feed1.example.com/rss", 200, datetime(2024, 1, 5), 1),
+                                 ("https://feed2.example.com/rss", 304, datetime(2024, 1, 5), 2)],
+                                "feed_url string, status int, last_modified timestamp, event_id int")
+    paths = run_pipeline(spark, feeds, log, _landed(spark), os.path.join(tmp_dir, "run"), "2024-01-10 06:00:00")
+    assert spark.read.parquet(paths["entries"]).count() == 5          # only the changed feed
+    assert spark.read.parquet(paths["enrichment"]).count() == 5
