@@ -17,7 +17,8 @@ from ..functions.scores import str_to_bool
 RSS_SCHEMA = (
     "channel struct<title: string, link: string, language: string, description: string, "
     "lastBuildDate: string, item: array<struct<guid: string, title: string, link: string, "
-    "description: string, pubDate: string, author: string, category: array<string>>>>")
+    "description: string, pubDate: string, author: string, `dc:creator`: string, "
+    "`content:encoded`: string, category: array<string>>>>")
 ATOM_SCHEMA = (
     "title string, subtitle string, updated string, link array<struct<_href: string, _rel: string>>, "
     "entry array<struct<id: string, title: string, summary: string, content: string, "
@@ -37,9 +38,11 @@ def _rss_shape(x: Column) -> Column:
     ch = x["channel"]
     items = F.transform(ch["item"], lambda i: F.struct(
         i["guid"].alias("id"), i["title"].alias("title"), i["link"].alias("link"),
-        i["description"].alias("summary"), i["pubDate"].alias("published"), i["author"].alias("author"),
+        i["description"].alias("summary"), i["pubDate"].alias("published"),
+        F.coalesce(i["author"], i["dc:creator"]).alias("author"),
         F.transform(i["category"], lambda c: F.struct(c.alias("term"))).alias("tags"),
-        F.lit(None).cast("array<struct<value:string>>").alias("content")))
+        F.when(i["content:encoded"].isNotNull(), F.array(F.struct(i["content:encoded"].alias("value"))))
+        .alias("content")))
     return F.struct(ch["title"].alias("title"), ch["link"].alias("link"), ch["language"].alias("language"),
                     ch["lastBuildDate"].alias("updated"), ch["description"].alias("subtitle"),
                     items.alias("items"))

@@ -83,11 +83,12 @@ def test_queue_messages(spark):
 
 
 RSS = """<?xml version="1.0" encoding="UTF-8"?>
-<rss version="2.0"><channel><title>Tech Feed</title><link>https://tech.example.com/</link><language>en</language>
+<rss version="2.0" xmlns:content="http://purl.org/rss/1.0/modules/content/" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>Tech Feed</title><link>https://tech.example.com/</link><language>en</language>
 <item><guid>g1</guid><title>First &amp; best</title><link>https://tech.example.com/1</link>
 <description>&lt;p&gt;Hello.&lt;/p&gt;</description><pubDate>Wed, 26 Feb 2025 18:42:40 +0000</pubDate>
 <category>ai</category><category>ml</category></item>
-<item><guid>g2</guid><title>Second</title><link>https://tech.example.com/2</link></item>
+<item><guid>g2</guid><title>Second</title><link>https://tech.example.com/2</link>
+<dc:creator>Dee</dc:creator><content:encoded><![CDATA[<p>Full <b>body</b></p>]]></content:encoded></item>
 </channel></rss>"""
 ATOM = """<?xml version="1.0" encoding="utf-8"?>
 <feed xmlns="http://www.w3.org/2005/Atom"><title>Atom Feed</title><link href="https://atom.example.org/"/>
@@ -102,7 +103,9 @@ def test_parse_rss_and_atom(spark):
     items = {(r.doc, r.id): r for r in S.parse_feed_xml(docs, "xml").collect()}
     r1 = items[("rss", "g1")]
     assert (r1.feed_title, r1.title, r1.summary, r1.categories) == ("Tech Feed", "First & best", "<p>Hello.</p>", ["ai", "ml"])
-    assert items[("rss", "g2")].categories is None or items[("rss", "g2")].categories == []
+    r2 = items[("rss", "g2")]
+    assert r2.categories is None or r2.categories == []
+    assert r2.author == "Dee" and r2.content[0].value == "<p>Full <b>body</b></p>"
     a = items[("atom", "urn:1")]
     assert (a.feed_title, a.link, a.author, a.published, a.categories, a.content[0].value) == (
         "Atom Feed", "https://atom.example.org/1", "Ann", "2025-01-02T00:00:00Z", ["x"], "Body")
