@@ -63,6 +63,20 @@ HTML_TO_MARKDOWN_RULES = [
     (r"&nbsp;", " "),
     (r"&copy;", "©"),
     (r"&middot;", "·"),
+    # common typographic entities, named and numeric (HTML spec values)
+    (r"&(rsquo|#8217|#x2019);", "\u2019"),
+    (r"&(lsquo|#8216|#x2018);", "\u2018"),
+    (r"&(rdquo|#8221|#x201[dD]);", "\u201d"),
+    (r"&(ldquo|#8220|#x201[cC]);", "\u201c"),
+    (r"&(ndash|#8211|#x2013);", "\u2013"),
+    (r"&(mdash|#8212|#x2014);", "\u2014"),
+    (r"&(hellip|#8230|#x2026);", "\u2026"),
+    (r"&(#160|#xa0|#xA0);", " "),
+    (r"&(#34|#x22);", "\""),
+    (r"&(#60|#x3[cC]);", "<"),
+    (r"&(#62|#x3[eE]);", ">"),
+    (r"&(apos|#x27);", "'"),
+    (r"&(#38|#x26);", "&"),
     (r"&amp;", "&"),
     # whitespace clean-up
     (r"[ \t]+\n", "\n"),

@@ -231,3 +231,8 @@ def test_prompt_render(spark):
     assert got == fixed.ENGAGEMENT_USER_TEMPLATE.replace("{content_text}", "hello")
     msgs = spark.createDataFrame([("u",)], "x string").select(RF.chat_messages("sys", F.col("x"))).first()[0]
     assert [(m.role, m.content) for m in msgs] == [("system", "sys"), ("user", "u")]
+
+
+def test_typographic_entities(spark):
+    got = one(spark, RF.html_to_markdown("x"), ("<p>It&rsquo;s &#8220;fine&#8221; &mdash; &amp;#8217; &#38;lt;</p>",))[0]
+    assert got == "It’s “fine” — &#8217; &lt;"
