@@ -42,7 +42,8 @@ MIXED_BAND = 0.2
 
 
 def tokens(text) -> Column:
-    return F.filter(F.split(F.lower(as_col(text)), TOKEN_SPLIT), lambda t: t != "")
+    """Lower-cased letter runs; NULL text has no tokens."""
+    return F.filter(F.split(F.lower(F.coalesce(as_col(text), F.lit(""))), TOKEN_SPLIT), lambda t: t != "")
 
 
 def lexicon_sentiment(text) -> Column:

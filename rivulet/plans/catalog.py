@@ -77,7 +77,7 @@ def truncate_markdown(spark, sf_dir):
     """F5 + F6 (20 sentences, 2000 characters) over whole document texts."""
     d = load(spark, sf_dir, "documents")
     return d.select("doc_id",
-                    F.size(RF.sentences("text")).cast("long").alias("n_sentences"),
+                    _size(RF.sentences("text")).alias("n_sentences"),
                     RF.truncate_markdown("text", fixed.MAX_SUMMARY_SENTENCES,
                                          fixed.MAX_SUMMARY_CHARACTERS).alias("truncated"))
 
@@ -99,6 +99,12 @@ def html_to_markdown(spark, sf_dir):
 
 # ------------------------------------------------------------ helpers --
 
+def _size(c):
+    """Array length, NULL for a NULL array whatever the session's ANSI mode."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c.isNotNull(), F.size(c)).cast("long")
+
+
 def _joined(c):
     """Arrays are reported as '|'-joined text so both engines print them alike."""
     return F.array_join(c, "|")
@@ -200,7 +206,7 @@ def conform_13(spark, sf_dir):
     f = conform_frame13(_items(spark, sf_dir))
     return f.select("Title", "URL", "Summary", "Published_Date", "Full_Content",
                     _joined("Categories").alias("Categories"), "Author",
-                    F.size("Embeddings").cast("long").alias("n_embeddings"), "Sentiment",
+                    _size("Embeddings").alias("n_embeddings"), "Sentiment",
                     "Sentiment_Score", "Readability_FK", "Readability_DC",
                     F.length("Entry_ID").cast("long").alias("entry_id_len"))
 
@@ -222,7 +228,7 @@ def validate_entries(spark, sf_dir):
     v = validate(_entries(spark, sf_dir), entry_rules())
     return v.select("id", "partition_key", "title", "link", "published",
                     _joined("violations").alias("violations"),
-                    (F.size("violations") == 0).alias("valid"))
+                    (_size("violations") == 0).alias("valid"))
 
 
 @query
@@ -324,7 +330,7 @@ def embedding_json(spark, sf_dir):
     """embeddings to JSON text; parsed back they must be equal."""
     e = load(spark, sf_dir, "embeddings")
     back = F.from_json(RF.embedding_to_json("embedding"), "array<float>")
-    return e.select("vec_id", F.size(back).cast("long").alias("n_dims"),
+    return e.select("vec_id", _size(back).alias("n_dims"),
                     (back == F.col("embedding")).alias("roundtrip_equal"))
 
 
@@ -408,7 +414,7 @@ def entry_enrichment(spark, sf_dir):
         F.col("embedding").alias("Embeddings"),
         F.col("label").cast("double").alias("EngagementScore"))
     j = with_enrichment(entries, build_enrichment(raw))
-    return j.select("id", F.size("enr_embeddings").cast("long").alias("n_dims"),
+    return j.select("id", _size("enr_embeddings").alias("n_dims"),
                     F.col("enr_engagement_score").alias("engagement_score"))
 
 
@@ -467,7 +473,7 @@ def entry_key_lists(spark, sf_dir):
         RF.entry_key(F.col("doc_id")).alias("row_key"))
     out = lists(d, "source", "doc_id")
     return out.select("source", "chunk", F.col("n_entries").cast("long"), "first_entry", "last_entry",
-                      F.size("entries").cast("long").alias("n_keys"))
+                      _size("entries").alias("n_keys"))
 
 
 def _events_entity(ev):
