@@ -140,14 +140,19 @@ def processed_status(status: DataFrame, key: str = "Entry_ID", flag: str = "Proc
 # -------------------------------------------------------------- ordering --
 
 def ordered_index(df: DataFrame, by: list[str], order_col: str, block: int = 1 << 16,
-                  out: str = "idx") -> DataFrame:
+                  out: str = "idx", materialize: bool = False) -> DataFrame:
     """0-based position of each row inside its ``by`` group, ordered by
     ``order_col`` (integral and unique inside a group).
 
     Rows are cut into value blocks of ``order_col``; row numbers are taken
     inside (group, block) — at most ``block`` rows each, whatever the skew —
     and each block is offset by the row count of the group's earlier
-    blocks, computed on the small per-block count table."""
+    blocks, computed on the small per-block count table.
+
+    The input is read twice (counts and rows); ``materialize`` writes it
+    once to the shared checkpoint folder first, for an expensive input."""
+    if materialize:
+        df = df.checkpoint(eager=True)
     blk = F.floor(F.col(order_col) / F.lit(block))
     d = df.withColumn("__blk", blk)
     counts = d.groupBy(*by, "__blk").agg(F.count(F.lit(1)).alias("__n"))
