@@ -12,28 +12,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, NumericType, StringType, TimestampType
 
-from ._col import as_col
+from ._col import as_col, let
 from ._regex import strip_ws
 
-# Formats tried after the weekday prefix is gone, most common first.
-RFC_FORMATS = [
-    "d MMM yyyy HH:mm:ss Z",
-    "d MMM yyyy HH:mm:ss z",
-    "d MMM yyyy HH:mm:ss",
-    "d MMM yyyy HH:mm Z",
-    "d MMM yyyy HH:mm",
-    "d MMM yyyy",
-    "MMMM d, yyyy HH:mm:ss",
-    "MMMM d, yyyy",
-    "MMM d, yyyy",
-    "MMM d yyyy",
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy",
-    "yyyy-MM-dd HH:mm:ss Z",
-    "yyyyMMdd'T'HHmmss'Z'",
-    "yyyyMMdd",
+# Formats by the shape of the text (after a leading weekday is removed);
+# inside a shape the first format that parses wins.  A format of one shape
+# cannot parse text of another, so dispatching on the shape only saves the
+# failed attempts (each one a caught parse exception).
+SHAPES = [
+    # (shape pattern, formats; None = Spark's ISO-8601 cast)
+    (r"^\d{4}-\d{2}-\d{2}", [None, "yyyy-MM-dd HH:mm:ss Z"]),
+    (r"^\d{1,2} [A-Za-z]{3,9} \d{4}", ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z",
+                                        "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm",
+                                        "d MMM yyyy", "d MMMM yyyy"]),
+    (r"^[A-Za-z]{3,9} \d{1,2},? \d{4}", ["MMMM d, yyyy HH:mm:ss", "MMMM d, yyyy", "MMM d, yyyy",
+                                          "MMM d yyyy", "MMMM d yyyy"]),
+    (r"^\d{4}/\d{1,2}/\d{1,2}", ["yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd"]),
+    (r"^\d{1,2}/\d{1,2}/\d{4}", ["MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy"]),
+    (r"^\d{8}", ["yyyyMMdd'T'HHmmss'Z'", "yyyyMMdd"]),
 ]
 
 EPOCH = "1970-01-01 00:00:00"
@@ -41,11 +37,14 @@ EPOCH = "1970-01-01 00:00:00"
 
 def parse_date_text(text) -> Column:
     """Parse a date string in many formats; NULL or unparsable → NULL."""
-    s = strip_ws(as_col(text))
-    no_weekday = F.regexp_replace(s, r"^[A-Za-z]{3,9},\s*", "")
-    tries = [F.try_to_timestamp(s)]  # ISO 8601 forms, with or without offset
-    tries += [F.try_to_timestamp(no_weekday, F.lit(fmt)) for fmt in RFC_FORMATS]
-    return F.coalesce(*tries)
+    def body(s):
+        t = F.regexp_replace(s, r"^[A-Za-z]{3,9},\s*", "")  # Spark cannot parse weekday names
+        out = F.lit(None).cast("timestamp")
+        for shape, fmts in reversed(SHAPES):
+            tries = [F.try_to_timestamp(s) if f is None else F.try_to_timestamp(t, F.lit(f)) for f in fmts]
+            out = F.when(t.rlike(shape), F.coalesce(*tries)).otherwise(out)
+        return out
+    return let(strip_ws(as_col(text)), body)
 
 
 def parse_date(col, dtype: DataType = StringType()) -> Column:

@@ -55,35 +55,33 @@ HTML_TO_MARKDOWN_RULES = [
      "\n\n"),
     # everything else that looks like a tag (doctype, meta, span, ...)
     (r"<[^>]*>", ""),
-    # entities; &amp; last so '&amp;lt;' stays '&lt;'
-    (r"&lt;", "<"),
-    (r"&gt;", ">"),
-    (r"&quot;", "\""),
-    (r"&#39;", "'"),
-    (r"&nbsp;", " "),
-    (r"&copy;", "©"),
-    (r"&middot;", "·"),
-    # common typographic entities, named and numeric (HTML spec values)
-    (r"&(rsquo|#8217|#x2019);", "\u2019"),
-    (r"&(lsquo|#8216|#x2018);", "\u2018"),
-    (r"&(rdquo|#8221|#x201[dD]);", "\u201d"),
-    (r"&(ldquo|#8220|#x201[cC]);", "\u201c"),
-    (r"&(ndash|#8211|#x2013);", "\u2013"),
-    (r"&(mdash|#8212|#x2014);", "\u2014"),
-    (r"&(hellip|#8230|#x2026);", "\u2026"),
-    (r"&(#160|#xa0|#xA0);", " "),
-    (r"&(#34|#x22);", "\""),
-    (r"&(#60|#x3[cC]);", "<"),
-    (r"&(#62|#x3[eE]);", ">"),
-    (r"&(apos|#x27);", "'"),
-    (r"&(#38|#x26);", "&"),
-    (r"&amp;", "&"),
     # whitespace clean-up
     (r"[ \t]+\n", "\n"),
     (r"\n[ \t]+\n", "\n\n"),
     (r"\n{3,}", "\n\n"),
 ]
 
+# Entities, decoded with plain string replacement in this order; &amp; and
+# its numeric forms last so '&amp;lt;' stays '&lt;'.  Common typographic
+# entities are included, named and numeric (HTML spec values).
+ENTITY_RULES = [
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", "\""), ("&#39;", "'"), ("&nbsp;", " "),
+    ("&copy;", "©"), ("&middot;", "·"),
+    ("&rsquo;", "\u2019"), ("&#8217;", "\u2019"), ("&#x2019;", "\u2019"),
+    ("&lsquo;", "\u2018"), ("&#8216;", "\u2018"), ("&#x2018;", "\u2018"),
+    ("&rdquo;", "\u201d"), ("&#8221;", "\u201d"), ("&#x201d;", "\u201d"), ("&#x201D;", "\u201d"),
+    ("&ldquo;", "\u201c"), ("&#8220;", "\u201c"), ("&#x201c;", "\u201c"), ("&#x201C;", "\u201c"),
+    ("&ndash;", "\u2013"), ("&#8211;", "\u2013"), ("&#x2013;", "\u2013"),
+    ("&mdash;", "\u2014"), ("&#8212;", "\u2014"), ("&#x2014;", "\u2014"),
+    ("&hellip;", "\u2026"), ("&#8230;", "\u2026"), ("&#x2026;", "\u2026"),
+    ("&#160;", " "), ("&#xa0;", " "), ("&#xA0;", " "),
+    ("&#34;", "\""), ("&#x22;", "\""),
+    ("&#60;", "<"), ("&#x3c;", "<"), ("&#x3C;", "<"),
+    ("&#62;", ">"), ("&#x3e;", ">"), ("&#x3E;", ">"),
+    ("&apos;", "'"), ("&#x27;", "'"),
+    ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"),
+]
+
 MARKDOWN_TO_HTML_RULES = [
     (r"&", "&amp;"),
     (r"(?m)^###### (.*)$", "<h6>{1}</h6>"),
@@ -123,16 +121,34 @@ def sql_normalize_html(expr: str) -> str:
 def html_to_markdown(html) -> Column:
     """Convert HTML to Markdown with the rule list; NULL/empty → ''."""
     # the chain maps '' to '' and NULL to NULL: one reference to the input
-    return F.coalesce(strip_ws(apply_rules(as_col(html), HTML_TO_MARKDOWN_RULES)), F.lit(""))
+    md = apply_rules(decode_entities(apply_rules(as_col(html), _TAG_RULES)), _WS_RULES)
+    return F.coalesce(strip_ws(md), F.lit(""))
 
 
 def sql_html_to_markdown(expr: str) -> str:
-    md = sql_strip_ws(sql_apply_rules(expr, HTML_TO_MARKDOWN_RULES))
+    md = sql_strip_ws(sql_apply_rules(sql_decode_entities(sql_apply_rules(expr, _TAG_RULES)), _WS_RULES))
     return f"(CASE WHEN {expr} IS NULL OR {expr} = '' THEN '' ELSE {md} END)"
 
 
 # the trailing whitespace rules of HTML_TO_MARKDOWN_RULES
 _WS_RULES = HTML_TO_MARKDOWN_RULES[-3:]
+_TAG_RULES = HTML_TO_MARKDOWN_RULES[:-3]
+
+
+def decode_entities(text) -> Column:
+    """Entity decoding with literal replaces, skipped when there is no '&'."""
+    def body(t):
+        out = t
+        for a, b in ENTITY_RULES:
+            out = F.replace(out, F.lit(a), F.lit(b))
+        return F.when(t.contains("&"), out).otherwise(t)
+    return let(as_col(text), body)
+
+
+def sql_decode_entities(expr: str) -> str:
+    for a, b in ENTITY_RULES:
+        expr = f"replace({expr}, {sql_str(a)}, {sql_str(b)})"
+    return expr
 
 
 def text_or_html_to_markdown(value) -> Column:
