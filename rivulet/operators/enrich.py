@@ -193,3 +193,39 @@ def enrich(entries: DataFrame, text_col: str = "summary", embed: bool = True) ->
 
 def clean_then_enrich(items: DataFrame, text_col: str = "summary") -> DataFrame:
     return enrich(items.withColumn(text_col, clean_summary(F.col(text_col))), text_col)
+
+
+# ----------------------------------------------- pluggable model steps --
+
+def improve_summary(df: DataFrame, text_col: str, model_factory: Callable, out_col: str = "ai_summary",
+                    **policy) -> DataFrame:
+    """Model summary of ``text_col``; the reply is stripped."""
+    from ..functions._regex import strip_ws
+    s = score_text(df, text_col, model_factory, out_col, **policy)
+    return s.withColumn(out_col, strip_ws(F.col(out_col)))
+
+
+def analyze_sentiment(df: DataFrame, text_col: str, model_factory: Callable, **policy) -> DataFrame:
+    """Model reply ``{"sentiment", "score"}`` parsed (F21); a failed
+    call or a bad reply gives (Error, 0.0)."""
+    s = score_text(df, text_col, model_factory, "__reply", **policy)
+    p = parse_sentiment_reply(F.col("__reply"))
+    return (s.withColumn("sentiment", p["sentiment"]).withColumn("sentiment_score", p["score"])
+            .withColumnRenamed("__reply_error", "sentiment_error").drop("__reply"))
+
+
+def generate_embedding(df: DataFrame, text_col: str, model_factory: Callable, out_col: str = "embedding",
+                       **policy) -> DataFrame:
+    """Model embedding as ``array<float>``."""
+    return score_text(df, text_col, model_factory, out_col, "array<float>", **policy)
+
+
+def enrich_with_models(entries: DataFrame, registry: ModelRegistry, text_col: str = "summary",
+                       **policy) -> DataFrame:
+    """U3e with U3f routing: summary → sentiment → readability → embedding
+    with the registry's models; roles are checked before any work."""
+    registry.require("MODEL_SUMMARY", "MODEL_RANKING", "EMBEDDING_FAST")
+    s = improve_summary(entries, text_col, registry["MODEL_SUMMARY"], **policy)
+    s = analyze_sentiment(s, "ai_summary", registry["MODEL_RANKING"], **policy)
+    s = s.withColumn("readability", readability(F.col("ai_summary")))
+    return generate_embedding(s, "ai_summary", registry["EMBEDDING_FAST"], **policy)

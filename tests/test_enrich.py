@@ -87,3 +87,23 @@ def test_offline_registry_roles(spark):
     assert len(out.e) == 64 and out.e_error is None
     s = E.score_text(df, "t", reg["MODEL_SUMMARY"], "s", retries=0, delay_ms=0).first()
     assert s.s == "One two."
+
+
+def test_enrich_with_models(spark):
+    def summary():
+        return lambda texts: ["  " + t.split(".")[0] + ".  " for t in texts]
+
+    def ranking():
+        import json as _j
+        return lambda texts: [_j.dumps({"sentiment": "Positive", "score": 0.5}) if "good" in t else "garbage"
+                              for t in texts]
+
+    reg = E.ModelRegistry(MODEL_SUMMARY=summary, MODEL_RANKING=ranking,
+                          EMBEDDING_FAST=E.offline_registry()["EMBEDDING_FAST"])
+    df = spark.createDataFrame([("A good day. More.",), ("Plain text. More.",)], "summary string")
+    out = {r.ai_summary: r for r in E.enrich_with_models(df, reg, retries=0, delay_ms=0).collect()}
+    assert out["A good day."].sentiment == "Positive" and out["A good day."].sentiment_score == 0.5
+    assert (out["Plain text."].sentiment, out["Plain text."].sentiment_score) == ("Error", 0.0)
+    assert len(out["Plain text."].embedding) == 64
+    with pytest.raises(ValueError):
+        E.enrich_with_models(df, E.ModelRegistry(MODEL_SUMMARY=summary))
