@@ -20,7 +20,7 @@ _SENTENCE_END = f"([.!?]){WS}+"
 
 def sentences(text) -> Column:
     """Split text into sentences: a sentence ends at ``.``, ``!`` or ``?``
-    followed by whitespace.  Rule-based stand-in for a punkt model (no
+    followed by whitespace.  Rule-based stand-in for a trained sentence model (no
     abbreviation list).  Empty pieces are dropped; NULL gives NULL."""
     t = strip_ws(as_col(text))
     marked = F.regexp_replace(t, _SENTENCE_END, "$1" + _SEP)
