@@ -78,6 +78,13 @@ def decoded_feed_messages(stream: DataFrame) -> DataFrame:
     return m.withColumn("dedupe_key", key).withColumn("arrived_at", F.current_timestamp())
 
 
+def _write_epoch(df: DataFrame, path: str) -> None:
+    """Side tables of a micro-batch are partitioned by epoch and written
+    with dynamic overwrite: a replayed batch replaces its own rows."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("epoch").parquet(path))
+
+
 def ingest_batch(batch: DataFrame, epoch_id: int, spark: SparkSession, landed: DataFrame,
                  tables: dict[str, str], entry_queue_dir: str, now: str | None = None) -> None:
     """One micro-batch of stage 1 (T3): all writes are keyed upserts or
@@ -87,7 +94,7 @@ def ingest_batch(batch: DataFrame, epoch_id: int, spark: SparkSession, landed: D
         good = batch.filter(F.size("reject_reasons") == 0).select("feed_url").distinct()
         rejected = batch.filter(F.size("reject_reasons") > 0).select(
             "value", "reject_reasons", F.lit(epoch_id).cast("long").alias("epoch"))
-        rejected.write.mode("append").parquet(tables["rejected"])
+        _write_epoch(rejected, tables["rejected"])
         docs = landed.join(broadcast_if_small(good), landed.feed_url == good.feed_url, "left_semi")
         items = parse_feed_xml(docs, "xml").persist()
         feeds = build_feeds(items.select(F.col("feed_title").alias("title"), F.col("feed_link").alias("link"),
@@ -103,8 +110,8 @@ def ingest_batch(batch: DataFrame, epoch_id: int, spark: SparkSession, landed: D
         raw = items.filter(F.col("id").isNotNull()).join(
             broadcast_if_small(fmap.withColumnRenamed("title", "feed_title")), "feed_title")
         ev = validate(build_entries(raw), entry_rules()).persist()
-        ev.filter(F.size("violations") > 0).withColumn("epoch", F.lit(epoch_id).cast("long")) \
-            .write.mode("append").parquet(tables["quarantine"])
+        _write_epoch(ev.filter(F.size("violations") > 0).withColumn("epoch", F.lit(epoch_id).cast("long")),
+                     tables["quarantine"])
         good_entries = ev.filter(F.size("violations") == 0).drop("violations")
         KeyedTable(spark, tables["entries"], ["partition_key", "row_key"], buckets=ENTRY_BUCKETS).upsert(good_entries)
         ts = F.lit(now).cast("timestamp") if now else F.current_timestamp()

@@ -90,3 +90,28 @@ def test_run_pipeline_end_to_end(spark, tmp_dir):
     paths = run_pipeline(spark, feeds, log, _landed(spark), os.path.join(tmp_dir, "run"), "2024-01-10 06:00:00")
     assert spark.read.parquet(paths["entries"]).count() == 5          # only the changed feed
     assert spark.read.parquet(paths["enrichment"]).count() == 5
+
+
+def test_crash_mid_batch_then_replay(spark, tmp_dir, monkeypatch):
+    import pytest
+    import rivulet.streaming.ingest as ing
+    q1, q2 = os.path.join(tmp_dir, "qf"), os.path.join(tmp_dir, "qe")
+    tables = {k: os.path.join(tmp_dir, k) for k in ("feeds", "entries", "quarantine", "rejected", "enrichment")}
+    landed = _landed(spark)
+    _write(q1, "m.txt", [_msg("https://feed1.example.com/rss"), _msg("https://feed2.example.com/rss"), "bad"])
+    real = ing.entry_key_lists
+
+    def crash(*a, **k):
+        raise RuntimeError("executor lost")
+    monkeypatch.setattr(ing, "entry_key_lists", crash)   # dies after the entries upsert
+    q = start_feed_ingest(spark, q1, landed, tables, q2, name="t_crash", now="2024-02-01 06:00:00")
+    with pytest.raises(Exception):
+        q.awaitTermination()
+    assert spark.read.parquet(tables["entries"]).count() == 10 and not os.path.exists(q2)
+    monkeypatch.setattr(ing, "entry_key_lists", real)
+    q = start_feed_ingest(spark, q1, landed, tables, q2, name="t_crash", now="2024-02-01 06:00:00")
+    q.awaitTermination()                                  # the same batch, replayed
+    e = spark.read.parquet(tables["entries"])
+    assert e.count() == 10 and e.select("partition_key", "row_key").distinct().count() == 10
+    assert spark.read.text(q2).count() == 2               # one key list per feed, written once
+    assert spark.read.parquet(tables["rejected"]).count() == 1   # replay replaced, not appended
