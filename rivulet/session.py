@@ -52,11 +52,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster that setting names a shared folder and is used as is.  Only
     when it is unset (tests, local runs) a folder of our own is created.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if current:
-        return current
+        if not sc.getCheckpointDir():   # named in conf only: make checkpoint() use it
+            sc.setCheckpointDir(current)
+        return sc.getCheckpointDir() or current
     path = tempfile.mkdtemp(prefix="rivulet-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

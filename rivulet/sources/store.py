@@ -99,8 +99,9 @@ class KeyedTable:
         return jvm, hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def _folder(self, key: str) -> str:
+        esc = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
         parts = key.split("/")
-        return os.path.join(self.path, *[f"{c}={v}" for c, v in zip(self.part_cols, parts)])
+        return os.path.join(self.path, *[f"{esc(c)}={esc(v)}" for c, v in zip(self.part_cols, parts)])
 
     def _swap_in(self, merged: DataFrame, touched: list[str]) -> None:
         stage = scratch_path(self.spark, f"stage-{uuid.uuid4().hex}")

@@ -23,7 +23,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import fixed
 from ..functions.dates import iso_utc
-from ..functions.keys import partition_key_from_title
 from ..operators.entities import build_entries, build_feeds
 from ..operators.enrich import enrich
 from ..operators.relational import broadcast_if_small, changed_feeds, entry_key_lists
@@ -32,7 +31,7 @@ from ..session import scratch_path
 from ..sources.feeds import parse_feed_xml
 from ..sources.queue import (ENTRY_MESSAGE_SCHEMA, FEED_MESSAGE_SCHEMA, decode_body, encode_body,
                              envelope, mark_retrieved, with_reject_reasons)
-from ..sources.store import KeyedTable, merge_upsert
+from ..sources.store import KeyedTable
 
 
 # hash sub-buckets per feed partition of the entry tables (hot feeds)
@@ -170,10 +169,6 @@ def start_entry_enrichment(spark: SparkSession, entry_queue_dir: str, tables: di
     return w.queryName(name).start()
 
 
-def feed_partition(title) -> F.Column:
-    return partition_key_from_title(title)
-
-
 def run_pipeline(spark: SparkSession, feeds: DataFrame, fetch_log: DataFrame, landed: DataFrame,
                  root: str, run_start: str) -> dict[str, str]:
     """T4 + T7: one scheduled (or on-demand) run of all stages: enqueue the
@@ -191,4 +186,4 @@ def run_pipeline(spark: SparkSession, feeds: DataFrame, fetch_log: DataFrame, la
 
 
 __all__ = ["run_pipeline", "enqueue_changed_feeds", "start_feed_ingest", "start_entry_enrichment",
-           "ingest_batch", "enrich_batch", "decoded_feed_messages", "merge_upsert"]
+           "ingest_batch", "enrich_batch", "decoded_feed_messages"]
