@@ -165,12 +165,18 @@ def ordered_index(df: DataFrame, by: list[str], order_col: str, block: int = 1 <
             .drop("__blk", "__rn", "__off"))
 
 
-def entry_key_lists(entries: DataFrame, feed: str, order_col: str, chunk: int = 400) -> DataFrame:
+def entry_key_lists(entries: DataFrame, feed: str, order_col: str, chunk: int = 400,
+                    max_json_bytes: int = 48 * 1024) -> DataFrame:
     """A1: per feed, the (partition_key, row_key) pairs of its entries in
-    arrival order, cut into chunks of ``chunk`` pairs so one payload stays
-    under the queue's message limit (400 × ~40 bytes ≪ 48 KB of JSON)."""
+    arrival order, cut into chunks so one payload stays under the queue's
+    message limit: at most ``chunk`` pairs and at most ``max_json_bytes`` of
+    JSON (64 KB once base64-encoded), 1 KB kept for the envelope.  A pair
+    costs len(pk) + len(rk) + 8 bytes (keys are ASCII); a feed's entries
+    share one partition key, so the size is constant inside a feed."""
+    pair_bytes = F.length("partition_key") + F.length("row_key") + 8
+    per_chunk = F.greatest(F.lit(1), F.least(F.lit(chunk), F.floor(F.lit(max_json_bytes - 1024) / pair_bytes)))
     idx = ordered_index(entries, [feed], order_col)
-    chunked = idx.withColumn("chunk", F.floor(F.col("idx") / chunk).cast("long"))
+    chunked = idx.withColumn("chunk", F.floor(F.col("idx") / per_chunk).cast("long"))
     agg = chunked.groupBy(feed, "chunk").agg(
         F.sort_array(F.collect_list(F.struct("idx", "partition_key", "row_key"))).alias("__keys"),
         F.count(F.lit(1)).alias("n_entries"),

@@ -190,3 +190,16 @@ def test_missing_id_guard_and_content_exclusion(spark):
     assert C.drop_missing_ids(items.drop("id")).count() == 0
     e = spark.createDataFrame([("p", "r", "c")], "partition_key string, row_key string, content string")
     assert C.without_content(e).columns == ["partition_key", "row_key"]
+
+
+def test_entry_key_lists_respect_message_bytes(spark):
+    pk = "p" * 200
+    df = spark.createDataFrame([("f", i, pk, f"{i:016x}") for i in range(1000)],
+                               "feed string, o long, partition_key string, row_key string")
+    from rivulet.sources.queue import encode_body, mark_retrieved
+    out = R.entry_key_lists(df, "feed", "o")
+    sizes = out.select(F.length(encode_body(mark_retrieved(F.lit("0123456789abcdef"), F.col("entries"),
+                                                           F.lit("2024-01-01T00:00:00+00:00")))).alias("n"),
+                       "n_entries").collect()
+    assert sum(r.n_entries for r in sizes) == 1000
+    assert max(r.n for r in sizes) <= 64 * 1024 and max(r.n_entries for r in sizes) < 400
