@@ -608,3 +608,13 @@ def enrich_pipeline(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select("doc_id", RF.clean_summary("text").alias("summary"))
     e = enrich(d, "summary")
     return e.select("doc_id", "ai_summary", "sentiment", "sentiment_score", "readability", "embedding")
+
+
+@query
+def frame_rows(spark, sf_dir):
+    """P3 frame (defaults filled) stored as table rows keyed by month of
+    the published date and Entry_ID (the key itself is a hash: keyed)."""
+    from ..operators.conform import conform_frame13, frame_table_rows
+    rows = frame_table_rows(conform_frame13(_items(spark, sf_dir), fill_nulls=True))
+    return rows.select("PartitionKey", "Title", "URL", "Sentiment", "Readability", "Embedding",
+                       F.length("RowKey").cast("long").alias("row_key_len"))

@@ -491,3 +491,10 @@ FROM r
 
 
 SQL["list_schema_rules"] = _list_rules_sql()
+
+SQL["frame_rows"] = f"""
+SELECT '1970-01' AS PartitionKey, {first_line('text')} AS Title, {ENTRY_LINK} AS URL,
+       {sql_str(fixed.DEFAULT_SENTIMENT)} AS Sentiment, CAST(0.0 AS DOUBLE) AS Readability,
+       '[]' AS Embedding, CAST(16 AS BIGINT) AS row_key_len
+FROM documents
+"""
