@@ -68,6 +68,21 @@ def build_feeds(raw: DataFrame, source_url_col: str | None = None) -> DataFrame:
     )
 
 
+def with_feed_keys(items: DataFrame, title_col: str = "feed_title", link_col: str | None = "feed_link",
+                   source_url_col: str | None = "feed_url") -> DataFrame:
+    """Give items their feed's keys without joining the feed table: the
+    entries' partition key (F4 of the feed title) and the feed key (F2 of
+    the feed link, falling back to the fetched URL, normalised) are pure
+    functions of the item's own feed columns — the same expressions
+    :func:`build_feeds` uses."""
+    def col_or_null(c):
+        return F.col(c) if c and c in items.columns else F.lit(None).cast("string")
+    title = F.coalesce(col_or_null(title_col).cast("string"), F.lit(fixed.DEFAULT_TITLE))
+    link = normalize_url(link_fallback(col_or_null(link_col).cast("string"), col_or_null(source_url_col)))
+    return items.withColumn("partition_key", partition_key_from_title(title)) \
+                .withColumn("feed_key", feed_key(link))
+
+
 def build_entries(raw: DataFrame) -> DataFrame:
     """Entry rows from parsed items that already carry ``partition_key`` and
     ``feed_key``: key = hash(id), tags → terms, summary cleaned (HTML →

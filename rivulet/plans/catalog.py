@@ -121,16 +121,11 @@ def _feeds(spark, sf_dir):
     return build_feeds(feeds_from_documents(load(spark, sf_dir, "documents")))
 
 
-def _entries(spark, sf_dir, feeds=None):
-    """Typed entries of all documents: items joined to their feed by
-    source (feed count is checked before it is broadcast)."""
-    from ..operators.entities import build_entries
-    from ..operators.relational import broadcast_if_small
-    feeds = (feeds if feeds is not None else _feeds(spark, sf_dir)).select(F.col("title").alias("feed_title"),
-                                         F.col("row_key").alias("feed_key"),
-                                         F.col("entry_partition").alias("partition_key"))
-    items = _items(spark, sf_dir).join(broadcast_if_small(feeds), "feed_title")
-    return build_entries(items)
+def _entries(spark, sf_dir):
+    """Typed entries of all documents; each item carries its feed's keys,
+    derived from its own feed columns (no join with the feed table)."""
+    from ..operators.entities import build_entries, with_feed_keys
+    return build_entries(with_feed_keys(_items(spark, sf_dir)))
 
 
 RUN_START = "2024-02-01 06:00:00"   # the run's start time, passed in as a parameter
@@ -384,8 +379,7 @@ def processed_status(spark, sf_dir):
 def entry_feed_join(spark, sf_dir):
     """Entries joined to their feed on the hashed feed key."""
     from ..operators.relational import attach_feed
-    feeds = _feeds(spark, sf_dir)   # one feed frame for both joins: its exchange is reused
-    j = attach_feed(_entries(spark, sf_dir, feeds), feeds)
+    j = attach_feed(_entries(spark, sf_dir), _feeds(spark, sf_dir))
     return j.select("id", "partition_key", F.col("feed_title"), F.col("feed_link"),
                     F.col("feed_language"), F.col("feed_partition_key"))
 

@@ -23,7 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import fixed
 from ..functions.dates import iso_utc
-from ..operators.entities import build_entries, build_feeds
+from ..operators.entities import build_entries, build_feeds, with_feed_keys
 from ..operators.enrich import enrich
 from ..operators.relational import broadcast_if_small, changed_feeds, entry_key_lists
 from ..operators.validate import entry_rules, feed_rules, validate
@@ -104,10 +104,7 @@ def ingest_batch(batch: DataFrame, epoch_id: int, spark: SparkSession, landed: D
         fv = validate(feeds, feed_rules())
         KeyedTable(spark, tables["feeds"], ["partition_key", "row_key"]).upsert(
             fv.filter(F.size("violations") == 0).drop("violations", "entry_partition"))
-        fmap = feeds.select(F.col("row_key").alias("feed_key"),
-                            F.col("entry_partition").alias("partition_key"), "title")
-        raw = items.filter(F.col("id").isNotNull()).join(
-            broadcast_if_small(fmap.withColumnRenamed("title", "feed_title")), "feed_title")
+        raw = with_feed_keys(items.filter(F.col("id").isNotNull()))   # same keys as the feed rows
         ev = validate(build_entries(raw), entry_rules()).persist()
         _write_epoch(ev.filter(F.size("violations") > 0).withColumn("epoch", F.lit(epoch_id).cast("long")),
                      tables["quarantine"])
