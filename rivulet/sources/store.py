@@ -14,7 +14,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -144,12 +144,15 @@ class KeyedTable:
         old = self._old(touched)
         self._swap_in(keyed_delete(old, keys_df, self.keys).select(*self._order(old)), touched)
 
-    def append_new(self, batch: DataFrame) -> DataFrame:
-        """Append only rows whose key is not yet stored; returns them."""
+    def append_new(self, batch: DataFrame) -> int:
+        """Append only rows whose key is not yet stored; returns how
+        many were appended (observed on the write itself)."""
         if self.exists():
             batch = batch.join(self.read().select(*self.keys), self.keys, "left_anti")
-        self._with_bucket(batch).write.mode("append").partitionBy(*self.part_cols).parquet(self.path)
-        return batch
+        obs = Observation(f"appended_{uuid.uuid4().hex}")
+        (self._with_bucket(batch).observe(obs, F.count(F.lit(1)).alias("rows"))
+         .write.mode("append").partitionBy(*self.part_cols).parquet(self.path))
+        return int(obs.get.get("rows", 0))
 
     def _order(self, df: DataFrame) -> list[str]:
         cols = [c for c in df.columns if c not in self.part_cols]
@@ -192,11 +195,11 @@ def create_posts(spark: SparkSession, raw: DataFrame, path: str, quarantine_path
 
 
 def publish_new_rows(rows: DataFrame, list_path: str, rename: dict[str, str], rules: dict,
-                     quarantine_path: str | None = None, key: str = "Entry_ID") -> DataFrame:
+                     quarantine_path: str | None = None, key: str = "Entry_ID") -> int:
     """S14 (with J1 and P7): list rows that pass the list's rules and whose
     key is not in the list yet are appended under the list's internal
     column names; rows breaking a rule go to the quarantine instead of
-    stopping the others.  Returns the rows appended."""
+    stopping the others.  Returns how many rows were appended."""
     from ..operators.conform import rename_columns
     from ..operators.validate import validate
     spark = rows.sparkSession
@@ -212,5 +215,6 @@ def publish_new_rows(rows: DataFrame, list_path: str, rename: dict[str, str], ru
     if fs.exists(hpath):
         existing = spark.read.parquet(list_path).select(F.col(internal_key).alias("__k")).distinct()
         out = out.join(existing, out[internal_key] == existing["__k"], "left_anti")
-    out.write.mode("append").parquet(list_path)
-    return out
+    obs = Observation(f"published_{uuid.uuid4().hex}")
+    out.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(list_path)
+    return int(obs.get.get("rows", 0))

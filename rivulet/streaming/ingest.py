@@ -17,7 +17,9 @@ sink is a keyed upsert, so a replayed micro-batch rewrites the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -41,10 +43,10 @@ ENTRY_BUCKETS = 16
 # ------------------------------------------------------------ stage 0 --
 
 def enqueue_changed_feeds(spark: SparkSession, feeds: DataFrame, fetch_log: DataFrame,
-                          state_path: str, queue_dir: str, run_start: str) -> DataFrame:
+                          state_path: str, queue_dir: str, run_start: str) -> int:
     """T1 + S6 + T2.  ``feeds``: (name, url, type); ``fetch_log``:
     (feed_url, status, last_modified, event_id); state: (feed_id=url,
-    last_ingestion).  Returns the messages written."""
+    last_ingestion).  Returns how many messages were written."""
     state = KeyedTable(spark, state_path, ["feed_id"], partition_col="state")
     cur = (state.read().select("feed_id", "last_ingestion") if state.exists()
            else spark.createDataFrame([], "feed_id string, last_ingestion timestamp"))
@@ -55,10 +57,11 @@ def enqueue_changed_feeds(spark: SparkSession, feeds: DataFrame, fetch_log: Data
     msgs = (feeds.join(due, feeds.url == due.feed_id, "left_semi")
             .select(encode_body(F.struct(envelope(fixed.ENVELOPE_ENQUEUED, iso_utc(now)).alias("envelope"),
                                          F.struct("name", "url", "type").alias("feed"))).alias("value")))
-    msgs.write.mode("append").text(queue_dir)                    # the sink commits first ...
+    obs = Observation(f"enqueued_{uuid.uuid4().hex}")
+    msgs.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("append").text(queue_dir)  # sink first ...
     state.upsert(due.select("feed_id", now.alias("last_ingestion"),
                             F.lit("s").alias("state")))          # ... then the watermark moves
-    return msgs
+    return int(obs.get.get("rows", 0))
 
 
 # ------------------------------------------------------------ stage 1 --

@@ -48,8 +48,8 @@ def test_delete_and_empty_partition(spark, tmp_dir):
 
 def test_append_new(spark, tmp_dir):
     t = KeyedTable(spark, os.path.join(tmp_dir, "l"), ["partition_key", "row_key"])
-    t.append_new(spark.createDataFrame([("a", "1", "x", 1.0)], SCHEMA))
-    t.append_new(spark.createDataFrame([("a", "1", "dup", 9.0), ("a", "2", "y", 2.0)], SCHEMA))
+    assert t.append_new(spark.createDataFrame([("a", "1", "x", 1.0)], SCHEMA)) == 1
+    assert t.append_new(spark.createDataFrame([("a", "1", "dup", 9.0), ("a", "2", "y", 2.0)], SCHEMA)) == 1
     assert _rows(t) == [("a", "1", "x", 1.0), ("a", "2", "y", 2.0)]
 
 
@@ -174,7 +174,7 @@ def test_create_posts_and_publish(spark, tmp_dir):
     rows = spark.createDataFrame([("1", "T1", "Neutral"), ("2", "T2", "Angry")], "Entry_ID string, Title string, Sentiment string")
     rules = {"Sentiment_allowed": ~F.col("Sentiment").isin("Positive", "Neutral", "Negative", "Mixed")}
     lp = os.path.join(tmp_dir, "list")
-    assert publish_new_rows(rows, lp, {"Entry_ID": "field_e5"}, rules, os.path.join(tmp_dir, "q")).count() == 1
+    assert publish_new_rows(rows, lp, {"Entry_ID": "field_e5"}, rules, os.path.join(tmp_dir, "q")) == 1
     again = spark.createDataFrame([("1", "T1", "Neutral"), ("3", "T3", "Mixed")], "Entry_ID string, Title string, Sentiment string")
     publish_new_rows(again, lp, {"Entry_ID": "field_e5"}, rules)
     assert sorted(r.field_e5 for r in spark.read.parquet(lp).collect()) == ["1", "3"]

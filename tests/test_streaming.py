@@ -70,12 +70,12 @@ def test_enqueue_changed_feeds_advances_state(spark, tmp_dir):
                                  ("https://b.org/rss", 304, datetime(2024, 1, 5), 2)],
                                 "feed_url string, status int, last_modified timestamp, event_id int")
     qdir, state = os.path.join(tmp_dir, "q"), os.path.join(tmp_dir, "state")
-    enqueue_changed_feeds(spark, feeds, log, state, qdir, "2024-01-10 06:00:00")
+    assert enqueue_changed_feeds(spark, feeds, log, state, qdir, "2024-01-10 06:00:00") == 1
     assert spark.read.text(qdir).count() == 1
     st = spark.read.parquet(state).collect()
     assert [(r.feed_id, str(r.last_ingestion)) for r in st] == [("https://a.org/rss", "2024-01-10 06:00:00")]
     # same fetch log again: nothing new after the watermark
-    enqueue_changed_feeds(spark, feeds, log, state, qdir, "2024-01-11 06:00:00")
+    assert enqueue_changed_feeds(spark, feeds, log, state, qdir, "2024-01-11 06:00:00") == 0
     assert spark.read.text(qdir).count() == 1
 
 
