@@ -175,9 +175,8 @@ def clean_summary(summary,
 def markdown_to_html(markdown) -> Column:
     """Markdown → HTML for post content (headings, emphasis, links, images,
     bullet lists, paragraphs).  NULL/empty → NULL."""
-    m = as_col(markdown)
-    return F.when(m.isNull() | (m == ""), F.lit(None).cast("string")) \
-            .otherwise(strip_ws(apply_rules(m, MARKDOWN_TO_HTML_RULES)))
+    return let(as_col(markdown), lambda m: F.when(m.isNull() | (m == ""), F.lit(None).cast("string"))
+               .otherwise(strip_ws(apply_rules(m, MARKDOWN_TO_HTML_RULES))))
 
 
 def page_title(html) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..functions._col import let
 from ..functions.scores import engagement_score
 
 # Largest dimension (rows) we are willing to broadcast on an explicit hint.
@@ -76,12 +77,14 @@ def content_with_fallback(entries: DataFrame, content: DataFrame, pages: DataFra
     need = e.filter(F.col("__stored").isNull()).drop("__stored")
     p = pages.select(F.col("url").alias("__url"), F.col("html").alias("__html"))
     fetched = need.join(p, need["link"] == p["__url"], "left")
-    md = to_markdown(F.col("__html"))
-    fetched = fetched.select(
-        *entries.columns,
-        F.when(F.col("__html").isNotNull() & (md != ""), md).alias("content"),
-        F.when(F.col("__html").isNotNull() & (md != ""), F.lit("page")).otherwise(F.lit("missing"))
-        .alias("content_source"))
+
+    def pick(h):
+        # the page is converted once per row (bound by let), then tested
+        return let(to_markdown(h), lambda md: F.when(h.isNotNull() & (md != ""), F.struct(
+            md.alias("content"), F.lit("page").alias("content_source"))).otherwise(F.struct(
+                F.lit(None).cast("string").alias("content"), F.lit("missing").alias("content_source"))))
+    fetched = fetched.select(*entries.columns, pick(F.col("__html")).alias("__c")) \
+        .select(*entries.columns, "__c.content", "__c.content_source")
     return have.unionByName(fetched)
 
 

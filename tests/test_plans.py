@@ -50,3 +50,12 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     rows = df.collect()
     assert len(rows) > 0 and df.columns == ["source", "n_entries", "mean_readability", "mean_chars"]
+
+
+@pytest.mark.parametrize("name", ["html_to_markdown", "summary_clean", "content_fallback", "markdown_to_html",
+                                  "validate_entries", "log_once", "enrich_pipeline"])
+def test_expensive_chains_are_evaluated_once(spark, name):
+    """Catalyst copies an expression per reference; the HTML chain must
+    appear once per plan (bound with ``let`` where a function reuses it)."""
+    plan = _plan(entry.queries()[name](spark, SF_SMALL))
+    assert plan.count("(?is)<script") <= 1
