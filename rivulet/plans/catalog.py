@@ -232,7 +232,11 @@ def log_once(spark, sf_dir):
     from ..operators.relational import log_once as once
     from ..operators.validate import entry_rules, validate
     v = validate(_entries(spark, sf_dir), entry_rules())
-    errs = v.select(F.explode("violations").alias("message"), F.col("id").cast("long").alias("ts"))
+    # explode_outer + a filter on the generated column: a plain explode makes
+    # Catalyst infer size(violations) > 0 and push it below the projection,
+    # copying the whole summary chain into that filter
+    errs = v.select(F.explode_outer("violations").alias("message"), F.col("id").cast("long").alias("ts")) \
+        .filter(F.col("message").isNotNull())
     return once(errs, "message", "ts").select("message", F.col("n").cast("long").alias("n"),
                                               F.col("first_at").alias("first_id"))
 
