@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from .. import fixed
-from ._col import as_col
+from ._col import as_col, let
 
 
 def tags_to_terms(col, dtype: DataType) -> Column:
@@ -44,9 +44,8 @@ def image_to_json(col) -> Column:
 
 def image_from_json(col) -> Column:
     """JSON text → ``map<string,string>``; NULL/empty/bad → NULL."""
-    c = as_col(col)
-    m = F.from_json(c, "map<string,string>", {"mode": "PERMISSIVE"})
-    return F.when(c.isNotNull() & (c != ""), m)
+    return let(as_col(col), lambda c: F.when(c.isNotNull() & (c != ""),
+                                             F.from_json(c, "map<string,string>", {"mode": "PERMISSIVE"})))
 
 
 def embedding_to_json(col) -> Column:
@@ -66,19 +65,22 @@ SUMMARY_REPLY_SCHEMA = "summary string, score double"
 def parse_sentiment_reply(reply) -> Column:
     """``{"sentiment": .., "score": ..}`` → struct(sentiment, score);
     anything unparsable or incomplete → (Error, 0.0)."""
-    r = F.from_json(F.trim(as_col(reply)), SENTIMENT_REPLY_SCHEMA)
-    ok = r.isNotNull() & r["sentiment"].isNotNull() & r["score"].isNotNull()
-    return F.struct(
-        F.when(ok, r["sentiment"]).otherwise(F.lit(fixed.ERROR_SENTIMENT)).alias("sentiment"),
-        F.when(ok, r["score"]).otherwise(F.lit(0.0)).alias("score"),
-    )
+    def build(r):
+        ok = r.isNotNull() & r["sentiment"].isNotNull() & r["score"].isNotNull()
+        return F.struct(
+            F.when(ok, r["sentiment"]).otherwise(F.lit(fixed.ERROR_SENTIMENT)).alias("sentiment"),
+            F.when(ok, r["score"]).otherwise(F.lit(0.0)).alias("score"))
+    # parsed once: a struct of fields over one parse would be inlined per field
+    return let(F.from_json(F.trim(as_col(reply)), SENTIMENT_REPLY_SCHEMA), build)
 
 
 def parse_summary_reply(reply) -> Column:
     """``{"summary": .., "score": 1..10}`` → struct(summary, score, ok)."""
-    r = F.from_json(F.trim(as_col(reply)), SUMMARY_REPLY_SCHEMA)
     lo, hi = fixed.REPLY_SCORE_RANGE
-    ok = (r.isNotNull() & r["summary"].isNotNull() & r["score"].between(lo, hi))
-    return F.struct(F.when(ok, r["summary"]).alias("summary"),
-                    F.when(ok, r["score"]).alias("score"),
-                    F.coalesce(ok, F.lit(False)).alias("ok"))
+
+    def build(r):
+        ok = (r.isNotNull() & r["summary"].isNotNull() & r["score"].between(lo, hi))
+        return F.struct(F.when(ok, r["summary"]).alias("summary"),
+                        F.when(ok, r["score"]).alias("score"),
+                        F.coalesce(ok, F.lit(False)).alias("ok"))
+    return let(F.from_json(F.trim(as_col(reply)), SUMMARY_REPLY_SCHEMA), build)

@@ -21,21 +21,31 @@ def normalize_url(col) -> Column:
 
 
 def _normalize(u: Column) -> Column:
-    scheme = F.lower(F.regexp_extract(u, _URL, 1))
-    authority = F.regexp_extract(u, _URL, 2)
-    rest = F.regexp_extract(u, _URL, 3)
-    userinfo = F.regexp_extract(authority, _AUTH, 1)
-    host = F.lower(F.regexp_extract(authority, _AUTH, 2))
-    port = F.regexp_extract(authority, _AUTH, 3)
-    default_port = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
-    port_txt = F.when((port == "") | default_port, F.lit("")).otherwise(F.concat(F.lit(":"), port))
-    user_txt = F.when(userinfo == "", F.lit("")).otherwise(F.concat(userinfo, F.lit("@")))
-    path = F.when((rest == "") | rest.startswith("?") | rest.startswith("#"), F.concat(F.lit("/"), rest)) \
-            .otherwise(rest)
-    path = F.replace(path, F.lit(" "), F.lit("%20"))
-    ok = (u.rlike(_URL) & scheme.isin("http", "https") & authority.rlike(_AUTH)
-          & (host != "") & host.rlike(r"^[a-z0-9.-]+$"))
-    return F.when(ok, F.concat(scheme, F.lit("://"), user_txt, host, port_txt, path))
+    parts = F.struct(F.lower(F.regexp_extract(u, _URL, 1)).alias("scheme"),
+                     F.regexp_extract(u, _URL, 2).alias("authority"),
+                     F.regexp_extract(u, _URL, 3).alias("rest"),
+                     u.rlike(_URL).alias("ok"))
+    return let(parts, _assemble)
+
+
+def _assemble(p: Column) -> Column:
+    scheme, authority, rest = p["scheme"], p["authority"], p["rest"]
+    auth = F.struct(F.regexp_extract(authority, _AUTH, 1).alias("userinfo"),
+                    F.lower(F.regexp_extract(authority, _AUTH, 2)).alias("host"),
+                    F.regexp_extract(authority, _AUTH, 3).alias("port"),
+                    authority.rlike(_AUTH).alias("ok"))
+
+    def build(a):
+        userinfo, host, port = a["userinfo"], a["host"], a["port"]
+        default_port = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
+        port_txt = F.when((port == "") | default_port, F.lit("")).otherwise(F.concat(F.lit(":"), port))
+        user_txt = F.when(userinfo == "", F.lit("")).otherwise(F.concat(userinfo, F.lit("@")))
+        path = F.when((rest == "") | rest.startswith("?") | rest.startswith("#"), F.concat(F.lit("/"), rest)) \
+                .otherwise(rest)
+        path = F.replace(path, F.lit(" "), F.lit("%20"))
+        ok = (p["ok"] & scheme.isin("http", "https") & a["ok"] & (host != "") & host.rlike(r"^[a-z0-9.-]+$"))
+        return F.when(ok, F.concat(scheme, F.lit("://"), user_txt, host, port_txt, path))
+    return let(auth, build)
 
 
 def is_http_url(col) -> Column:

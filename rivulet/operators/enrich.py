@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from .. import fixed
-from ..functions._col import as_col
+from ..functions._col import as_col, let
 from ..functions.html import clean_summary
 from ..functions.structured import parse_sentiment_reply
 from ..functions.text import format_summary, readability, truncate_by_sentences
@@ -51,15 +51,20 @@ def lexicon_sentiment(text) -> Column:
 
     score = (pos − neg) / max(1, pos + neg); no hits → Neutral; score above
     +0.2 → Positive, below −0.2 → Negative, otherwise Mixed."""
-    toks = tokens(text)
-    pos = F.size(F.filter(toks, lambda t: t.isin(POSITIVE_WORDS))).cast("long")
-    neg = F.size(F.filter(toks, lambda t: t.isin(NEGATIVE_WORDS))).cast("long")
-    score = (pos - neg) / F.greatest(F.lit(1), pos + neg)
-    label = (F.when(pos + neg == 0, F.lit("Neutral"))
-             .when(score > MIXED_BAND, F.lit("Positive"))
-             .when(score < -MIXED_BAND, F.lit("Negative")).otherwise(F.lit("Mixed")))
-    return F.struct(label.alias("sentiment"), score.cast("double").alias("score"),
-                    pos.alias("positive"), neg.alias("negative"))
+    def counts(toks):
+        return F.struct(F.size(F.filter(toks, lambda t: t.isin(POSITIVE_WORDS))).cast("long").alias("p"),
+                        F.size(F.filter(toks, lambda t: t.isin(NEGATIVE_WORDS))).cast("long").alias("n"))
+
+    def build(c):
+        pos, neg = c["p"], c["n"]
+        score = (pos - neg) / F.greatest(F.lit(1), pos + neg)
+        label = (F.when(pos + neg == 0, F.lit("Neutral"))
+                 .when(score > MIXED_BAND, F.lit("Positive"))
+                 .when(score < -MIXED_BAND, F.lit("Negative")).otherwise(F.lit("Mixed")))
+        return F.struct(label.alias("sentiment"), score.cast("double").alias("score"),
+                        pos.alias("positive"), neg.alias("negative"))
+    # tokenised and counted once per row (bound by let, see functions._col)
+    return let(let(tokens(text), counts), build)
 
 
 def sentiment_reply(text) -> Column:
@@ -70,7 +75,7 @@ def sentiment_reply(text) -> Column:
 
 def first_sentence_summary(text) -> Column:
     """U3a offline model: the first sentence, formatted, within the limit."""
-    return format_summary(truncate_by_sentences(text, 1, fixed.MAX_SUMMARY_CHARACTERS))
+    return let(truncate_by_sentences(text, 1, fixed.MAX_SUMMARY_CHARACTERS), format_summary)
 
 
 # ------------------------------------------------------------ registry --
@@ -183,11 +188,12 @@ def hashing_embedding(df: DataFrame, text_col: str, out_col: str = "embedding",
 def enrich(entries: DataFrame, text_col: str = "summary", embed: bool = True) -> DataFrame:
     """U3e: summary → sentiment → readability → embedding, all feeds in one
     job (offline models; swap in :func:`score_text` for hosted ones)."""
-    s = entries.withColumn("ai_summary", first_sentence_summary(F.col(text_col)))
-    s = s.withColumn("__sent", parse_sentiment_reply(sentiment_reply(F.col("ai_summary"))))
-    s = s.withColumn("sentiment", F.col("__sent.sentiment")) \
-         .withColumn("sentiment_score", F.col("__sent.score")).drop("__sent")
-    s = s.withColumn("readability", readability(F.col("ai_summary")))
+    cols = entries.columns
+    s = entries.select(*cols, first_sentence_summary(F.col(text_col)).alias("ai_summary"))
+    s = s.select(*cols, "ai_summary", parse_sentiment_reply(sentiment_reply(F.col("ai_summary"))).alias("__sent"),
+                 readability(F.col("ai_summary")).alias("readability"))
+    s = s.select(*cols, "ai_summary", F.col("__sent.sentiment").alias("sentiment"),
+                 F.col("__sent.score").alias("sentiment_score"), "readability")
     return hashing_embedding(s, "ai_summary") if embed else s
 
 

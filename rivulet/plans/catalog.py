@@ -105,6 +105,13 @@ def _size(c):
     return F.when(c.isNotNull(), F.size(c)).cast("long")
 
 
+def _expand(df, keep, struct_col, fields):
+    """Select a struct once, then its fields: reading several fields of one
+    expression in the same select would copy the expression per field."""
+    return df.select(*keep, struct_col.alias("__s")).select(
+        *keep, *[F.col(f"__s.{f}").alias(a) for f, a in fields])
+
+
 def _joined(c):
     """Arrays are reported as '|'-joined text so both engines print them alike."""
     return F.array_join(c, "|")
@@ -321,7 +328,7 @@ def image_json(spark, sf_dir):
     p = load(spark, sf_dir, "pages")
     img = F.create_map(F.lit("url"), F.col("url"), F.lit("title"), RF.page_title("html"))
     back = image_from_json(image_to_json(img))
-    return p.select("page_id", back["url"].alias("image_url"), back["title"].alias("image_title"))
+    return _expand(p, ["page_id"], back, [("url", "image_url"), ("title", "image_title")])
 
 
 @query
@@ -329,8 +336,8 @@ def embedding_json(spark, sf_dir):
     """embeddings to JSON text; parsed back they must be equal."""
     e = load(spark, sf_dir, "embeddings")
     back = F.from_json(RF.embedding_to_json("embedding"), "array<float>")
-    return e.select("vec_id", _size(back).alias("n_dims"),
-                    (back == F.col("embedding")).alias("roundtrip_equal"))
+    return (e.select("vec_id", "embedding", back.alias("back"))
+            .select("vec_id", _size("back").alias("n_dims"), (F.col("back") == F.col("embedding")).alias("roundtrip_equal")))
 
 
 @query
@@ -538,9 +545,9 @@ def sentiment_lexicon(spark, sf_dir):
     """U3b offline model over whole documents."""
     from ..operators.enrich import lexicon_sentiment
     d = load(spark, sf_dir, "documents")
-    s = lexicon_sentiment("text")
-    return d.select("doc_id", s["sentiment"].alias("sentiment"), s["score"].alias("score"),
-                    s["positive"].alias("positive"), s["negative"].alias("negative"))
+    return _expand(d, ["doc_id"], lexicon_sentiment("text"),
+                   [("sentiment", "sentiment"), ("score", "score"), ("positive", "positive"),
+                    ("negative", "negative")])
 
 
 @query
@@ -550,8 +557,8 @@ def model_reply_parse(spark, sf_dir):
     from ..operators.enrich import sentiment_reply
     c = load(spark, sf_dir, "conversations").filter(F.col("role").isin("user", "assistant"))
     reply = F.when(F.col("role") == "user", sentiment_reply("text")).otherwise(F.col("text"))
-    r = RF.parse_sentiment_reply(reply)
-    return c.select("conv_id", "turn", r["sentiment"].alias("sentiment"), r["score"].alias("score"))
+    return _expand(c, ["conv_id", "turn"], RF.parse_sentiment_reply(reply),
+                   [("sentiment", "sentiment"), ("score", "score")])
 
 
 @query
@@ -594,8 +601,8 @@ def model_batch_score(spark, sf_dir):
     from ..operators.enrich import score_text
     d = load(spark, sf_dir, "documents").select("doc_id", "text")
     s = score_text(d, "text", _batch_summary_model, "reply", on_error="null", retries=1, delay_ms=100)
-    r = RF.parse_summary_reply("reply")
-    return s.select("doc_id", r["summary"].alias("summary"), r["score"].alias("score"), "reply_error")
+    return _expand(s, ["doc_id", "reply_error"], RF.parse_summary_reply("reply"),
+                   [("summary", "summary"), ("score", "score")])
 
 
 @query

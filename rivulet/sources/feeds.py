@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions._col import let
 from ..functions.dates import parse_date
 from ..functions.scores import str_to_bool
 
@@ -66,8 +67,9 @@ def parse_feed_xml(docs: DataFrame, xml_col: str = "xml") -> DataFrame:
     not parse (or had neither channel nor entries)."""
     x = F.col(xml_col)
     is_atom = x.rlike(r"^\s*(<\?xml[^>]*\?>\s*)?<feed[\s>]")
-    feed = F.when(is_atom, _atom_shape(F.from_xml(x, ATOM_SCHEMA, XML_OPTIONS))) \
-            .otherwise(_rss_shape(F.from_xml(x, RSS_SCHEMA, XML_OPTIONS)))
+    # each document is parsed once (the shapes read many fields of the parse)
+    feed = F.when(is_atom, let(F.from_xml(x, ATOM_SCHEMA, XML_OPTIONS), _atom_shape)) \
+            .otherwise(let(F.from_xml(x, RSS_SCHEMA, XML_OPTIONS), _rss_shape))
     keep = [c for c in docs.columns if c != xml_col]
     parsed = docs.select(*keep, feed.alias("__f"))
     out = parsed.select(*keep,
