@@ -188,7 +188,8 @@ def hashing_embedding(df: DataFrame, text_col: str, out_col: str = "embedding",
 def enrich(entries: DataFrame, text_col: str = "summary", embed: bool = True) -> DataFrame:
     """U3e: summary → sentiment → readability → embedding, all feeds in one
     job (offline models; swap in :func:`score_text` for hosted ones)."""
-    cols = entries.columns
+    outputs = {"ai_summary", "sentiment", "sentiment_score", "readability", "embedding"}
+    cols = [c for c in entries.columns if c.lower() not in outputs]   # outputs replace same-named inputs
     s = entries.select(*cols, first_sentence_summary(F.col(text_col)).alias("ai_summary"))
     s = s.select(*cols, "ai_summary", parse_sentiment_reply(sentiment_reply(F.col("ai_summary"))).alias("__sent"),
                  readability(F.col("ai_summary")).alias("readability"))
