@@ -12,6 +12,17 @@ from ..functions.text import first_line
 
 
 _SPREAD_IDS = itertools.count()
+SPREAD_BYTES = 256 << 10
+
+
+def _input_bytes(df: DataFrame) -> int:
+    sc = df.sparkSession.sparkContext
+    jvm = sc._jvm
+    total = 0
+    for f in df.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        total += path.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return total
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -29,6 +40,11 @@ def spread(df: DataFrame) -> DataFrame:
     try:
         want = df.sparkSession.sparkContext.defaultParallelism
         have = df.rdd.getNumPartitions()
+        if have >= want:
+            return df
+        # about 256 KB of (compressed) input per partition: a small table on a big cluster
+        # is not dealt over thousands of near-empty tasks
+        want = min(want, max(1, _input_bytes(df) // SPREAD_BYTES))
     except Exception:  # no RDD access (e.g. a remote session): leave the scan as is
         return df
     if have < want:
