@@ -80,15 +80,17 @@ def decoded_feed_messages(stream: DataFrame) -> DataFrame:
     return m.withColumn("dedupe_key", key).withColumn("arrived_at", F.current_timestamp())
 
 
-def _write_epoch(df: DataFrame, path: str) -> None:
-    """Side tables of a micro-batch are partitioned by epoch and written
-    with dynamic overwrite: a replayed batch replaces its own rows."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("epoch").parquet(path))
+def _write_epoch(df: DataFrame, path: str, kind: str) -> None:
+    """Side tables of a micro-batch are partitioned by (epoch, kind) and
+    written with dynamic overwrite: a replayed batch replaces its own rows
+    of that kind and nothing else."""
+    (df.withColumn("kind", F.lit(kind)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("epoch", "kind").parquet(path))
 
 
 def ingest_batch(batch: DataFrame, epoch_id: int, spark: SparkSession, landed: DataFrame,
-                 tables: dict[str, str], entry_queue_dir: str, now: str | None = None) -> None:
+                 tables: dict[str, str], entry_queue_dir: str, now: str | None = None,
+                 pages: DataFrame | None = None) -> None:
     """One micro-batch of stage 1 (T3): all writes are keyed upserts or
     appends of rows that carry the batch's own keys, so a replay is safe."""
     batch = batch.persist()
@@ -96,7 +98,7 @@ def ingest_batch(batch: DataFrame, epoch_id: int, spark: SparkSession, landed: D
         good = batch.filter(F.size("reject_reasons") == 0).select("feed_url").distinct()
         rejected = batch.filter(F.size("reject_reasons") > 0).select(
             "value", "reject_reasons", F.lit(epoch_id).cast("long").alias("epoch"))
-        _write_epoch(rejected, tables["rejected"])
+        _write_epoch(rejected, tables["rejected"], "message")
         docs = landed.join(broadcast_if_small(good), landed.feed_url == good.feed_url, "left_semi")
         items = parse_feed_xml(docs, "xml").persist()
         feeds = build_feeds(items.select(F.col("feed_title").alias("title"), F.col("feed_link").alias("link"),
@@ -110,8 +112,10 @@ def ingest_batch(batch: DataFrame, epoch_id: int, spark: SparkSession, landed: D
         raw = with_feed_keys(items.filter(F.col("id").isNotNull()))   # same keys as the feed rows
         ev = validate(build_entries(raw), entry_rules()).persist()
         _write_epoch(ev.filter(F.size("violations") > 0).withColumn("epoch", F.lit(epoch_id).cast("long")),
-                     tables["quarantine"])
+                     tables["quarantine"], "validation")
         good_entries = ev.filter(F.size("violations") == 0).drop("violations")
+        if pages is not None:
+            good_entries = _with_content(spark, good_entries, pages, tables, epoch_id)
         KeyedTable(spark, tables["entries"], ["partition_key", "row_key"], buckets=ENTRY_BUCKETS).upsert(good_entries)
         ts = F.lit(now).cast("timestamp") if now else F.current_timestamp()
         # arrival order inside the batch; ids are unique and increase inside
@@ -126,18 +130,38 @@ def ingest_batch(batch: DataFrame, epoch_id: int, spark: SparkSession, landed: D
         batch.unpersist()
 
 
+def _with_content(spark: SparkSession, entries: DataFrame, pages: DataFrame, tables: dict[str, str],
+                  epoch_id: int) -> DataFrame:
+    """An entry is saved only with content — stored content
+    first, else its landed page as Markdown.  New content is written to the
+    content table; entries without any go to the quarantine."""
+    from ..functions.html import text_or_html_to_markdown
+    from ..operators.relational import content_with_fallback
+    content = KeyedTable(spark, tables["content"], ["partition_key", "row_key"], buckets=ENTRY_BUCKETS)
+    stored = (content.read() if content.exists()
+              else spark.createDataFrame([], "partition_key string, row_key string, content string"))
+    c = content_with_fallback(entries, stored, pages, text_or_html_to_markdown).persist()
+    content.upsert(c.filter(F.col("content_source") == "page").select("partition_key", "row_key", "content"))
+    _write_epoch(c.filter(F.col("content").isNull()).drop("content", "content_source")
+                 .withColumn("violations", F.array(F.lit("content_missing")))
+                 .withColumn("epoch", F.lit(epoch_id).cast("long")), tables["quarantine"], "content")
+    return c.filter(F.col("content").isNotNull()).drop("content", "content_source")
+
+
 def start_feed_ingest(spark: SparkSession, queue_dir: str, landed: DataFrame, tables: dict[str, str],
                       entry_queue_dir: str, name: str = "feed_ingest", available_now: bool = True,
-                      now: str | None = None) -> StreamingQuery:
+                      now: str | None = None, pages: DataFrame | None = None) -> StreamingQuery:
     """Run stage 1 over the feed queue; ``available_now`` processes
-    what is there and stops (the scheduled run), else it keeps running."""
+    what is there and stops (the scheduled run), else it keeps running.
+    With ``pages`` (landed ``url``, ``html``), entries are saved only with
+    content (stored, else the page as Markdown), content is stored too."""
     stream = spark.readStream.format("text").load(queue_dir)
     m = decoded_feed_messages(stream)
     # A redelivered message (same feed and enqueue time) is dropped,
     # with dedupe state kept for the watermark's span only
     m = m.withWatermark("arrived_at", "1 day").dropDuplicatesWithinWatermark(["dedupe_key"])
     w = (m.writeStream.option("checkpointLocation", scratch_path(spark, f"ckpt-{name}"))
-         .foreachBatch(lambda b, i: ingest_batch(b, i, spark, landed, tables, entry_queue_dir, now)))
+         .foreachBatch(lambda b, i: ingest_batch(b, i, spark, landed, tables, entry_queue_dir, now, pages)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.queryName(name).start()
 

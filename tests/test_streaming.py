@@ -115,3 +115,19 @@ def test_crash_mid_batch_then_replay(spark, tmp_dir, monkeypatch):
     assert e.count() == 10 and e.select("partition_key", "row_key").distinct().count() == 10
     assert spark.read.text(q2).count() == 2               # one key list per feed, written once
     assert spark.read.parquet(tables["rejected"]).count() == 1   # replay replaced, not appended
+
+
+def test_entries_saved_only_with_content(spark, tmp_dir):
+    q1, q2 = os.path.join(tmp_dir, "qf"), os.path.join(tmp_dir, "qe")
+    tables = {k: os.path.join(tmp_dir, k) for k in
+              ("feeds", "entries", "quarantine", "rejected", "enrichment", "content")}
+    pages = spark.createDataFrame([(f"https://feed1.example.com/1-{i}", f"<h1>Page {i}</h1><p>Body.</p>")
+                                   for i in range(3)], "url string, html string")
+    _write(q1, "m.txt", [_msg("https://feed1.example.com/rss")])
+    q = start_feed_ingest(spark, q1, _landed(spark), tables, q2, name="t_content", pages=pages)
+    q.awaitTermination()
+    assert spark.read.parquet(tables["entries"]).count() == 3          # 3 of 5 have a page
+    content = spark.read.parquet(tables["content"]).collect()
+    assert len(content) == 3 and all(r.content.startswith("# Page") for r in content)
+    quarantined = spark.read.parquet(tables["quarantine"])
+    assert quarantined.filter(F.array_contains("violations", "content_missing")).count() == 2
