@@ -1,9 +1,9 @@
 """Column → Column functions (native expressions; no Python UDF)."""
 
-from .dates import (iso_utc, month_key, parse_date, parse_date_or_epoch,  # noqa: F401
-                    parse_date_text, rfc1123)
-from .html import (clean_summary, html_to_markdown, markdown_to_html,  # noqa: F401
-                   normalize_html, page_title)
+from .dates import (epoch_default, iso_utc, month_key, parse_date,  # noqa: F401
+                    parse_date_or_epoch, parse_date_text, rfc1123)
+from .html import (clean_summary, decode_entities, html_to_markdown,  # noqa: F401
+                   markdown_to_html, normalize_html, page_title, text_or_html_to_markdown)
 from .keys import (entry_key, feed_key, partition_key_from_title, post_key,  # noqa: F401
                    xxh64_hex)
 from .scores import engagement_score, str_to_bool  # noqa: F401
