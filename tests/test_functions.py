@@ -236,3 +236,24 @@ def test_prompt_render(spark):
 def test_typographic_entities(spark):
     got = one(spark, RF.html_to_markdown("x"), ("<p>It&rsquo;s &#8220;fine&#8221; &mdash; &amp;#8217; &#38;lt;</p>",))[0]
     assert got == "It’s “fine” — &#8217; &lt;"
+
+
+def test_parse_date_random_against_dateutil(spark):
+    from datetime import timedelta, timezone
+
+    from dateutil import parser
+    rng = random.Random(21)
+    fmts = ["%a, %d %b %Y %H:%M:%S +0000", "%a, %d %b %Y %H:%M:%S %z", "%Y-%m-%dT%H:%M:%S%z",
+            "%Y-%m-%d %H:%M:%S", "%B %d, %Y", "%Y/%m/%d %H:%M:%S", "%d %b %Y", "%m/%d/%Y"]
+    cases = []
+    for _ in range(300):
+        tz = timezone(timedelta(minutes=rng.choice([0, 60, -300, 330])))
+        d = datetime(rng.randint(1990, 2030), rng.randint(1, 12), rng.randint(1, 28), rng.randint(0, 23),
+                     rng.randint(0, 59), rng.randint(0, 59), tzinfo=tz)
+        cases.append(d.strftime(rng.choice(fmts)))
+    got = one(spark, RF.parse_date("x"), *[(c,) for c in cases])
+    for c, g in zip(cases, got):
+        want = parser.parse(c)
+        if want.tzinfo is not None:
+            want = want.astimezone(timezone.utc).replace(tzinfo=None)
+        assert g == want, c
