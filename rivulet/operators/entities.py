@@ -109,9 +109,10 @@ def build_entries(raw: DataFrame) -> DataFrame:
     )
 
 
-def build_enrichment(raw: DataFrame) -> DataFrame:
-    """Enrichment rows keyed like their entry; categories as a set."""
-    p = project_aliases(raw, ENRICHMENT_FIELDS)
+def build_enrichment(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Enrichment rows keyed like their entry; categories as a set.
+    ``keep`` names input columns carried through unchanged (ids)."""
+    p = project_aliases(raw, ENRICHMENT_FIELDS + [(k, k) for k in keep])
     cats = F.col("engagement_categories")
     if p.schema["engagement_categories"].dataType.simpleString() == "void":
         cats = F.lit(None).cast("array<string>")
@@ -128,6 +129,7 @@ def build_enrichment(raw: DataFrame) -> DataFrame:
         F.col("engagement_score").cast("double").alias("engagement_score"),
         F.array_distinct(cats).alias("engagement_categories"),
         emb.cast("array<float>").alias("embeddings"),
+        *[F.col(k) for k in keep],
     )
 
 

@@ -409,20 +409,37 @@ def feed_rows(spark, sf_dir):
                     _joined("violations").alias("violations"))
 
 
-@query
-def entry_enrichment(spark, sf_dir):
-    """Entries ⟕ enrichment (embeddings keyed like their entry)."""
-    from ..operators.entities import build_enrichment
-    from ..operators.relational import with_enrichment
-    entries = _entries(spark, sf_dir)
+def _enrichment_raw(spark, sf_dir):
+    """Enrichment rows from the embeddings table, keyed like their entry
+    (vec_id = entry id): label as engagement score, the vector as
+    embeddings."""
     emb = load(spark, sf_dir, "embeddings")
     docs = load(spark, sf_dir, "documents").select("doc_id", "source")
-    raw = emb.join(docs, emb.vec_id == docs.doc_id).select(
+    return emb.join(docs, emb.vec_id == docs.doc_id).select(
+        "vec_id",
         RF.partition_key_from_title("source").alias("PartitionKey"),
         RF.entry_key(F.col("vec_id")).alias("RowKey"),
         F.col("embedding").alias("Embeddings"),
         F.col("label").cast("double").alias("EngagementScore"))
-    j = with_enrichment(entries, build_enrichment(raw))
+
+
+@query
+def enrichment_rows(spark, sf_dir):
+    """V1, V11–V14 on enrichment rows built from the embeddings table."""
+    from ..operators.entities import build_enrichment
+    from ..operators.validate import enrichment_rules, validate
+    v = validate(build_enrichment(_enrichment_raw(spark, sf_dir), keep=("vec_id",)), enrichment_rules())
+    return v.select("vec_id", "partition_key", "engagement_score", _size("embeddings").alias("n_dims"),
+                    _joined("violations").alias("violations"))
+
+
+@query
+def entry_enrichment(spark, sf_dir):
+    """Entries ⟕ enrichment (embeddings keyed like their entry)."""
+    from ..operators.entities import build_enrichment
+    from ..operators.relational import with_enrichment
+    entries = _entries(spark, sf_dir)
+    j = with_enrichment(entries, build_enrichment(_enrichment_raw(spark, sf_dir).drop("vec_id")))
     return j.select("id", _size("enr_embeddings").alias("n_dims"),
                     F.col("enr_engagement_score").alias("engagement_score"))
 

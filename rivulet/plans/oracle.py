@@ -498,3 +498,13 @@ SELECT '1970-01' AS PartitionKey, {first_line('text')} AS Title, {ENTRY_LINK} AS
        '[]' AS Embedding, CAST(16 AS BIGINT) AS row_key_len
 FROM documents
 """
+
+SQL["enrichment_rows"] = f"""
+SELECT e.vec_id, {partition_key('d.source')} AS partition_key, CAST(e.label AS DOUBLE) AS engagement_score,
+       CAST(len(e.embedding) AS BIGINT) AS n_dims,
+       concat_ws('|', CASE WHEN NOT regexp_matches({partition_key('d.source')}, {sql_str(fixed.KEY_PATTERN)})
+                           THEN 'partition_key_pattern' END,
+                      CASE WHEN NOT (CAST(e.label AS DOUBLE) BETWEEN 0.0 AND 10.0)
+                           THEN 'engagement_score_range' END) AS violations
+FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id
+"""
