@@ -35,3 +35,22 @@ def test_publish_job(spark, tmp_dir):
     more = items.union(spark.createDataFrame([("3", "T3", "https://x.org/3")], items.schema))
     assert publish_job(more, lp, meta, fixed.LIST_SCHEMA) == 1   # only the new row
     assert spark.read.parquet(lp).count() == 3
+
+
+def test_frame_job_with_model_registry(spark, tmp_dir):
+    from rivulet.operators.enrich import ModelRegistry, offline_registry
+
+    def ranking():
+        import json as _j
+        return lambda texts: [_j.dumps({"sentiment": "Mixed", "score": 0.1}) for _ in texts]
+
+    reg = ModelRegistry(MODEL_SUMMARY=offline_registry()["MODEL_SUMMARY"], MODEL_RANKING=ranking,
+                        EMBEDDING_FAST=offline_registry()["EMBEDDING_FAST"])
+    cfg = os.path.join(tmp_dir, "feeds.json")
+    with open(cfg, "w") as f:
+        json.dump({"feeds": ["https://feed2.example.com/rss"]}, f)
+    path = os.path.join(tmp_dir, "frame")
+    frame_job(spark, cfg, _landed(spark), path, registry=reg)
+    t = spark.read.parquet(path)
+    assert t.count() == 5 and {r.Sentiment for r in t.collect()} == {"Mixed"}
+    assert all(len(json.loads(r.Embedding)) == 64 for r in t.collect())
