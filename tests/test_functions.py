@@ -257,3 +257,13 @@ def test_parse_date_random_against_dateutil(spark):
         if want.tzinfo is not None:
             want = want.astimezone(timezone.utc).replace(tzinfo=None)
         assert g == want, c
+
+
+def test_markdown_to_html_images_and_paragraphs(spark):
+    md = "Intro line with _it_ & more.\n\n![pic](i.png)\n\n## Sub\n\n- one\n- two\n\nEnd."
+    got = one(spark, RF.markdown_to_html("x"), (md,), ("",), (None,))
+    assert got[1:] == [None, None]
+    html = got[0]
+    assert "<p>Intro line with <em>it</em> &amp; more.</p>" in html
+    assert '<img alt="pic" src="i.png" />' in html and "<h2>Sub</h2>" in html
+    assert "<ul>\n<li>one</li>\n<li>two</li>\n</ul>" in html and html.endswith("<p>End.</p>")
