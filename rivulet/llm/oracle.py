@@ -40,9 +40,9 @@ b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
 win AS (SELECT DISTINCT item_id, w[i:i + 9] AS x
         FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT len(x) AS n FROM win),
-at AS (SELECT doc_id, i, n, w[i:i + n - 1] AS x
+spots AS (SELECT doc_id, i, n, w[i:i + n - 1] AS x
        FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), sizes WHERE i + n - 1 <= len(w)),
-hit AS (SELECT at.doc_id, at.i, at.n, win.item_id FROM at JOIN win ON at.x = win.x),
+hit AS (SELECT s.doc_id, s.i, s.n, win.item_id FROM spots s JOIN win ON s.x = win.x),
 cover AS (SELECT doc_id, count(DISTINCT p) AS n_hit
           FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
 found AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names
