@@ -45,10 +45,10 @@ from .common import stored
 from .elias_fano import Sequence, encode
 
 MU = 500.0
-SHARD_TOKENS = 3_000_000
-BATCH_TOKENS = 1_000_000
+SHARD_TOKENS = 2_000_000
+BATCH_TOKENS = 500_000
 BATCH_DOCS = 50_000
-DICTIONARY = 1_000_000
+DICTIONARY = 250_000
 SEED = 7
 HOT = 65_534
 COLD = 65_535
@@ -256,7 +256,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", where:
         v = np.concatenate([p[1] for p in parts])
         n = np.concatenate([p[3][0] for p in parts]).astype(np.int64)
         del parts
-        return pa.table({"shard": table.column("shard")[:1], "trie": pa.array([_trie(w, v, n, numbers)], pa.binary())})
+        shard = table.column("shard")[:1]
+        del table
+        return pa.table({"shard": shard, "trie": pa.array([_trie(w, v, n, numbers)], pa.binary())})
 
     blobs = rows.mapInArrow(pairs, "shard int, blob binary")
     tries = stored(blobs.groupBy("shard").applyInArrow(build, "shard int, trie binary"), "lm-tries")
@@ -271,8 +273,10 @@ def _trie(w: np.ndarray, v: np.ndarray, n: np.ndarray, numbers: _Numbers) -> byt
     """Levels of one shard from its pairs (repeats are summed)."""
     words, rank = np.unique(w, return_inverse=True)
     key = (rank.astype(np.uint64) << CONTEXT_BITS) | v
+    del w, v, rank
     order = np.argsort(key)
     key, n = key[order], n[order]
+    del order
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     key, n = key[first], np.add.reduceat(n, first)
     rank = (key >> CONTEXT_BITS).astype(np.int64)
