@@ -9,7 +9,9 @@ Trees are trained by Spark on a small labelled table: blocks of about
 ``sample_pages`` pages that mark their article, plus a few hand-labelled rows.
 One tree judges pages with such marks.  For pages without, a second tree learns
 from the same blocks with the article's mark hidden, and with all marks hidden: it
-goes by lengths, link densities and whatever boilerplate is marked.
+goes by lengths, link densities and whatever boilerplate is marked.  The
+hand-labelled rows weigh as much there as all sampled blocks: sampled pages may
+share one layout, which says little about others.
 
 Defined cases: null or empty html gives empty text; a page without any tag is one
 block; unclosed comments, scripts and tags end with the page; repeated rows each
@@ -58,6 +60,7 @@ FEATURES = ("words", "links", "prev_words", "prev_links", "next_words", "next_li
 LABELLED = (
     (62, 0.0, 48, 0.0, 55, 0.02, 0, 0, 1), (35, 0.05, 70, 0.0, 28, 0.0, 0, 0, 1), (120, 0.01, 9, 0.0, 80, 0.0, 0, 0, 1),
     (18, 0.0, 66, 0.0, 41, 0.0, 0, 0, 1), (9, 0.0, 3, 1.0, 75, 0.0, 1, 0, 1), (7, 0.0, 55, 0.0, 60, 0.0, 1, 0, 1),
+    (58, 0.0, 2, 1.0, 64, 0.01, 0, 0, 1), (40, 0.03, 1, 1.0, 22, 0.0, 0, 0, 1), (90, 0.02, 2, 0.5, 70, 0.0, 0, 0, 1),
     (25, 0.0, 40, 0.0, 33, 0.0, 0, 1, 1), (45, 0.1, 30, 0.0, 4, 1.0, 0, 0, 1), (4, 0.0, 52, 0.0, 47, 0.0, 0, 0, 1),
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), (2, 1.0, 1, 1.0, 2, 1.0, 0, 1, 0), (3, 1.0, 2, 1.0, 40, 0.0, 0, 1, 0),
     (12, 0.9, 3, 1.0, 14, 0.8, 0, 0, 0), (6, 0.5, 4, 1.0, 3, 1.0, 0, 0, 0), (8, 0.0, 2, 1.0, 5, 0.6, 0, 0, 0),
@@ -151,7 +154,7 @@ def features(rows: np.ndarray, least: int = 2, most: int = 2) -> np.ndarray:
 
 
 def _hand_labelled() -> list[tuple[float, ...]]:
-    return [(float(w), d, float(pw), pd, float(nw), nd, float(h), float(i), 0.0, 0.0, 0.0, 0.0, float(y))
+    return [(float(w), d, float(pw), pd, float(nw), nd, float(h), float(i), 0.0, 0.0, 0.0, 0.0, float(y), 1.0)
             for w, d, pw, pd, nw, nd, h, i, y in LABELLED]
 
 
@@ -162,7 +165,7 @@ def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
     share = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit("html")), F.lit(1_000_000))
     part = (pages.where((share < int(1_000_000 * min(1.0, sample_pages / max(1, n)))) & F.col(f"`{html_col}`").isNotNull())
             .select(F.col(f"`{html_col}`").alias("h")))
-    schema = ", ".join(f"{f} double" for f in (*FEATURES, "label"))
+    schema = ", ".join(f"{f} double" for f in (*FEATURES, "label", "hand"))
 
     def label(batches):
         for b in batches:
@@ -170,16 +173,18 @@ def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
                 _, rows = blocks_of(page.as_py())
                 if len(rows) and (rows[:, 4] == 1).any():     # only pages that mark their article
                     y = (rows[:, 4] == 1).astype(float)
-                    table = np.vstack([np.column_stack((features(rows, *hide), y)) for hide in ((2, 2), (2, 1), (1, 1))])
-                    yield pa.record_batch([pa.array(c) for c in table.T], [*FEATURES, "label"])
+                    table = np.vstack([np.column_stack((features(rows, *hide), y, np.zeros(len(y)))) for hide in ((2, 2), (2, 1), (1, 1))])
+                    yield pa.record_batch([pa.array(c) for c in table.T], [*FEATURES, "label", "hand"])
 
     found = part.mapInArrow(label, schema)
     table = stored(found.unionByName(spark.createDataFrame(_hand_labelled(), schema)).coalesce(4), "html-labelled")
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table)
-    grow = lambda part: export(DecisionTreeClassifier(maxDepth=DEPTH, seed=7).fit(part))
-    bare = grow(ready.where("marked = 0"))
-    marked = ready.where("marked = 1")
-    return (grow(marked) if marked.limit(1).count() else bare), bare
+    grow = lambda part: export(DecisionTreeClassifier(maxDepth=DEPTH, weightCol="weight", seed=7).fit(part))
+    marked, bare = ready.where("marked = 1").withColumn("weight", F.lit(1.0)), ready.where("marked = 0")
+    sampled = bare.where("hand = 0").count()
+    bare = bare.withColumn("weight", F.when(F.col("hand") == 1, max(1.0, sampled / len(LABELLED))).otherwise(1.0))
+    other = grow(bare)
+    return (grow(marked) if marked.limit(1).count() else other), other
 
 
 def main_text(page: str | None, trees: tuple[tuple, tuple]) -> str:

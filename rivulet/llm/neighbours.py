@@ -104,6 +104,7 @@ def search(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_i
     stats = rows.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.var_pop("x").alias("s")).collect()
     mean = np.array([r["m"] for r in sorted(stats, key=lambda r: r["i"])])
     sigma = max(float(np.sqrt(np.mean([r["s"] for r in stats]))), 1e-30)
+    dims = min(dims, length)
     maps, shifts = _maps(length, orderings, dims, seed)
     side = 1 << levels
 

@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from .common import BROADCAST_BYTES, Table, broadcast_within, stored
 from .components import components
@@ -228,14 +229,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _one_of_repeated(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """The same where ids are null or repeat: of rows that share id and
-    fingerprint one stays.  Rows are told apart by a hash of all columns; which
-    hash stays is found without moving texts."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("long")
-    def fp_of(t: pd.Series) -> pd.Series:
-        return pd.Series(np.fromiter((fingerprint((x or "").encode(), width) for x in t), np.uint64, len(t)).view(np.int64))
+    fingerprint the first by a hash of all columns stays."""
+
+    @arrow_udf("long")
+    def fp_of(t: pa.Array) -> pa.Array:
+        return pa.array(np.fromiter((fingerprint(x.as_py() or b"", width) for x in t.cast(pa.binary())), np.uint64, len(t)).view(np.int64))
 
     own = [F.col(f"`{c}`") for c in docs.columns]
     marked = docs.select(*own, fp_of(F.col(f"`{text_col}`")).alias("__fp"), F.xxhash64(*own).alias("__row"))
