@@ -83,12 +83,13 @@ def with_feed_keys(items: DataFrame, title_col: str = "feed_title", link_col: st
                 .withColumn("feed_key", feed_key(link))
 
 
-def build_entries(raw: DataFrame) -> DataFrame:
+def build_entries(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Entry rows from parsed items that already carry ``partition_key`` and
     ``feed_key``: key = hash(id), tags → terms, summary cleaned (HTML →
     Markdown, ≤20 sentences, ≤2000 characters), link normalised, published
-    parsed (absent → epoch, unparsable → NULL and flagged)."""
-    p = project_aliases(raw, ENTRY_FIELDS)
+    parsed (absent → epoch, unparsable → NULL and flagged).  ``keep`` names
+    input columns carried through unchanged."""
+    p = project_aliases(raw, ENTRY_FIELDS + [(k, k) for k in keep])
     tags_dt = _dtype(p, "tags")
     tags = (tags_to_terms(F.col("tags"), tags_dt) if tags_dt.simpleString() != "void"
             else F.array().cast("array<string>"))
@@ -106,6 +107,7 @@ def build_entries(raw: DataFrame) -> DataFrame:
         tags.alias("tags"),
         clean_summary(F.col("summary").cast("string")).alias("summary"),
         source.alias("source"),
+        *[F.col(k) for k in keep],
     )
 
 

@@ -4,9 +4,8 @@ Scale notes
 * Aggregates use functions with partial (map-side) aggregation (count,
   count_if, sum, max_by, bool_or, min), so a key holding a third of all rows
   still sends one row per map task through the shuffle.
-* Joins carry no hints except where the small side's size is checked
-  first (:func:`broadcast_if_small`); otherwise AQE measures the build side
-  at run time and switches to a broadcast join only when it is small.
+* Joins carry no hints: AQE measures the build side at run time and
+  switches to a broadcast join only when it is small.
 * Positions inside a group (payload chunks) come from
   :func:`ordered_index`, which never sorts a whole group in one task.
 """
@@ -21,32 +20,20 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions._col import let
 from ..functions.scores import engagement_score
-
-# Largest dimension (rows) we are willing to broadcast on an explicit hint.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows;
-    above the bound it is returned as is and joins shuffle (or AQE
-    decides)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
+from ..functions.urls import normalize_url
 
 # ---------------------------------------------------------------- joins --
 
 def new_only(df: DataFrame, existing: DataFrame, key: str, existing_key: str | None = None) -> DataFrame:
     """Rows whose key is not already present."""
-    ek = existing.select(F.col(existing_key or key).alias("__k")).distinct()
+    ek = existing.select(F.col(existing_key or key).alias("__k"))
     return df.join(ek, df[key] == ek["__k"], "left_anti")
 
 
-def attach_feed(entries: DataFrame, feeds: DataFrame, max_feed_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Entries ⋈ feeds on ``feed_key = feeds.row_key``.  The feed side is
-    broadcast only when its size is checked to be small."""
+def attach_feed(entries: DataFrame, feeds: DataFrame) -> DataFrame:
+    """Entries ⋈ feeds on ``feed_key = feeds.row_key``; adaptive execution
+    measures the feed side and broadcasts it only if it is small."""
     f = feeds.select(*[F.col(c).alias(f"feed_{c}") for c in feeds.columns])
-    f = broadcast_if_small(f, max_feed_rows)
     return entries.join(f, entries["feed_key"] == f["feed_row_key"], "inner")
 
 
@@ -66,26 +53,31 @@ def with_enrichment(entries: DataFrame, enrichment: DataFrame) -> DataFrame:
 def content_with_fallback(entries: DataFrame, content: DataFrame, pages: DataFrame,
                           to_markdown) -> DataFrame:
     """Stored content first; else the page at the entry's link
-    converted to Markdown; else NULL.  Only entries without stored content
-    go through the page join, and only the pages' url/html are read."""
+    converted to Markdown; else NULL.  One row per entry.
+
+    Links and page URLs are compared in normalised form.  With a ``status``
+    column only pages answered with 200 count; of several copies of a page the
+    latest by ``fetched_at`` counts (without that column, the greatest HTML).
+    Pages are joined once, on the link of entries without stored content only."""
     c = content.select("partition_key", "row_key", F.col("content").alias("__stored")) \
         .filter(F.col("__stored").isNotNull() & (F.col("__stored") != "")
                 & (F.col("__stored") != fixed.MISSING_CONTENT_SENTINEL))
     e = entries.join(c, ["partition_key", "row_key"], "left")
-    have = e.filter(F.col("__stored").isNotNull()).select(
-        *entries.columns, F.col("__stored").alias("content"), F.lit("store").alias("content_source"))
-    need = e.filter(F.col("__stored").isNull()).drop("__stored")
-    p = pages.select(F.col("url").alias("__url"), F.col("html").alias("__html"))
-    fetched = need.join(p, need["link"] == p["__url"], "left")
+    ok = pages.filter(F.col("status") == 200) if "status" in pages.columns else pages
+    order = F.struct("fetched_at", "html") if "fetched_at" in pages.columns else F.col("html")
+    p = (ok.filter(F.col("html").isNotNull()).groupBy(normalize_url(F.col("url")).alias("__url"))
+         .agg(F.max_by("html", order).alias("__html")))
+    wanted = F.when(F.col("__stored").isNull(), normalize_url(F.col("link")))
+    j = e.withColumn("__wanted", wanted).join(p, F.col("__wanted") == F.col("__url"), "left")
 
     def pick(h):
         # the page is converted once per row (bound by let), then tested
         return let(to_markdown(h), lambda md: F.when(h.isNotNull() & (md != ""), F.struct(
             md.alias("content"), F.lit("page").alias("content_source"))).otherwise(F.struct(
                 F.lit(None).cast("string").alias("content"), F.lit("missing").alias("content_source"))))
-    fetched = fetched.select(*entries.columns, pick(F.col("__html")).alias("__c")) \
-        .select(*entries.columns, "__c.content", "__c.content_source")
-    return have.unionByName(fetched)
+    stored = F.struct(F.col("__stored").alias("content"), F.lit("store").alias("content_source"))
+    found = F.when(F.col("__stored").isNotNull(), stored).otherwise(pick(F.col("__html")))
+    return j.select(*entries.columns, found.alias("__c")).select(*entries.columns, "__c.content", "__c.content_source")
 
 
 def changed_feeds(fetch_log: DataFrame, state: DataFrame) -> DataFrame:

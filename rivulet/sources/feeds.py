@@ -64,9 +64,10 @@ def _atom_shape(x: Column) -> Column:
 def parse_feed_xml(docs: DataFrame, xml_col: str = "xml") -> DataFrame:
     """Parse feed documents (RSS 2.0 or Atom) into one row per item with
     the feed's fields alongside.  ``parsed`` is false for documents that did
-    not parse (or had neither channel nor entries)."""
+    not parse (or had neither channel nor entries); ``item_pos`` is the item's
+    place in its document."""
     x = F.col(xml_col)
-    is_atom = x.rlike(r"^\s*(<\?xml[^>]*\?>\s*)?<feed[\s>]")
+    is_atom = x.rlike(r"^\s*(?:<\?xml[^>]*\?>\s*)?(?:<!--(?s:.*?)-->\s*)*(?:<!DOCTYPE[^>]*>\s*)?(?:<!--(?s:.*?)-->\s*)*<feed[\s>]")
     # each document is parsed once (the shapes read many fields of the parse)
     feed = F.when(is_atom, let(F.from_xml(x, ATOM_SCHEMA, XML_OPTIONS), _atom_shape)) \
             .otherwise(let(F.from_xml(x, RSS_SCHEMA, XML_OPTIONS), _rss_shape))
@@ -78,9 +79,9 @@ def parse_feed_xml(docs: DataFrame, xml_col: str = "xml") -> DataFrame:
                         F.col("__f.updated").alias("feed_updated"),
                         F.col("__f.subtitle").alias("feed_subtitle"),
                         F.col("__f.items").isNotNull().alias("parsed"),
-                        F.explode_outer("__f.items").alias("__i"))
+                        F.posexplode_outer("__f.items").alias("item_pos", "__i"))
     return out.select(*keep, "feed_title", "feed_link", "feed_language", "feed_updated", "feed_subtitle",
-                      "parsed", *[F.col(f"__i.{f}").alias(f) for f in ITEM_FIELDS],
+                      "parsed", "item_pos", *[F.col(f"__i.{f}").alias(f) for f in ITEM_FIELDS],
                       F.transform("__i.tags", lambda t: t["term"]).alias("categories"))
 
 
@@ -122,7 +123,7 @@ def load_feed_config(spark: SparkSession, path: str, section: str | None = "RssI
         base = raw.select(F.explode_outer(f"{section}.feeds").alias("f"))
     else:
         if "feeds" not in raw.columns:
-            raise ValueError("No feed URLs found in the configuration file.")
+            raise ValueError("the configuration has no top-level list of feeds")
         base = raw.select(F.explode_outer("feeds").alias("f"))
     dt = base.schema["f"].dataType
     if dt.simpleString().startswith("struct"):
@@ -131,7 +132,7 @@ def load_feed_config(spark: SparkSession, path: str, section: str | None = "RssI
         feeds = base.select(F.lit(None).cast("string").alias("name"), F.col("f").alias("url"),
                             F.lit("rss").alias("type")).filter(F.col("url").isNotNull())
     if feeds.limit(1).count() == 0:
-        raise ValueError("Missing required configuration values: feeds")
+        raise ValueError("the configuration lists no feed")
     return feeds
 
 
@@ -166,10 +167,11 @@ def read_list_export(spark: SparkSession, path: str) -> DataFrame:
 
 # ---------------------------------------------------------------- blobs --
 
-TEXT_TYPES = ["application/json", "application/xml", "application/javascript", "application/x-yaml"]
+# Content types that are text besides text/*.
+TEXT_TYPES = ["application/json", "application/xml", "application/xhtml+xml", "application/x-yaml"]
 # File extension → content type (fixed lookup for landed blobs).
 CONTENT_TYPES = {
-    "md": "text/markdown", "txt": "text/plain", "csv": "text/csv", "html": "text/html",
+    "md": "text/markdown", "txt": "text/plain", "csv": "text/csv", "html": "text/html", "xhtml": "application/xhtml+xml",
     "json": "application/json", "xml": "application/xml", "js": "application/javascript",
     "yaml": "application/x-yaml", "yml": "application/x-yaml", "npy": "application/octet-stream",
 }

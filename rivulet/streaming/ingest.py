@@ -11,15 +11,17 @@ Stage 2  ``start_entry_enrichment`` (stream, T7): stage-2 messages → entry
          keys → entries → enrichment → upsert.
 
 Queues are folders of text files, one base64 message per line; every
-stream has its checkpoint under the shared checkpoint folder, and every
-sink is a keyed upsert, so a replayed micro-batch rewrites the same rows.
+stream has its checkpoint below the folder that holds its tables, so that
+any later process goes on where the last one stopped, and every sink is a
+keyed upsert, so a replayed micro-batch rewrites the same rows.  What a
+batch does not store goes to a side table with the reason.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,7 +29,7 @@ from .. import fixed
 from ..functions.dates import iso_utc
 from ..operators.entities import build_entries, build_feeds, with_feed_keys
 from ..operators.enrich import enrich
-from ..operators.relational import broadcast_if_small, changed_feeds, entry_key_lists
+from ..operators.relational import changed_feeds, entry_key_lists, last_write_wins
 from ..operators.validate import entry_rules, feed_rules, validate
 from ..session import scratch_path
 from ..sources.feeds import parse_feed_xml
@@ -38,6 +40,13 @@ from ..sources.store import KeyedTable
 
 # hash sub-buckets per feed partition of the entry tables (hot feeds)
 ENTRY_BUCKETS = 16
+KEYS = ["partition_key", "row_key"]
+
+
+def checkpoint_path(tables: dict[str, str], name: str) -> str:
+    """Where a stream keeps its state: below the folder of its tables, the same
+    in every process."""
+    return f"{tables['entries'].rstrip('/').rpartition('/')[0]}/_checkpoints/{name}"
 
 
 # ------------------------------------------------------------ stage 0 --
@@ -52,7 +61,10 @@ def enqueue_changed_feeds(spark: SparkSession, feeds: DataFrame, fetch_log: Data
            else spark.createDataFrame([], "feed_id string, last_ingestion timestamp"))
     log = fetch_log.join(feeds.select(F.col("url").alias("feed_url")), "feed_url", "left_semi") \
         .withColumnRenamed("feed_url", "feed_id")
-    due = changed_feeds(log, cur).filter("changed").select("feed_id")
+    # written once: messages and watermark see the same set of due feeds
+    due_path = scratch_path(spark, f"due-{uuid.uuid4().hex}")
+    changed_feeds(log, cur).filter("changed").select("feed_id").write.parquet(due_path)
+    due = spark.read.schema("feed_id string").parquet(due_path)
     now = F.lit(run_start).cast("timestamp")
     msgs = (feeds.join(due, feeds.url == due.feed_id, "left_semi")
             .select(encode_body(F.struct(envelope(fixed.ENVELOPE_ENQUEUED, iso_utc(now)).alias("envelope"),
@@ -93,41 +105,56 @@ def ingest_batch(batch: DataFrame, epoch_id: int, spark: SparkSession, landed: D
                  pages: DataFrame | None = None) -> None:
     """One micro-batch of stage 1 (T3): all writes are keyed upserts or
     appends of rows that carry the batch's own keys, so a replay is safe."""
-    batch = batch.persist()
+    kept = [batch.persist()]
+    epoch = F.lit(epoch_id).cast("long").alias("epoch")
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.persist())
+        return kept[-1]
+
+    def set_aside(df: DataFrame, what: Column, reason: str) -> None:
+        _write_epoch(df.select(what.cast("string").alias("id"), F.array(F.lit(reason)).alias("violations"), epoch),
+                     tables["quarantine"], reason)
     try:
         good = batch.filter(F.size("reject_reasons") == 0).select("feed_url").distinct()
-        rejected = batch.filter(F.size("reject_reasons") > 0).select(
-            "value", "reject_reasons", F.lit(epoch_id).cast("long").alias("epoch"))
+        rejected = batch.filter(F.size("reject_reasons") > 0).select("value", "reject_reasons", epoch)
         _write_epoch(rejected, tables["rejected"], "message")
-        docs = landed.join(broadcast_if_small(good), landed.feed_url == good.feed_url, "left_semi")
-        items = parse_feed_xml(docs, "xml").persist()
-        feeds = build_feeds(items.select(F.col("feed_title").alias("title"), F.col("feed_link").alias("link"),
-                                         F.col("feed_language").alias("language"),
-                                         F.col("feed_updated").alias("updated"),
-                                         F.col("feed_subtitle").alias("subtitle"), "feed_url")
-                            .dropDuplicates(["feed_url"]), source_url_col="feed_url")
-        fv = validate(feeds, feed_rules())
-        KeyedTable(spark, tables["feeds"], ["partition_key", "row_key"]).upsert(
-            fv.filter(F.size("violations") == 0).drop("violations", "entry_partition"))
-        raw = with_feed_keys(items.filter(F.col("id").isNotNull()))   # same keys as the feed rows
-        ev = validate(build_entries(raw), entry_rules()).persist()
-        _write_epoch(ev.filter(F.size("violations") > 0).withColumn("epoch", F.lit(epoch_id).cast("long")),
+        # a document landed more than once counts once: the latest
+        order = F.struct("landed_at", "xml") if "landed_at" in landed.columns else F.col("xml")
+        docs = (landed.join(good, "feed_url", "left_semi").groupBy("feed_url").agg(F.max_by("xml", order).alias("xml")))
+        items = keep(parse_feed_xml(docs, "xml"))
+        set_aside(good.join(items.select("feed_url"), "feed_url", "left_anti"), F.col("feed_url"), "document_missing")
+        set_aside(items.filter(~F.col("parsed")), F.col("feed_url"), "document_unparsable")
+        set_aside(items.filter(F.col("parsed") & F.col("item_pos").isNotNull() & F.col("id").isNull()),
+                  F.concat_ws("#", "feed_url", F.col("item_pos").cast("string")), "item_without_id")
+        feeds = build_feeds(items.filter("parsed").select(
+            F.col("feed_title").alias("title"), F.col("feed_link").alias("link"), F.col("feed_language").alias("language"),
+            F.col("feed_updated").alias("updated"), F.col("feed_subtitle").alias("subtitle"), "feed_url")
+            .dropDuplicates(["feed_url"]), source_url_col="feed_url")
+        fv = keep(validate(feeds, feed_rules()))
+        _write_epoch(fv.filter(F.size("violations") > 0).select(F.col("link").alias("id"), "violations", epoch),
+                     tables["quarantine"], "feed")
+        # two documents of one feed link are one feed: the greater row wins, in any run
+        feed_rows = fv.filter(F.size("violations") == 0).drop("violations", "entry_partition")
+        KeyedTable(spark, tables["feeds"], KEYS).upsert(last_write_wins(feed_rows, KEYS, ["updated", "title", "link", "language", "subtitle"]))
+        raw = with_feed_keys(items.filter("parsed").filter(F.col("id").isNotNull()))   # same keys as the feed rows
+        # an id that repeats in a document counts once: the later item (A2)
+        ev = validate(build_entries(raw, keep=("item_pos",)), entry_rules())
+        ev = keep(last_write_wins(ev.withColumn("__last", F.struct("item_pos", "feed_key", "title", "link")), KEYS, ["__last"]).drop("__last"))
+        _write_epoch(ev.filter(F.size("violations") > 0).drop("item_pos").withColumn("epoch", epoch),
                      tables["quarantine"], "validation")
         good_entries = ev.filter(F.size("violations") == 0).drop("violations")
         if pages is not None:
-            good_entries = _with_content(spark, good_entries, pages, tables, epoch_id)
-        KeyedTable(spark, tables["entries"], ["partition_key", "row_key"], buckets=ENTRY_BUCKETS).upsert(good_entries)
+            good_entries = keep(_with_content(spark, good_entries, pages, tables, epoch_id))
+        KeyedTable(spark, tables["entries"], KEYS, buckets=ENTRY_BUCKETS).upsert(good_entries.drop("item_pos"))
         ts = F.lit(now).cast("timestamp") if now else F.current_timestamp()
-        # arrival order inside the batch; ids are unique and increase inside
-        # each partition, which keeps ordered_index's blocks bounded
-        lists = entry_key_lists(good_entries.withColumn("__ord", F.monotonically_increasing_id()),
-                                "feed_key", "__ord")
+        # document order, the same in any run
+        lists = entry_key_lists(good_entries, "feed_key", "item_pos")
         lists.select(encode_body(mark_retrieved(F.col("feed_key"), F.col("entries"), iso_utc(ts))).alias("value")) \
             .write.mode("append").text(entry_queue_dir)
-        ev.unpersist()
-        items.unpersist()
     finally:
-        batch.unpersist()
+        for df in kept:
+            df.unpersist()
 
 
 def _with_content(spark: SparkSession, entries: DataFrame, pages: DataFrame, tables: dict[str, str],
@@ -137,12 +164,14 @@ def _with_content(spark: SparkSession, entries: DataFrame, pages: DataFrame, tab
     content table; entries without any go to the quarantine."""
     from ..functions.html import text_or_html_to_markdown
     from ..operators.relational import content_with_fallback
-    content = KeyedTable(spark, tables["content"], ["partition_key", "row_key"], buckets=ENTRY_BUCKETS)
-    stored = (content.read() if content.exists()
+    content = KeyedTable(spark, tables["content"], KEYS, buckets=ENTRY_BUCKETS)
+    stored = (content.read_for(entries) if content.exists()      # only the buckets of this batch
               else spark.createDataFrame([], "partition_key string, row_key string, content string"))
-    c = content_with_fallback(entries, stored, pages, text_or_html_to_markdown).persist()
+    path = scratch_path(spark, f"content-{uuid.uuid4().hex}")
+    content_with_fallback(entries, stored, pages, text_or_html_to_markdown).write.parquet(path)   # pages are converted once
+    c = spark.read.parquet(path)
     content.upsert(c.filter(F.col("content_source") == "page").select("partition_key", "row_key", "content"))
-    _write_epoch(c.filter(F.col("content").isNull()).drop("content", "content_source")
+    _write_epoch(c.filter(F.col("content").isNull()).drop("content", "content_source", "item_pos")
                  .withColumn("violations", F.array(F.lit("content_missing")))
                  .withColumn("epoch", F.lit(epoch_id).cast("long")), tables["quarantine"], "content")
     return c.filter(F.col("content").isNotNull()).drop("content", "content_source")
@@ -160,7 +189,7 @@ def start_feed_ingest(spark: SparkSession, queue_dir: str, landed: DataFrame, ta
     # A redelivered message (same feed and enqueue time) is dropped,
     # with dedupe state kept for the watermark's span only
     m = m.withWatermark("arrived_at", "1 day").dropDuplicatesWithinWatermark(["dedupe_key"])
-    w = (m.writeStream.option("checkpointLocation", scratch_path(spark, f"ckpt-{name}"))
+    w = (m.writeStream.option("checkpointLocation", checkpoint_path(tables, name))
          .foreachBatch(lambda b, i: ingest_batch(b, i, spark, landed, tables, entry_queue_dir, now, pages)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.queryName(name).start()
@@ -172,10 +201,9 @@ def enrich_batch(batch: DataFrame, epoch_id: int, spark: SparkSession, tables: d
     keys = (batch.select(F.explode_outer("payload.entries").alias("k"))
             .select(F.col("k")[0].alias("partition_key"), F.col("k")[1].alias("row_key"))
             .dropna().distinct())
-    entries = KeyedTable(spark, tables["entries"], ["partition_key", "row_key"], buckets=ENTRY_BUCKETS).read() \
-        .join(keys, ["partition_key", "row_key"], "left_semi")
+    entries = KeyedTable(spark, tables["entries"], KEYS, buckets=ENTRY_BUCKETS).read_for(keys)
     e = enrich(entries, "summary")
-    KeyedTable(spark, tables["enrichment"], ["partition_key", "row_key"], buckets=ENTRY_BUCKETS).upsert(
+    KeyedTable(spark, tables["enrichment"], KEYS, buckets=ENTRY_BUCKETS).upsert(
         e.select("partition_key", "row_key", F.col("ai_summary").alias("summary"),
                  F.col("sentiment"), F.col("sentiment_score"), F.col("readability"),
                  F.col("embedding").alias("embeddings")))
@@ -187,24 +215,25 @@ def start_entry_enrichment(spark: SparkSession, entry_queue_dir: str, tables: di
     stream = spark.readStream.format("text").load(entry_queue_dir)
     m = stream.withColumn("payload", decode_body(F.col("value"), ENTRY_MESSAGE_SCHEMA)) \
               .filter(F.col("payload.envelope.status") == fixed.ENVELOPE_RETRIEVED)
-    w = (m.writeStream.option("checkpointLocation", scratch_path(spark, f"ckpt-{name}"))
+    w = (m.writeStream.option("checkpointLocation", checkpoint_path(tables, name))
          .foreachBatch(lambda b, i: enrich_batch(b, i, spark, tables)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.queryName(name).start()
 
 
 def run_pipeline(spark: SparkSession, feeds: DataFrame, fetch_log: DataFrame, landed: DataFrame,
-                 root: str, run_start: str) -> dict[str, str]:
+                 root: str, run_start: str, pages: DataFrame | None = None) -> dict[str, str]:
     """T4 + T7: one scheduled (or on-demand) run of all stages: enqueue the
     due feeds, drain the feed queue, drain the entry queue.  Each stage
     stops when its input is processed (``availableNow``); the schedule
-    itself lives outside.  Returns the table paths."""
+    itself lives outside.  With ``pages`` entries are saved only with content.
+    Returns the table paths."""
     import os
     paths = {k: os.path.join(root, k) for k in
-             ("feeds", "entries", "quarantine", "rejected", "enrichment", "state", "q_feeds", "q_entries")}
+             ("feeds", "entries", "quarantine", "rejected", "enrichment", "content", "state", "q_feeds", "q_entries")}
     enqueue_changed_feeds(spark, feeds, fetch_log, paths["state"], paths["q_feeds"], run_start)
     start_feed_ingest(spark, paths["q_feeds"], landed, paths, paths["q_entries"],
-                      name="feed_ingest", now=run_start).awaitTermination()
+                      name="feed_ingest", now=run_start, pages=pages).awaitTermination()
     start_entry_enrichment(spark, paths["q_entries"], paths, name="entry_enrichment").awaitTermination()
     return paths
 

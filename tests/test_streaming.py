@@ -131,3 +131,47 @@ def test_entries_saved_only_with_content(spark, tmp_dir):
     assert len(content) == 3 and all(r.content.startswith("# Page") for r in content)
     quarantined = spark.read.parquet(tables["quarantine"])
     assert quarantined.filter(F.array_contains("violations", "content_missing")).count() == 2
+
+
+TWO_RUNS = """
+import sys
+from datetime import datetime
+sys.path.insert(0, {repo!r})
+from rivulet.session import build_session
+from rivulet.plans.jobs import daily_job
+from tests.test_streaming import _landed
+spark = build_session("local[2]", 2, extra={{"spark.checkpoint.dir": {ckpt!r}, "spark.ui.showConsoleProgress": "false"}})
+feeds = spark.createDataFrame([("one", "https://feed1.example.com/rss", "rss")], "name string, url string, type string")
+log = spark.createDataFrame([("https://feed1.example.com/rss", 200, datetime(2024, 1, 5), 1)],
+                            "feed_url string, status int, last_modified timestamp, event_id int")
+landed = _landed(spark)
+paths = daily_job(spark, feeds, log, landed.unionByName(landed), {root!r}, {start!r})
+print("ROWS", spark.read.parquet(paths["entries"]).count(), spark.read.parquet(paths["enrichment"]).count())
+"""
+
+
+def test_two_processes_share_one_root(tmp_dir):
+    """The second process goes on where the first stopped; a document landed twice counts once."""
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for start in ("2024-01-10 06:00:00", "2024-01-11 06:00:00"):
+        code = TWO_RUNS.format(repo=repo, ckpt=os.path.join(tmp_dir, "ckpt"), root=os.path.join(tmp_dir, "root"), start=start)
+        out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=repo, timeout=300)
+        assert "ROWS 5 5" in out.stdout, out.stderr[-2000:]
+
+
+def test_what_is_not_stored_is_set_aside(spark, tmp_dir):
+    q1, q2 = os.path.join(tmp_dir, "qf"), os.path.join(tmp_dir, "qe")
+    tables = {k: os.path.join(tmp_dir, k) for k in ("feeds", "entries", "quarantine", "rejected", "enrichment")}
+    link = "https://feed1.example.com"
+    items = ITEM.format(g="a", link=link) + ITEM.format(g="b", link=link) + ITEM.format(g="a", link=link).replace("Entry a", "Entry a again") \
+        + "<item><title>no id</title></item>"
+    landed = spark.createDataFrame([(f"{link}/rss", RSS.format(title="Tech", link=link, items=items)),
+                                    ("https://broken.example.com/rss", "<rss><channel>")], "feed_url string, xml string")
+    _write(q1, "m.txt", [_msg(f"{link}/rss"), _msg("https://broken.example.com/rss"), _msg("https://nowhere.example.com/rss")])
+    start_feed_ingest(spark, q1, landed, tables, q2, name="t_aside", now="2024-02-01 06:00:00").awaitTermination()
+    assert {r.title for r in spark.read.parquet(tables["entries"]).collect()} == {"Entry a again", "Entry b"}   # the later item wins
+    aside = {(r.kind, r.id) for r in spark.read.parquet(tables["quarantine"]).select("kind", "id").collect()}
+    assert aside == {("document_missing", "https://nowhere.example.com/rss"), ("document_unparsable", "https://broken.example.com/rss"),
+                     ("item_without_id", f"{link}/rss#3")}
