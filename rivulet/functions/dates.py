@@ -24,13 +24,21 @@ SHAPES = [
     (r"^\d{4}-\d{2}-\d{2}", [None, "yyyy-MM-dd HH:mm:ss Z"]),
     (r"^\d{1,2} [A-Za-z]{3,9} \d{4}", ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z",
                                         "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm",
-                                        "d MMM yyyy", "d MMMM yyyy"]),
-    (r"^[A-Za-z]{3,9} \d{1,2},? \d{4}", ["MMMM d, yyyy HH:mm:ss", "MMMM d, yyyy", "MMM d, yyyy",
+                                        "d MMM yyyy", "d MMMM yyyy HH:mm:ss Z", "d MMMM yyyy HH:mm:ss z",
+                                        "d MMMM yyyy HH:mm:ss", "d MMMM yyyy HH:mm", "d MMMM yyyy"]),
+    (r"^\d{1,2} [A-Za-z]{3,9} \d{2}( |$)", ["d MMM yy HH:mm:ss Z", "d MMM yy HH:mm:ss z", "d MMM yy HH:mm:ss",
+                                             "d MMM yy HH:mm Z", "d MMM yy HH:mm z", "d MMM yy HH:mm", "d MMM yy"]),
+    (r"^[A-Za-z]{3,9} \d{1,2} \d{2}:", ["MMM d HH:mm:ss yyyy", "MMM d HH:mm:ss z yyyy", "MMM d HH:mm:ss Z yyyy"]),
+    (r"^[A-Za-z]{3,9} \d{1,2},? \d{4}", ["MMMM d, yyyy HH:mm:ss", "MMM d, yyyy HH:mm:ss", "MMMM d, yyyy h:mm a",
+                                          "MMM d, yyyy h:mm a", "MMMM d, yyyy h:mm:ss a", "MMM d, yyyy h:mm:ss a",
+                                          "MMMM d, yyyy HH:mm", "MMM d, yyyy HH:mm", "MMMM d, yyyy", "MMM d, yyyy",
                                           "MMM d yyyy", "MMMM d yyyy"]),
     (r"^\d{4}/\d{1,2}/\d{1,2}", ["yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd"]),
     (r"^\d{1,2}/\d{1,2}/\d{4}", ["MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy"]),
     (r"^\d{8}", ["yyyyMMdd'T'HHmmss'Z'", "yyyyMMdd"]),
 ]
+# Spark cannot parse weekday names.
+WEEKDAY = r"^(?:[A-Za-z]{3,9},\s*|(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*\.?\s+)"
 
 EPOCH = "1970-01-01 00:00:00"
 
@@ -38,7 +46,7 @@ EPOCH = "1970-01-01 00:00:00"
 def parse_date_text(text) -> Column:
     """Parse a date string in many formats; NULL or unparsable → NULL."""
     def body(s):
-        t = F.regexp_replace(s, r"^[A-Za-z]{3,9},\s*", "")  # Spark cannot parse weekday names
+        t = F.regexp_replace(F.regexp_replace(s, WEEKDAY, ""), r"\s+", " ")
         out = F.lit(None).cast("timestamp")
         for shape, fmts in reversed(SHAPES):
             tries = [F.try_to_timestamp(s) if f is None else F.try_to_timestamp(t, F.lit(f)) for f in fmts]

@@ -2,8 +2,9 @@
 
 Model calls are pluggable: a *model factory* is a picklable callable that
 builds a client once per task and returns ``predict(list[str]) -> list``.
-:func:`score_text` runs it with ``mapInPandas`` over Arrow batches, retries
-a failing batch with exponential backoff, and applies an error policy.
+:func:`score_text` runs it over Arrow batches of the text column, retries a
+failing batch with exponential backoff, then its rows one by one, and applies an
+error policy to the rows that still fail.
 The default offline models are native column expressions (lexicon
 sentiment, first-sentence summary) or Spark ML (hashing embedding), so
 the pipeline runs without any outside service.
@@ -12,11 +13,13 @@ the pipeline runs without any outside service.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from typing import Iterator, NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from .. import fixed
@@ -98,7 +101,19 @@ def offline_registry() -> ModelRegistry:
         return lambda texts: [None if t is None else split.split(t.strip(), 1)[0] for t in texts]
 
     def ranking():
-        return lambda texts: [None if t is None else min(10.0, 1.0 + len(t) / 2000.0) for t in texts]
+        # the lexicon's answer in the hosted model's reply format
+        import json as _json
+        import re as _re
+        good, bad, split = set(POSITIVE_WORDS), set(NEGATIVE_WORDS), _re.compile(r"[\W\d_]+")
+
+        def reply(t):
+            words = split.split((t or "").lower())
+            pos, neg = sum(w in good for w in words), sum(w in bad for w in words)
+            score = (pos - neg) / max(1, pos + neg)
+            label = ("Neutral" if pos + neg == 0 else "Positive" if score > MIXED_BAND
+                     else "Negative" if score < -MIXED_BAND else "Mixed")
+            return _json.dumps({"sentiment": label, "score": score})
+        return lambda texts: [reply(t) for t in texts]
 
     def embedding(dims):
         def factory():
@@ -139,38 +154,69 @@ def retry_call(fn: Callable, *args, retries: int = 3, delay_ms: int = 1000, back
             attempt += 1
 
 
+class ChatPrompt(NamedTuple):
+    """System prompt, user template (``{content_text}`` is the text) and the
+    reply's token limit of a hosted chat model."""
+    system: str
+    user: str = "{content_text}"
+    max_tokens: int | None = None
+
+    def request(self, text: str | None) -> dict:
+        return {"messages": [{"role": "system", "content": self.system},
+                             {"role": "user", "content": self.user.replace("{content_text}", text or "")}],
+                "max_tokens": self.max_tokens}
+
+
 def score_text(df: DataFrame, text_col: str, model_factory: Callable, out_col: str,
                out_type: str = "string", on_error: str = "null", default=None,
-               retries: int = 1, delay_ms: int = 2000, backoff: float = 1.0) -> DataFrame:
-    """Add ``out_col`` = model(text) for every row, in Arrow batches.
-
-    ``model_factory()`` runs once per task (one client per task).  A batch
-    that still fails after the retries follows ``on_error``: ``raise``
-    fails the task (Spark retries it, then the job fails), ``null`` gives
-    NULL, ``default`` gives ``default``; an ``{out_col}_error`` column
+               retries: int = 1, delay_ms: int = 2000, backoff: float = 1.0,
+               prompt: ChatPrompt | None = None) -> DataFrame:
+    """Add ``out_col`` = model(text) for every row, in Arrow batches of
+    the text column alone.
+
+    ``model_factory()`` runs once per task (one client per task).  A client with
+    a true ``chat`` attribute gets chat requests made from ``prompt`` (messages
+    and token limit), any other the bare texts.  A batch that still fails after
+    the retries is tried row by row; a row that fails follows ``on_error``:
+    ``raise`` fails the task (Spark retries it, then the job fails), ``null``
+    gives NULL, ``default`` gives ``default``; an ``{out_col}_error`` column
     keeps the message so failures can be reported once per message (A3).
     """
-    schema = StructType(list(df.schema.fields)).add(out_col, _parse_datatype_string(out_type)) \
-        .add(f"{out_col}_error", "string")
+    schema = StructType().add("value", _parse_datatype_string(out_type)).add("error", "string")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         predict = model_factory()
-        for pdf in batches:
-            texts = pdf[text_col].tolist()
-            try:
-                values, err = retry_call(predict, texts, retries=retries, delay_ms=delay_ms,
-                                         backoff=backoff), None
-            except Exception as e:  # policy decides
-                if on_error == "raise":
-                    raise
-                values = [default if on_error == "default" else None] * len(texts)
-                err = f"{type(e).__name__}: {e}"
-            out = pdf.copy()
-            out[out_col] = values
-            out[f"{out_col}_error"] = err
-            yield out
+        asks = prompt is not None and getattr(predict, "chat", False)
 
-    return df.mapInPandas(run, schema)
+        def call(some):
+            out = retry_call(predict, some, retries=retries, delay_ms=delay_ms, backoff=backoff)
+            if len(out) != len(some):
+                raise ValueError(f"the model gave {len(out)} answers to {len(some)} texts")
+            return list(out)
+
+        for texts in batches:
+            given = [prompt.request(t) for t in texts] if asks else texts.tolist()
+            try:
+                values, errors = call(given), [None] * len(given)
+            except Exception as batch_error:
+                values, errors = [], []
+                for one in given:
+                    try:
+                        if len(given) == 1:
+                            raise batch_error
+                        values += call([one])
+                        errors.append(None)
+                    except Exception as e:  # policy decides
+                        if on_error == "raise":
+                            raise
+                        values.append(default if on_error == "default" else None)
+                        errors.append(f"{type(e).__name__}: {e}")
+            yield pd.DataFrame({"value": pd.Series(values, dtype="object"), "error": pd.Series(errors, dtype="object")})
+
+    model = pandas_udf(run, schema)
+    cols = [c for c in df.columns if c not in (out_col, f"{out_col}_error")]
+    scored = df.select(*cols, model(F.col(text_col).cast("string")).alias("__scored"))
+    return scored.select(*cols, F.col("__scored.value").alias(out_col), F.col("__scored.error").alias(f"{out_col}_error"))
 
 
 def hashing_embedding(df: DataFrame, text_col: str, out_col: str = "embedding",
@@ -190,12 +236,14 @@ def enrich(entries: DataFrame, text_col: str = "summary", embed: bool = True) ->
     job (offline models; swap in :func:`score_text` for hosted ones)."""
     outputs = {"ai_summary", "sentiment", "sentiment_score", "readability", "embedding"}
     cols = [c for c in entries.columns if c.lower() not in outputs]   # outputs replace same-named inputs
-    s = entries.select(*cols, first_sentence_summary(F.col(text_col)).alias("ai_summary"))
-    s = s.select(*cols, "ai_summary", parse_sentiment_reply(sentiment_reply(F.col("ai_summary"))).alias("__sent"),
-                 readability(F.col("ai_summary")).alias("readability"))
-    s = s.select(*cols, "ai_summary", F.col("__sent.sentiment").alias("sentiment"),
-                 F.col("__sent.score").alias("sentiment_score"), "readability")
-    return hashing_embedding(s, "ai_summary") if embed else s
+    text = F.col(text_col)       # scored whole, not its summary
+    s = entries.select(*entries.columns, first_sentence_summary(text).alias("__sum"), lexicon_sentiment(text).alias("__sent"),
+                       readability(text).alias("__read"))
+    if embed:
+        s = hashing_embedding(s, text_col, "__emb")
+    return s.select(*cols, F.col("__sum").alias("ai_summary"), F.col("__sent.sentiment").alias("sentiment"),
+                    F.col("__sent.score").alias("sentiment_score"), F.col("__read").alias("readability"),
+                    *([F.col("__emb").alias("embedding")] if embed else []))
 
 
 def clean_then_enrich(items: DataFrame, text_col: str = "summary") -> DataFrame:
@@ -208,6 +256,7 @@ def improve_summary(df: DataFrame, text_col: str, model_factory: Callable, out_c
                     **policy) -> DataFrame:
     """Model summary of ``text_col``; the reply is stripped."""
     from ..functions._regex import strip_ws
+    policy.setdefault("prompt", ChatPrompt(fixed.SUMMARY_SYSTEM_PROMPT, max_tokens=fixed.SUMMARY_MAX_TOKENS))
     s = score_text(df, text_col, model_factory, out_col, **policy)
     return s.withColumn(out_col, strip_ws(F.col(out_col)))
 
@@ -215,6 +264,7 @@ def improve_summary(df: DataFrame, text_col: str, model_factory: Callable, out_c
 def analyze_sentiment(df: DataFrame, text_col: str, model_factory: Callable, **policy) -> DataFrame:
     """Model reply ``{"sentiment", "score"}`` parsed (F21); a failed
     call or a bad reply gives (Error, 0.0)."""
+    policy.setdefault("prompt", ChatPrompt(fixed.SENTIMENT_SYSTEM_PROMPT, max_tokens=fixed.SENTIMENT_MAX_TOKENS))
     s = score_text(df, text_col, model_factory, "__reply", **policy)
     p = parse_sentiment_reply(F.col("__reply"))
     return (s.withColumn("sentiment", p["sentiment"]).withColumn("sentiment_score", p["score"])
@@ -227,12 +277,22 @@ def generate_embedding(df: DataFrame, text_col: str, model_factory: Callable, ou
     return score_text(df, text_col, model_factory, out_col, "array<float>", **policy)
 
 
+def rank_content(df: DataFrame, text_col: str, model_factory: Callable, out_col: str = "ranking", **policy) -> DataFrame:
+    """U3d: summary and score 1..10 in one reply, asked with the engagement prompt
+    pair; parsed by F22 into ``{out_col}`` = struct(summary, score, ok)."""
+    from ..functions.structured import parse_summary_reply
+    policy.setdefault("prompt", ChatPrompt(fixed.ENGAGEMENT_SYSTEM_PROMPT, fixed.ENGAGEMENT_USER_TEMPLATE))
+    s = score_text(df, text_col, model_factory, out_col, **policy)
+    return s.withColumn(out_col, parse_summary_reply(out_col))
+
+
 def enrich_with_models(entries: DataFrame, registry: ModelRegistry, text_col: str = "summary",
-                       **policy) -> DataFrame:
+                       summary_role: str = "MODEL_SUMMARY", embedding_role: str = "EMBEDDING_FAST", **policy) -> DataFrame:
     """U3e with U3f routing: summary → sentiment → readability → embedding
-    with the registry's models; roles are checked before any work."""
-    registry.require("MODEL_SUMMARY", "MODEL_RANKING", "EMBEDDING_FAST")
-    s = improve_summary(entries, text_col, registry["MODEL_SUMMARY"], **policy)
+    with the registry's models; roles are checked before any work.  The light
+    summary model and the deep embedding are chosen by their role's name."""
+    registry.require(summary_role, "MODEL_RANKING", embedding_role)
+    s = improve_summary(entries, text_col, registry[summary_role], **policy)
     s = analyze_sentiment(s, "ai_summary", registry["MODEL_RANKING"], **policy)
     s = s.withColumn("readability", readability(F.col("ai_summary")))
-    return generate_embedding(s, "ai_summary", registry["EMBEDDING_FAST"], **policy)
+    return generate_embedding(s, "ai_summary", registry[embedding_role], **policy)

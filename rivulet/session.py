@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -17,16 +18,19 @@ CORE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "rivulet", extra: dict | None = None) -> SparkSession:
-    """Create (or reuse) a session with the engine's settings applied."""
-    builder = SparkSession.builder.master(master).appName(app_name)
+    """Create (or reuse) a session with the engine's settings applied.  Master
+    and shuffle partitions are the submit command's unless they are given."""
+    builder = SparkSession.builder.appName(app_name)
+    if master:
+        builder = builder.master(master)
     conf = dict(CORE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf["spark.ui.enabled"] = "false"
     conf.update(extra or {})
     for k, v in conf.items():
@@ -38,19 +42,16 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 
 
 def apply_core_conf(spark: SparkSession) -> None:
-    """Apply the runtime-settable part of CORE_CONF to an existing session."""
+    """Apply CORE_CONF (settings that may change at run time) to a session."""
     for k, v in CORE_CONF.items():
-        try:
-            spark.conf.set(k, v)
-        except Exception:  # static conf on a running session: leave it
-            pass
+        spark.conf.set(k, v)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting names a shared folder and is used as is.  Only
-    when it is unset (tests, local runs) a folder of our own is created.
+    On a cluster that setting must name a shared folder and is used as is.
+    Only a local session without it (tests) gets a folder of its own.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -58,6 +59,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():   # named in conf only: make checkpoint() use it
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="rivulet-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

@@ -107,3 +107,50 @@ def test_enrich_with_models(spark):
     assert len(out["Plain text."].embedding) == 64
     with pytest.raises(ValueError):
         E.enrich_with_models(df, E.ModelRegistry(MODEL_SUMMARY=summary))
+
+
+def test_one_bad_row_of_five_gives_one_null(spark):
+    def fussy():
+        def predict(texts):
+            if any("bad" in t for t in texts):
+                raise RuntimeError("cannot read this")
+            return [t.upper() for t in texts]
+        return predict
+    df = spark.createDataFrame([(t,) for t in ("a", "b", "bad", "c", "d")], "t string").coalesce(1)
+    out = {r.t: (r.u, r.u_error) for r in E.score_text(df, "t", fussy, "u", retries=0, delay_ms=0).collect()}
+    assert out == {"a": ("A", None), "b": ("B", None), "c": ("C", None), "d": ("D", None), "bad": (None, "RuntimeError: cannot read this")}
+
+
+def test_offline_registry_runs_whole_enrichment(spark):
+    df = spark.createDataFrame([("A good day. More.",), ("bad and awful",)], "summary string")
+    for roles in ({}, {"summary_role": "MODEL_SUMMARY_LIGHT", "embedding_role": "EMBEDDING_DEEP"}):
+        out = {r.ai_summary: r for r in E.enrich_with_models(df, E.offline_registry(), retries=0, delay_ms=0, **roles).collect()}
+        assert (out["A good day."].sentiment, out["A good day."].sentiment_score) == ("Positive", 1.0)
+        assert out["bad and awful"].sentiment == "Negative"
+        assert len(out["A good day."].embedding) == (256 if roles else 64)
+
+
+def test_prompts_and_token_limits_reach_chat_clients(spark):
+    def echo():
+        import json as _j
+
+        class Client:
+            chat = True
+
+            def __call__(self, requests):
+                return [_j.dumps(r) for r in requests]
+        return Client()
+    import json
+    from rivulet import fixed
+    df = spark.createDataFrame([("Some text.",)], "t string")
+    r = json.loads(E.improve_summary(df, "t", echo, retries=0, delay_ms=0).first().ai_summary)
+    assert r == {"messages": [{"role": "system", "content": fixed.SUMMARY_SYSTEM_PROMPT}, {"role": "user", "content": "Some text."}],
+                 "max_tokens": fixed.SUMMARY_MAX_TOKENS}
+    prompt = E.ChatPrompt(fixed.ENGAGEMENT_SYSTEM_PROMPT, fixed.ENGAGEMENT_USER_TEMPLATE)
+    r = json.loads(E.score_text(df, "t", echo, "o", prompt=prompt, retries=0, delay_ms=0).first().o)
+    assert "Some text." in r["messages"][1]["content"] and "{content_text}" not in r["messages"][1]["content"]
+
+
+def test_whole_text_is_scored(spark):
+    df = spark.createDataFrame([("A plain start. Then a good day.",)], "summary string")
+    assert E.enrich(df).first().sentiment == "Positive"

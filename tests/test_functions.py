@@ -267,3 +267,14 @@ def test_markdown_to_html_images_and_paragraphs(spark):
     assert "<p>Intro line with <em>it</em> &amp; more.</p>" in html
     assert '<img alt="pic" src="i.png" />' in html and "<h2>Sub</h2>" in html
     assert "<ul>\n<li>one</li>\n<li>two</li>\n</ul>" in html and html.endswith("<p>End.</p>")
+
+
+def test_more_date_forms(spark):
+    from datetime import datetime
+
+    from rivulet.functions.dates import parse_date
+    forms = {"Wed Feb 26 18:42:40 2025": datetime(2025, 2, 26, 18, 42, 40), "26 February 2025 18:42:40": datetime(2025, 2, 26, 18, 42, 40),
+             "26 Feb 25 10:00:00 GMT": datetime(2025, 2, 26, 10), "Wed, 26 Feb 25 10:00:00 +0200": datetime(2025, 2, 26, 8),
+             "Feb 26, 2025 6:42 PM": datetime(2025, 2, 26, 18, 42), "Wednesday, February 26, 2025 6:42:05 AM": datetime(2025, 2, 26, 6, 42, 5)}
+    df = spark.createDataFrame([(k,) for k in forms], "x string")
+    assert {r.x: r.d for r in df.select("x", parse_date("x").alias("d")).collect()} == forms
