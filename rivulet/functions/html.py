@@ -23,12 +23,13 @@ _ANY_OPEN_TAG = r"<[A-Za-z]"
 # Ordered (pattern, replacement) pairs; {1} is group 1.
 HTML_TO_MARKDOWN_RULES = [
     # drop comments and content-free blocks
-    (r"(?s)<!--.*?-->", ""),
-    (r"(?is)<head\b[^>]*>.*?</head\s*>", ""),
-    (r"(?is)<script\b[^>]*>.*?</script\s*>", ""),
-    (r"(?is)<style\b[^>]*>.*?</style\s*>", ""),
-    (r"(?is)<noscript\b[^>]*>.*?</noscript\s*>", ""),
-    (r"(?is)<title\b[^>]*>.*?</title\s*>", ""),
+    (r"(?is)<!--.*?-->|<head\b[^>]*>.*?</head\s*>|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
+     r"|<noscript\b[^>]*>.*?</noscript\s*>|<title\b[^>]*>.*?</title\s*>", ""),
+    # attributes of links and images in double quotes (an image has two)
+    (r"(?is)(<(?:a|img)\b[^>]*?\b(?:href|src|alt))\s*=\s*'([^'\">]*)'", "{1}=\"{2}\""),
+    (r"(?is)(<img\b[^>]*?\b(?:src|alt))\s*=\s*'([^'\">]*)'", "{1}=\"{2}\""),
+    (r"(?is)(<(?:a|img)\b[^>]*?\b(?:href|src|alt))\s*=\s*([^\s\"'>]+)", "{1}=\"{2}\""),
+    (r"(?is)(<img\b[^>]*?\b(?:src|alt))\s*=\s*([^\s\"'>]+)", "{1}=\"{2}\""),
     # headings
     (r"(?i)<h1\b[^>]*>", "\n\n# "),
     (r"(?i)<h2\b[^>]*>", "\n\n## "),
@@ -83,21 +84,33 @@ ENTITY_RULES = [
 ]
 
 MARKDOWN_TO_HTML_RULES = [
+    # a bare ampersand is escaped, an entity stays
     (r"&", "&amp;"),
+    (r"&amp;(#?[A-Za-z0-9]+;)", "&{1}"),
     (r"(?m)^###### (.*)$", "<h6>{1}</h6>"),
     (r"(?m)^##### (.*)$", "<h5>{1}</h5>"),
     (r"(?m)^#### (.*)$", "<h4>{1}</h4>"),
     (r"(?m)^### (.*)$", "<h3>{1}</h3>"),
     (r"(?m)^## (.*)$", "<h2>{1}</h2>"),
     (r"(?m)^# (.*)$", "<h1>{1}</h1>"),
+    # emphasis before links, never inside a word or an address; twice, as neighbours share their space
+    (r"\*\*([^*\n]+)\*\*", "<strong>{1}</strong>"),
+    (r"(?m)(^|[\s(\[>])_([^_\n]+)_($|[\s)\].,;:!?<])", "{1}<em>{2}</em>{3}"),
+    (r"(?m)(^|[\s(\[>])_([^_\n]+)_($|[\s)\].,;:!?<])", "{1}<em>{2}</em>{3}"),
+    (r"`([^`\n]+)`", "<code>{1}</code>"),
     (r"!\[([^\]]*)\]\(([^)]*)\)", "<img alt=\"{1}\" src=\"{2}\" />"),
     (r"\[([^\]]*)\]\(([^)]*)\)", "<a href=\"{2}\">{1}</a>"),
-    (r"\*\*([^*\n]+)\*\*", "<strong>{1}</strong>"),
-    (r"_([^_\n]+)_", "<em>{1}</em>"),
     (r"(?m)^[ \t]*[*+-] (.*)$", "<li>{1}</li>"),
     (r"</li>\z", "</li>\n"),
     (r"((?:<li>.*</li>\n)+)", "<ul>\n{1}</ul>\n"),
-    (r"(?m)^([^<\n][^\n]*)$", "<p>{1}</p>"),
+    (r"(?m)^[ \t]*[0-9]{1,9}[.)] (.*)$", "<oli>{1}</oli>"),
+    (r"</oli>\z", "</oli>\n"),
+    (r"((?:<oli>.*</oli>\n)+)", "<ol>\n{1}</ol>\n"),
+    (r"<(/?)oli>", "<{1}li>"),
+    (r"(?m)^> ?(.*)$", "<blockquote>{1}</blockquote>"),
+    (r"</blockquote>\n<blockquote>", "<br />"),
+    # a line that starts with text or inline markup is a paragraph
+    (r"(?m)^([^<\n][^\n]*|<(?:strong|em|a|img|code)\b[^\n]*)$", "<p>{1}</p>"),
     (r"\n{2,}", "\n"),
 ]
 

@@ -133,6 +133,26 @@ def rules_from_list_schema(schema_json: str | dict) -> dict[str, Column]:
     return rules
 
 
+def to_list_values(df: DataFrame, schema_json: str | dict) -> DataFrame:
+    """Rows as the list takes them: NULLs become the field's ``default`` where the
+    schema names one, and an engine's ``Comment`` the list's ``Commented``."""
+    spec = json.loads(schema_json) if isinstance(schema_json, str) else schema_json
+    out = {}
+    for f in spec.get("fields", []):
+        name = f["display_name"]
+        if name not in df.columns:
+            continue
+        kind, col = df.schema[name].dataType, F.col(name)
+        if "Commented" in f.get("allowed_values", []) and kind.typeName() == "array":
+            col = F.transform(col, lambda x: F.when(x == "Comment", F.lit("Commented")).otherwise(x))
+        default = f.get("default")
+        if default is not None:
+            value = F.array(*[F.lit(x) for x in default]) if isinstance(default, list) else F.lit(default)
+            col = F.coalesce(col, value.cast(kind))
+        out[name] = col
+    return df.withColumns(out) if out else df
+
+
 def validate(df: DataFrame, rules: dict[str, Column], out: str = "violations") -> DataFrame:
     """Add ``violations``: the names of the broken rules, in rule order."""
     flagged = [F.when(pred, F.lit(name)) for name, pred in rules.items()]

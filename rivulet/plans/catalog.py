@@ -356,8 +356,8 @@ def engagement_score(spark, sf_dir):
 
 @query
 def prompt_render(spark, sf_dir):
-    """F10f + F10g: the engagement prompt pair for every user turn."""
-    c = load(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    """F10f + F10g: the engagement prompt pair for every turn."""
+    c = load(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", F.lit(fixed.ENGAGEMENT_SYSTEM_PROMPT).alias("system"),
                     RF.render_prompt("text").alias("prompt"), RF.preview("text").alias("preview"))
 
@@ -574,9 +574,9 @@ def sentiment_lexicon(spark, sf_dir):
 @query
 def model_reply_parse(spark, sf_dir):
     """replies parsed — user turns answered by the offline model in
-    the reply format, assistant turns are free text (→ Error, 0.0)."""
+    the reply format, other turns are free text (→ Error, 0.0)."""
     from ..operators.enrich import sentiment_reply
-    c = load(spark, sf_dir, "conversations").filter(F.col("role").isin("user", "assistant"))
+    c = load(spark, sf_dir, "conversations")
     reply = F.when(F.col("role") == "user", sentiment_reply("text")).otherwise(F.col("text"))
     return _expand(c, ["conv_id", "turn"], RF.parse_sentiment_reply(reply),
                    [("sentiment", "sentiment"), ("score", "score")])
@@ -609,7 +609,7 @@ def _batch_summary_model():
             if t is None:
                 out.append(None)
                 continue
-            first = split.split(t.strip(), 1)[0][: fixed.MAX_SUMMARY_CHARACTERS]
+            first = split.split(t.strip(), 1)[0]
             out.append(_json.dumps({"summary": first, "score": min(10, 1 + len(t) // 2000)}))
         return out
     return predict
@@ -617,8 +617,8 @@ def _batch_summary_model():
 
 @query
 def model_batch_score(spark, sf_dir):
-    """Pluggable batch scoring (mapInPandas, one model per task,
-    retry + error policy) over whole documents, replies parsed (F22)."""
+    """Pluggable batch scoring (Arrow batches, one model per task,
+    retry + error policy per row) over whole documents, replies parsed (F22)."""
     from ..operators.enrich import score_text
     d = load(spark, sf_dir, "documents").select("doc_id", "text")
     s = score_text(d, "text", _batch_summary_model, "reply", on_error="null", retries=1, delay_ms=100)
@@ -628,12 +628,14 @@ def model_batch_score(spark, sf_dir):
 
 @query
 def enrich_pipeline(spark, sf_dir):
-    """U3e: cleaned summary → summary → sentiment → readability →
-    embedding (Spark ML hashing) for every document."""
+    """U3e: every document's cleaned summary → summary, sentiment, readability and
+    embedding (Spark ML hashing, reported by its size and length)."""
     from ..operators.enrich import enrich
     d = load(spark, sf_dir, "documents").select("doc_id", RF.clean_summary("text").alias("summary"))
     e = enrich(d, "summary")
-    return e.select("doc_id", "ai_summary", "sentiment", "sentiment_score", "readability", "embedding")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return e.select("doc_id", "ai_summary", "sentiment", "sentiment_score", "readability",
+                    _size("embedding").alias("n_dims"), F.round(norm, 3).alias("norm"))
 
 
 @query

@@ -17,9 +17,9 @@ from ..functions.text import readability
 from ..operators.conform import (conform_frame13, conform_list15, drop_missing_ids, frame_table_rows,
                                  list_column_map)
 from ..operators.enrich import ModelRegistry, enrich, enrich_with_models
-from ..operators.validate import rules_from_list_schema
+from ..operators.validate import rules_from_list_schema, to_list_values
 from ..sources.feeds import load_feed_config, parse_feed_xml
-from ..sources.store import KeyedTable, publish_new_rows
+from ..sources.store import KeyedTable, publish_new_rows, quarantine_rows
 from ..streaming.ingest import run_pipeline as daily_job  # noqa: F401
 
 
@@ -41,6 +41,11 @@ def frame_job(spark: SparkSession, config_path: str, landed: DataFrame, table_pa
          .withColumn("Readability_FK", readability(F.col("Summary"))) \
          .withColumn("Embeddings", F.col("embedding").cast("array<float>"))
     rows = frame_table_rows(e)
+    # a date that does not parse gives no month: set aside, not stored under NULL
+    dated = F.col("PartitionKey").isNotNull()
+    aside = rows.withColumn("violations", F.when(dated, F.array().cast("array<string>")).otherwise(F.array(F.lit("date_unparsable"))))
+    quarantine_rows(aside, f"{table_path.rstrip('/')}_quarantine")
+    rows = rows.filter(dated)
     KeyedTable(spark, table_path, ["PartitionKey", "RowKey"], partition_col="PartitionKey",
                buckets=buckets).upsert(rows)
     return rows
@@ -51,6 +56,6 @@ def publish_job(items: DataFrame, list_path: str, column_meta: DataFrame, list_s
     """Items → list rows (P4) → the list's internal column names
     → rules of the list schema (V18) → append the rows whose Entry_ID is
     new (J1, S14).  Returns how many rows were appended."""
-    rows = conform_list15(items)
+    rows = to_list_values(conform_list15(items), list_schema)
     rename = {r.display_name: r.name for r in list_column_map(column_meta).collect()}  # metadata
     return publish_new_rows(rows, list_path, rename, rules_from_list_schema(list_schema), quarantine_path)

@@ -312,7 +312,7 @@ SQL["prompt_render"] = f"""
 SELECT conv_id, turn, {sql_str(fixed.ENGAGEMENT_SYSTEM_PROMPT)} AS system,
        replace({sql_str(fixed.ENGAGEMENT_USER_TEMPLATE)}, '{{content_text}}', text) AS prompt,
        substring(text, 1, {fixed.TEXT_PREVIEW_CHARS}) AS preview
-FROM conversations WHERE role = 'user'
+FROM conversations
 """
 
 
@@ -456,7 +456,7 @@ SQL["model_reply_parse"] = f"""
 SELECT conv_id, turn,
        CASE WHEN role = 'user' THEN {lexicon_label('s')} ELSE 'Error' END AS sentiment,
        CASE WHEN role = 'user' THEN s.score ELSE CAST(0.0 AS DOUBLE) END AS score
-FROM (SELECT conv_id, turn, role, {lexicon('text')} AS s FROM conversations WHERE role IN ('user', 'assistant'))
+FROM (SELECT conv_id, turn, role, {lexicon('text')} AS s FROM conversations)
 """
 
 from ..functions.html import MARKDOWN_TO_HTML_RULES  # noqa: E402
@@ -508,3 +508,22 @@ SELECT e.vec_id, {partition_key('d.source')} AS partition_key, CAST(e.label AS D
                            THEN 'engagement_score_range' END) AS violations
 FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id
 """
+
+SQL["model_batch_score"] = """
+WITH t AS (SELECT doc_id, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM documents)
+SELECT doc_id, CAST(NULL AS VARCHAR) AS reply_error,
+       CASE WHEN regexp_matches(s, '(?s)[.!?]\\s') THEN regexp_extract(s, '(?s)^(.*?[.!?])\\s', 1) ELSE s END AS summary,
+       CAST(least(10, 1 + length(text) // 2000) AS DOUBLE) AS score
+FROM t
+"""
+
+SQL["enrich_pipeline"] = f"""
+WITH {clean_summary_ctes('documents', 'doc_id', 'text')},
+f AS (SELECT cid, summary, {sentences('summary')}[1] AS first, {lexicon('summary')} AS s,
+             len(list_filter(string_split_regex(lower(summary), '[^\\p{{L}}]+'), lambda x: x <> '')) AS n_tokens FROM cs),
+g AS (SELECT *, CASE WHEN first IS NULL OR length(first) > {fixed.MAX_SUMMARY_CHARACTERS} THEN '' ELSE {sql_strip_ws('first')} END AS one FROM f)
+SELECT cid AS doc_id, upper(substring(one, 1, 1)) || lower(substring(one, 2)) AS ai_summary,
+       {lexicon_label('s')} AS sentiment, s.score AS sentiment_score, {readability('summary')} AS readability,
+       CAST(64 AS BIGINT) AS n_dims, CASE WHEN n_tokens > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm
+FROM g
+"""

@@ -160,7 +160,8 @@ def read_list_export(spark: SparkSession, path: str) -> DataFrame:
         "Author", "Keywords", "Sentiment", "Readability_Score", "Engagement_Score",
         str_to_bool(F.col("Processed")).alias("Processed"),
         F.when(et.isNull() | (et == "None"), F.array().cast("array<string>"))
-        .otherwise(F.array(F.when(et == "Commented", F.lit("Comment")).otherwise(et))).alias("Engagement_Type"),
+        .otherwise(F.transform(F.split(et, r",\s*"), lambda x: F.when(x == "Commented", F.lit("Comment")).otherwise(x)))
+        .alias("Engagement_Type"),
         (F.col("Response_Received") == "Engaged").alias("Response_Received"),
     )
 

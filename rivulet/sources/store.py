@@ -270,12 +270,12 @@ def create_posts(spark: SparkSession, raw: DataFrame, path: str, quarantine_path
     v = validate(build_posts(raw), post_rules())
     good = v.filter(F.size("violations") == 0).drop("violations")
     if quarantine_path:
-        _quarantine(v, quarantine_path)
+        quarantine_rows(v, quarantine_path)
     KeyedTable(spark, path, ["partition_key", "row_key"]).upsert(good)
     return good
 
 
-def _quarantine(validated: DataFrame, path: str) -> None:
+def quarantine_rows(validated: DataFrame, path: str) -> None:
     """Rows that break a rule, appended once: a row that is there already (same
     values, same violations) is not added by a re-run."""
     spark = validated.sparkSession
@@ -302,7 +302,7 @@ def publish_new_rows(rows: DataFrame, list_path: str, rename: dict[str, str], ru
     v = validate(rows, rules)
     good = v.filter(F.size("violations") == 0).drop("violations")
     if quarantine_path:
-        _quarantine(v, quarantine_path)
+        quarantine_rows(v, quarantine_path)
     out = rename_columns(good, rename)
     internal_key = rename.get(key, key)
     out = last_write_wins(out, [internal_key], [c for c in out.columns if c != internal_key

@@ -278,3 +278,28 @@ def test_more_date_forms(spark):
              "Feb 26, 2025 6:42 PM": datetime(2025, 2, 26, 18, 42), "Wednesday, February 26, 2025 6:42:05 AM": datetime(2025, 2, 26, 6, 42, 5)}
     df = spark.createDataFrame([(k,) for k in forms], "x string")
     assert {r.x: r.d for r in df.select("x", parse_date("x").alias("d")).collect()} == forms
+
+
+def test_html_attributes_and_markdown_blocks(spark):
+    h = [("<a href='https://e.com/x'>one</a> <a href=https://e.com/y>two</a>", "[one](https://e.com/x) [two](https://e.com/y)"),
+         ("<img src='a.png' alt='A'><img alt=B src=b.png>", "![A](a.png)![B](b.png)")]
+    for html, md in h:
+        assert one(spark, RF.html_to_markdown("x"), (html,)) == [md]
+    m = [("[x](https://e.com/a_b_c) and snake_case_word", '<p><a href="https://e.com/a_b_c">x</a> and snake_case_word</p>'),
+         ("_one_ _two_ &copy; A & B", "<p><em>one</em> <em>two</em> &copy; A &amp; B</p>"),
+         ("1. a\n2. b", "<ol>\n<li>a</li>\n<li>b</li>\n</ol>"),
+         ("> said\n> twice", "<blockquote>said<br />twice</blockquote>"),
+         ("**bold** start and `code`", "<p><strong>bold</strong> start and <code>code</code></p>")]
+    for md, html in m:
+        assert one(spark, RF.markdown_to_html("x"), (md,)) == [html]
+
+
+def test_list_values_and_blob_types(spark):
+    from rivulet.operators.validate import rules_from_list_schema, to_list_values, validate
+    spec = {"fields": [{"display_name": "Engagement_Type", "type": "Choice (Multi-select)", "allowed_values": ["Shared", "Liked", "Commented"]},
+                       {"display_name": "Author", "type": "Single Line of Text", "default": "nobody", "nullable": False}]}
+    df = spark.createDataFrame([(["Comment", "Liked"], None)], "Engagement_Type array<string>, Author string")
+    out = validate(to_list_values(df, spec), rules_from_list_schema(spec)).first()
+    assert (out.Engagement_Type, out.Author, out.violations) == (["Commented", "Liked"], "nobody", [])
+    from rivulet.sources.feeds import TEXT_TYPES
+    assert "application/xhtml+xml" in TEXT_TYPES and "application/javascript" not in TEXT_TYPES
