@@ -646,3 +646,109 @@ def frame_rows(spark, sf_dir):
     rows = frame_table_rows(conform_frame13(_items(spark, sf_dir), fill_nulls=True))
     return rows.select("PartitionKey", "Title", "URL", "Sentiment", "Readability", "Embedding",
                        F.length("RowKey").cast("long").alias("row_key_len"))
+
+
+# ------------------------------------- rules on rows that break them --
+# Columns of the given tables stand in for fields, so that every rule both
+# holds and fails on some rows.
+
+def _spaced_key(d):
+    return F.when(d.lang == "fr", F.concat_ws(" ", d.source, d.lang)).otherwise(d.source)
+
+
+@query
+def feed_rules_broken(spark, sf_dir):
+    """V1, V4-V7, V10 on feed rows with long, missing and malformed fields."""
+    from ..operators.validate import feed_rules, validate
+    d = load(spark, sf_dir, "documents")
+    rows = d.select("doc_id", _spaced_key(d).alias("partition_key"), d.text.alias("title"),
+                    F.when(d.lang != "de", F.lit("https://e.com/")).alias("link"),
+                    F.when(d.lang == "es", F.upper("lang")).otherwise(d.lang).alias("language"),
+                    d.text.alias("publisher"), d.text.alias("rights"), d.text.alias("subtitle"),
+                    F.when(d.lang != "es", F.lit("2025-02-26").cast("timestamp")).alias("updated"))
+    return validate(rows, feed_rules()).select("doc_id", _joined("violations").alias("violations"))
+
+
+@query
+def entry_rules_broken(spark, sf_dir):
+    """V1-V5, V8-V10 on entry rows with long, missing and malformed fields."""
+    from ..operators.validate import entry_rules, validate
+    d = load(spark, sf_dir, "documents")
+    first = RF.first_line("text")
+    rows = d.select("doc_id", _spaced_key(d).alias("partition_key"), F.when(d.lang != "de", first).alias("id"),
+                    F.when(d.lang == "es", F.lit("not-a-key")).otherwise(F.substring(F.md5("text"), 1, 16)).alias("feed_key"),
+                    first.alias("title"), F.when(d.lang != "de", F.lit("https://e.com/")).alias("link"),
+                    first.alias("author"), d.text.alias("summary"),
+                    F.when(d.lang != "fr", F.lit("2025-02-26").cast("timestamp")).alias("published"))
+    return validate(rows, entry_rules()).select("doc_id", _joined("violations").alias("violations"))
+
+
+@query
+def enrichment_rules_broken(spark, sf_dir):
+    """V1, V9, V11-V14 on scores out of range and category sets of all kinds."""
+    from ..operators.validate import enrichment_rules, validate
+    d = load(spark, sf_dir, "documents")
+    cats = (F.when(d.lang == "en", F.array(F.lit("Liked"), F.lit("Comment"))).when(d.lang == "fr", F.array(F.lit("Bogus")))
+            .when(d.lang == "de", F.array().cast("array<string>")))
+    rows = d.select("doc_id", _spaced_key(d).alias("partition_key"), d.text.alias("row_key"), d.text.alias("summary"),
+                    (d.n_chars / 200).alias("grade_level"), (d.n_chars / 400).alias("difficulty"),
+                    (d.n_chars / 500).alias("engagement_score"), cats.alias("engagement_categories"))
+    return validate(rows, enrichment_rules()).select("doc_id", _joined("violations").alias("violations"))
+
+
+@query
+def post_rules_broken(spark, sf_dir):
+    """V4, V15-V17, F3, F12 on post drafts made from conversation turns."""
+    from ..operators.entities import build_posts
+    from ..operators.validate import post_rules, validate
+    c = load(spark, sf_dir, "conversations")
+    raw = c.select(F.concat_ws(" ", c.conv_id.cast("string"), c.turn.cast("string"), c.text).alias("title"),
+                   F.when(c.role == "user", F.lit("2025-02-26 18:42:40")).when(c.role == "assistant", F.lit("soon")).alias("draft_date"),
+                   F.split("text", " ").alias("keywords"), c.text.alias("content"),
+                   F.when(c.role == "user", F.array(F.lit(fixed.DRAFT_STATUSES[0]))).when(c.role == "assistant", F.array(F.lit("Unknown")))
+                   .otherwise(F.array(*[F.lit(x) for x in fixed.DRAFT_STATUSES])).alias("draft_status"))
+    v = validate(build_posts(raw), post_rules())
+    return (v.groupBy("partition_key", _joined("violations").alias("violations"))
+            .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("row_key").isNotNull()).alias("n_keyed")))
+
+
+@query
+def content_rules_broken(spark, sf_dir):
+    """V20 on missing, empty, sentinel and real content."""
+    from ..operators.validate import content_rules, validate
+    d = load(spark, sf_dir, "documents")
+    content = (F.when(d.lang == "de", F.lit("")).when(d.lang == "es", F.lit(fixed.MISSING_CONTENT_SENTINEL))
+               .when(d.lang == "en", d.text))
+    return (validate(d.select("doc_id", content.alias("content")), content_rules())
+            .select("doc_id", _joined("violations").alias("violations")))
+
+
+@query
+def upsert_duplicate_keys(spark, sf_dir):
+    """S10 + A2: a stored table takes a batch that holds each key many times; the
+    last row of a key wins, and a NULL keeps what is stored."""
+    import uuid
+    from ..session import scratch_path
+    from ..sources.store import KeyedTable
+    d = load(spark, sf_dir, "documents")
+    path = scratch_path(spark, f"upsert-{uuid.uuid4().hex}")
+    keys = [F.col("source").alias("partition_key"), F.col("lang").alias("row_key")]
+    table = KeyedTable(spark, path, ["partition_key", "row_key"], seq_cols=["seq"])
+    table.upsert(d.select(*keys, F.col("doc_id").alias("seq"), F.col("doc_id").alias("last_doc"), F.lit("first").alias("note")))
+    table.upsert(d.where(F.col("lang") != "de").select(*keys, F.col("n_chars").alias("seq"), F.col("n_chars").alias("last_doc"),
+                                                      F.lit(None).cast("string").alias("note")))
+    return table.read().select("partition_key", "row_key", "last_doc", "note")
+
+
+@query
+def feed_accounting(spark, sf_dir):
+    """What becomes of every landed document: feed documents (from the
+    documents) and web pages landed in their place; nothing is lost."""
+    from ..sources.feeds import parse_feed_xml, rss_document
+    d, p = load(spark, sf_dir, "documents"), load(spark, sf_dir, "pages")
+    landed = (d.select(F.lit("document").alias("origin"), F.concat(F.lit("d"), d.doc_id.cast("string")).alias("feed_url"), rss_document(d).alias("xml"))
+              .unionByName(p.select(F.lit("page").alias("origin"), F.concat(F.lit("p"), p.page_id.cast("string")).alias("feed_url"), p.html.alias("xml"))))
+    items = parse_feed_xml(landed, "xml")
+    outcome = (F.when(~F.col("parsed"), F.lit("document_unparsable")).when(F.col("item_pos").isNull(), F.lit("no_items"))
+               .when(F.col("id").isNull(), F.lit("item_without_id")).otherwise(F.lit("item")))
+    return items.groupBy("origin", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))

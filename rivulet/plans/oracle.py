@@ -527,3 +527,72 @@ SELECT cid AS doc_id, upper(substring(one, 1, 1)) || lower(substring(one, 2)) AS
        CAST(64 AS BIGINT) AS n_dims, CASE WHEN n_tokens > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm
 FROM g
 """
+
+_SPACED = "CASE WHEN lang = 'fr' THEN source || ' ' || lang ELSE source END"
+_KEY_BAD = f"CASE WHEN lang = 'fr' OR NOT regexp_matches(source, {sql_str(fixed.KEY_PATTERN)}) THEN 'partition_key_pattern' END"
+
+SQL["feed_rules_broken"] = f"""
+SELECT doc_id, concat_ws('|', {_KEY_BAD},
+  CASE WHEN length(text) < 1 OR length(text) > 200 THEN 'title_length' END,
+  CASE WHEN lang = 'de' THEN 'link_not_http_url' END,
+  CASE WHEN lang = 'es' THEN 'language_pattern' END,
+  CASE WHEN length(text) < 1 OR length(text) > 200 THEN 'publisher_length' END,
+  CASE WHEN length(text) > 500 THEN 'rights_length' END,
+  CASE WHEN length(text) > 500 THEN 'subtitle_length' END,
+  CASE WHEN lang = 'es' THEN 'updated_unparsable' END) AS violations
+FROM documents
+"""
+
+SQL["entry_rules_broken"] = f"""
+SELECT doc_id, concat_ws('|', {_KEY_BAD},
+  CASE WHEN lang = 'de' OR length(f) < 1 OR length(f) > 200 THEN 'id_length' END,
+  CASE WHEN lang = 'es' THEN 'feed_key_pattern' END,
+  CASE WHEN length(f) < 1 OR length(f) > 200 THEN 'title_length' END,
+  CASE WHEN lang = 'de' THEN 'link_not_http_url' END,
+  CASE WHEN length(f) > 50 THEN 'author_length' END,
+  CASE WHEN length(text) > 2000 THEN 'summary_length' END,
+  CASE WHEN lang = 'fr' THEN 'published_unparsable' END) AS violations
+FROM (SELECT *, {first_line('text')} AS f FROM documents)
+"""
+
+SQL["enrichment_rules_broken"] = f"""
+SELECT doc_id, concat_ws('|', {_KEY_BAD},
+  CASE WHEN NOT regexp_matches(text, '^[a-zA-Z0-9_-]+$') THEN 'row_key_pattern' END,
+  CASE WHEN length(text) > 2000 THEN 'summary_length' END,
+  CASE WHEN NOT n_chars / 200 BETWEEN {fixed.GRADE_LEVEL_RANGE[0]} AND {fixed.GRADE_LEVEL_RANGE[1]} THEN 'grade_level_range' END,
+  CASE WHEN NOT n_chars / 400 BETWEEN {fixed.DIFFICULTY_RANGE[0]} AND {fixed.DIFFICULTY_RANGE[1]} THEN 'difficulty_range' END,
+  CASE WHEN NOT n_chars / 500 BETWEEN {fixed.ENGAGEMENT_SCORE_RANGE[0]} AND {fixed.ENGAGEMENT_SCORE_RANGE[1]} THEN 'engagement_score_range' END,
+  CASE WHEN lang IN ('fr', 'de') THEN 'engagement_categories' END) AS violations
+FROM documents
+"""
+
+SQL["post_rules_broken"] = """
+SELECT partition_key, violations, count(*) AS n,
+       count(*) FILTER (WHERE role = 'user' AND text <> '') AS n_keyed
+FROM (
+  SELECT role, text, CASE WHEN role = 'user' THEN '2025-02' END AS partition_key, concat_ws('|',
+    CASE WHEN length(concat_ws(' ', conv_id, turn, text)) > 100 THEN 'title_length' END,
+    CASE WHEN len(string_split(text, ' ')) > 10 THEN 'keywords_size' END,
+    CASE WHEN length(text) < 1 OR length(text) > 10000 THEN 'content_length' END,
+    CASE WHEN role <> 'user' THEN 'draft_status' END,
+    CASE WHEN role <> 'user' THEN 'draft_date_unparsable' END,
+    CASE WHEN role <> 'user' OR text = '' THEN 'row_key_missing' END) AS violations
+  FROM conversations)
+GROUP BY partition_key, violations
+"""
+
+SQL["content_rules_broken"] = """
+SELECT doc_id, CASE WHEN lang = 'en' AND text <> '' THEN '' ELSE 'content_missing' END AS violations FROM documents
+"""
+
+SQL["upsert_duplicate_keys"] = """
+WITH a AS (SELECT source, lang, max(doc_id) AS v FROM documents GROUP BY source, lang),
+b AS (SELECT source, lang, max(n_chars) AS v FROM documents WHERE lang <> 'de' GROUP BY source, lang)
+SELECT a.source AS partition_key, a.lang AS row_key, coalesce(b.v, a.v) AS last_doc, 'first' AS note
+FROM a LEFT JOIN b ON a.source = b.source AND a.lang = b.lang
+"""
+
+SQL["feed_accounting"] = """
+SELECT 'document' AS origin, 'item' AS outcome, count(*) AS n FROM documents HAVING count(*) > 0
+UNION ALL SELECT 'page', 'document_unparsable', count(*) FROM pages HAVING count(*) > 0
+"""
