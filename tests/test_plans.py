@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_SMALL
+from rivulet.plans.catalog import QUERIES
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "PythonMapInArrow", "FlatMapGroupsInPandas")
 PYTHON_QUERIES = {"model_batch_score"}
@@ -15,12 +16,11 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_every_query_has_an_oracle_unless_python_or_ml():
-    missing = set(entry.queries()) - set(entry.oracle_sql())
-    assert missing <= {"model_batch_score", "enrich_pipeline"}
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_native_plans_have_no_python(spark, name):
     plan = _plan(entry.queries()[name](spark, SF_SMALL))
     found = [n for n in PYTHON_NODES if n in plan]
