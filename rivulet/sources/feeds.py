@@ -19,7 +19,10 @@ RSS_SCHEMA = (
     "channel struct<title: string, link: string, language: string, description: string, "
     "lastBuildDate: string, item: array<struct<guid: string, title: string, link: string, "
     "description: string, pubDate: string, author: string, `dc:creator`: string, "
-    "`content:encoded`: string, category: array<string>>>>")
+    "`content:encoded`: string, category: array<string>>>>, "
+    # RSS 1.0 (RDF): items stand beside the channel
+    "item array<struct<`_rdf:about`: string, title: string, link: string, description: string, "
+    "`dc:date`: string, `dc:creator`: string, `dc:subject`: array<string>, `content:encoded`: string>>")
 ATOM_SCHEMA = (
     "title string, subtitle string, updated string, link array<struct<_href: string, _rel: string>>, "
     "entry array<struct<id: string, title: string, summary: string, content: string, "
@@ -44,6 +47,13 @@ def _rss_shape(x: Column) -> Column:
         F.transform(i["category"], lambda c: F.struct(c.alias("term"))).alias("tags"),
         F.when(i["content:encoded"].isNotNull(), F.array(F.struct(i["content:encoded"].alias("value"))))
         .alias("content")))
+    rdf = F.transform(x["item"], lambda i: F.struct(
+        F.coalesce(i["_rdf:about"], i["link"]).alias("id"), i["title"].alias("title"), i["link"].alias("link"),
+        i["description"].alias("summary"), i["dc:date"].alias("published"), i["dc:creator"].alias("author"),
+        F.transform(i["dc:subject"], lambda c: F.struct(c.alias("term"))).alias("tags"),
+        F.when(i["content:encoded"].isNotNull(), F.array(F.struct(i["content:encoded"].alias("value"))))
+        .alias("content")))
+    items = F.coalesce(items, rdf)
     return F.struct(ch["title"].alias("title"), ch["link"].alias("link"), ch["language"].alias("language"),
                     ch["lastBuildDate"].alias("updated"), ch["description"].alias("subtitle"),
                     items.alias("items"))
@@ -62,7 +72,7 @@ def _atom_shape(x: Column) -> Column:
 
 
 def parse_feed_xml(docs: DataFrame, xml_col: str = "xml") -> DataFrame:
-    """Parse feed documents (RSS 2.0 or Atom) into one row per item with
+    """Parse feed documents (RSS 2.0, RSS 1.0 or Atom) into one row per item with
     the feed's fields alongside.  ``parsed`` is false for documents that did
     not parse (or had neither channel nor entries); ``item_pos`` is the item's
     place in its document."""

@@ -270,3 +270,18 @@ def test_new_columns_and_cascade_delete(spark, tmp_dir):
     c.upsert(spark.createDataFrame([("a", str(i), "body") for i in range(20)], "partition_key string, row_key string, content string"))
     delete_entries(spark.createDataFrame([("a", "3"), ("a", "4")], "partition_key string, row_key string"), e, c)
     assert e.read().count() == c.read().count() == 18
+
+
+def test_rss_1_and_atom_with_a_comment(spark):
+    from rivulet.sources.feeds import parse_feed_xml
+    rdf = """<?xml version="1.0"?><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/"
+      xmlns:dc="http://purl.org/dc/elements/1.1/"><channel rdf:about="https://e.com/"><title>RDF feed</title><link>https://e.com/</link></channel>
+      <item rdf:about="https://e.com/1"><title>One</title><link>https://e.com/1</link><dc:date>2025-02-26T18:42:40Z</dc:date><dc:creator>Ann</dc:creator></item>
+      <item rdf:about="https://e.com/2"><title>Two</title><link>https://e.com/2</link></item></rdf:RDF>"""
+    atom = """<?xml version="1.0"?>
+      <!-- made by hand -->
+      <feed xmlns="http://www.w3.org/2005/Atom"><title>Atom feed</title><entry><id>a1</id><title>First</title></entry><entry><id>a2</id></entry></feed>"""
+    df = spark.createDataFrame([("r", rdf), ("a", atom)], "feed_url string, xml string")
+    rows = {(r.feed_url, r.item_pos): (r.feed_title, r.id, r.title, r.author, r.parsed) for r in parse_feed_xml(df).collect()}
+    assert rows == {("r", 0): ("RDF feed", "https://e.com/1", "One", "Ann", True), ("r", 1): ("RDF feed", "https://e.com/2", "Two", None, True),
+                    ("a", 0): ("Atom feed", "a1", "First", None, True), ("a", 1): ("Atom feed", "a2", None, None, True)}
