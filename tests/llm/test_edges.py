@@ -1,5 +1,6 @@
 """Every operator on odd rows and on empty tables, and the defined result of each case."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,27 @@ def test_neighbour_rows(spark):
     assert neighbours.search(df.limit(0), F.lit(True)).count() == 0
     few = neighbours.search(df.where("vec_id in (1, 2, 3)"), F.col("vec_id") == 1, k=10).collect()
     assert [r["vec_id"] for r in sorted(few, key=lambda r: r["rank"])] == [2, 3]
+
+
+def test_neighbour_windows_grow_with_the_rows_and_pass_copies(spark):
+    """Recall holds at several sizes, inside a hot cluster, and beside many copies of one vector; of copies the smallest ids count."""
+    rng = np.random.default_rng(4)
+    hot = rng.standard_normal(16)
+    for n in (1000, 8000):
+        x = rng.standard_normal((n, 16))
+        x[:n // 4] = hot + 0.01 * rng.standard_normal((n // 4, 16))            # a cluster within one cell
+        x[n // 4:n // 2] = hot                                                # copies
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+        got = {}
+        for r in neighbours.search(df, F.col("vec_id") % 100 == 7, half_window=20).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        parts = {"cluster": (0, n // 4), "copies": (n // 4, n // 2), "others": (n // 2, n)}
+        for part, (lo, hi) in parts.items():
+            hit = total = 0
+            for q in range(7, n, 100):
+                if lo <= q < hi:
+                    d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+                    best = [i for i in np.lexsort((np.arange(n), d)) if i != q][:10]
+                    hit, total = hit + len(set(best) & set(got[q])), total + 10
+                    assert len(got[q]) == 10
+            assert hit / total >= (1.0 if part == "copies" else 0.9), (n, part, hit / total)
