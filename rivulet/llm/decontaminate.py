@@ -18,7 +18,8 @@ are merged per document.
 Defined cases: null texts have no words (never hit, never an item with windows);
 repeated rows each get a row; items with equal texts all count; an empty
 documents table gives no rows, an empty item table no hits; a null item id is
-skipped; extra columns are ignored by ``contamination`` and kept by ``clean``.
+skipped; null and repeated document ids are rows of their own in ``clean``; extra
+columns are ignored by ``contamination`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from .common import BROADCAST_BYTES, Table, broadcast_within, stored
+from .common import stored
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -82,30 +84,42 @@ def _corpus_counts(docs: DataFrame, id_col: str, text_col: str, vocabulary: set[
     return {bytes(r["w"]): r["n"] for r in found.toLocalIterator()}
 
 
-def _matcher(block, counts: dict[bytes, int]):
-    """mapInArrow function: (id, t) -> (id, n_words, spans as flat starts and ends, items)."""
+def _finder(block, counts: dict[bytes, int]):
+    """Function of a text's words that gives its verified spans (start, end, items)."""
     prefix: dict[bytes, list] = defaultdict(list)     # rarest word -> (its place in the window, window, items)
     for w, items in _windows(block).items():
         at = min(range(len(w)), key=lambda i: (counts.get(w[i], 0), w[i], i))
         prefix[w[at]].append((at, list(w), sorted(items)))
     rare = frozenset(prefix)
 
+    def find(words: list[bytes]):
+        if rare.isdisjoint(words):
+            return
+        n = len(words)
+        for p, word in enumerate(words):
+            if word in rare:
+                for at, window, items in prefix[word]:
+                    lo = p - at
+                    if lo >= 0 and lo + len(window) <= n and words[lo:lo + len(window)] == window:
+                        yield lo, lo + len(window), items
+
+    return find
+
+
+def _matcher(find):
+    """mapInArrow function: (id, t) -> (id, n_words, spans as flat starts and ends, items)."""
+
     def each(batches):
         for b in batches:
             n_words, starts, ends, found = [], [], [], []
             for t in b.column(1):
                 words = words_of(t.as_py())
-                n, s, e, hit = len(words), [], [], set()
-                if not rare.isdisjoint(words):
-                    for p, word in enumerate(words):
-                        if word in rare:
-                            for at, window, items in prefix[word]:
-                                lo = p - at
-                                if lo >= 0 and lo + len(window) <= n and words[lo:lo + len(window)] == window:
-                                    s.append(lo)
-                                    e.append(lo + len(window))
-                                    hit.update(items)
-                n_words.append(n)
+                s, e, hit = [], [], set()
+                for lo, hi, items in find(words):
+                    s.append(lo)
+                    e.append(hi)
+                    hit.update(items)
+                n_words.append(len(words))
                 starts.append(s)
                 ends.append(e)
                 found.append(sorted(hit))
@@ -137,7 +151,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     ids of those with a window in the document."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_words long, starts array<int>, ends array<int>, items array<long>"
-    blocks = list(_plan(docs, items, id_col, text_col, item_col, item_text_col, block_bytes))
+    blocks = [_matcher(f) for f in _plan(docs, items, id_col, text_col, item_col, item_text_col, block_bytes)]
     if len(blocks) == 1:
         spans = _binary(docs, id_col, text_col).mapInArrow(blocks[0], schema)
     else:
@@ -162,15 +176,26 @@ def _plan(docs, items, id_col, text_col, item_col, item_text_col, block_bytes):
     for block in _item_blocks(items, item_col, item_text_col, block_bytes):
         empty = False
         counts = _corpus_counts(docs, id_col, text_col, {w for _, ws in block for w in ws})
-        yield _matcher(block, counts)
+        yield _finder(block, counts)
     if empty:
-        yield _matcher([], {})
+        yield _finder([], {})
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-          item_text_col: str = "text") -> DataFrame:
-    """``docs`` without the contaminated documents."""
-    found = contamination(docs, items, id_col, text_col, item_col, item_text_col)
-    bad = Table(found.where("n_hit > 0").select(F.col("id").alias("__bad")).distinct(), "decon-bad")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(broadcast_within(bad, BROADCAST_BYTES), F.col(f"`{id_col}`").eqNullSafe(F.col("__bad")), "left_anti").select(*own)
+          item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the contaminated rows; each row goes by its own text,
+    whatever its id."""
+    kept = docs
+    for find in _plan(docs, items, id_col, text_col, item_col, item_text_col, block_bytes):
+        kept = kept.where(~_holds(find, F.col(f"`{text_col}`")))
+    return kept
+
+
+def _holds(find, text: Column) -> Column:
+    """Whether a text has a verified span."""
+
+    @arrow_udf("boolean")
+    def hit(t: pa.Array) -> pa.Array:
+        return pa.array([next(find(words_of(x.as_py())), None) is not None for x in t], pa.bool_())
+
+    return hit(text.cast("binary"))

@@ -224,7 +224,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return _one_of_repeated(docs, kept.df.select("id", "fp"), id_col, text_col, width)
     own = [F.col(f"`{c}`") for c in docs.columns]
     ids = broadcast_within(kept, BROADCAST_BYTES).select(F.col("id").alias("__kept"))
-    return docs.join(ids, F.col(f"`{id_col}`") == F.col("__kept"), "left_semi").select(*own)
+    chosen = docs.join(ids, F.col(f"`{id_col}`") == F.col("__kept"), "left_semi").select(*own)
+    if chosen.select(F.col(f"`{id_col}`")).count() > kept.df.count():       # an id repeats in a component that another represents
+        return _one_of_repeated(docs, kept.df.select("id", "fp"), id_col, text_col, width)
+    return chosen
 
 
 def _one_of_repeated(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:

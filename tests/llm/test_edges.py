@@ -191,3 +191,22 @@ def test_neighbour_windows_grow_with_the_rows_and_pass_copies(spark):
                     hit, total = hit + len(set(best) & set(got[q])), total + 10
                     assert len(got[q]) == 10
             assert hit / total >= (1.0 if part == "copies" else 0.9), (n, part, hit / total)
+
+
+def test_clean_goes_by_row(spark):
+    """A contaminated row takes no other row of a null or repeated id with it, with one block of items or several."""
+    leak = "fox jumps over the lazy dog near the old river bank"
+    rows = [(None, f"so {leak}"), (None, "a clean text without id"), (7, leak), (7, "a clean text of a repeated id"), (8, "clean"), (9, "nowhere to be found"),
+            (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, leak), (2, "nowhere to be found")], "item_id long, text string")
+    for block in (decontaminate.BLOCK_BYTES, 10):
+        out = decontaminate.clean(docs, items, block_bytes=block).collect()
+        assert sorted(map(str, map(tuple, out))) == sorted(str(rows[i]) for i in (1, 3, 4, 6))
+
+
+def test_simhash_deduplicate_id_repeated_in_another_component(spark):
+    same = "the quick brown fox jumps over the lazy dog near the old river bank today"
+    rows = [(5, "one text about ships and harbours that nothing else here is like at all"), (5, same), (1, same)]
+    out = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, out)) == sorted((rows[0], rows[2]))
