@@ -6,7 +6,9 @@ Posterior of a language = smoothed prior of the document's host
                         x likelihood of the address suffix.
 
 * Text: character trigrams over folded bytes, one table of log-probabilities per
-  language, learnt from a bounded sample of labelled rows (``sample_docs``).  All
+  language, learnt from a bounded sample of labelled rows (``sample_docs``).  Every
+  label of the sample is a language, however many; a task holds the counts of
+  ``HELD_LANGUAGES`` at a time and passes them on when another comes.  All
   bytes of every text count; the sum is tempered, since neighbouring trigrams are
   not independent.
 * Declared language and suffix: P(value | language), from counts over all
@@ -40,7 +42,7 @@ from pyspark.sql.functions import arrow_udf
 from .common import BROADCAST_BYTES, Table, ascii_lower, broadcast_within
 
 SAMPLE_DOCS = 20_000
-MAX_LANGUAGES = 64
+HELD_LANGUAGES = 64
 CLASSES = 64
 TABLE = CLASSES ** 3
 PIECE = 1 << 20
@@ -79,14 +81,14 @@ def _has_letter(values: np.ndarray, lo: int, hi: int) -> bool:
 
 
 class TextModel:
-    """Log-probabilities of trigrams, one row per language."""
+    """Log-probabilities by language: of the trigrams seen, a row each, and in row 0 of any other."""
 
-    def __init__(self, languages: list[str], logp: np.ndarray):
-        self.languages, self.logp = languages, np.ascontiguousarray(logp.T)   # by trigram, so that one gather serves all languages
+    def __init__(self, languages: list[str], rows: np.ndarray, logp: np.ndarray):
+        self.languages, self.rows, self.logp = languages, rows, logp   # rows: trigram -> row; one gather serves all languages
 
     def column(self, text: Column) -> Column:
         """Tempered log-likelihood of each language; null without a letter."""
-        logp, n_lang = self.logp, len(self.languages)
+        rows, logp, n_lang = self.rows, self.logp, len(self.languages)
 
         @arrow_udf("array<double>")
         def evidence(t: pa.Array) -> pa.Array:
@@ -94,7 +96,7 @@ class TextModel:
             total = np.zeros((len(t), n_lang))
             count = np.zeros(len(t))
             for i, codes in _pieces(values, offsets):
-                total[i] += logp[codes].sum(axis=0, dtype=np.float64)
+                total[i] += logp[rows[codes]].sum(axis=0, dtype=np.float64)
                 count[i] += len(codes)
             none = np.array([not _has_letter(values, int(lo), int(hi)) for lo, hi in zip(offsets[:-1], offsets[1:])], bool)
             total /= (1.0 + count / HALF_EVIDENCE)[:, None]
@@ -117,23 +119,37 @@ def learn_text(docs: DataFrame, text_col: str, label_col: str, id_col: str, samp
         for b in batches:
             langs = b.column(0).to_pylist()
             for i, codes in _pieces(*_texts(b.column(1))):
-                if langs[i] not in held and len(held) < MAX_LANGUAGES:
+                if langs[i] not in held:
+                    if len(held) == HELD_LANGUAGES:
+                        yield from flush(held)
                     held[langs[i]] = np.zeros(TABLE, np.int64)
-                if langs[i] in held:
-                    held[langs[i]] += np.bincount(codes, minlength=TABLE)
+                held[langs[i]] += np.bincount(codes, minlength=TABLE)
+        yield from flush(held)
+
+    def flush(held):
         for lang, c in held.items():
             at = np.flatnonzero(c)
             yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "at", "n"])
+        held.clear()
 
     rows = part.mapInArrow(count, "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n"))
-    table = rows.toArrow()          # at most TABLE entries for each of MAX_LANGUAGES languages
-    langs = sorted(set(table.column("lang").to_pylist()))
+    table = rows.toArrow()          # the sample's distinct trigrams of each language
+    lang = table.column("lang").combine_chunks().dictionary_encode()
+    langs = lang.dictionary.to_pylist()
     if not langs:
         return None
-    counts = np.zeros((len(langs), TABLE))
-    counts[[langs.index(x) for x in table.column("lang").to_pylist()], table.column("at").to_numpy()] = table.column("n").to_numpy()
-    p = (counts + 0.1) / (counts.sum(axis=1, keepdims=True) + 0.1 * TABLE)
-    return TextModel(langs, np.log(p).astype(np.float32))
+    at, n = table.column("at").to_numpy(), table.column("n").to_numpy()
+    lang = lang.indices.to_numpy()
+    seen, place = np.unique(at, return_inverse=True)
+    index = np.zeros(TABLE, np.int32)
+    index[seen] = np.arange(1, len(seen) + 1)
+    total = np.bincount(lang, n, len(langs)) + 0.1 * TABLE
+    names = sorted(langs)
+    column = np.array([names.index(x) for x in langs])
+    logp = np.empty((len(seen) + 1, len(langs)), np.float32)
+    logp[:, column] = np.log(0.1 / total)
+    logp[place + 1, column[lang]] = np.log((n + 0.1) / total[lang])
+    return TextModel(names, index, logp)
 
 
 def _best(ll: Column) -> Column:

@@ -210,3 +210,14 @@ def test_simhash_deduplicate_id_repeated_in_another_component(spark):
     rows = [(5, "one text about ships and harbours that nothing else here is like at all"), (5, same), (1, same)]
     out = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, out)) == sorted((rows[0], rows[2]))
+
+
+def test_language_counts_more_labels_than_are_held(spark):
+    """Every label gets its language, with the counts of all its rows."""
+    word = lambda i: chr(97 + i // 10) * 2 + chr(107 + i % 10) * 2 + chr(97 + i % 7)
+    rows = [(j * 100 + i, " ".join([word(i)] * 12), f"l{i:03d}") for j in range(3) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    model = language.learn_text(df, "text", "lang", "doc_id")
+    assert model.languages == [f"l{i:03d}" for i in range(100)]
+    out = language.identify(df, model=model)
+    assert out.where("lang = __language").count() == len(rows)
