@@ -7,9 +7,10 @@ its digit count allows.  Gradient-boosted trees see a candidate's format
 (lengths, separators, groups, neighbouring characters) and context (cue words
 before it, digits around it), not the base checks.  They learn from candidates
 of a bounded sample of documents, labelled by whether the candidate is a base
-span of its kind.  On held-out candidates each kind gets the lowest threshold of
-an even chance or more whose precision reaches ``precision``; candidates above it
-that touch no base span are added.  Base spans always stay.
+span of its kind.  Over the candidates of all documents, but for those learnt
+from, each kind gets the lowest threshold of an even chance or more whose precision
+reaches ``precision``; candidates above it that touch no base span are added.  Base
+spans always stay.
 
 All work is DataFrame functions and Spark's own tree learner; the learnt trees
 are compiled to CASE expressions.
@@ -192,21 +193,24 @@ class Redactor:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS,
           precision: float = PRECISION) -> Redactor:
-    """Trees and thresholds from the candidates of about ``sample_docs``
-    documents, chosen by a hash of their id."""
+    """Trees from the candidates of about ``sample_docs`` documents, chosen by a
+    hash of their id; thresholds from all other candidates of all documents."""
     n = docs.count()
     share = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit("pii")), F.lit(1_000_000))
-    part = docs.where(share < int(1_000_000 * min(1.0, sample_docs / max(1, n))))
-    part = part.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = _with_matches(part, "text").select("id", "__base", F.explode("__cand").alias("c"))
+    sampled = share < int(1_000_000 * min(1.0, sample_docs / max(1, n)))
+    part = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), sampled.alias("sampled"))
     is_base = F.exists("__base", lambda b: (b["k"] == F.col("c")["k"]) & (b["s"] >= F.col("c")["s"]) & (b["e"] <= F.col("c")["e"])
                        & (b["e"] - b["s"] >= F.col("c")["e"] - F.col("c")["s"] - 1))
     feats = _features(F.col("c"))
     names = list(feats)
-    fold = F.pmod(F.xxhash64("id", F.col("c")["s"], F.lit("fold")), F.lit(10))
-    rows = stored(rows.select("c", is_base.cast("double").alias("label"), fold.alias("fold"), *[v.alias(k) for k, v in feats.items()])
-                  .repartition(4, "fold"), "pii-sample")
-    fit = VectorAssembler(inputCols=names, outputCol="features").transform(rows.where(F.col("fold") >= HOLD_OUT))
+    learnt = F.coalesce(F.col("sampled"), F.lit(False)) & (F.pmod(F.xxhash64("id", F.col("c")["s"], F.lit("fold")), F.lit(10)) >= HOLD_OUT)
+
+    def labelled(some: DataFrame) -> DataFrame:
+        rows = _with_matches(some, "text").select("id", "sampled", "__base", F.explode("__cand").alias("c"))
+        return rows.select("c", is_base.cast("double").alias("label"), learnt.alias("learnt"))
+
+    fit = stored(labelled(part.where("sampled")).where("learnt").select("label", *[v.alias(k) for k, v in feats.items()]).repartition(4), "pii-sample")
+    fit = VectorAssembler(inputCols=names, outputCol="features").transform(fit)
     if fit.select("label").distinct().count() < 2:
         return Redactor()
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7).fit(fit)
@@ -216,13 +220,15 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
         cols = _features(cand)
         return sum((F.lit(w) * _tree(r, names, cols) for w, r in zip(model.treeWeights, roots)), F.lit(0.0))
 
-    scored = rows.where(F.col("fold") < HOLD_OUT).select("kind", "label", margin(F.col("c")).alias("score"))
+    scored = labelled(part).where(~F.col("learnt")).select(F.col("c")["k"].alias("kind"), "label", margin(F.col("c")).alias("score"))
     # one row per kind and distinct score (few: a sum of TREES leaves); precision of all at or above it
-    steps = scored.groupBy("kind", "score").agg(F.sum("label").alias("good"), F.count("*").alias("n"))
-    above = (steps.alias("a").join(steps.alias("b"), (F.col("a.kind") == F.col("b.kind")) & (F.col("b.score") >= F.col("a.score")))
-             .groupBy("a.kind", "a.score").agg(F.sum("b.good").alias("good"), F.sum("b.n").alias("n")))
-    ok = above.where((F.col("score") > 0) & (F.col("n") >= MIN_SUPPORT) & (F.col("good") >= precision * F.col("n")))
-    found = {int(r["kind"]): r["t"] for r in ok.groupBy("kind").agg(F.min("score").alias("t")).collect()}
+    steps = scored.where("score > 0").groupBy("kind", "score").agg(F.sum("label").alias("good"), F.count("*").alias("n"))
+    found, above = {}, {}
+    for r in sorted(steps.collect(), key=lambda r: -r["score"]):
+        good, n = above.get(r["kind"], (0, 0))
+        above[r["kind"]] = good, n = good + r["good"], n + r["n"]
+        if n >= MIN_SUPPORT and good >= precision * n:
+            found[r["kind"]] = r["score"]
     return Redactor(margin, found)
 
 

@@ -221,3 +221,10 @@ def test_language_counts_more_labels_than_are_held(spark):
     assert model.languages == [f"l{i:03d}" for i in range(100)]
     out = language.identify(df, model=model)
     assert out.where("lang = __language").count() == len(rows)
+
+
+def test_pii_thresholds_cover_all_documents(spark):
+    """A kind too rare in the sample for a threshold gets one from the whole table."""
+    rows = [(i, f"paid by card 4111 1111 1111 1111 today, item x{i}a1234567890b") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pii.learn(df, sample_docs=40).thresholds
