@@ -52,3 +52,46 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+
+def _lloyd_sql(parts: int = 8, width: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds written out; vectors of parts x width components."""
+    far = " + ".join(f"(v.x[{i}] - b.c[{i}]) * (v.x[{i}] - b.c[{i}])" for i in range(1, width + 1))
+    floors = ", ".join(f"CAST((s{i} - ((s{i} % n) + n) % n) // n AS BIGINT)" for i in range(1, width + 1))
+    sums = ", ".join(f"sum(x[{i}]) AS s{i}" for i in range(1, width + 1))
+    out = [f"""WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r,
+         list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT r, vec_id, label, p, x[p * {width} + 1:p * {width} + {width}] AS x FROM kept, range({parts}) t(p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS c FROM v WHERE r <= {entries})"""]
+    for k in range(rounds + 1):
+        out.append(f"""a{k} AS MATERIALIZED (
+  SELECT r, p, any_value(v.x) AS x, min((d, e)) AS best
+  FROM (SELECT v.r, v.p, v.x, b.e, {far} AS d FROM v JOIN b{k} b ON v.p = b.p) v GROUP BY r, p)""")
+        if k < rounds:
+            out.append(f"""b{k + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN (
+    SELECT p, e, [{floors}] AS c FROM (SELECT p, best[2] AS e, count(*) AS n, {sums} FROM a{k} GROUP BY p, best[2])) m ON b.p = m.p AND b.e = m.e)""")
+    out.append(f"""coded AS (
+  SELECT r, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM a{rounds} GROUP BY r)""")
+    return ",\n".join(out) + f"""
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (r)
+"""
+
+
+SQL["op11_vector_codes"] = _lloyd_sql()
+
+SQL["op12_substring_dedup"] = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+spots AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+low AS (SELECT x, min(doc_id) AS first FROM spots GROUP BY x),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM spots JOIN low USING (x) WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+stays AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept
+          FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN stays USING (doc_id)
+"""

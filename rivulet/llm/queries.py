@@ -3,12 +3,14 @@ production parameters, to its whole table."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, licenses, mixing, neighbours, ngram_lm, pii, simhash, url_filter
+from . import (decontaminate, html_text, language, licenses, mixing, neighbours, ngram_lm, pii, simhash, substrings, token_alignment, url_filter,
+               vector_codes)
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +105,31 @@ def op10_language_id(spark, sf_dir):
                         F.col("__posterior").alias("posterior"), F.col("__keep").alias("keep"))
 
 
+@query
+def op11_vector_codes(spark, sf_dir):
+    """Every usable vector's code, its error and the error of its label's vectors."""
+    codes, books = vector_codes.compress(read(spark, sf_dir, "embeddings"), carry=["label"])
+    code = F.array_join(F.transform("codes", lambda x: F.lower(F.lpad(F.hex(x), 2, "0"))), "")
+    digest = hashlib.sha256((books.text() if books else "").encode()).hexdigest()
+    return vector_codes.error_by(codes, "label").select(F.col("id").alias("vec_id"), code.alias("code"), "error",
+                                                        F.col("key_error").alias("label_error"), F.lit(digest).alias("codebooks_sha256"))
+
+
+@query
+def op12_substring_dedup(spark, sf_dir):
+    """Every document's words, those removed as repeats of a smaller doc_id, and a digest of those that stay."""
+    found = substrings.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op13_token_alignment(spark, sf_dir):
+    """Every document's tokens, groups and links under both tokenizers."""
+    found = token_alignment.statistics(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                        F.col("groups").alias("groups_sha256"))
+
+
 @query
 def page_language_id(spark, sf_dir):
     """Every page's language, from its text, markup language, address suffix and host prior;
