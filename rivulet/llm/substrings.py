@@ -8,13 +8,15 @@ words the one with the smallest hash, the leftmost of equals.  Equal windows hav
 equal anchors at equal places, so only anchors that two different texts hold matter;
 one aggregate over (anchor, text) finds them.
 
-Prefix groups.  What stands around such an anchor, from the first to the last word
-that any of its windows can reach, is a piece: a bundle of the suffixes that start at
-or before the anchor.  Pieces meet by their prefix.  The short prefix is the anchor
-itself; a group of more than ``GROUP`` occurrences has its prefix lengthened to the
-whole window, where the tree is a single node and needs only its smallest id, which is
-an aggregate.  So no task holds more than a batch and a group of the first kind, and
-a passage that every document holds is never gathered.
+Prefix groups.  The windows of one anchor in a text start at consecutive words; from
+the first to the last word of them is a piece, a bundle of the suffixes that start
+there.  Pieces meet by their prefix.  The short prefix is the anchor itself; where it
+has more than ``GROUP`` places it is lengthened, first to the whole piece: of equal
+pieces only that of the smallest id goes on, every other is a repeat as it stands.  What
+is left is broken into its suffixes and meets by whole windows, where the tree is a
+single node and needs only its smallest id.  Both are aggregates, so no task holds more
+than a batch and a group of the first kind, and a passage that every document holds is
+never gathered.
 
 Trees.  A task reads its groups in order, sorts their suffixes and takes the longest
 common prefixes of neighbours: runs of neighbours that share d words are the nodes of
@@ -48,10 +50,10 @@ from .common import Table, stored
 
 WINDOW = 13
 SHORT = 4            # words of an anchor
-GROUP = 2048         # occurrences of an anchor that one task compares
+GROUP = 2048         # places of an anchor that one task compares
 SLICE = 1 << 20      # bytes of a text that are split into words at a time
-KNOWN_WORDS = 1 << 18
-ROWS = 1 << 17       # of an Arrow batch passed on
+ROWS = 1 << 17       # of an Arrow batch passed on, and its bytes, about
+OUT_BYTES = 1 << 23
 LAST = (1 << 63) - 1
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -68,28 +70,21 @@ def slices(text: bytes, size: int = SLICE) -> Iterator[bytes]:
     yield text[at:] if at else text
 
 
-class WordHashes(dict):
-    """Word -> XXH64, for a bounded number of words at a time."""
+def hashes(text: bytes) -> np.ndarray:
+    """XXH64 of every word."""
+    parts = []
+    for part in slices(text):
+        words = part.split()      # bytes: splits at \x20, \x09-\x0D only
+        parts.append(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
+    return np.concatenate(parts) if len(parts) > 1 else parts[0]
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
 
-    def of(self, text: bytes) -> np.ndarray:
-        parts = []
-        for part in slices(text):
-            words = part.split()      # bytes: splits at \x20, \x09-\x0D only
-            parts.append(np.fromiter(map(self.__getitem__, words), np.uint64, len(words)))
-        return np.concatenate(parts) if len(parts) > 1 else parts[0]
-
-
-def anchors(h: np.ndarray, window: int = WINDOW, short: int = SHORT) -> tuple[np.ndarray, np.ndarray]:
-    """Of a text's word hashes: places of the anchors of its windows, ascending, and their hashes."""
+def anchors(h: np.ndarray, window: int = WINDOW, short: int = SHORT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text's word hashes: the anchors of its windows in order, as hashes, and the
+    first and last start of each one's windows."""
     n = len(h)
     if n < window:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     g = np.zeros(n - short + 1, np.uint64)
     for j in range(short):
         g = g * np.uint64(0x9E3779B97F4A7C15) + h[j:n - short + 1 + j]
@@ -97,23 +92,22 @@ def anchors(h: np.ndarray, window: int = WINDOW, short: int = SHORT) -> tuple[np
     g *= np.uint64(0xBF58476D1CE4E5B9)
     g ^= g >> np.uint64(29)
     at = np.lib.stride_tricks.sliding_window_view(g, window - short + 1).argmin(axis=1) + np.arange(n - window + 1)
-    at = at[np.concatenate(([True], at[1:] != at[:-1]))]
-    return at, g[at]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    return g[at[first]], first, np.append(first[1:], len(at)) - 1
 
 
-def _longs(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
+def _longs(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
 
 
 def _anchor_rows(window: int, short: int):
     """(text, t) -> (g, t, m): anchor, text, places."""
 
     def each(batches):
-        known = WordHashes()
         for b in batches:
             gs, ts, ms, held = [], [], [], 0
             for text, t in zip(b.column(0), _longs(b.column(1)).tolist()):
-                g, m = np.unique(anchors(known.of(text.as_py() or b""), window, short)[1], return_counts=True)
+                g, m = np.unique(anchors(hashes(text.as_py()), window, short)[0], return_counts=True)
                 gs.append(g), ms.append(m), ts.append(np.full(len(g), t, np.int64))
                 held += len(g)
                 if held > ROWS:
@@ -129,61 +123,82 @@ def _anchor_rows(window: int, short: int):
     return each
 
 
-PIECE_SCHEMA = "g long, w binary, no long, t long, at int, lead int, words binary"
+PIECE_SCHEMA = "g long, w binary, no long, t long, at array<int>, words binary"
+
+
+def _digest(words: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(words)
+
+
+class _Out:
+    """Rows of pieces, passed on in batches of bounded size."""
+
+    def __init__(self, names: list[str], kinds: list[pa.DataType]):
+        self.names, self.kinds, self.rows, self.size = names, kinds, [], 0
+
+    def add(self, *row, size: int = 0):
+        self.rows.append(row)
+        self.size += size
+        if len(self.rows) >= ROWS or self.size > OUT_BYTES:
+            yield from self.rest()
+
+    def rest(self):
+        if self.rows:
+            cols = [pa.array(c, k) for c, k in zip(zip(*self.rows), self.kinds)]
+            self.rows, self.size = [], 0
+            yield pa.record_batch(cols, self.names)
 
 
 def _piece_rows(window: int, short: int):
-    """(text, t, no, short, long) -> the pieces of a text's short anchors, and the windows of its long ones."""
-    reach = window - short
+    """(text, t, no, few, many) -> the pieces of a text's short prefixes, by anchor, and
+    those of its long ones, equal ones of a text as one row."""
 
     def each(batches):
-        known = WordHashes()
+        out = _Out(["g", "w", "no", "t", "at", "words"], [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()])
         for b in batches:
-            out, held = [], 0
             for text, t, no, few, many in zip(b.column(0), *(_longs(b.column(i)).tolist() for i in (1, 2)), b.column(3), b.column(4)):
                 text = text.as_py()
-                at, g = anchors(known.of(text), window, short)
+                g, first, last = anchors(hashes(text), window, short)
                 few, many = (np.asarray(x.values, np.int64).view(np.uint64) for x in (few, many))
-                is_few, is_many = np.isin(g, few), np.isin(g, many)
                 words = [w for part in slices(text) for w in part.split()]
-                for p, h in zip(at[is_few].tolist(), g[is_few].view(np.int64).tolist()):
-                    lo = max(0, p - reach)
-                    piece = b" ".join(words[lo:p + window])
-                    out.append((h, None, no, t, lo, p - lo, piece))
-                    held += len(piece)
-                    if len(out) >= ROWS or held > 1 << 23:
-                        yield batch(out)
-                        out, held = [], 0
-                if is_many.any():
-                    # windows around long anchors, each once
-                    p = at[is_many]
-                    starts = np.unique((p[:, None] - np.arange(reach + 1)).ravel())
-                    for i in starts[(starts >= 0) & (starts + window <= len(words))].tolist():
-                        out.append((None, xxhash.xxh3_128_digest(b" ".join(words[i:i + window])), no, t, i, None, None))
-                        if len(out) >= ROWS:
-                            yield batch(out)
-                            out, held = [], 0
-            if out:
-                yield batch(out)
-
-    def batch(rows):
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["g", "w", "no", "t", "at", "lead", "words"])
+                for i in np.flatnonzero(np.isin(g, few)).tolist():
+                    piece = b" ".join(words[first[i]:last[i] + window])
+                    yield from out.add(int(g[i].view(np.int64)), None, no, t, [first[i]], piece, size=len(piece))
+                places: dict[bytes, list[int]] = {}
+                for i in np.flatnonzero(np.isin(g, many)).tolist():
+                    places.setdefault(b" ".join(words[first[i]:last[i] + window]), []).append(first[i])
+                for piece, at in places.items():
+                    yield from out.add(None, _digest(piece), no, t, at, piece, size=len(piece) + 4 * len(at))
+            yield from out.rest()
 
     return each
 
 
-def tree_repeats(group: np.ndarray, no: np.ndarray, at: np.ndarray, lead: np.ndarray, pieces: list[bytes],
-                 window: int = WINDOW, short: int = SHORT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _window_rows(window: int):
+    """(no, t, at, words) -> the windows of pieces, with their places."""
+
+    def each(batches):
+        out = _Out(["w", "no", "t", "at"], [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32())])
+        for b in batches:
+            for no, t, at, piece in zip(*(_longs(b.column(i)).tolist() for i in (0, 1)), b.column(2), b.column(3)):
+                words, at = piece.as_py().split(b" "), np.asarray(at.values)
+                for i in range(len(words) - window + 1):
+                    yield from out.add(_digest(b" ".join(words[i:i + window])), no, t, at + i, size=4 * len(at))
+            yield from out.rest()
+
+    return each
+
+
+def tree_repeats(group: np.ndarray, no: np.ndarray, at: np.ndarray, pieces: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of whole groups of pieces: those that hold a repeat of a smaller id, and its first and last (exclusive) word."""
     lists = [p.split(b" ") for p in pieces]
     size = np.fromiter(map(len, lists), np.int64, len(lists))
     word = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64)
     begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-    starts = np.minimum(lead, size - window) + 1             # suffixes of a piece with a whole window
+    starts = size - window + 1                               # suffixes of a piece with a whole window
     piece = np.repeat(np.arange(len(lists)), starts)
     skip = np.arange(len(piece)) - np.repeat(np.cumsum(starts) - starts, starts)
-    depth = 2 * window - short
+    depth = int(size.max(initial=window))
     place = begin[piece, None] + skip[:, None] + np.arange(depth)
     inside = place < (begin + size)[piece, None]
     # beyond its end a suffix shares nothing with any other
@@ -207,7 +222,7 @@ def tree_repeats(group: np.ndarray, no: np.ndarray, at: np.ndarray, lead: np.nda
     return hits, first[hits], last[hits]
 
 
-def _trees(window: int, short: int):
+def _trees(window: int):
     """Pieces in the order of their prefix -> (no, t, s, e)."""
 
     def each(batches):
@@ -223,9 +238,8 @@ def _trees(window: int, short: int):
             yield from found(held)
 
     def found(table):
-        col = {c: table.column(c).to_numpy() for c in ("g", "no", "t", "at", "lead")}
-        hits, first, last = tree_repeats(col["g"], col["no"], col["at"].astype(np.int64), col["lead"].astype(np.int64),
-                                         table.column("words").to_pylist(), window, short)
+        col = {c: table.column(c).to_numpy() for c in ("g", "no", "t", "at")}
+        hits, first, last = tree_repeats(col["g"], col["no"], col["at"].astype(np.int64), table.column("words").to_pylist(), window)
         if len(hits):
             yield pa.record_batch([pa.array(col["no"][hits]), pa.array(col["t"][hits]), pa.array(first.astype(np.int32)),
                                    pa.array(last.astype(np.int32))], ["no", "t", "s", "e"])
@@ -255,16 +269,25 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     # of repeated rows one is enough, but all give the same
     read = rows.join(wanted, (F.col("__t") == F.col("t")) & (F.col("__no") == F.col("no"))).select("__text", "t", "no", "few", "many")
     pieces = Table(read.mapInArrow(_piece_rows(window, short), PIECE_SCHEMA), "substring-pieces")
-    bundles = pieces.df.where("g is not null").select("g", "no", "t", "at", "lead", "words")
-    trees = bundles.repartition("g").sortWithinPartitions("g").mapInArrow(_trees(window, short), "no long, t long, s int, e int")
-    whole = pieces.df.where("w is not null").select("w", "no", "t", "at")
-    nodes = whole.groupBy("w").agg(F.min("no").alias("low"))
-    single = whole.join(nodes, "w").where("no > low").select("no", "t", F.col("at").alias("s"), (F.col("at") + window).alias("e"))
-    out = stored(trees.unionByName(single), "substring-repeats")
+    bundles = pieces.df.where("g is not null").select("g", "no", "t", F.get("at", F.lit(0)).alias("at"), "words")
+    trees = bundles.repartition("g").sortWithinPartitions("g").mapInArrow(_trees(window), "no long, t long, s int, e int")
+    low, later = _lowest(pieces.df.where("w is not null"))
+    size = F.size(F.split(F.col("words").cast("string"), " "))
+    copies = later.select("no", "t", F.explode("at").alias("s"), size.alias("n")).select("no", "t", "s", (F.col("s") + F.col("n")).alias("e"))
+    windows = Table(low.select("no", "t", "at", "words").mapInArrow(_window_rows(window), "w binary, no long, t long, at array<int>"), "substring-windows")
+    found = _lowest(windows.df)[1].select("no", "t", F.explode("at").alias("s")).select("no", "t", "s", (F.col("s") + window).alias("e"))
+    out = stored(trees.unionByName(copies).unionByName(found), "substring-repeats")
     pieces.drop()
+    windows.drop()
     return out
 
 
+def _lowest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with the smallest no of their w, and the others."""
+    marked = rows.join(rows.groupBy("w").agg(F.min("no").alias("low")), "w")
+    return marked.where("no = low"), marked.where("no > low")
+
+
 def _kept(window: int):
 
     @arrow_udf("struct<n_words:long,n_removed:long,kept:string>")

@@ -111,6 +111,6 @@ def test_tree_gives_maximal_repeats():
     """Within one group: the repeat goes on to where the texts part, to either side of the anchor."""
     a = [b"l%d" % i for i in range(9)] + [b"k1", b"k2", b"k3", b"k4"] + [b"r%d" % i for i in range(9)]
     b = [b"x"] * 3 + a[3:18] + [b"y"] * 4
-    hits, first, last = substrings.tree_repeats(np.array([5, 5, 6]), np.array([1, 2, 0]), np.array([100, 50, 0]), np.array([9, 9, 9]),
+    hits, first, last = substrings.tree_repeats(np.array([5, 5, 6]), np.array([1, 2, 0]), np.array([100, 50, 0]),
                                                 [b" ".join(a), b" ".join(b), b" ".join(a)])
     assert hits.tolist() == [1] and (first.tolist(), last.tolist()) == ([53], [68])     # the group 6 holds id 0, but no other
