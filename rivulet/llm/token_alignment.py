@@ -10,10 +10,11 @@ their own (in A the pieces of a multibyte character share its span, in B its byt
 tokens but the last have spans of no width); only where both tokenizers have such tokens
 are their decoded bytes counted, and common ends become further cuts.
 
-A text is read in slices of about ``SLICE`` characters, cut before a single space
-between two other characters.  There both tokenizers begin a token whatever stands
-before it (B only if no piece holds a space after another character, which is looked
-up), so the slices' tokens are those of the whole text and memory is bounded.
+A text is read in units, cut before each single space between two other characters.
+There both tokenizers begin a token whatever stands before it (B only if no piece holds
+a space after another character, which is looked up), so the units' tokens are those of
+the whole text.  Units repeat, as words do: a task aligns each once, as long as its table
+of units has room, and puts the texts together from the table.
 
 Statistics over the corpus: the count of an (A id, B id) pair is the number of
 documents that hold it linked, linked being all pairs of tokens of one group.  They
@@ -35,8 +36,10 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +52,8 @@ from .common import Table, broadcast_within
 FOLDER = "/opt/tokenizers"
 BYTE_FILE = "byte_bpe_50k.json"
 PIECE_FILE = "piece_bpe_32k.model"
-SLICE = 1 << 15
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 20      # of the texts put together at a time
+KNOWN_TOKENS = 1 << 21     # of the units that a task keeps
 CUT = re.compile(r"(?<=\S) (?=\S)")
 PAIR_BYTES = 32 << 20      # of the files of the table of pairs that may be broadcast
 B_BITS = 32
@@ -75,23 +78,10 @@ class Aligned:
 NONE = Aligned(*(np.empty(0, np.int64) for _ in range(4)))
 
 
-def slices(text: str, size: int = SLICE) -> list[str]:
-    """``text`` in parts that begin, but for the first, with a single space."""
-    out, at = [], 0
-    while len(text) - at > size:
-        cut = CUT.search(text, at + size)
-        if cut is None:
-            break
-        out.append(text[at:cut.start()])
-        at = cut.start()
-    out.append(text[at:])
-    return out
-
-
 class Aligner:
     """Both tokenizers, loaded by a task."""
 
-    def __init__(self, folder: str, byte_file: str, piece_file: str, size: int = SLICE):
+    def __init__(self, folder: str, byte_file: str, piece_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"       # Spark's tasks are the parallel part
         import sentencepiece
         from tokenizers import Tokenizer
@@ -111,25 +101,14 @@ class Aligner:
             p = self.piece.id_to_piece(i)
             self.b_bytes.append(bytes([int(p[3:-1], 16)]) if self.piece.is_byte(i) else p.replace("▁", " ").encode())
             splits &= "▁" not in p.lstrip("▁")
-        self.size = size if splits else 1 << 62
+        self.splits = splits
         self.a_length, self.b_length = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
 
-    def align(self, text: str | None) -> Aligned:
-        if not text:
-            return NONE
-        found = []
-        for i, part in enumerate(slices(text, self.size)):
-            one = self._slice(part if i == 0 else part[1:])
-            if one is None:
-                return NONE
-            found.append(one)
-        if len(found) == 1:
-            return found[0]
-        shift = lambda ends, ids: np.concatenate([e + n for e, n in zip(ends, np.cumsum([0, *map(len, ids[:-1])]))])
-        a, b = [x.a for x in found], [x.b for x in found]
-        return Aligned(np.concatenate(a), np.concatenate(b), shift([x.a_end for x in found], a), shift([x.b_end for x in found], b))
-
-    def _slice(self, part: str) -> Aligned | None:
+    def units(self, text: str) -> list[str]:
+        return CUT.split(text) if self.splits else [text]
+
+    def align(self, part: str) -> Aligned | None:
+        """The groups of a text or unit, read as one; None if its tokens are not its bytes."""
         spaced = " " + part
         own = self.byte.encode(spaced, add_special_tokens=False)
         spans = self.piece.encode(part, return_type="offset_mapping", return_bytes=False)
@@ -157,37 +136,17 @@ class Aligner:
         return Aligned(a, b, cut_a + 1, cut_b + 1)
 
 
-def _digits(most: int) -> np.ndarray:
-    """Decimal digits of 0..most as bytes, zero-filled behind, and a place for what follows."""
-    text = np.array([str(i) for i in range(most + 1)], "S")
-    return np.concatenate((text.view(np.uint8).reshape(most + 1, -1), np.zeros((most + 1, 1), np.uint8)), axis=1)
-
-
-class Writer:
+def written(x: Aligned) -> str:
     """``a1,a2|b1;a3|b2,b3``: a group's A ids, its B ids, the groups in order."""
-
-    def __init__(self, a_most: int, b_most: int):
-        self.digits = _digits(max(a_most, b_most))
-
-    def text(self, x: Aligned) -> bytes:
-        if not len(x.a_end):
-            return b""
-        a_before, b_before = np.append(0, x.a_end[:-1]), np.append(0, x.b_end[:-1])
-        a_place = np.arange(len(x.a)) + np.repeat(b_before, x.a_end - a_before)
-        b_place = np.arange(len(x.b)) + np.repeat(x.a_end, x.b_end - b_before)
-        out = np.empty((len(x.a) + len(x.b), self.digits.shape[1]), np.uint8)
-        out[a_place], out[b_place] = self.digits[x.a], self.digits[x.b]
-        out[:, -1] = ord(",")
-        out[a_place[x.a_end - 1], -1] = ord("|")
-        out[b_place[x.b_end - 1], -1] = ord(";")
-        flat = out.ravel()
-        return flat[flat != 0].tobytes()[:-1]
+    a, b = list(map(str, x.a.tolist())), list(map(str, x.b.tolist()))
+    a_end, b_end = x.a_end.tolist(), x.b_end.tolist()
+    return ";".join([",".join(a[i:j]) + "|" + ",".join(b[k:m]) for i, j, k, m in zip([0, *a_end], a_end, [0, *b_end], b_end)])
 
 
 def links(x: Aligned) -> tuple[np.ndarray, np.ndarray]:
     """The distinct linked pairs, A id << 32 | B id, ascending, and how often each is linked."""
     n_a, n_b = np.diff(x.a_end, prepend=0), np.diff(x.b_end, prepend=0)
-    b_from = np.append(0, x.b_end[:-1])
+    b_from = x.b_end - n_b
     wide = n_a * n_b > 1 << 16
     if wide.any():        # a long group: by its distinct ids
         keys, times = [], []
@@ -212,45 +171,95 @@ def links(x: Aligned) -> tuple[np.ndarray, np.ndarray]:
 LISTS = {"a_ids": "int", "b_ids": "int", "a_ends": "int", "b_ends": "int", "pairs": "long", "times": "long"}
 
 
-def _aligned(folder: str, byte_file: str, piece_file: str, size: int, wanted: tuple[str, ...]):
-    """(row, text) -> row and the alignment of its text, passed on in batches of about ``BATCH_CHARS``."""
-
-    def each(batches):
-        aligner = Aligner(folder, byte_file, piece_file, size)
-        writer = Writer(len(aligner.a_bytes) - 1, len(aligner.b_bytes) - 1)
-        for b in batches:
-            texts, at, held, found = b.column(1), 0, 0, []
-            for i in range(b.num_rows):
-                found.append(one(aligner, writer, texts[i].as_py()))
-                held += found[-1]["chars"]
-                if held > BATCH_CHARS or i + 1 == b.num_rows:
-                    yield batch(b.column(0).slice(at, i + 1 - at), found)
-                    at, held, found = i + 1, 0, []
-
-    def one(aligner, writer, text):
-        x = aligner.align(text)
-        key, n = links(x) if len(x.a_end) else (NONE.a, NONE.a)
-        lists = dict(zip(LISTS, (x.a, x.b, x.a_end, x.b_end, key, n)))
-        return {"chars": len(text or ""), "n_a": len(x.a), "n_b": len(x.b), "n_groups": len(x.a_end), "n_links": int(n.sum()),
-                "groups": writer.text(x) if "groups" in wanted else b"", **{c: v.astype(np.int64 if LISTS[c] == "long" else np.int32)
-                                                                           for c, v in lists.items() if c in wanted}}
-
-    def batch(rows, found):
-        cols = [pa.array([x[c] for x in found], pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")]
+class Units(dict):
+    """Unit -> its number, and what belongs to every unit, in lists one behind the other."""
+
+    def __init__(self, aligner: Aligner):
+        self.aligner = aligner
+        self.drop()
+
+    def drop(self):
+        self.clear()
+        self.text: list[str] = []
+        self.sound = array("b")
+        self.lists = {c: array("q") for c in LISTS}
+        self.ends = {c: array("q", [0]) for c in LISTS}
+
+    def __missing__(self, unit: str) -> int:
+        x = self.aligner.align(unit)
+        self.sound.append(x is not None)
+        x = x or NONE
+        for c, v in zip(LISTS, (x.a, x.b, x.a_end, x.b_end, *links(x))):
+            self.lists[c].frombytes(np.ascontiguousarray(v, np.int64).tobytes())
+            self.ends[c].append(len(self.lists[c]))
+        self.text.append(written(x))
+        self[unit] = n = len(self.text) - 1
+        return n
+
+    def together(self, texts: list[str | None], wanted: tuple[str, ...]) -> list[pa.Array]:
+        """n_a, n_b, n_groups, n_links and what is wanted, for each text."""
+        rows = [list(map(self.__getitem__, self.aligner.units(t))) if t else [] for t in texts]
+        sound = [all(map(self.sound.__getitem__, r)) for r in rows]
+        rows = [r if ok else [] for r, ok in zip(rows, sound)]
+        count = np.fromiter(map(len, rows), np.int64, len(rows))
+        unit = np.fromiter(chain.from_iterable(rows), np.int64, int(count.sum()))
+        cut = np.concatenate(([0], np.cumsum(count)))
+        found, size = {}, {}
+        for c in LISTS:
+            ends = np.array(self.ends[c])
+            n = (ends[1:] - ends[:-1])[unit]
+            before = np.concatenate(([0], np.cumsum(n)))
+            size[c] = before[cut]                              # where each text begins in the gathered list
+            if c in wanted or c in ("pairs", "times"):
+                place = np.arange(before[-1]) + np.repeat(ends[:-1][unit] - before[:-1], n)
+                found[c] = np.array(self.lists[c])[place] if len(place) else np.empty(0, np.int64)
+                if c in ("a_ends", "b_ends"):                  # ends count from the text's first token
+                    ids = np.array(self.ends[c[0] + "_ids"])
+                    m = (ids[1:] - ids[:-1])[unit]
+                    tokens = np.cumsum(m) - m
+                    found[c] += np.repeat(tokens - np.repeat(np.append(tokens, 0)[np.minimum(cut[:-1], len(tokens))], count), n)
+        totals = np.concatenate(([0], np.cumsum(found["times"])))[size["times"]]
+        out = [pa.array(np.diff(v)) for v in (size["a_ids"], size["b_ids"], size["a_ends"], totals)]
+        if "pairs" in wanted or "times" in wanted:
+            keys, times = [], []
+            for lo, hi in zip(size["pairs"][:-1].tolist(), size["pairs"][1:].tolist()):
+                key, back = np.unique(found["pairs"][lo:hi], return_inverse=True)
+                keys.append(key)
+                times.append(np.bincount(back, found["times"][lo:hi], len(key)).astype(np.int64))
+            found["pairs"], found["times"] = np.concatenate(keys), np.concatenate(times)
+            size["pairs"] = size["times"] = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
         for c in wanted:
             if c == "groups":
-                cols.append(pa.array([x[c] for x in found], pa.binary()).cast(pa.string()))
+                out.append(pa.array([";".join(map(self.text.__getitem__, r)) for r in rows], pa.string()))
             else:
-                ends = np.cumsum([0, *(len(x[c]) for x in found)]).astype(np.int32)
-                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[c] for x in found]))))
+                kind = np.int64 if LISTS[c] == "long" else np.int32
+                out.append(pa.ListArray.from_arrays(pa.array(size[c].astype(np.int32)), pa.array(found[c].astype(kind))))
+        if len(self.lists["a_ids"]) > KNOWN_TOKENS:
+            self.drop()
+        return out
+
+
+def _aligned(folder: str, byte_file: str, piece_file: str, wanted: tuple[str, ...]):
+    """(row, text) -> row and the alignment of its text, passed on in batches of about ``BATCH_CHARS``."""
+
+    def each(batches):
+        units = Units(Aligner(folder, byte_file, piece_file))
         names = ["n_a", "n_b", "n_groups", "n_links", *wanted]
-        return pa.record_batch([rows, pa.StructArray.from_arrays(cols, names)], ["row", "align"])
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            at, held = 0, 0
+            for i, t in enumerate(texts):
+                held += len(t or "")
+                if held > BATCH_CHARS or i + 1 == len(texts):
+                    cols = units.together(texts[at:i + 1], wanted)
+                    yield pa.record_batch([b.column(0).slice(at, i + 1 - at), pa.StructArray.from_arrays(cols, names)], ["row", "align"])
+                    at, held = i + 1, 0
 
     return each
 
 
 def align(docs: DataFrame, text_col: str = "text", folder: str = FOLDER, byte_file: str = BYTE_FILE, piece_file: str = PIECE_FILE,
-          size: int = SLICE, wanted: Sequence[str] = ("groups", *LISTS)) -> DataFrame:
+          wanted: Sequence[str] = ("groups", *LISTS)) -> DataFrame:
     """``docs`` with ``__align``: n_a, n_b, n_groups and n_links, and of these the ``wanted``
     ones: the groups as text, token ids of both (a_ids, b_ids), the ends of each group's
     tokens in both lists (a_ends, b_ends), the distinct linked pairs (A id << 32 | B id) and
@@ -260,7 +269,7 @@ def align(docs: DataFrame, text_col: str = "text", folder: str = FOLDER, byte_fi
                        F.col(f"`{text_col}`").cast("string").alias("text"))
     kinds = ["n_a:long", "n_b:long", "n_groups:long", "n_links:long", *(f"{c}:string" if c == "groups" else f"{c}:array<{LISTS[c]}>" for c in wanted)]
     schema = T.StructType([rows.schema["row"], T.StructField("align", T.StructType.fromDDL(",".join(kinds)))])
-    out = rows.mapInArrow(_aligned(folder, byte_file, piece_file, size, wanted), schema)
+    out = rows.mapInArrow(_aligned(folder, byte_file, piece_file, wanted), schema)
     return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)], F.col("align").alias("__align"))
 
 
@@ -273,12 +282,12 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = FOLDER, byte_file: str = BYTE_FILE,
-               piece_file: str = PIECE_FILE, size: int = SLICE, digest: bool = True) -> DataFrame:
+               piece_file: str = PIECE_FILE, digest: bool = True) -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups): per row its tokens,
     groups and links; links whose pair no other pair of its A id exceeds; the sum of its
     links' counts; the groups as text, with ``digest`` their SHA-256 ('' without tokens)."""
     part = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    found = align(part, "text", folder, byte_file, piece_file, size, ("groups", "pairs", "times"))
+    found = align(part, "text", folder, byte_file, piece_file, ("groups", "pairs", "times"))
     text = F.col("__align.groups")
     rows = Table(found.select("id", *[F.col(f"__align.{c}") for c in ("n_a", "n_b", "n_groups", "n_links", "pairs", "times")],
                               (F.when(text != "", F.sha2(text, 256)).otherwise("") if digest else text).alias("groups"),

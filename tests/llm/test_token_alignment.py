@@ -83,24 +83,35 @@ def test_odd_texts(spark, aligner):
     assert by[100] == by[101] == by[102] == (0, 0, 0, 0, 0, 0, "")
 
 
-def test_random_texts_and_slices(aligner):
-    """Mixed scripts, byte fallback and white space, whole and in slices."""
+def groups_of(a, b, a_end, b_end):
+    out, a_at, b_at = [], 0, 0
+    for p, q in zip(a_end, b_end):
+        out.append((list(a[a_at:p]), list(b[b_at:q])))
+        a_at, b_at = p, q
+    return out
+
+
+def test_random_texts_and_units(aligner, monkeypatch):
+    """Mixed scripts, byte fallback and white space, whole and in units, with tables dropped on the way."""
     rnd = random.Random(5)
-    some = ["é", "𓀀", "𓀁", "中", "🙂", "👩‍👩‍👧", "a", "the", "ing", " ", " ", " ", "  ", "\n", "\t", ".", "1", "23", " ", "ﬁ", "Å", "ა", "'s", "<s>", "�"]
-    small = ta.Aligner(ta.FOLDER, ta.BYTE_FILE, ta.PIECE_FILE, size=7)
-    assert small.size == 7                                      # no piece holds a space after another character
-    for _ in range(400):
-        text = "".join(rnd.choice(some) for _ in range(rnd.randint(1, 40)))
-        want = plain(aligner, text)
-        for one in (aligner, small):
-            x = one.align(text)
-            got, a_at, b_at = [], 0, 0
-            for p, q in zip(x.a_end.tolist(), x.b_end.tolist()):
-                got.append((x.a[a_at:p].tolist(), x.b[b_at:q].tolist()))
-                a_at, b_at = p, q
-            assert got == want, text
-            key, n = ta.links(x)
-            assert dict(zip(key.tolist(), n.tolist())) == Counter(u << 32 | v for a, b in want for u in a for v in b)
+    some = ["é", "𓀀", "𓀁", "中", "🙂", "👩‍👩‍👧", "a", "the", "ing", " ", " ", " ", "  ", "\n", "\t", ".", "1", "23", "\u00a0", "ﬁ", "Å", "ა", "'s", "<s>", "�"]
+    monkeypatch.setattr(ta, "KNOWN_TOKENS", 300)
+    units = ta.Units(aligner)
+    assert aligner.splits                                      # no piece holds a space after another character
+    for _ in range(100):
+        texts = ["".join(rnd.choice(some) for _ in range(rnd.randint(0, 40))) for _ in range(4)]
+        n_a, n_b, n_groups, n_links, text, *lists = (c.to_pylist() for c in units.together(texts, ("groups", *ta.LISTS)))
+        for i, t in enumerate(texts):
+            want = plain(aligner, t)
+            a, b, a_end, b_end, key, times = (x[i] for x in lists)
+            assert groups_of(a, b, a_end, b_end) == want, t
+            assert text[i] == ";".join(",".join(map(str, u)) + "|" + ",".join(map(str, v)) for u, v in want)
+            linked = Counter(u << 32 | v for p, q in want for u in p for v in q)
+            assert dict(zip(key, times)) == linked
+            assert (n_a[i], n_b[i], n_groups[i], n_links[i]) == (len(a), len(b), len(want), sum(linked.values()))
+            if t:
+                x = aligner.align(t)
+                assert groups_of(x.a.tolist(), x.b.tolist(), x.a_end.tolist(), x.b_end.tolist()) == want
 
 
 def test_long_groups_are_linked_by_distinct_ids():
