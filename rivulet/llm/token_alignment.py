@@ -53,7 +53,10 @@ FOLDER = "/opt/tokenizers"
 BYTE_FILE = "byte_bpe_50k.json"
 PIECE_FILE = "piece_bpe_32k.model"
 BATCH_CHARS = 1 << 20      # of the texts put together at a time
-KNOWN_TOKENS = 1 << 21     # of the units that a task keeps
+KNOWN_TOKENS = 1 << 23     # of the units that a task keeps
+UNITS = 1 << 14            # aligned at a time, in runs of about SLICE characters
+SLICE = 1 << 15
+BLANK = "▁"                # B's mark of a space is one in a text, too
 CUT = re.compile(r"(?<=\S) (?=\S)")
 PAIR_BYTES = 32 << 20      # of the files of the table of pairs that may be broadcast
 B_BITS = 32
@@ -68,14 +71,29 @@ def _byte_alphabet() -> dict[str, int]:
 
 @dataclass
 class Aligned:
-    """Token ids, and for each group the ends of its tokens in both lists."""
+    """Many texts or units: the token ids of both tokenizers and the groups, one behind the
+    other, with their numbers.  A part whose tokens are not its bytes is not sound and has none."""
+    sound: np.ndarray
     a: np.ndarray
+    a_n: np.ndarray           # tokens of a part
     b: np.ndarray
-    a_end: np.ndarray
-    b_end: np.ndarray
+    b_n: np.ndarray
+    a_size: np.ndarray        # tokens of a group
+    b_size: np.ndarray
+    groups_n: np.ndarray      # groups of a part
 
 
-NONE = Aligned(*(np.empty(0, np.int64) for _ in range(4)))
+def _starts(n: np.ndarray) -> np.ndarray:
+    return np.cumsum(n) - n
+
+
+def _within(n: np.ndarray) -> np.ndarray:
+    """0..n-1 for each n, one behind the other."""
+    return np.arange(n.sum()) - np.repeat(_starts(n), n)
+
+
+def _flat(lists, n: int) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int64, n)
 
 
 class Aligner:
@@ -101,70 +119,119 @@ class Aligner:
             p = self.piece.id_to_piece(i)
             self.b_bytes.append(bytes([int(p[3:-1], 16)]) if self.piece.is_byte(i) else p.replace("▁", " ").encode())
             splits &= "▁" not in p.lstrip("▁")
-        self.splits = splits
+        self.splits, self.n_pairs = splits, len(self.a_bytes) * len(self.b_bytes)
         self.a_length, self.b_length = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
 
     def units(self, text: str) -> list[str]:
         return CUT.split(text) if self.splits else [text]
 
-    def align(self, part: str) -> Aligned | None:
-        """The groups of a text or unit, read as one; None if its tokens are not its bytes."""
-        spaced = " " + part
-        own = self.byte.encode(spaced, add_special_tokens=False)
-        spans = self.piece.encode(part, return_type="offset_mapping", return_bytes=False)
-        a, b = own.ids, spans["ids"]
-        whole = spaced.encode()
-        if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
-            return None
-        a_end = np.fromiter((e for _, e in own.offsets), np.int64, len(a))
-        b_begin, b_end = np.array(spans["offsets"], np.int64).reshape(-1, 2).T
-        b_end = b_end + 1
-        # A: of the tokens of a character, which report one end, the last ends there;
-        # B: byte tokens but the last have no width, nor has the added space where it is a token of its own
-        a_last = np.append(a_end[1:] != a_end[:-1], True)
-        b_last = b_begin + 1 < b_end
-        b_last[0] = True
-        a_at, b_at = np.flatnonzero(a_last), np.flatnonzero(b_last)
-        _, i, j = np.intersect1d(a_end[a_at], b_end[b_at], assume_unique=True, return_indices=True)
-        cut_a, cut_b = a_at[i], b_at[j]
-        a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
-        if not (a_last.all() or b_last.all()):
-            a_in, b_in = np.flatnonzero(~a_last), np.flatnonzero(~b_last)
-            _, i, j = np.intersect1d(np.cumsum(self.a_length[a])[a_in], np.cumsum(self.b_length[b])[b_in], assume_unique=True, return_indices=True)
-            if len(i):
-                cut_a, cut_b = np.sort(np.append(cut_a, a_in[i])), np.sort(np.append(cut_b, b_in[j]))
-        return Aligned(a, b, cut_a + 1, cut_b + 1)
-
-
-def written(x: Aligned) -> str:
-    """``a1,a2|b1;a3|b2,b3``: a group's A ids, its B ids, the groups in order."""
-    a, b = list(map(str, x.a.tolist())), list(map(str, x.b.tolist()))
-    a_end, b_end = x.a_end.tolist(), x.b_end.tolist()
-    return ";".join([",".join(a[i:j]) + "|" + ",".join(b[k:m]) for i, j, k, m in zip([0, *a_end], a_end, [0, *b_end], b_end)])
-
-
-def links(x: Aligned) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct linked pairs, A id << 32 | B id, ascending, and how often each is linked."""
-    n_a, n_b = np.diff(x.a_end, prepend=0), np.diff(x.b_end, prepend=0)
-    b_from = x.b_end - n_b
-    wide = n_a * n_b > 1 << 16
-    if wide.any():        # a long group: by its distinct ids
-        keys, times = [], []
-        for g in np.flatnonzero(wide).tolist():
-            (u, m), (v, k) = (np.unique(t, return_counts=True) for t in (x.a[x.a_end[g] - n_a[g]:x.a_end[g]], x.b[b_from[g]:x.b_end[g]]))
-            keys.append(((u[:, None] << B_BITS) | v).ravel()), times.append((m[:, None] * k).ravel())
-        n_a, n_b = np.where(wide, 0, n_a), np.where(wide, 0, n_b)
-        a = x.a[np.repeat(~wide, np.diff(x.a_end, prepend=0))]
-    else:
-        keys, times, a = [], [], x.a
-    per = np.repeat(n_b, n_a)                       # B tokens beside each A token
-    first = np.repeat(b_from, n_a)
-    b = x.b[np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + np.repeat(first, per)]
-    key, n = np.unique((np.repeat(a, per) << B_BITS) | b, return_counts=True)
-    if keys:
-        key, back = np.unique(np.concatenate((key, *keys)), return_inverse=True)
-        n = np.bincount(back, np.concatenate((n, *times))).astype(np.int64)
-    return key, n
+    def _joined(self, parts: list[str]) -> list[list[int]]:
+        """The parts' numbers in runs that are encoded together: units stand beside each other as in a text."""
+        runs, size, open_ = [], 0, False
+        for i, p in enumerate(parts):
+            clean = self.splits and p[0] not in BLANK and p[-1] not in BLANK and not p[0].isspace() and not p[-1].isspace()
+            if clean and open_ and size < SLICE:
+                runs[-1].append(i)
+                size += len(p)
+            else:
+                runs.append([i])
+                size, open_ = len(p), clean
+        return runs
+
+    def align(self, parts: list[str]) -> Aligned:
+        """The groups of texts or units (none empty), each as if read alone."""
+        texts = [" ".join([parts[i] for i in run]) for run in self._joined(parts)]
+        own = self.byte.encode_batch([" " + t for t in texts], add_special_tokens=False)
+        spans = self.piece.encode(texts, return_type="offset_mapping", return_bytes=False, num_threads=1)
+        a_tokens, b_tokens = (np.fromiter(map(len, x), np.int64, len(x)) for x in (own, [x["ids"] for x in spans]))
+        a, b = _flat((x.ids for x in own), a_tokens.sum()), _flat((x["ids"] for x in spans), b_tokens.sum())
+        # spans in characters of all parts, each behind a space
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+        start = _starts(size)
+        base = _starts(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        a_span = _flat(chain.from_iterable(x.offsets for x in own), 2 * len(a)).reshape(-1, 2) + np.repeat(base, a_tokens)[:, None]
+        b_span = _flat(chain.from_iterable(x["offsets"] for x in spans), 2 * len(b)).reshape(-1, 2) + np.repeat(base + 1, b_tokens)[:, None]
+        part_a, part_b = (np.searchsorted(start, x[:, 0], "right") - 1 for x in (a_span, b_span))
+        b_first = _within(b_tokens) == 0
+        a_n, b_n = (np.bincount(x, minlength=len(parts)) for x in (part_a, part_b))
+        sound = self._sound(parts, a, a_n, b, b_n)
+        if not sound.all():
+            keep_a, keep_b = sound[part_a], sound[part_b]
+            a, a_span, part_a = a[keep_a], a_span[keep_a], part_a[keep_a]
+            b, b_span, part_b, b_first = b[keep_b], b_span[keep_b], part_b[keep_b], b_first[keep_b]
+            a_n, b_n = np.where(sound, a_n, 0), np.where(sound, b_n, 0)
+        # of the tokens of a character, which report one end, the last ends there; byte tokens
+        # but the last have no width (nor has the added space where it is the first token)
+        a_in = np.append(a_span[1:, 1] == a_span[:-1, 1], False) if len(a) else np.zeros(0, bool)
+        b_in = (b_span[:, 0] == b_span[:, 1]) & ~b_first
+        # places in half characters: a token that ends within a character gets the half before or after the reported end
+        a_at, b_at = 2 * a_span[:, 1] - a_in, 2 * b_span[:, 1] + b_in
+        both = (np.bincount(part_a, a_in, len(parts)) > 0) & (np.bincount(part_b, b_in, len(parts)) > 0)
+        if both.any():                                          # there only the bytes tell; they get room behind all characters
+            for at, part, n, length in ((a_at, part_a, a_n, self.a_length[a]), (b_at, part_b, b_n, self.b_length[b])):
+                own_bytes = np.cumsum(length) - np.repeat(_starts(np.bincount(part, length, len(parts)).astype(np.int64)), n)
+                room = _starts(np.bincount(part, length, len(parts)).astype(np.int64) * 2 + 2 * size + 4)
+                at -= 2 * start[part] - room[part]
+                at[both[part]] = (room[part] + 2 * own_bytes)[both[part]]
+        near = np.minimum(np.searchsorted(b_at, a_at), max(0, len(b_at) - 1))
+        cut = np.flatnonzero(b_at[near] == a_at) if len(a) else np.zeros(0, np.int64)
+        # every part ends with a cut, so groups run from cut to cut
+        return Aligned(sound, a, a_n, b, b_n, np.diff(cut, prepend=-1), np.diff(near[cut], prepend=-1), np.bincount(part_a[cut], minlength=len(parts)))
+
+    def _sound(self, parts: list[str], a: np.ndarray, a_n: np.ndarray, b: np.ndarray, b_n: np.ndarray) -> np.ndarray:
+        want = [(" " + p).encode() for p in parts]
+        sound = np.ones(len(want), bool)
+        size = np.fromiter(map(len, want), np.int64, len(want))
+        for ids, n, words, length in ((a, a_n, self.a_bytes, self.a_length), (b, b_n, self.b_bytes, self.b_length)):
+            got = b"".join(map(words.__getitem__, ids.tolist()))
+            at = np.concatenate(([0], np.cumsum(length[ids])))[np.concatenate(([0], np.cumsum(n)))]
+            if got == b"".join(want) and (np.diff(at) == size).all():
+                continue
+            sound &= [got[i:j] == w for i, j, w in zip(at[:-1].tolist(), at[1:].tolist(), want)]
+        return sound
+
+
+def written(x: Aligned) -> list[bytes]:
+    """``a1,a2|b1;a3|b2,b3;`` for each part: a group's A ids, its B ids, the groups in order."""
+    ids, back = np.unique(np.concatenate((x.a, x.b)), return_inverse=True)
+    text = np.array(list(map(str, ids.tolist())), "S") if len(ids) else np.empty(0, "S1")
+    digits = np.concatenate((text.view(np.uint8).reshape(len(ids), -1), np.full((len(ids), 1), ord(","), np.uint8)), axis=1)
+    a_place = np.arange(len(x.a)) + np.repeat(_starts(x.b_size), x.a_size)
+    b_place = np.arange(len(x.b)) + np.repeat(np.cumsum(x.a_size), x.b_size)
+    out = np.empty((len(back), digits.shape[1]), np.uint8)
+    out[np.concatenate((a_place, b_place))] = digits[back]
+    out[a_place[np.cumsum(x.a_size) - 1], -1] = ord("|")
+    out[b_place[np.cumsum(x.b_size) - 1], -1] = ord(";")
+    flat = out.ravel()
+    used = np.concatenate(([0], np.cumsum((out != 0).sum(axis=1))))
+    ends = used[np.cumsum(x.a_n + x.b_n)].tolist()
+    whole = flat[flat != 0].tobytes()
+    return [whole[i:j] for i, j in zip([0, *ends], ends)]
+
+
+def links(x: Aligned) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each part the distinct linked pairs, A id << 32 | B id, ascending, how often each is linked, and the numbers of pairs."""
+    part = np.repeat(np.arange(len(x.sound)), x.groups_n)
+    a_from, b_from = _starts(x.a_size), _starts(x.b_size)
+    wide = x.a_size * x.b_size > 1 << 12
+    keys, parts, times = [], [], []
+    for g in np.flatnonzero(wide).tolist():                     # a long group by its distinct ids
+        (u, m), (v, k) = (np.unique(t[i:i + n], return_counts=True) for t, i, n in ((x.a, a_from[g], x.a_size[g]), (x.b, b_from[g], x.b_size[g])))
+        keys.append(((u[:, None] << B_BITS) | v).ravel())
+        times.append((m[:, None] * k).ravel())
+        parts.append(np.full(len(keys[-1]), part[g]))
+    a_size, b_size = np.where(wide, 0, x.a_size), np.where(wide, 0, x.b_size)
+    per = np.repeat(b_size, a_size)                             # B tokens beside each A token
+    a = x.a[np.repeat(a_from, a_size) + _within(a_size)]
+    b = x.b[np.repeat(np.repeat(b_from, a_size), per) + _within(per)]
+    keys.append((np.repeat(a, per) << B_BITS) | b)
+    times.append(np.ones(len(b), np.int64))
+    parts.append(np.repeat(part, a_size * b_size))
+    key, time, part = np.concatenate(keys), np.concatenate(times), np.concatenate(parts)
+    order = np.lexsort((key, part))
+    key, time, part = key[order], time[order], part[order]
+    first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])))) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(time, first) if len(first) else time, np.bincount(part[first], minlength=len(x.sound))
 
 
 #: What can be asked for beside the numbers of tokens, groups and links.
@@ -174,67 +241,80 @@ LISTS = {"a_ids": "int", "b_ids": "int", "a_ends": "int", "b_ends": "int", "pair
 class Units(dict):
     """Unit -> its number, and what belongs to every unit, in lists one behind the other."""
 
-    def __init__(self, aligner: Aligner):
-        self.aligner = aligner
+    def __init__(self, aligner: Aligner, wanted: tuple[str, ...] = ("groups", *LISTS)):
+        self.aligner, self.wanted = aligner, wanted
+        self.kept = [c for c in LISTS if c in wanted or "pairs" in wanted and c == "times" or "times" in wanted and c == "pairs"]
         self.drop()
 
     def drop(self):
         self.clear()
-        self.text: list[str] = []
-        self.sound = array("b")
-        self.lists = {c: array("q") for c in LISTS}
-        self.ends = {c: array("q", [0]) for c in LISTS}
-
-    def __missing__(self, unit: str) -> int:
-        x = self.aligner.align(unit)
-        self.sound.append(x is not None)
-        x = x or NONE
-        for c, v in zip(LISTS, (x.a, x.b, x.a_end, x.b_end, *links(x))):
-            self.lists[c].frombytes(np.ascontiguousarray(v, np.int64).tobytes())
-            self.ends[c].append(len(self.lists[c]))
-        self.text.append(written(x))
-        self[unit] = n = len(self.text) - 1
-        return n
-
-    def together(self, texts: list[str | None], wanted: tuple[str, ...]) -> list[pa.Array]:
+        self.tokens = 0
+        self.text: list[bytes] = []
+        self.numbers = array("q")                             # of a unit: whether it is sound, n_a, n_b, n_groups, n_links
+        self.lists = {c: array("q") for c in self.kept}
+        self.ends = {c: array("q", [0]) for c in self.kept}
+
+    def learn(self, units: list[str]):
+        for lo in range(0, len(units), UNITS):
+            some = units[lo:lo + UNITS]
+            x = self.aligner.align(some)
+            key, times, pairs_n = links(x)
+            n_links = np.add.reduceat(np.append(x.a_size * x.b_size, 0), np.minimum(_starts(x.groups_n), len(x.a_size))) * (x.groups_n > 0)
+            self.numbers.frombytes(np.stack((x.sound, x.a_n, x.b_n, x.groups_n, n_links), axis=1).astype(np.int64).tobytes())
+            ends = [np.cumsum(size) - np.repeat(_starts(n), x.groups_n) for size, n in ((x.a_size, x.a_n), (x.b_size, x.b_n))]
+            columns = ((x.a, x.a_n), (x.b, x.b_n), (ends[0], x.groups_n), (ends[1], x.groups_n), (key, pairs_n), (times, pairs_n))
+            for c, (values, n) in zip(LISTS, columns):
+                if c in self.kept:
+                    self.ends[c].frombytes((len(self.lists[c]) + np.cumsum(n)).astype(np.int64).tobytes())
+                    self.lists[c].frombytes(values.astype(np.int64).tobytes())
+            self.update(zip(some, range(len(self), len(self) + len(some))))
+            if "groups" in self.wanted:
+                self.text.extend(written(x))
+            self.tokens += len(x.a) + len(x.b)
+
+    def together(self, texts: list[str | None]) -> list[pa.Array]:
         """n_a, n_b, n_groups, n_links and what is wanted, for each text."""
-        rows = [list(map(self.__getitem__, self.aligner.units(t))) if t else [] for t in texts]
-        sound = [all(map(self.sound.__getitem__, r)) for r in rows]
-        rows = [r if ok else [] for r, ok in zip(rows, sound)]
-        count = np.fromiter(map(len, rows), np.int64, len(rows))
-        unit = np.fromiter(chain.from_iterable(rows), np.int64, int(count.sum()))
+        parts = [self.aligner.units(t) if t else [] for t in texts]
+        self.learn([u for u in set(chain.from_iterable(parts)) if u not in self])
+        count = np.fromiter(map(len, parts), np.int64, len(parts))
+        unit = np.fromiter(map(self.__getitem__, chain.from_iterable(parts)), np.int64, int(count.sum()))
+        text = np.repeat(np.arange(len(parts)), count)
+        numbers = np.array(self.numbers).reshape(-1, 5)
+        unsound = np.bincount(text, 1 - numbers[unit, 0], len(parts)) > 0
+        if unsound.any():
+            unit, text, count = unit[~unsound[text]], text[~unsound[text]], np.where(unsound, 0, count)
         cut = np.concatenate(([0], np.cumsum(count)))
+        out = []
+        for i in range(1, 5):
+            total = np.concatenate(([0], np.cumsum(numbers[unit, i])))
+            out.append(pa.array(np.diff(total[cut])))
         found, size = {}, {}
-        for c in LISTS:
+        for c in self.kept:
             ends = np.array(self.ends[c])
-            n = (ends[1:] - ends[:-1])[unit]
-            before = np.concatenate(([0], np.cumsum(n)))
-            size[c] = before[cut]                              # where each text begins in the gathered list
-            if c in wanted or c in ("pairs", "times"):
-                place = np.arange(before[-1]) + np.repeat(ends[:-1][unit] - before[:-1], n)
-                found[c] = np.array(self.lists[c])[place] if len(place) else np.empty(0, np.int64)
-                if c in ("a_ends", "b_ends"):                  # ends count from the text's first token
-                    ids = np.array(self.ends[c[0] + "_ids"])
-                    m = (ids[1:] - ids[:-1])[unit]
-                    tokens = np.cumsum(m) - m
-                    found[c] += np.repeat(tokens - np.repeat(np.append(tokens, 0)[np.minimum(cut[:-1], len(tokens))], count), n)
-        totals = np.concatenate(([0], np.cumsum(found["times"])))[size["times"]]
-        out = [pa.array(np.diff(v)) for v in (size["a_ids"], size["b_ids"], size["a_ends"], totals)]
-        if "pairs" in wanted or "times" in wanted:
-            keys, times = [], []
-            for lo, hi in zip(size["pairs"][:-1].tolist(), size["pairs"][1:].tolist()):
-                key, back = np.unique(found["pairs"][lo:hi], return_inverse=True)
-                keys.append(key)
-                times.append(np.bincount(back, found["times"][lo:hi], len(key)).astype(np.int64))
-            found["pairs"], found["times"] = np.concatenate(keys), np.concatenate(times)
-            size["pairs"] = size["times"] = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
-        for c in wanted:
+            n = np.diff(ends)[unit]
+            size[c] = np.concatenate(([0], np.cumsum(n)))[cut]         # where each text begins in the gathered list
+            found[c] = np.array(self.lists[c])[np.repeat(ends[:-1][unit], n) + _within(n)]
+            if c in ("a_ends", "b_ends"):                              # ends count from the text's first token
+                tokens = numbers[unit, 1 if c == "a_ends" else 2]
+                before = _starts(tokens)
+                found[c] += np.repeat(before - before[np.minimum(cut[:-1], max(0, len(unit) - 1))][text], n) if len(unit) else 0
+        if "pairs" in self.kept:
+            part = np.repeat(np.arange(len(texts)), np.diff(size["pairs"]))
+            # one number to sort by: text, A id, B id
+            order = np.argsort(part * self.aligner.n_pairs + (found["pairs"] >> B_BITS) * len(self.aligner.b_bytes) + (found["pairs"] & ((1 << B_BITS) - 1)))
+            key, part = found["pairs"][order], part[order]
+            first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])))) if len(key) else np.zeros(0, np.int64)
+            found["pairs"], found["times"] = key[first], np.add.reduceat(found["times"][order], first) if len(first) else key
+            size["pairs"] = size["times"] = np.concatenate(([0], np.cumsum(np.bincount(part[first], minlength=len(texts)))))
+        for c in self.wanted:
             if c == "groups":
-                out.append(pa.array([";".join(map(self.text.__getitem__, r)) for r in rows], pa.string()))
+                numbers_of = unit.tolist()
+                out.append(pa.array([b"".join(map(self.text.__getitem__, numbers_of[i:j]))[:-1] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())],
+                                    pa.binary()).cast(pa.string()))
             else:
                 kind = np.int64 if LISTS[c] == "long" else np.int32
                 out.append(pa.ListArray.from_arrays(pa.array(size[c].astype(np.int32)), pa.array(found[c].astype(kind))))
-        if len(self.lists["a_ids"]) > KNOWN_TOKENS:
+        if self.tokens > KNOWN_TOKENS:
             self.drop()
         return out
 
@@ -243,7 +323,7 @@ def _aligned(folder: str, byte_file: str, piece_file: str, wanted: tuple[str, ..
     """(row, text) -> row and the alignment of its text, passed on in batches of about ``BATCH_CHARS``."""
 
     def each(batches):
-        units = Units(Aligner(folder, byte_file, piece_file))
+        units = Units(Aligner(folder, byte_file, piece_file), wanted)
         names = ["n_a", "n_b", "n_groups", "n_links", *wanted]
         for b in batches:
             texts = b.column(1).to_pylist()
@@ -251,7 +331,7 @@ def _aligned(folder: str, byte_file: str, piece_file: str, wanted: tuple[str, ..
             for i, t in enumerate(texts):
                 held += len(t or "")
                 if held > BATCH_CHARS or i + 1 == len(texts):
-                    cols = units.together(texts[at:i + 1], wanted)
+                    cols = units.together(texts[at:i + 1])
                     yield pa.record_batch([b.column(0).slice(at, i + 1 - at), pa.StructArray.from_arrays(cols, names)], ["row", "align"])
                     at, held = i + 1, 0
 

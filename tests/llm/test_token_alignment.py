@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from rivulet.llm import token_alignment as ta
@@ -100,7 +101,7 @@ def test_random_texts_and_units(aligner, monkeypatch):
     assert aligner.splits                                      # no piece holds a space after another character
     for _ in range(100):
         texts = ["".join(rnd.choice(some) for _ in range(rnd.randint(0, 40))) for _ in range(4)]
-        n_a, n_b, n_groups, n_links, text, *lists = (c.to_pylist() for c in units.together(texts, ("groups", *ta.LISTS)))
+        n_a, n_b, n_groups, n_links, text, *lists = (c.to_pylist() for c in units.together(texts))
         for i, t in enumerate(texts):
             want = plain(aligner, t)
             a, b, a_end, b_end, key, times = (x[i] for x in lists)
@@ -109,21 +110,23 @@ def test_random_texts_and_units(aligner, monkeypatch):
             linked = Counter(u << 32 | v for p, q in want for u in p for v in q)
             assert dict(zip(key, times)) == linked
             assert (n_a[i], n_b[i], n_groups[i], n_links[i]) == (len(a), len(b), len(want), sum(linked.values()))
-            if t:
-                x = aligner.align(t)
-                assert groups_of(x.a.tolist(), x.b.tolist(), x.a_end.tolist(), x.b_end.tolist()) == want
+        # whole texts beside each other, not cut into units
+        x = aligner.align([t for t in texts if t])
+        assert x.groups_n.tolist() == [len(plain(aligner, t)) for t in texts if t]
+        assert [w.decode().rstrip(";") for w in ta.written(x)] == [w for w, t in zip(text, texts) if t]
 
 
 def test_long_groups_are_linked_by_distinct_ids():
-    import numpy as np
     rng = np.random.default_rng(1)
-    x = ta.Aligned(rng.integers(0, 9, 705), rng.integers(0, 7, 604), np.array([2, 702, 705]), np.array([3, 603, 604]))
-    want, a, b = Counter(), 0, 0
-    for p, q in zip(x.a_end, x.b_end):
-        want.update(int(u) << 32 | int(v) for u in x.a[a:p] for v in x.b[b:q])
-        a, b = p, q
-    key, n = ta.links(x)
-    assert dict(zip(key.tolist(), n.tolist())) == want and key.tolist() == sorted(key.tolist())
+    x = ta.Aligned(np.array([True, False, True]), rng.integers(0, 9, 707), np.array([705, 0, 2]), rng.integers(0, 7, 605), np.array([604, 0, 1]),
+                   np.array([2, 700, 3, 2]), np.array([3, 600, 1, 1]), np.array([3, 0, 1]))
+    want, a, b = [Counter(), Counter()], 0, 0
+    for g, (n, m) in enumerate(zip(x.a_size, x.b_size)):
+        want[g == 3].update(int(u) << 32 | int(v) for u in x.a[a:a + n] for v in x.b[b:b + m])
+        a, b = a + n, b + m
+    key, times, n = ta.links(x)
+    assert n.tolist() == [len(want[0]), 0, len(want[1])]
+    assert list(zip(key.tolist(), times.tolist())) == [kv for w in want for kv in sorted(w.items())]
 
 
 def test_odd_rows_keep_their_columns(odd, nothing, aligner):
