@@ -65,3 +65,17 @@ def broadcast_within(table: Table, max_bytes: int) -> DataFrame:
 def row_hash(df: DataFrame) -> Column:
     """A hash of all columns, to order repeated rows the same way in any run."""
     return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def sampled(rows: DataFrame, size: int, salt: str) -> DataFrame:
+    """About ``size`` of the distinct rows (all, if there are fewer), chosen by a hash of
+    the whole row: null or repeated ids are no reason to be taken or left out together."""
+    return rows.where(in_sample(rows, size, salt)).distinct()
+
+
+def in_sample(rows: DataFrame, size: int, salt: str) -> Column:
+    """Whether a row is one of ``sampled``; equal rows are in or out together."""
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    n = rows.agg(F.approx_count_distinct(F.xxhash64(*own), 0.02).alias("n")).first()["n"]
+    steps = 1 << 62
+    return F.pmod(F.xxhash64(F.lit(salt), *own), F.lit(steps)) < F.lit(steps if n <= size else int(steps / n * size))

@@ -30,7 +30,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sampled, stored
 from .trees import evaluate, export
 
 SAMPLE_PAGES = 400
@@ -46,12 +46,18 @@ BOILERPLATE = frozenset("aside dialog footer form menu nav".split())
 BOILER_HINT = re.compile(r"(?i)(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|footer|sidebar|side|aside|ads?|advert\w*|sponsor\w*|promo\w*|banner|"
                          r"cookies?|consent|notice|gdpr|comments?|disqus|replies|reply|share|sharing|social|related|recommend\w*|newsletter|subscribe|"
                          r"signup|login|popup|modal|overlay|breadcrumbs?|pagination|toolbar|widget|copyright)(?:$|[\s_-])")
+FRAME_WORDS = frozenset("area bar block body bottom box button buttons card container content foot head icons inner item items link links list main "
+                        "outer panel post posts row section site slot top unit wrap wrapper".split())
 CONTENT_HINT = re.compile(r"(?i)(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text)(?:$|[\s_-])")
 
+ATTRS = r"(?:[^<>\"'/]++|/(?!>)|\"[^\"]*\"|'[^']*')*+"
+#: A skipped element's name ends before white space, / or >; the element ends at its />, else at its end tag, else with the page.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)"
-                   r"|<(?P<skip>" + "|".join(SKIPPED) + r")\b[^>]*>(?:.*?(?:</(?P=skip)\s*>|\Z))"
+                   r"|<(?P<skip>" + "|".join(SKIPPED) + r")(?=[\s/>])" + ATTRS + r"(?:/>|>.*?(?:</(?P=skip)\s*>|\Z))"
+                   r"|<(?P<odd>" + "|".join(SKIPPED) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=odd)\s*>|\Z)"
                    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9]*)(?P<attrs>(?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)/?(?:>|\Z)"
                    r"|</?[a-zA-Z!?][^>]*(?:>|\Z)|<!?\Z", re.S | re.I)
+NAMES = re.compile(r"""(?i)(?<![\w-])(?:class|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 HINTS = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 FEATURES = ("words", "links", "prev_words", "prev_links", "next_words", "next_links", "heading", "item", "inside", "prev_inside",
@@ -75,6 +81,10 @@ def _judge(tag: str, attrs: str, above: int) -> int:
         return -1 if re.search(r"(?i)comment|reply|related|promo|teaser", hint) else 1
     if tag in BOILERPLATE or tag == "header" and above != 1:
         return -1
+    if attrs and above == 1:
+        # inside main text a name must say nothing else: share-buttons, not social-impact
+        names = " ".join(x for m in NAMES.findall(attrs) for x in m).lower().split()
+        return -1 if any(BOILER_HINT.search(n) and all(BOILER_HINT.search(w) or w in FRAME_WORDS for w in re.split(r"[-_]+", n) if w) for n in names) else 0
     if attrs:
         hint = " ".join(x for m in HINTS.findall(attrs) for x in m)
         if hint and BOILER_HINT.search(hint) and not (tag == "body" or above == 0 and CONTENT_HINT.search(hint)):
@@ -159,12 +169,11 @@ def _hand_labelled() -> list[tuple[float, ...]]:
 
 
 def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> tuple[tuple, tuple]:
-    """Trees for marked and other pages, from the blocks of about ``sample_pages`` pages, chosen by a hash of their id."""
+    """Trees for marked and other pages, from the blocks of about ``sample_pages`` of the
+    distinct pages (id and html), chosen by a hash of both."""
     spark = pages.sparkSession
-    n = pages.count()
-    share = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit("html")), F.lit(1_000_000))
-    part = (pages.where((share < int(1_000_000 * min(1.0, sample_pages / max(1, n)))) & F.col(f"`{html_col}`").isNotNull())
-            .select(F.col(f"`{html_col}`").alias("h")))
+    rows = pages.where(F.col(f"`{html_col}`").isNotNull()).select(F.col(f"`{html_col}`").alias("h"), F.col(f"`{id_col}`").alias("id"))
+    part = sampled(rows, sample_pages, "html").select("h")
     schema = ", ".join(f"{f} double" for f in (*FEATURES, "label", "hand"))
 
     def label(batches):
@@ -181,8 +190,8 @@ def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table)
     grow = lambda part: export(DecisionTreeClassifier(maxDepth=DEPTH, weightCol="weight", seed=7).fit(part))
     marked, bare = ready.where("marked = 1").withColumn("weight", F.lit(1.0)), ready.where("marked = 0")
-    sampled = bare.where("hand = 0").count()
-    bare = bare.withColumn("weight", F.when(F.col("hand") == 1, max(1.0, sampled / len(LABELLED))).otherwise(1.0))
+    taken = bare.where("hand = 0").count()
+    bare = bare.withColumn("weight", F.when(F.col("hand") == 1, max(1.0, taken / len(LABELLED))).otherwise(1.0))
     other = grow(bare)
     return (grow(marked) if marked.limit(1).count() else other), other
 

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import BROADCAST_BYTES, Table, ascii_lower, broadcast_within
+from .common import BROADCAST_BYTES, Table, ascii_lower, broadcast_within, sampled
 
 SAMPLE_DOCS = 20_000
 HELD_LANGUAGES = 64
@@ -107,12 +107,10 @@ class TextModel:
 
 
 def learn_text(docs: DataFrame, text_col: str, label_col: str, id_col: str, sample_docs: int = SAMPLE_DOCS) -> TextModel | None:
-    """Trigram tables from about ``sample_docs`` labelled rows, chosen by a hash of their id."""
+    """Trigram tables from about ``sample_docs`` of the distinct labelled rows (id, text, label), chosen by a hash of the row."""
     labelled = docs.where(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
-    share = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit("language")), F.lit(1_000_000))
-    n = labelled.count()
-    part = (labelled.where(share < int(1_000_000 * min(1.0, sample_docs / max(1, n))))
-            .select(F.col(f"`{label_col}`").alias("lang"), F.col(f"`{text_col}`").alias("t")))
+    labelled = labelled.select(F.col(f"`{label_col}`").alias("lang"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{id_col}`").alias("id"))
+    part = sampled(labelled, sample_docs, "language").select("lang", "t")
 
     def count(batches):
         held: dict[str, np.ndarray] = {}

@@ -1,14 +1,16 @@
 r"""Licence scan: Dice coefficient over word bigrams against templates.
 
 Text is normalised (A-Z lower-cased, punctuation and white space between words
-dropped) and compared unit by unit: the whole text, its paragraphs, lines and
-sentences.  A unit matches a template if the Dice coefficient of their multisets
-of word bigrams reaches ``threshold``.
+dropped) to one sequence of words, across lines and paragraphs.  A run of consecutive
+words matches a template if the Dice coefficient of their multisets of word bigrams
+reaches ``threshold``; the best run counts.
 
-Pruning loses no match.  Size bound: at Dice t, a unit has between t/(2-t) and
-(2-t)/t times as many bigrams as the template.  Anchors: a match shares at least
-t/(2-t) of a template's bigrams, so of any set that is larger than the rest one
-occurs in the unit; texts and units without the anchor words are passed over.
+Pruning loses no match.  Size bound: at Dice t, a run has between t/(2-t) and (2-t)/t
+times as many bigrams as the template.  Ends: a run that begins or ends with a bigram
+that the template lacks is no better than without it, so runs go from one shared bigram
+to another; fewer than t/(2-t) of the template's bigrams within the longest size rule a
+start out.  Anchors: a match shares at least t/(2-t) of a template's bigrams, so of any
+set that is larger than the rest one occurs in the text; other texts are passed over.
 
 Defined cases: null or empty text matches nothing (no licences, null best, score
 0); repeated rows each get a row; ties in the score go to the name that sorts
@@ -17,8 +19,8 @@ first; an empty table gives no rows; only the id and text columns are read.
 
 from __future__ import annotations
 
+import bisect
 import math
-import re
 from collections import Counter
 
 import pyarrow as pa
@@ -57,21 +59,12 @@ with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
 }
 
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 32 for c in range(256))
-SENTENCE = re.compile(rb"(?<=[.!?;])[\x20\t]+")
-PARAGRAPH = re.compile(rb"\n(?:[\x20\t\r]*\n)+")
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-def units_of(text: bytes) -> list[bytes]:
-    """The whole text, its paragraphs, lines and sentences, each once."""
-    paragraphs = PARAGRAPH.split(text)
-    lines = [x for p in paragraphs for x in p.splitlines()]
-    return list(dict.fromkeys([text, *paragraphs, *lines, *(s for x in lines for s in SENTENCE.split(x))]))
-
-
 class Templates:
     def __init__(self, templates: dict[str, str], threshold: float):
         self.threshold = threshold
@@ -88,35 +81,52 @@ class Templates:
             pool = sorted(grams.elements(), key=lambda g: (-max(map(len, g)), g))[:n - need + 1]
             self.rows.append((name, grams, n, math.ceil(low * n - 1e-9), math.floor(n / low + 1e-9), frozenset(max(g, key=len) for g in pool)))
         self.anchors = frozenset().union(*[r[5] for r in self.rows])
-        self.most = max((r[4] for r in self.rows), default=0)
 
     def matches(self, text: bytes) -> dict[str, tuple[float, int]]:
-        """Name -> (best Dice coefficient, matching units)."""
-        if self.anchors.isdisjoint(words_of(text)):
-            return {}
+        """Name -> (best Dice coefficient, matching runs that do not overlap, the better first)."""
+        words = words_of(text)
+        have = self.anchors.intersection(words)
         out: dict[str, tuple[float, int]] = {}
-        for unit in units_of(text):
-            if len(unit) < 3:
-                continue
-            words = words_of(unit)
-            n = len(words) - 1
-            if not 0 < n <= self.most or self.anchors.isdisjoint(words):
-                continue
-            grams, have = None, set(words)
-            for name, own, m, least, most, anchors in self.rows:
-                if least <= n <= most and not anchors.isdisjoint(have):
-                    grams = grams or Counter(zip(words, words[1:]))
-                    dice = 2 * (grams & own).total() / (n + m)
-                    if dice >= self.threshold:
-                        best, count = out.get(name, (0.0, 0))
-                        out[name] = max(best, dice), count + 1
+        if not have:
+            return out
+        grams = list(zip(words, words[1:]))
+        for name, own, m, least, most, anchors in self.rows:
+            if not anchors.isdisjoint(have):
+                runs = self._runs(grams, own, m, least, most)
+                if runs:
+                    taken: list[int] = []            # bounds of the runs counted, ascending
+                    for _, a, b in runs:
+                        at = bisect.bisect_right(taken, a)
+                        if at % 2 == 0 and (at == len(taken) or taken[at] >= b):
+                            taken[at:at] = [a, b]
+                    out[name] = -runs[0][0], len(taken) // 2
         return out
 
+    def _runs(self, grams: list, own: Counter, m: int, least: int, most: int) -> list[tuple[float, int, int]]:
+        """(-Dice, first, last + 1) of the best matching run from each start, the best first."""
+        at = [i for i, g in enumerate(grams) if g in own]
+        found = []
+        for k, a in enumerate(at):
+            if k + least > len(at) or at[k + least - 1] - a >= most:
+                continue
+            left, shared, best = dict(own), 0, (0.0, 0)
+            for b in at[k:bisect.bisect_left(at, a + most, k)]:
+                g = grams[b]
+                if left[g]:
+                    left[g] -= 1
+                    shared += 1
+                    dice = 2 * shared / (b - a + 1 + m)
+                    if dice > best[0]:
+                        best = dice, b + 1
+            if best[0] >= self.threshold:
+                found.append((-best[0], a, best[1]))
+        return sorted(found)
+
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None,
          threshold: float = THRESHOLD) -> DataFrame:
     """Per row: id, licences (sorted names), best, score (the best's Dice
-    coefficient), n_units (units that match some template, counted per template)."""
+    coefficient), n_units (runs that match, counted per template)."""
     known = Templates(templates or TEMPLATES, threshold)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("t"))
 

@@ -32,7 +32,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import in_sample, stored
 from .trees import export
 
 # --- fixed values: kinds in their order, base patterns and limits ---
@@ -193,12 +193,10 @@ class Redactor:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS,
           precision: float = PRECISION) -> Redactor:
-    """Trees from the candidates of about ``sample_docs`` documents, chosen by a
-    hash of their id; thresholds from all other candidates of all documents."""
-    n = docs.count()
-    share = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit("pii")), F.lit(1_000_000))
-    sampled = share < int(1_000_000 * min(1.0, sample_docs / max(1, n)))
-    part = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), sampled.alias("sampled"))
+    """Trees from the candidates of about ``sample_docs`` of the distinct documents (id and
+    text), chosen by a hash of both; thresholds from all other candidates of all documents."""
+    part = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    part = part.select("*", in_sample(part, sample_docs, "pii").alias("sampled"))
     is_base = F.exists("__base", lambda b: (b["k"] == F.col("c")["k"]) & (b["s"] >= F.col("c")["s"]) & (b["e"] <= F.col("c")["e"])
                        & (b["e"] - b["s"] >= F.col("c")["e"] - F.col("c")["s"] - 1))
     feats = _features(F.col("c"))
@@ -209,7 +207,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
         rows = _with_matches(some, "text").select("id", "sampled", "__base", F.explode("__cand").alias("c"))
         return rows.select("c", is_base.cast("double").alias("label"), learnt.alias("learnt"))
 
-    fit = stored(labelled(part.where("sampled")).where("learnt").select("label", *[v.alias(k) for k, v in feats.items()]).repartition(4), "pii-sample")
+    fit = stored(labelled(part.where("sampled").distinct()).where("learnt").select("label", *[v.alias(k) for k, v in feats.items()]).repartition(4), "pii-sample")
     fit = VectorAssembler(inputCols=names, outputCol="features").transform(fit)
     if fit.select("label").distinct().count() < 2:
         return Redactor()

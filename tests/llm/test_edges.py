@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rivulet.llm import decontaminate, html_text, language, licenses, mixing, neighbours, ngram_lm, pii, simhash, url_filter
+from rivulet.llm.common import read, sampled
 
 from .conftest import LONG, TEXTS
 
@@ -228,3 +229,31 @@ def test_pii_thresholds_cover_all_documents(spark):
     rows = [(i, f"paid by card 4111 1111 1111 1111 today, item x{i}a1234567890b") for i in range(1500)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert pii.learn(df, sample_docs=40).thresholds
+
+
+def without_ids(spark, docs, kind):
+    ids = {"null": F.lit(None).cast("long"), "same": F.lit(7).cast("long")}
+    return docs.withColumn("doc_id" if "doc_id" in docs.columns else "page_id", ids[kind])
+
+
+@pytest.mark.parametrize("kind", ["null", "same"])
+def test_samples_do_not_hang_on_ids(spark, kind):
+    """Above the bound, rows without ids or of one id still give a sample of about its size, and nothing is lost."""
+    docs = without_ids(spark, read(spark, "/root/testdata/sf0.01", "documents"), kind)
+    part = docs.select("doc_id", "text")
+    assert 40 < sampled(part, 100, "x").count() < 200
+    model = language.learn_text(docs, "text", "lang", "doc_id", sample_docs=100)
+    assert len(model.languages) == 4
+    assert language.accept(docs, declared=F.col("lang"), host=F.col("source"), label_col="lang", sample_docs=100).count() > 900
+    assert pii.learn(docs, sample_docs=200).margin is not None
+    pages = without_ids(spark, read(spark, "/root/testdata/sf0.01", "pages"), kind)
+    trees = html_text.learn(pages, sample_pages=50)
+    assert html_text.extract(pages, trees=trees).where("n_chars > 0").count() == pages.count()
+
+
+def test_samples_of_repeated_rows(spark):
+    """Equal rows are one row of the sample; few distinct rows are all taken; a bound far below the rows still takes some."""
+    df = spark.range(5000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id") % 10).alias("doc_id"), F.lit("t").alias("text"))
+    assert sampled(df, 20, "x").count() == 10
+    assert 0 < sampled(spark.range(3_000_000).toDF("id"), 5, "x").count() < 30
+    assert sampled(df.limit(0), 20, "x").count() == 0
