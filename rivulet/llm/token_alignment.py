@@ -43,6 +43,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,7 +53,7 @@ from .common import Table, broadcast_within
 FOLDER = "/opt/tokenizers"
 BYTE_FILE = "byte_bpe_50k.json"
 PIECE_FILE = "piece_bpe_32k.model"
-BATCH_CHARS = 1 << 20      # of the texts put together at a time
+BATCH_BYTES = 1 << 20      # of the texts put together at a time
 KNOWN_TOKENS = 1 << 23     # of the units that a task keeps
 UNITS = 1 << 14            # aligned at a time, in runs of about SLICE characters
 SLICE = 1 << 15
@@ -129,7 +130,7 @@ class Aligner:
         """The parts' numbers in runs that are encoded together: units stand beside each other as in a text."""
         runs, size, open_ = [], 0, False
         for i, p in enumerate(parts):
-            clean = self.splits and p[0] not in BLANK and p[-1] not in BLANK and not p[0].isspace() and not p[-1].isspace()
+            clean = self.splits and p == p.strip() and p[-1] != BLANK
             if clean and open_ and size < SLICE:
                 runs[-1].append(i)
                 size += len(p)
@@ -279,7 +280,7 @@ class Units(dict):
         count = np.fromiter(map(len, parts), np.int64, len(parts))
         unit = np.fromiter(map(self.__getitem__, chain.from_iterable(parts)), np.int64, int(count.sum()))
         text = np.repeat(np.arange(len(parts)), count)
-        numbers = np.array(self.numbers).reshape(-1, 5)
+        numbers = np.frombuffer(self.numbers, np.int64).reshape(-1, 5)      # views: the lists grow only in learn()
         unsound = np.bincount(text, 1 - numbers[unit, 0], len(parts)) > 0
         if unsound.any():
             unit, text, count = unit[~unsound[text]], text[~unsound[text]], np.where(unsound, 0, count)
@@ -290,10 +291,10 @@ class Units(dict):
             out.append(pa.array(np.diff(total[cut])))
         found, size = {}, {}
         for c in self.kept:
-            ends = np.array(self.ends[c])
+            ends = np.frombuffer(self.ends[c], np.int64)
             n = np.diff(ends)[unit]
             size[c] = np.concatenate(([0], np.cumsum(n)))[cut]         # where each text begins in the gathered list
-            found[c] = np.array(self.lists[c])[np.repeat(ends[:-1][unit], n) + _within(n)]
+            found[c] = np.frombuffer(self.lists[c] or np.zeros(1, np.int64), np.int64)[np.repeat(ends[:-1][unit], n) + _within(n)]
             if c in ("a_ends", "b_ends"):                              # ends count from the text's first token
                 tokens = numbers[unit, 1 if c == "a_ends" else 2]
                 before = _starts(tokens)
@@ -320,19 +321,19 @@ class Units(dict):
 
 
 def _aligned(folder: str, byte_file: str, piece_file: str, wanted: tuple[str, ...]):
-    """(row, text) -> row and the alignment of its text, passed on in batches of about ``BATCH_CHARS``."""
+    """(row, text) -> row and the alignment of its text, passed on in batches of about ``BATCH_BYTES``."""
 
     def each(batches):
         units = Units(Aligner(folder, byte_file, piece_file), wanted)
         names = ["n_a", "n_b", "n_groups", "n_links", *wanted]
         for b in batches:
-            texts = b.column(1).to_pylist()
+            sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()
             at, held = 0, 0
-            for i, t in enumerate(texts):
-                held += len(t or "")
-                if held > BATCH_CHARS or i + 1 == len(texts):
-                    cols = units.together(texts[at:i + 1])
-                    yield pa.record_batch([b.column(0).slice(at, i + 1 - at), pa.StructArray.from_arrays(cols, names)], ["row", "align"])
+            for i, size in enumerate(sizes):
+                held += size
+                if held > BATCH_BYTES or i + 1 == len(sizes):
+                    part = b.slice(at, i + 1 - at)
+                    yield pa.record_batch([part.column(0), pa.StructArray.from_arrays(units.together(part.column(1).to_pylist()), names)], ["row", "align"])
                     at, held = i + 1, 0
 
     return each
