@@ -27,13 +27,15 @@ def sentences(text) -> Column:
     return F.filter(F.split(marked, _SEP), lambda s: s != "")
 
 
-def truncate_markdown(text, max_sentences: int = 0, max_chars: int = 0) -> Column:
+def truncate_markdown(text, max_sentences: int = 0, max_chars: int = 0, pieces: Column | None = None) -> Column:
     """First ``max_sentences`` sentences joined by one space; then, if longer
     than ``max_chars``, cut to ``max_chars``, drop what follows the last line
-    break and strip.  A limit of 0 is off.  NULL or empty gives ''."""
+    break and strip.  A limit of 0 is off.  NULL or empty gives ''.  ``pieces`` are
+    the text's sentences where they come from elsewhere (corpus statistics)."""
     out = F.coalesce(as_col(text), F.lit(""))
     if max_sentences > 0:
-        out = F.array_join(F.slice(sentences(out), 1, max_sentences), " ")
+        own = sentences(out) if pieces is None else F.coalesce(pieces, F.array().cast("array<string>"))
+        out = F.array_join(F.slice(own, 1, max_sentences), " ")
     if max_chars > 0:
         def cut(x):
             short = strip_ws(F.regexp_replace(F.substring(x, 1, max_chars), "\n[^\n]*\\z", ""))
@@ -42,10 +44,11 @@ def truncate_markdown(text, max_sentences: int = 0, max_chars: int = 0) -> Colum
     return out
 
 
-def truncate_by_sentences(text, max_sentences: int, max_chars: int) -> Column:
+def truncate_by_sentences(text, max_sentences: int, max_chars: int, pieces: Column | None = None) -> Column:
     """Add whole sentences (each followed by a space) while the running text
     plus the next sentence stays within ``max_chars``; stop at the first that
-    does not fit; at most ``max_sentences``; strip the result."""
+    does not fit; at most ``max_sentences``; strip the result.  ``pieces`` are the
+    text's sentences where they come from elsewhere."""
     init = F.struct(F.lit("").alias("r"), F.lit(False).alias("stop"))
 
     def step(acc, s):
@@ -54,7 +57,7 @@ def truncate_by_sentences(text, max_sentences: int, max_chars: int) -> Column:
                 .otherwise(F.struct(F.concat(acc["r"], s, F.lit(" ")).alias("r"),
                                     F.lit(False).alias("stop")))
 
-    return F.aggregate(F.slice(sentences(text), 1, max_sentences), init, step,
+    return F.aggregate(F.slice(sentences(text) if pieces is None else pieces, 1, max_sentences), init, step,
                        lambda acc: strip_ws(acc["r"]))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from .. import functions as RF
+from ..operators import boundaries
+from ..operators import summary as summaries
 from ..session import apply_core_conf
 from ..sources.tables import load
 
@@ -90,6 +92,32 @@ def truncate_by_sentences(spark, sf_dir):
                                                        fixed.MAX_SUMMARY_CHARACTERS).alias("truncated"))
 
 
+@query
+def sentence_boundaries(spark, sf_dir):
+    """F5 by corpus statistics: sentences of each document and the tokens that end them."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    keyed = boundaries.keyed_texts(d)
+    ends = boundaries.boundaries(keyed, boundaries.learn_boundaries(keyed))
+    found = keyed.join(ends, "key", "left").select(F.col("text").alias("t"), "ends", _size(boundaries.split_at("text", "ends")).alias("n"))
+    return d.join(found, F.col("text") == F.col("t"), "left").select(
+        "doc_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_sentences"), F.coalesce(F.array_join("ends", "|"), F.lit("")).alias("ends"))
+
+
+@query
+def truncate_by_boundaries(spark, sf_dir):
+    """F6 and F7 over the sentences of the corpus statistics."""
+    d = boundaries.with_sentences(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    n, m = fixed.MAX_SUMMARY_SENTENCES, fixed.MAX_SUMMARY_CHARACTERS
+    return d.select("doc_id", RF.truncate_markdown("text", n, m, F.col("sentences")).alias("truncated"),
+                    RF.truncate_by_sentences("text", n, m, F.col("sentences")).alias("by_sentences"))
+
+
+@query
+def extractive_summary(spark, sf_dir):
+    """U3a + U3d: each document's most central sentences, within the limits, and their score."""
+    return summaries.extractive_summary(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "summary", "score")
+
+
 @query
 def html_to_markdown(spark, sf_dir):
     """F10a + F10b over whole pages."""
@@ -444,6 +472,16 @@ def entry_enrichment(spark, sf_dir):
                     F.col("enr_engagement_score").alias("engagement_score"))
 
 
+@query
+def entry_enrichment_bucketed(spark, sf_dir):
+    """J3 over tables bucketed by the entry's key: the join has no shuffle."""
+    from ..operators.entities import build_enrichment
+    from ..sources.buckets import bucketed_enrichment
+    enrichment = build_enrichment(_enrichment_raw(spark, sf_dir).drop("vec_id"))
+    j = bucketed_enrichment(_entries(spark, sf_dir), enrichment, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return j.select("id", _size("enr_embeddings").alias("n_dims"), F.col("enr_engagement_score").alias("engagement_score"))
+
+
 @query
 def content_fallback(spark, sf_dir):
     """Stored content, else the page converted to Markdown."""
@@ -477,6 +515,21 @@ def changed_feeds(spark, sf_dir):
     return due(log.withColumn("last_modified", F.col("last_modified").cast("timestamp")), _state(spark, sf_dir))
 
 
+@query
+def feed_transitions(spark, sf_dir):
+    """Every check of every feed as a step of its state, and the
+    retries whose time came; the batch form of the stateful stream."""
+    from ..sources.tables import fetch_log_from_events
+    from ..streaming.feed_state import transitions
+    log = fetch_log_from_events(load(spark, sf_dir, "events"))
+    log = log.select("feed_url", "status", F.col("last_modified").cast("timestamp").alias("last_modified"),
+                     F.col("last_modified").cast("timestamp").alias("fetched_at"), F.col("event_id").alias("seq"))
+    day = 24 * 60 * 60 * 1000
+    out = transitions(log, retries=2, delay_ms=day, factor=3.0)
+    micros = lambda c: F.unix_micros(c)
+    return out.select("feed_url", micros("at").alias("at_us"), "event", "failures", micros("next_at").alias("next_us"))
+
+
 @query
 def next_watermark(spark, sf_dir):
     """The state after the run — due feeds move to the run's start."""

@@ -596,3 +596,114 @@ SQL["feed_accounting"] = """
 SELECT 'document' AS origin, 'item' AS outcome, count(*) AS n FROM documents HAVING count(*) > 0
 UNION ALL SELECT 'page', 'document_unparsable', count(*) FROM pages HAVING count(*) > 0
 """
+
+
+# ---------------------------------------------- sentences by statistics --
+# Written out from the definitions: Dunning's ratios over plain counts.
+
+_TOK = "[^" + WS[1:] + "+"
+_EDGES = "^[\"''(\\[{«“‘¿¡*_]+|[\"'')\\]}»”’*_]+$"
+
+
+def _ll(k, n, p):
+    return (f"(CASE WHEN {k} > 0 THEN {k} * ln({p}) ELSE 0 END + "
+            f"CASE WHEN {n} - {k} > 0 THEN ({n} - {k}) * ln(1 - {p}) ELSE 0 END)")
+
+
+_BOUNDARIES = f"""
+texts AS MATERIALIZED (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
+listed AS (SELECT text, regexp_extract_all(text, {sql_str(_TOK)}) AS a FROM texts),
+raw AS (SELECT text, unnest(range(1, len(a) + 1)) AS pos, unnest(a) AS tok, unnest(list_concat(a[2:], [NULL])) AS nxt FROM listed WHERE len(a) > 0),
+bare AS (SELECT text, pos, regexp_replace(tok, '{_EDGES}', '', 'g') AS core, regexp_replace(nxt, '{_EDGES}', '', 'g') AS after FROM raw),
+toks AS MATERIALIZED (SELECT *, lower(regexp_replace(core, '[.,;:!?…]+$', '')) AS word,
+                             lower(regexp_replace(after, '[.,;:!?…]+$', '')) AS next_word FROM bare),
+counts AS MATERIALIZED (SELECT word, count(*) FILTER (core LIKE '%.') AS a, count(*) FILTER (core NOT LIKE '%.') AS b FROM toks GROUP BY word),
+totals AS MATERIALIZED (SELECT sum(a + b) AS n, greatest(1e-9, least(1 - 1e-9, sum(a) / sum(a + b))) AS p FROM counts),
+abbr AS MATERIALIZED (
+  SELECT word FROM (SELECT *, length(replace(word, '.', '')) AS letters, length(word) - length(replace(word, '.', '')) + 1 AS periods FROM counts), totals
+  WHERE a > 0 AND regexp_matches(word, '\\p{{L}}')
+    AND -2.0 * ((a * ln(p) + b * ln(1 - p)) - (a * ln(0.99::DOUBLE) + b * ln(1 - 0.99::DOUBLE))) * exp(-letters) * periods * pow(letters, -b) >= 0.3),
+sure AS MATERIALIZED (
+  SELECT next_word AS word, count(*) AS k FROM toks
+  WHERE regexp_matches(core, '[.!?]$') AND regexp_matches(next_word, '\\p{{L}}') AND word NOT IN (SELECT word FROM abbr) GROUP BY next_word),
+rates AS (SELECT word, k, a + b AS c, n, h, (a + b) / n AS p, k / h AS p1, (a + b - k) / greatest(n - h, 1) AS p2
+          FROM sure JOIN counts USING (word), totals, (SELECT sum(k) AS h FROM sure)),
+starters AS MATERIALIZED (
+  SELECT word FROM rates WHERE p1 > p2
+    AND -2.0 * ({_ll('k', 'h', 'p')} + {_ll('(c - k)', '(n - h)', 'p')} - {_ll('k', 'h', 'p1')} - {_ll('(c - k)', '(n - h)', 'p2')}) >= 30),
+ends AS MATERIALIZED (
+  SELECT text, list(pos ORDER BY pos) AS ends FROM toks
+  WHERE regexp_matches(core, '[.!?…]$') AND after IS NOT NULL AND CASE
+    WHEN regexp_matches(core, '[!?]$') THEN true
+    WHEN regexp_matches(core, '(\\.\\.|…)$') OR regexp_matches(word, '^[0-9]+$') THEN regexp_matches(after, '^\\p{{Lu}}')
+    WHEN word IN (SELECT word FROM abbr) OR regexp_matches(word, '^\\p{{L}}$')
+      THEN regexp_matches(after, '^\\p{{Lu}}') AND next_word IN (SELECT word FROM starters)
+    ELSE true END
+  GROUP BY text),
+pieces AS (SELECT text, regexp_extract_all(text, {sql_str(_TOK + WS + '*')}) AS p, list_concat(coalesce(ends, []), [len(regexp_extract_all(text, {sql_str(_TOK)}))]) AS e
+           FROM texts LEFT JOIN ends USING (text)),
+split AS MATERIALIZED (
+  SELECT text, list_filter(list_transform(range(1, len(e) + 1), lambda i:
+           {sql_strip_ws("array_to_string(p[(CASE WHEN i > 1 THEN e[i - 1] ELSE 0 END) + 1:e[i]], '')")}), lambda s: s <> '') AS sentences
+  FROM pieces)
+""".replace("\\\\", "\\")
+
+SQL["sentence_boundaries"] = f"""
+WITH {_BOUNDARIES}
+SELECT doc_id, CAST(coalesce(len(sentences), 0) AS BIGINT) AS n_sentences, coalesce(array_to_string(ends, '|'), '') AS ends
+FROM documents LEFT JOIN split USING (text) LEFT JOIN ends USING (text)
+"""
+
+SQL["truncate_by_boundaries"] = f"""
+WITH {_BOUNDARIES},
+joined AS (SELECT text, sentences, array_to_string(sentences[1:{fixed.MAX_SUMMARY_SENTENCES}], ' ') AS j FROM split),
+fitting AS (SELECT text, sentences, j, [list_sum(list_transform(sentences[1:i], lambda s: length(s) + 1)) FOR i IN range(1, least(len(sentences), {fixed.MAX_SUMMARY_SENTENCES}) + 1)] AS upto
+            FROM joined),
+kept AS (SELECT *, len(list_filter(range(1, len(upto) + 1), lambda i: len(list_filter(upto[1:i], lambda u: u - 1 > {fixed.MAX_SUMMARY_CHARACTERS})) = 0)) AS k FROM fitting)
+SELECT doc_id, CASE WHEN d.text IS NULL OR d.text = '' THEN '' WHEN length(j) > {fixed.MAX_SUMMARY_CHARACTERS}
+         THEN {sql_strip_ws(f"regexp_replace(substring(j, 1, {fixed.MAX_SUMMARY_CHARACTERS}), {sql_str(chr(10) + '[^' + chr(10) + ']*$')}, '')")} ELSE j END AS truncated,
+       {sql_strip_ws("array_to_string(sentences[1:k], ' ')")} AS by_sentences
+FROM documents d LEFT JOIN kept USING (text)
+"""
+
+SQL["extractive_summary"] = rf"""
+WITH {_BOUNDARIES},
+sent AS MATERIALIZED (SELECT text, unnest(range(0, len(sentences))) AS s, unnest(sentences) AS sentence FROM split WHERE len(sentences) > 0),
+tf AS MATERIALIZED (
+  SELECT text, s, word, count(*) AS tf
+  FROM (SELECT text, s, unnest(regexp_extract_all(lower(sentence), '[\p{{L}}\p{{N}}]+')) AS word FROM sent) GROUP BY text, s, word),
+idf AS (SELECT word, CAST(floor(ln(1 + (SELECT count(*) FROM texts) / count(DISTINCT text)) * 1024) AS BIGINT) AS idf FROM tf GROUP BY word),
+w AS MATERIALIZED (SELECT text, s, word, tf * idf AS w FROM tf JOIN idf USING (word)),
+u AS MATERIALIZED (
+  SELECT text, s, word, CAST(floor(w * 65536 / sqrt(sq)) AS BIGINT) AS u
+  FROM w JOIN (SELECT text, s, CAST(sum(w * w) AS DOUBLE) AS sq FROM w GROUP BY text, s) USING (text, s)),
+c AS (SELECT text, word, sum(u) AS c FROM u GROUP BY text, word),
+score AS (SELECT text, s, sum(u * c) AS centrality FROM u JOIN c USING (text, word) GROUP BY text, s),
+ranked AS (SELECT text, s, sentence, coalesce(centrality, 0) AS centrality, sum(coalesce(centrality, 0)) OVER (PARTITION BY text) AS mass,
+                  row_number() OVER (PARTITION BY text ORDER BY coalesce(centrality, 0) DESC, s) AS rank
+           FROM sent LEFT JOIN score USING (text, s)),
+fit AS (SELECT *, sum(length(sentence) + 1) OVER (PARTITION BY text ORDER BY rank) - 1 AS n FROM ranked WHERE rank <= 3),
+full_at AS (SELECT text, min(rank) AS full_at FROM fit WHERE n > {fixed.MAX_SUMMARY_CHARACTERS} AND rank > 1 GROUP BY text),
+picked AS (SELECT text, string_agg(substring(sentence, 1, {fixed.MAX_SUMMARY_CHARACTERS}), ' ' ORDER BY s) AS summary,
+                  CAST(1 + floor(CASE WHEN any_value(mass) > 0 THEN CAST(sum(centrality) AS DOUBLE) / CAST(any_value(mass) AS DOUBLE) ELSE 1 END * 9) AS INTEGER) AS score
+           FROM fit LEFT JOIN full_at USING (text) WHERE rank < coalesce(full_at, 99) GROUP BY text)
+SELECT doc_id, summary, score FROM documents LEFT JOIN picked USING (text)
+"""
+
+SQL["entry_enrichment_bucketed"] = SQL["entry_enrichment"]
+
+# A step per check: errors in a row are the rows since the last good one.
+SQL["feed_transitions"] = """
+WITH l AS (
+  SELECT 'https://feed' || CAST(user_id AS VARCHAR) || '.example.com/rss' AS feed_url, event_type, event_id, epoch_us(ts) AS us,
+         event_type <> 'error' AS good FROM events),
+n AS (SELECT *, row_number() OVER w AS i, max(CASE WHEN good THEN us END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS good_us,
+             lead(us) OVER w AS later, max(us) OVER () AS last_us
+      FROM l WINDOW w AS (PARTITION BY feed_url ORDER BY us, event_id)),
+f AS (SELECT *, CAST(i - coalesce(max(CASE WHEN good THEN i END) OVER (PARTITION BY feed_url ORDER BY i), 0) AS INTEGER) AS failures FROM n),
+s AS (SELECT *, CASE WHEN NOT good AND failures <= 2 THEN us + CAST(86400000000 * pow(3.0, failures - 1) AS BIGINT) END AS next_us FROM f)
+SELECT feed_url, us AS at_us, CASE WHEN good THEN CASE WHEN event_type <> 'view' AND us > coalesce(good_us, 0) THEN 'due' ELSE 'unchanged' END
+                                   WHEN failures <= 2 THEN 'failed' ELSE 'gave_up' END AS event, failures, next_us FROM s
+UNION ALL
+SELECT feed_url, next_us, 'retry', failures, NULL FROM s WHERE next_us < coalesce(later, last_us)
+"""
