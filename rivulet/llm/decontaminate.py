@@ -3,38 +3,46 @@ r"""Benchmark decontamination: a prefix-filtered containment join.
 Every item is cut into windows of ``WINDOW`` consecutive words (an item of fewer
 words, but not none, is one window).  A document holds a window only if it holds
 all of its shingles, so it is enough to look for one: each window's shingles
-(single words) are ordered by rarity in the whole corpus and the rarest one, its
+(single words) are ordered by rarity in the whole corpus, and the rarest one, its
 prefix, is joined with the documents' words.  A match fixes where the window would
 lie; the positional and length bounds drop windows that would start before the
 document or end after it, and the rest are verified word by word.  Words inside a
 verified window are hit.
 
-The corpus counts are taken over all documents, for the words that items hold.
-Items come in blocks of at most ``block_bytes`` of text; each block is sent to
-the tasks whole, so what is broadcast is bounded whatever the number of items.
-Per document and block one row of verified spans is kept; spans of several blocks
-are merged per document.
+Items stay in tables: their distinct windows, the words of those, the words' counts
+over all documents, the windows by their rarest word.  What tasks hold of them is a
+bitmap of word hashes, of fixed size whatever the items: it lets through the item
+words (for counting), then the prefix words with the words around them (for the
+join), and a few others that the joins drop.  Hits are kept by text, so copies share
+them.  Frequent words that are some window's rarest meet many windows: these joins
+are plain equi-joins that adaptive execution splits.
 
 Defined cases: null texts have no words (never hit, never an item with windows);
 repeated rows each get a row; items with equal texts all count; an empty
 documents table gives no rows, an empty item table no hits; a null item id is
-skipped; null and repeated document ids are rows of their own in ``clean``; extra
-columns are ignored by ``contamination`` and kept by ``clean``.
+skipped; item and document ids may be of any type that can be sorted; null and
+repeated document ids are rows of their own in ``clean``; extra columns are ignored by
+``contamination`` and kept by ``clean``.  Texts are told apart by a 64-bit hash and
+their length.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import zlib
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
+from pyspark.sql import types as T
 
-from .common import stored
+from .common import BROADCAST_BYTES, Table, broadcast_within, stored
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BITS = 22            # of a word's hash: the bitmap holds 2^BITS of them
+HELD_WORDS = 1 << 18
+ROWS = 1 << 14
 #: Bytes that are no part of a word become a space, A-Z lower case (word pattern: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+).
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 32 for c in range(256))
 
@@ -43,159 +51,151 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(FOLD).split()
 
 
-def _binary(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("t"))
+def _text_key(text_col: str) -> tuple[Column, Column]:
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return F.xxhash64(text).alias("__t"), F.length(text).alias("__len")
 
 
-def _item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int):
-    """Items (id, words) in blocks of bounded size, streamed to the driver one partition at a time."""
-    block, size = [], 0
-    for r in _binary(items, id_col, text_col).where("id is not null and t is not null").toLocalIterator():
-        if size and size + len(r["t"]) > block_bytes:
-            yield block
-            block, size = [], 0
-        w = words_of(bytes(r["t"]))
-        if w:
-            block.append((r["id"], w))
-            size += len(r["t"])
-    if block:
-        yield block
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{text_col}`").cast("binary").alias("text"), *_text_key(text_col))
 
 
-def _windows(block) -> dict[tuple[bytes, ...], set]:
-    out = defaultdict(set)
-    for item, w in block:
-        for i in range(max(1, len(w) - WINDOW + 1)):
-            out[tuple(w[i:i + WINDOW])].add(item)
-    return out
+def _windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """(item, w): the windows of each item as words joined by a space."""
+    rows = items.select(F.col(f"`{id_col}`").alias("item"), F.col(f"`{text_col}`").cast("binary").alias("t")).where("item is not null and t is not null")
 
-
-def _corpus_counts(docs: DataFrame, id_col: str, text_col: str, vocabulary: set[bytes]) -> dict[bytes, int]:
-    """How often each word of the items occurs in all documents."""
-
-    def count(batches):
-        c: Counter = Counter()
+    def each(batches):
         for b in batches:
-            for t in b.column(0):
-                c.update(filter(vocabulary.__contains__, words_of(t.as_py())))
-        yield pa.record_batch([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["w", "n"])
+            for i in range(b.num_rows):
+                words = words_of(b.column(1)[i].as_py())
+                found = {b" ".join(words[j:j + window]) for j in range(max(1, len(words) - window + 1))} if words else ()
+                for lo in range(0, len(found), ROWS):
+                    part = sorted(found)[lo:lo + ROWS]
+                    yield pa.record_batch([b.column(0).take(pa.array([i] * len(part))), pa.array(part, pa.binary())], ["item", "w"])
 
-    found = _binary(docs, id_col, text_col).select("t").mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return {bytes(r["w"]): r["n"] for r in found.toLocalIterator()}
+    return rows.mapInArrow(each, T.StructType([rows.schema["item"], T.StructField("w", T.BinaryType())]))
 
 
-def _finder(block, counts: dict[bytes, int]):
-    """Function of a text's words that gives its verified spans (start, end, items)."""
-    prefix: dict[bytes, list] = defaultdict(list)     # rarest word -> (its place in the window, window, items)
-    for w, items in _windows(block).items():
-        at = min(range(len(w)), key=lambda i: (counts.get(w[i], 0), w[i], i))
-        prefix[w[at]].append((at, list(w), sorted(items)))
-    rare = frozenset(prefix)
+def _bitmap(words: DataFrame, bits: int) -> bytes:
+    """A bit for each hash of the column ``word``; at most 2^bits numbers reach the driver."""
+    bits = max(bits, 3)       # whole bytes
+    at = words.select(F.crc32("word").bitwiseAND((1 << bits) - 1).cast("int").alias("h")).distinct().toArrow().column("h").to_numpy()
+    out = np.zeros(1 << bits, bool)
+    out[at] = True
+    return np.packbits(out).tobytes()
 
-    def find(words: list[bytes]):
-        if rare.isdisjoint(words):
-            return
-        n = len(words)
-        for p, word in enumerate(words):
-            if word in rare:
-                for at, window, items in prefix[word]:
-                    lo = p - at
-                    if lo >= 0 and lo + len(window) <= n and words[lo:lo + len(window)] == window:
-                        yield lo, lo + len(window), items
 
-    return find
+def _passing(words: list[bytes], bitmap: np.ndarray) -> np.ndarray:
+    h = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) & np.uint32(len(bitmap) - 1)
+    return np.flatnonzero(bitmap[h])
 
 
-def _matcher(find):
-    """mapInArrow function: (id, t) -> (id, n_words, spans as flat starts and ends, items)."""
+def _counts(docs: DataFrame, text_col: str, vocabulary: DataFrame, bits: int) -> DataFrame:
+    """(word, n): how often the words of ``vocabulary`` occur in all documents."""
+    packed = _bitmap(vocabulary, bits)
 
     def each(batches):
+        bitmap = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        held: Counter = Counter()
         for b in batches:
-            n_words, starts, ends, found = [], [], [], []
-            for t in b.column(1):
+            for t in b.column(0):
                 words = words_of(t.as_py())
-                s, e, hit = [], [], set()
-                for lo, hi, items in find(words):
-                    s.append(lo)
-                    e.append(hi)
-                    hit.update(items)
-                n_words.append(len(words))
-                starts.append(s)
-                ends.append(e)
-                found.append(sorted(hit))
-            yield pa.record_batch([b.column(0), pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int32())),
-                                   pa.array(ends, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))],
-                                  ["id", "n_words", "starts", "ends", "items"])
+                held.update([words[i] for i in _passing(words, bitmap).tolist()])
+                if len(held) > HELD_WORDS:
+                    yield batch(held)
+                    held = Counter()
+        if held:
+            yield batch(held)
+
+    def batch(held):
+        return pa.record_batch([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
-    return each
+    found = docs.select(F.col(f"`{text_col}`").cast("binary").alias("t")).where("t is not null").mapInArrow(each, "word binary, n long")
+    found = found.groupBy("word").agg(F.sum("n").alias("n"))
+    return vocabulary.join(found, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def covered(starts: list[int], ends: list[int]) -> int:
-    """Words inside the union of spans."""
-    total, reach = 0, 0
-    for s, e in sorted(zip(starts, ends)):
-        total += max(0, e - max(s, reach))
-        reach = max(reach, e)
-    return total
+def _prefixes(docs: DataFrame, windows: DataFrame, text_col: str, bits: int) -> DataFrame:
+    """(w, n_w, word, off): each distinct window, its words, its rarest word and that one's place."""
+    split = windows.select("w").distinct().select("w", F.posexplode(F.split(F.col("w").cast("string"), " ")).alias("off", "word"))
+    split = stored(split.select("w", "off", F.col("word").cast("binary").alias("word")), "decon-words")
+    counts = _counts(docs, text_col, split.select("word").distinct(), bits)
+    rarest = split.join(counts, "word").groupBy("w").agg(F.min(F.struct("n", "word", "off")).alias("r"), F.count("*").cast("int").alias("n_w"))
+    return stored(rarest.select("w", "n_w", "r.word", "r.off"), "decon-prefixes")
 
 
-def _summary(batches):
-    for b in batches:
-        hit = [covered(s.as_py(), e.as_py()) if len(s.as_py()) else 0 for s, e in zip(b.column(2), b.column(3))]
-        yield pa.record_batch([b.column(0), b.column(1), pa.array(hit, pa.int64()), b.column(4)], ["id", "n_words", "n_hit", "items"])
+def hits(docs: DataFrame, windows: DataFrame, text_col: str = "text", window: int = WINDOW, bits: int = BITS) -> DataFrame:
+    """(__t, __len, s, e, w): the verified windows of each text, as word ranges."""
+    prefixes = _prefixes(docs, windows, text_col, bits)
+    packed = _bitmap(prefixes.select("word").distinct(), bits)
+    reach = window - 1
+
+    def each(batches):
+        bitmap = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        for b in batches:
+            out = []
+            for t, key, size in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                words = words_of(t.as_py())
+                for i in _passing(words, bitmap).tolist():
+                    out.append((key, size, i, words[i], words[max(0, i - reach):i], words[i + 1:i + 1 + reach]))
+                    if len(out) >= ROWS:
+                        yield batch(out)
+                        out = []
+            if out:
+                yield batch(out)
+
+    def batch(rows):
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()))
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["__t", "__len", "i", "word", "before", "after"])
+
+    places = _texts(docs, text_col).where("text is not null").mapInArrow(
+        each, "__t long, __len int, i int, word binary, before array<binary>, after array<binary>")
+    met = places.join(broadcast_within(Table(prefixes, "decon-windows"), BROADCAST_BYTES), "word")
+    # positional and length bounds, then the words themselves
+    met = met.where((F.size("before") >= F.col("off")) & (F.size("after") >= F.col("n_w") - 1 - F.col("off")))
+    texts = lambda c: F.transform(c, lambda x: x.cast("string"))
+    there = F.concat(F.slice(texts("before"), F.size("before") - F.col("off") + 1, F.col("off")), F.array(F.col("word").cast("string")),
+                     F.slice(texts("after"), 1, F.col("n_w") - 1 - F.col("off")))
+    found = met.where(F.array_join(there, " ") == F.col("w").cast("string"))
+    return found.select("__t", "__len", (F.col("i") - F.col("off")).alias("s"), (F.col("i") - F.col("off") + F.col("n_w")).alias("e"), "w").distinct()
+
+
+def _covered(spans: Column) -> Column:
+    """Words inside the union of spans (s, e)."""
+    step = lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], acc["at"]))).alias("n"),
+                                   F.greatest(acc["at"], x["e"]).alias("at"))
+    return F.aggregate(F.array_sort(spans), F.struct(F.lit(0).alias("n"), F.lit(0).alias("at")), step, lambda acc: acc["n"]).cast("long")
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                  item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                  item_text_col: str = "text", window: int = WINDOW, bits: int = BITS) -> DataFrame:
     """Per row of ``docs``: (id, n_words, n_hit, items), items being the sorted
     ids of those with a window in the document."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_words long, starts array<int>, ends array<int>, items array<long>"
-    blocks = [_matcher(f) for f in _plan(docs, items, id_col, text_col, item_col, item_text_col, block_bytes)]
-    if len(blocks) == 1:
-        spans = _binary(docs, id_col, text_col).mapInArrow(blocks[0], schema)
-    else:
-        # several blocks: rows get a key of their own, as ids may repeat
-        rows = stored(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"),
-                                  F.monotonically_increasing_id().alias("row")), "decon-rows")
-        keyed = rows.select(F.struct("row", "id").alias("id"), F.col("t").cast("binary").alias("t"))
-        inner = schema.replace(f"id {kind}", f"id struct<row:bigint,id:{kind}>")
-        parts = [keyed.mapInArrow(b, inner) for b in blocks]
-        spans = parts[0]
-        for p in parts[1:]:
-            spans = spans.unionByName(p)
-        spans = (spans.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"),
-                                         F.flatten(F.collect_list("ends")).alias("ends"),
-                                         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-                 .select(F.col("id.id").alias("id"), "n_words", "starts", "ends", "items"))
-    return spans.mapInArrow(_summary, f"id {kind}, n_words long, n_hit long, items array<long>")
-
-
-def _plan(docs, items, id_col, text_col, item_col, item_text_col, block_bytes):
-    empty = True
-    for block in _item_blocks(items, item_col, item_text_col, block_bytes):
-        empty = False
-        counts = _corpus_counts(docs, id_col, text_col, {w for _, ws in block for w in ws})
-        yield _finder(block, counts)
-    if empty:
-        yield _finder([], {})
+    windows = stored(_windows(items, item_col, item_text_col, window), "decon-items")
+    found = stored(hits(docs, windows, text_col, window, bits), "decon-hits")
+    spans = found.groupBy("__t", "__len").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    held = (found.select("__t", "__len", "w").distinct().join(windows, "w").groupBy("__t", "__len")
+            .agg(F.array_sort(F.collect_set("item")).alias("items")))
+    marks = spans.join(held, ["__t", "__len"]).select("__t", "__len", _covered(F.col("spans")).alias("n_hit"), "items")
+
+    def count(batches):
+        for b in batches:
+            n = [len(words_of(t.as_py())) for t in b.column(1)]
+            yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(n, pa.int64())], ["id", "__t", "__len", "n_words"])
+
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("t"), *_text_key(text_col))
+    schema = T.StructType([rows.schema["id"], T.StructField("__t", T.LongType()), T.StructField("__len", T.IntegerType()), T.StructField("n_words", T.LongType())])
+    none = F.array().cast(T.ArrayType(windows.schema["item"].dataType))
+    return rows.mapInArrow(count, schema).join(marks, ["__t", "__len"], "left").select(
+        "id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-          item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+          item_text_col: str = "text", window: int = WINDOW, bits: int = BITS) -> DataFrame:
     """``docs`` without the contaminated rows; each row goes by its own text,
     whatever its id."""
-    kept = docs
-    for find in _plan(docs, items, id_col, text_col, item_col, item_text_col, block_bytes):
-        kept = kept.where(~_holds(find, F.col(f"`{text_col}`")))
-    return kept
-
-
-def _holds(find, text: Column) -> Column:
-    """Whether a text has a verified span."""
-
-    @arrow_udf("boolean")
-    def hit(t: pa.Array) -> pa.Array:
-        return pa.array([next(find(words_of(x.as_py())), None) is not None for x in t], pa.bool_())
-
-    return hit(text.cast("binary"))
+    windows = stored(_windows(items, item_col, item_text_col, window), "decon-items")
+    held = Table(hits(docs, windows, text_col, window, bits).select(F.col("__t").alias("__ht"), F.col("__len").alias("__hlen")).distinct(), "decon-texts")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(*own, *_text_key(text_col))
+    return rows.join(broadcast_within(held, BROADCAST_BYTES), (F.col("__t") == F.col("__ht")) & (F.col("__len") == F.col("__hlen")), "left_anti").select(*own)

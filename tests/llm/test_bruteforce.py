@@ -112,8 +112,8 @@ def benchmark_words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(t))
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 1500])
-def test_decontamination(spark, docs, texts, block):
+@pytest.mark.parametrize("bits", [decontaminate.BITS, 3])
+def test_decontamination(spark, docs, texts, bits):
     windows = defaultdict(set)
     items = read(spark, SF, "benchmark")
     for r in items.collect():
@@ -130,7 +130,7 @@ def test_decontamination(spark, docs, texts, block):
                     hit.update(range(p, p + n))
                     found |= windows[tuple(w[p:p + n])]
         want[i] = (len(w), len(hit), sorted(found))
-    out = decontaminate.contamination(docs, items, block_bytes=block).collect()
+    out = decontaminate.contamination(docs, items, bits=bits).collect()
     assert {r["id"]: (r["n_words"], r["n_hit"], r["items"]) for r in out} == want and len(out) == len(want)
     assert any(v[1] for v in want.values())
 

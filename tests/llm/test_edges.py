@@ -195,14 +195,14 @@ def test_neighbour_windows_grow_with_the_rows_and_pass_copies(spark):
 
 
 def test_clean_goes_by_row(spark):
-    """A contaminated row takes no other row of a null or repeated id with it, with one block of items or several."""
+    """A contaminated row takes no other row of a null or repeated id with it, with a bitmap that tells words apart or hardly any."""
     leak = "fox jumps over the lazy dog near the old river bank"
     rows = [(None, f"so {leak}"), (None, "a clean text without id"), (7, leak), (7, "a clean text of a repeated id"), (8, "clean"), (9, "nowhere to be found"),
             (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     items = spark.createDataFrame([(1, leak), (2, "nowhere to be found")], "item_id long, text string")
-    for block in (decontaminate.BLOCK_BYTES, 10):
-        out = decontaminate.clean(docs, items, block_bytes=block).collect()
+    for bits in (decontaminate.BITS, 1):
+        out = decontaminate.clean(docs, items, bits=bits).collect()
         assert sorted(map(str, map(tuple, out))) == sorted(str(rows[i]) for i in (1, 3, 4, 6))
 
 
@@ -257,3 +257,12 @@ def test_samples_of_repeated_rows(spark):
     assert sampled(df, 20, "x").count() == 10
     assert 0 < sampled(spark.range(3_000_000).toDF("id"), 5, "x").count() < 30
     assert sampled(df.limit(0), 20, "x").count() == 0
+
+
+def test_decontamination_by_other_ids(spark):
+    """Item and document ids of any type; equal windows of several items; overlapping and repeated hits."""
+    leak = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([("x", f"a {leak} b {leak}"), ("y", "Seven, eight! NINE"), (None, leak), ("x", None)], "doc_id string, text string")
+    items = spark.createDataFrame([("q-10", leak), ("q-9", leak.upper()), ("short", "eight nine"), ("none", "...")], "item_id string, text string")
+    got = sorted(((r["id"], r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.contamination(docs, items).collect()), key=str)
+    assert got == sorted([("x", 24, 22, ["q-10", "q-9", "short"]), ("y", 3, 2, ["short"]), (None, 11, 11, ["q-10", "q-9", "short"]), ("x", 0, 0, [])], key=str)
