@@ -6,8 +6,10 @@ Generators propose further, overlapping candidates: addresses written with
 its digit count allows.  Gradient-boosted trees see a candidate's format
 (lengths, separators, groups, neighbouring characters) and context (cue words
 before it, digits around it), not the base checks.  They learn from candidates
-of a bounded sample of documents, labelled by whether the candidate is a base
-span of its kind.  Over the candidates of all documents, but for those learnt
+of a bounded sample of documents.  Labels do not hang on the shape that the base
+patterns ask for: a candidate is one of its kind if it is a base span, if its ``(at)``
+and ``(dot)`` read as signs make an address, or if it is a number that a cue word or
+another, international number introduces.  Over the candidates of all documents, but for those learnt
 from, each kind gets the lowest threshold of an even chance or more whose precision
 reaches ``precision``; candidates above it that touch no base span are added.  Base
 spans always stay.
@@ -49,6 +51,10 @@ WRITTEN_EMAIL = (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?(?:@|[(\[]
                  r"(?:\x20?(?:\.|[(\[]\x20?(?:dot|DOT)\x20?[)\]])\x20?[A-Za-z0-9-]++)++")
 DIGIT_GROUPS = r"[+(]?[0-9](?:[\x20().-]{0,2}+[0-9])++"
 GENERATORS = {"written": WRITTEN_EMAIL, "digits": DIGIT_GROUPS}
+ADDRESS = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$"
+#: What introduces a number: a word for it, or another number and a few characters between.
+INTRODUCED = (r"(?i)(?:\b(?:tele)?(?:phone|fax)|\b(?:tel|call|mobile|cell)\b)[^0-9\p{L}+]{0,4}$"
+              r"|\+[0-9][\x20().0-9-]{5,}[0-9][^0-9+(]{1,6}$")
 CUES = {"cue_mail": "(?i)mail|contact|write", "cue_ip": r"(?i)\bip\b|host|server|address",
         "cue_card": "(?i)card|visa|credit|account", "cue_phone": "(?i)phone|tel|call|fax|mobile"}
 CONTEXT = 24
@@ -157,7 +163,8 @@ def _features(c: Column) -> dict[str, Column]:
            "first_group": F.length(F.regexp_extract(m, "^[^0-9]*([0-9]*)", 1)),
            "last_group": F.length(F.regexp_extract(m, "([0-9]*)[^0-9]*$", 1)),
            "glued_before": pre.rlike(r"[\p{L}0-9_=#/.-]$"), "glued_after": post.rlike(r"^[\p{L}0-9_=#/@-]"),
-           "digits_around": F.length(digits_of(F.concat(pre, post)))}
+           "digits_around": F.length(digits_of(F.concat(pre, post))), "plus_before": F.contains(pre, F.lit("+")),
+           "introduced": pre.rlike(INTRODUCED), "signs_written": m.rlike(r"(?i)[(\[]\x20?(?:at|dot)\x20?[)\]]")}
     out |= {k: pre.rlike(p) for k, p in CUES.items()}
     return {k: v.cast("double") for k, v in out.items()}
 
@@ -176,6 +183,18 @@ def _tree(tree: tuple, features: list[str], cols: dict[str, Column]) -> Column:
     return F.when(cols[features[at]] <= threshold, _tree(left, features, cols)).otherwise(_tree(right, features, cols))
 
 
+def _signs(m: Column) -> Column:
+    """An address with (at), [dot] and spaces around signs as it is meant."""
+    for word, sign in (("at", "@"), ("dot", ".")):
+        m = F.regexp_replace(m, rf"(?i)\x20?[(\[]\x20?{word}\x20?[)\]]\x20?", sign)
+    return F.regexp_replace(m, r"\x20?([@.])\x20?", "$1")
+
+
+def _is_one(c: Column) -> Column:
+    """Labels beside the base spans."""
+    return F.when(c["k"] == 0, _signs(c["m"]).rlike(ADDRESS)).when(c["k"] == 3, c["pre"].rlike(INTRODUCED)).otherwise(False)
+
+
 class Redactor:
     """The compiled trees and the threshold of each kind that has one."""
 
@@ -205,7 +224,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 
     def labelled(some: DataFrame) -> DataFrame:
         rows = _with_matches(some, "text").select("id", "sampled", "__base", F.explode("__cand").alias("c"))
-        return rows.select("c", is_base.cast("double").alias("label"), learnt.alias("learnt"))
+        return rows.select("c", (is_base | _is_one(F.col("c"))).cast("double").alias("label"), learnt.alias("learnt"))
 
     fit = stored(labelled(part.where("sampled").distinct()).where("learnt").select("label", *[v.alias(k) for k, v in feats.items()]).repartition(4), "pii-sample")
     fit = VectorAssembler(inputCols=names, outputCol="features").transform(fit)

@@ -266,3 +266,20 @@ def test_decontamination_by_other_ids(spark):
     items = spark.createDataFrame([("q-10", leak), ("q-9", leak.upper()), ("short", "eight nine"), ("none", "...")], "item_id string, text string")
     got = sorted(((r["id"], r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.contamination(docs, items).collect()), key=str)
     assert got == sorted([("x", 24, 22, ["q-10", "q-9", "short"]), ("y", 3, 2, ["short"]), (None, 11, 11, ["q-10", "q-9", "short"]), ("x", 0, 0, [])], key=str)
+
+
+def test_pii_written_addresses_and_local_numbers_are_added(spark):
+    """What the generators are for: signs written out, and numbers without a plus beside one with it or behind a word."""
+    rows = []
+    for i in range(400):
+        name = "".join(chr(97 + (i * k + 3 * k) % 26) for k in (1, 3, 5, 7))
+        at, dot = (("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", " (dot) "), ("@", "."))[i % 4]
+        rows.append((i, f"please write to {name}{at}mail{dot}example{dot}org about item number {i} of the list"))
+        rows.append((1000 + i, f"reach us under +49 30 55{i:04d}1 or 030 77{i:05d} until noon"))
+        rows.append((2000 + i, f"tel. 089 {3000000 + i * 7} or come by"))
+        rows.append((3000 + i, f"order {70000000 + i * 31} was shipped in {i} boxes to aisle {i % 9}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["spans"] for r in pii.digest(df, pii.learn(df)).collect()}
+    found = lambda lo, kind, n: sum(out[i].count(kind) >= n for i in range(lo, lo + 400))
+    assert found(0, "email", 1) >= 380 and found(1000, "phone", 2) >= 380 and found(2000, "phone", 1) >= 380
+    assert not any(out[i] for i in range(3000, 3400))
