@@ -165,18 +165,20 @@ def _log_shares(table: DataFrame, keys: list[str], n_lang: int) -> DataFrame:
 
 def _host_priors(counts: DataFrame, n_lang: int) -> DataFrame:
     """Counts (host, best, n) -> host, lp: its prior, smoothed by that of its last
-    label, which is smoothed by the global one."""
+    label, which is smoothed by the global one; by the global one alone where the host
+    has no other label, as its own counts would come in twice."""
     per = [F.coalesce(F.sum(F.when(F.col("best") == i, F.col("n"))), F.lit(0)).cast("double") for i in range(n_lang)]
     total = counts.agg(*[c.alias(f"c{i}") for i, c in enumerate(per)]).first()
     n = sum(total)
     world = [(x + SMOOTH) / (n + SMOOTH * n_lang) for x in total]
     hosts = counts.groupBy("host").agg(F.array(*per).alias("c"))
-    hosts = hosts.withColumn("zone", F.element_at(F.split("host", r"\."), -1))
+    hosts = hosts.withColumn("zone", F.when(F.contains("host", F.lit(".")), F.element_at(F.split("host", r"\."), -1)))
     zones = (hosts.groupBy("zone").agg(F.array(*[F.sum(F.get("c", F.lit(i))) for i in range(n_lang)]).alias("zc")))
     total_of = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     zones = zones.select("zone", F.zip_with("zc", F.array(*[F.lit(w) for w in world]), lambda c, w: (c + HOST_STRENGTH * w)
                                             / (total_of(F.col("zc")) + HOST_STRENGTH)).alias("zp"))
-    return hosts.join(zones, "zone").select("host", F.zip_with("c", "zp", lambda c, w: F.log((c + HOST_STRENGTH * w)
+    prior = F.coalesce("zp", F.array(*[F.lit(w) for w in world]))
+    return hosts.join(zones.where("zone is not null"), "zone", "left").select("host", F.zip_with("c", prior, lambda c, w: F.log((c + HOST_STRENGTH * w)
                                             / (total_of(F.col("c")) + HOST_STRENGTH))).alias("lp"))
 
 

@@ -283,3 +283,24 @@ def test_pii_written_addresses_and_local_numbers_are_added(spark):
     found = lambda lo, kind, n: sum(out[i].count(kind) >= n for i in range(lo, lo + 400))
     assert found(0, "email", 1) >= 380 and found(1000, "phone", 2) >= 380 and found(2000, "phone", 1) >= 380
     assert not any(out[i] for i in range(3000, 3400))
+
+
+def test_host_prior_counts_once_without_a_zone(spark):
+    """A host of one label is smoothed by all rows; hosts below a zone by the zone."""
+    counts = spark.createDataFrame([("a", 0, 10), ("b.x", 1, 30), ("c.x", 0, 2)], "host string, best int, n long")
+    lp = {r["host"]: r["lp"] for r in language._host_priors(counts, 2).collect()}
+    world = [(12 + language.SMOOTH) / (42 + 2 * language.SMOOTH), (30 + language.SMOOTH) / (42 + 2 * language.SMOOTH)]
+    k = language.HOST_STRENGTH
+    assert np.allclose(lp["a"], [np.log((10 + k * world[0]) / (10 + k)), np.log(k * world[1] / (10 + k))])
+    zone = [(2 + k * world[0]) / (32 + k), (30 + k * world[1]) / (32 + k)]
+    assert np.allclose(lp["c.x"], [np.log((2 + k * zone[0]) / (2 + k)), np.log(k * zone[1] / (2 + k))])
+
+
+def test_one_wrong_label_does_not_decide(spark):
+    """The declared language of a row is weighed against its text, even though other rows' labels teach the text model."""
+    docs = read(spark, "/root/testdata/sf0.01", "documents").where("length(text) > 400").select("doc_id", "text", "lang", "source")
+    wrong = docs.withColumn("lang", F.when(F.col("doc_id") % 50 == 3, F.when(F.col("lang") == "en", "fr").otherwise("en")).otherwise(F.col("lang")))
+    got = {r["doc_id"]: r["__language"] for r in language.identify(wrong, declared=F.col("lang"), host=F.col("source"), label_col="lang").collect()}
+    true = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    changed = [i for i in true if i % 50 == 3]
+    assert len(changed) > 5 and all(got[i] == true[i] for i in changed)
