@@ -125,6 +125,12 @@ def html_to_markdown(spark, sf_dir):
     return p.select("page_id", RF.html_to_markdown(RF.normalize_html("html")).alias("markdown"))
 
 
+@query
+def page_markdown(spark, sf_dir):
+    """F10b over whole pages by the fold with a stack of open elements."""
+    return load(spark, sf_dir, "pages").select("page_id", RF.page_to_markdown("html").alias("markdown"))
+
+
 # ------------------------------------------------------------ helpers --
 
 def _size(c):
