@@ -707,3 +707,9 @@ SELECT feed_url, us AS at_us, CASE WHEN good THEN CASE WHEN event_type <> 'view'
 UNION ALL
 SELECT feed_url, next_us, 'retry', failures, NULL FROM s WHERE next_us < coalesce(later, last_us)
 """
+
+# The given pages hold no nested elements of a kind, so the ordered rules over a page
+# with its white space folded are another way to what the fold makes of them.
+SQL["page_markdown"] = f"""
+SELECT page_id, {sql_html_to_markdown("regexp_replace(html, '[ ' || chr(9) || chr(10) || chr(12) || chr(13) || ']+', ' ', 'g')")} AS markdown FROM pages
+"""

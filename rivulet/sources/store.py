@@ -217,13 +217,22 @@ class KeyedTable:
 
     def append_new(self, batch: DataFrame) -> int:
         """Append only rows whose key is not yet stored; returns how
-        many were appended (observed on the write itself)."""
+        many were appended (observed on the write itself).  New columns join the
+        table's schema (NULL in the rows before), others take its types."""
         exists = self.exists()
         if exists:
             stored = self._read_all()
         batch = self._with_bucket(self._one_per_key(batch))
         if exists:
             batch = batch.join(stored.select(*self.keys, self.BUCKET), [*self.keys, self.BUCKET], "left_anti")
+            schema = StructType.fromJson(self._table()["schema"])
+            more = [f for f in batch.schema if f.name not in (*schema.names, self.BUCKET)]
+            for f in more:
+                schema = schema.add(f.name, f.dataType)
+            if more:      # recorded first: until the rows are there the column is NULL
+                self._put(json.dumps({"buckets": self.buckets, "schema": json.loads(schema.json())}), "_table.json")
+            batch = batch.select(*[(F.col(f"`{f.name}`") if f.name in batch.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema],
+                                 self.BUCKET)
         else:
             self._put(json.dumps({"buckets": self.buckets, "schema": json.loads(batch.drop(self.BUCKET).schema.json())}), "_table.json")
         obs = Observation(f"appended_{uuid.uuid4().hex}")

@@ -46,6 +46,17 @@ def test_delete_and_empty_partition(spark, tmp_dir):
     assert len([f for f in os.listdir(os.path.join(tmp_dir, "d")) if f.startswith("bucket=")]) == 1   # no folder without rows
 
 
+def test_append_new_keeps_new_columns_and_stored_types(spark, tmp_dir):
+    t = KeyedTable(spark, tmp_dir + "/t", ["k"])
+    assert t.append_new(spark.createDataFrame([(1, 1.5)], "k long, x double")) == 1
+    assert t.append_new(spark.createDataFrame([(2, "2.5", "new"), (1, "9", "old key")], "k long, x string, y string")) == 1
+    assert t.append_new(spark.createDataFrame([(3, "only y")], "k long, y string")) == 1
+    assert t.append_new(spark.createDataFrame([(3, "only y")], "k long, y string")) == 0
+    again = KeyedTable(spark, tmp_dir + "/t", ["k"]).read()
+    assert again.columns == ["k", "x", "y"] and dict(again.dtypes)["x"] == "double"
+    assert sorted(map(tuple, again.collect())) == [(1, 1.5, None), (2, 2.5, "new"), (3, None, "only y")]
+
+
 def test_append_new(spark, tmp_dir):
     t = KeyedTable(spark, os.path.join(tmp_dir, "l"), ["partition_key", "row_key"])
     assert t.append_new(spark.createDataFrame([("a", "1", "x", 1.0)], SCHEMA)) == 1
