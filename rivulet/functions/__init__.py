@@ -6,6 +6,7 @@ from .html import (clean_summary, decode_entities, html_to_markdown,  # noqa: F4
                    markdown_to_html, normalize_html, page_title, text_or_html_to_markdown)
 from .keys import (entry_key, feed_key, partition_key_from_title, post_key,  # noqa: F401
                    xxh64_hex)
+from .markdown import markdown_document_to_html  # noqa: F401
 from .markup import page_to_markdown  # noqa: F401
 from .scores import engagement_score, str_to_bool  # noqa: F401
 from .structured import (embedding_to_json, full_content, image_from_json,  # noqa: F401

@@ -15,8 +15,9 @@ from pyspark.sql.types import StringType
 
 from .. import fixed
 from ..functions.dates import parse_date_or_epoch
-from ..functions.html import clean_summary, markdown_to_html
+from ..functions.html import clean_summary
 from ..functions.keys import entry_key, feed_key, partition_key_from_title, post_key
+from ..functions.markdown import markdown_document_to_html
 from ..functions.structured import image_from_json, tags_to_terms
 from ..functions.urls import normalize_url
 from .conform import link_fallback, project_aliases
@@ -152,6 +153,6 @@ def build_posts(raw: DataFrame) -> DataFrame:
         F.col("draft_date"),
         F.col("keywords").cast("array<string>").alias("keywords"),
         F.col("content").cast("string").alias("content"),
-        markdown_to_html(F.col("content").cast("string")).alias("content_html"),
+        markdown_document_to_html(F.col("content").cast("string")).alias("content_html"),
         F.col("draft_status").cast("array<string>").alias("draft_status"),
     )

@@ -131,6 +131,22 @@ def page_markdown(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", RF.page_to_markdown("html").alias("markdown"))
 
 
+@query
+def post_html(spark, sf_dir):
+    """F10d by the fold with a container stack: a report on each document (quote, lines as
+    nested lists, the whole text fenced inside an item) rendered as HTML."""
+    d = load(spark, sf_dir, "documents")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    words = F.transform(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n"), lambda s: F.trim(F.regexp_replace(s, "[^A-Za-z0-9]+", " ")))
+    items = F.transform(F.filter(words, lambda s: s != ""), lambda s, i: F.concat(F.repeat(F.lit("  "), F.pmod(i, F.lit(3))), F.lit("- "), s))
+    fence = "~" * 20
+    md = F.concat(F.lit("# Document "), d.doc_id.cast("string"), F.lit("\n\n> from **"), F.coalesce(d.source, F.lit("nowhere")), F.lit("**\n> in `"),
+                  F.coalesce(d.lang, F.lit("none")), F.lit("`\n\n"), F.array_join(items, "\n"), F.lit("\n\n1. [source](http://h.example/"),
+                  d.doc_id.cast("string"), F.lit(f")\n2. text\n\n   {fence}\n   "),
+                  F.replace(F.regexp_replace(text, r"\r\n?", "\n"), F.lit("\n"), F.lit("\n   ")), F.lit(f"\n   {fence}\n"))
+    return d.select("doc_id", RF.markdown_document_to_html(md).alias("html_out"))
+
+
 # ------------------------------------------------------------ helpers --
 
 def _size(c):

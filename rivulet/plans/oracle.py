@@ -713,3 +713,20 @@ SELECT feed_url, next_us, 'retry', failures, NULL FROM s WHERE next_us < coalesc
 SQL["page_markdown"] = f"""
 SELECT page_id, {sql_html_to_markdown("regexp_replace(html, '[ ' || chr(9) || chr(10) || chr(12) || chr(13) || ']+', ' ', 'g')")} AS markdown FROM pages
 """
+
+# The report's HTML written from the documents themselves, without Markdown.
+SQL["post_html"] = r"""
+WITH t AS (SELECT doc_id, coalesce(source, 'nowhere') AS source, coalesce(lang, 'none') AS lang,
+                  regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS text FROM documents),
+l AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(regexp_replace(s, '[^A-Za-z0-9]+', ' ', 'g'), ' ')), lambda s: s <> '') AS items FROM t),
+u AS (SELECT *, '</li>' || chr(10) || '</ul>' || chr(10) AS up, '<ul>' || chr(10) || '<li>' AS down FROM l)
+SELECT doc_id, '<h1>Document ' || doc_id || '</h1>' || chr(10) || '<blockquote>' || chr(10) || '<p>from <strong>' || source || '</strong>' || chr(10)
+    || 'in <code>' || lang || '</code></p>' || chr(10) || '</blockquote>' || chr(10)
+    || array_to_string(list_transform(items, lambda s, i: CASE WHEN i = 1 THEN down WHEN i % 3 = 1 THEN up || up || '</li>' || chr(10) || '<li>'
+                                                               ELSE chr(10) || down END || s), '')
+    || repeat(up, CASE WHEN len(items) = 0 THEN 0 ELSE (len(items) - 1) % 3 + 1 END)
+    || '<ol>' || chr(10) || '<li><a href="http://h.example/' || doc_id || '">source</a></li>' || chr(10) || '<li>text' || chr(10) || '<pre><code>'
+    || replace(replace(replace(replace(text, chr(9), '    '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')
+    || chr(10) || '</code></pre>' || chr(10) || '</li>' || chr(10) || '</ol>' AS html_out
+FROM u
+"""
