@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from .. import functions as RF
-from ..operators import boundaries
+from ..operators import boundaries, enrich, polarity
 from ..operators import summary as summaries
 from ..session import apply_core_conf
 from ..sources.tables import load
 
+# The lexicon of U3b and three words of abuse, from which the others are to follow.
+POLARITY_SEEDS = (enrich.POSITIVE_WORDS, [*enrich.NEGATIVE_WORDS, "idiot", "stupid", "trash"])
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -646,6 +649,21 @@ def sentiment_lexicon(spark, sf_dir):
                     ("negative", "negative")])
 
 
+@query
+def polarity_words(spark, sf_dir):
+    """Words that keep company with the seeds more often than chance, within each language."""
+    d = load(spark, sf_dir, "documents")
+    return polarity.learn_polarity(d, *POLARITY_SEEDS, within="lang").withColumnRenamed("g", "lang")
+
+
+@query
+def polarity_sentiment(spark, sf_dir):
+    """Every document scored by the polarity read off the corpus."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learnt = polarity.learn_polarity(d, *POLARITY_SEEDS, within="lang")
+    return polarity.score_polarity(d, learnt, within="lang").select("doc_id", "sentiment", "score", "positive", "negative")
+
+
 @query
 def model_reply_parse(spark, sf_dir):
     """replies parsed — user turns answered by the offline model in

@@ -730,3 +730,44 @@ SELECT doc_id, '<h1>Document ' || doc_id || '</h1>' || chr(10) || '<blockquote>'
     || chr(10) || '</code></pre>' || chr(10) || '</li>' || chr(10) || '</ol>' AS html_out
 FROM u
 """
+
+
+# ------------------------------------------------ polarity of words --
+
+from .catalog import POLARITY_SEEDS  # noqa: E402
+
+_SEEDS = {"p": ", ".join(map(sql_str, POLARITY_SEEDS[0])), "q": ", ".join(map(sql_str, POLARITY_SEEDS[1]))}
+
+
+def _side(k, kk):
+    seed = f"word IN ({_SEEDS[k]})"
+    low = f"(CASE WHEN {seed} THEN {k} ELSE {k} - 2 * sqrt({k}) END)"
+    ratio = (f"2 * ({_ll(k, kk, f'({k} / {kk})')} + {_ll(f'(n - {k})', f'(nn - {kk})', f'((n - {k}) / greatest(nn - {kk}, 1))')}"
+             f" - {_ll(k, kk, '(n / nn)')} - {_ll(f'(n - {k})', f'(nn - {kk})', '(n / nn)')})")
+    return f"""CASE WHEN {k} = 0 OR {low} <= 0 THEN 0 WHEN {low} * nn <= n * {kk} THEN 0
+      WHEN {seed} OR (floor(log2({low} * nn / (n * {kk})) * 1024) >= 2048 AND {ratio} >= 10.83)
+      THEN CAST(floor(log2({low} * nn / (n * {kk})) * 1024) AS BIGINT) ELSE 0 END"""
+
+
+_POLAR = rf"""
+stretches AS (SELECT lang, unnest(regexp_split_to_array(text, '[\r\n]+')) AS stretch FROM (SELECT DISTINCT lang, text FROM documents WHERE text IS NOT NULL)),
+lists AS (SELECT lang, list_distinct(regexp_extract_all(lower(stretch), '\p{{L}}+')) AS words FROM stretches),
+contexts AS MATERIALIZED (SELECT lang, words, list_has_any(words, [{_SEEDS['p']}]) AS p, list_has_any(words, [{_SEEDS['q']}]) AS q FROM lists WHERE len(words) > 0),
+totals AS (SELECT lang, count(*) AS nn, count(*) FILTER (p) AS pp, count(*) FILTER (q) AS qq FROM contexts GROUP BY lang),
+counts AS (SELECT lang, word, count(*) AS n, count(*) FILTER (p) AS p, count(*) FILTER (q) AS q
+           FROM (SELECT lang, unnest(words) AS word, p, q FROM contexts) GROUP BY lang, word),
+polar AS MATERIALIZED (
+  SELECT * FROM (SELECT lang, word, {_side('p', 'pp')} - {_side('q', 'qq')} AS polarity FROM counts JOIN totals USING (lang) WHERE p > 0 OR q > 0) WHERE polarity <> 0)
+"""
+
+SQL["polarity_words"] = f"WITH {_POLAR} SELECT lang, word, polarity FROM polar"
+
+SQL["polarity_sentiment"] = rf"""
+WITH {_POLAR},
+w AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS word FROM documents),
+m AS (SELECT doc_id, CAST(sum(greatest(polarity, 0)) AS BIGINT) AS p, CAST(sum(greatest(-polarity, 0)) AS BIGINT) AS n FROM w JOIN polar USING (lang, word) GROUP BY doc_id),
+s AS (SELECT doc_id, coalesce(p, 0) AS positive, coalesce(n, 0) AS negative, CASE WHEN p + n > 0 THEN (p - n) / (p + n) ELSE 0.0 END::DOUBLE AS score
+      FROM documents LEFT JOIN m USING (doc_id))
+SELECT doc_id, positive, negative, score,
+       CASE WHEN positive + negative = 0 THEN 'Neutral' WHEN score > 0.2 THEN 'Positive' WHEN score < -0.2 THEN 'Negative' ELSE 'Mixed' END AS sentiment FROM s
+"""
