@@ -6,6 +6,7 @@ from .html import (clean_summary, decode_entities, html_to_markdown,  # noqa: F4
                    markdown_to_html, normalize_html, page_title, text_or_html_to_markdown)
 from .keys import (entry_key, feed_key, partition_key_from_title, post_key,  # noqa: F401
                    xxh64_hex)
+from .links import ascii_host, punycode, resolve_url  # noqa: F401
 from .markdown import markdown_document_to_html  # noqa: F401
 from .markup import page_to_markdown  # noqa: F401
 from .scores import engagement_score, str_to_bool  # noqa: F401
@@ -16,4 +17,4 @@ from .text import (chat_messages, first_line, format_summary, preview,  # noqa:
                    readability, readability_cents, render_prompt, sentences,
                    sentinel_to_null, truncate_by_sentences, truncate_markdown,
                    word_count)
-from .urls import is_http_url, normalize_url  # noqa: F401
+from .urls import is_http_url, normalize_link, normalize_url  # noqa: F401

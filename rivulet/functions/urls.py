@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ._col import as_col, let
 from ._regex import strip_ws
+from .links import ascii_host, resolve_url
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#\s]*)(.*)$"
 _AUTH = r"^(?:([^@]*)@)?([^:@]*)(?::([0-9]*))?$"
@@ -14,12 +15,17 @@ _AUTH = r"^(?:([^@]*)@)?([^:@]*)(?::([0-9]*))?$"
 
 def normalize_url(col) -> Column:
     """Absolute http(s) URL in canonical text form: scheme and host
-    lower-cased, default port dropped, ``/`` for an empty path, spaces in
+    lower-cased (other scripts as punycode), default port dropped, ``/`` for an empty path, spaces in
     the rest escaped as ``%20``.  Anything that is not an absolute http or
     https URL with a host gives NULL."""
     return let(strip_ws(as_col(col)), _normalize)
 
 
+def normalize_link(base, ref) -> Column:
+    """A link of a page as an absolute URL in that form: resolved against the page's address."""
+    return normalize_url(resolve_url(base, ref))
+
+
 def _normalize(u: Column) -> Column:
     parts = F.struct(F.lower(F.regexp_extract(u, _URL, 1)).alias("scheme"),
                      F.regexp_extract(u, _URL, 2).alias("authority"),
@@ -31,7 +37,7 @@ def _normalize(u: Column) -> Column:
 def _assemble(p: Column) -> Column:
     scheme, authority, rest = p["scheme"], p["authority"], p["rest"]
     auth = F.struct(F.regexp_extract(authority, _AUTH, 1).alias("userinfo"),
-                    F.lower(F.regexp_extract(authority, _AUTH, 2)).alias("host"),
+                    ascii_host(F.regexp_extract(authority, _AUTH, 2)).alias("host"),
                     F.regexp_extract(authority, _AUTH, 3).alias("port"),
                     authority.rlike(_AUTH).alias("ok"))
 

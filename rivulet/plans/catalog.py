@@ -254,6 +254,18 @@ def url_normalise(spark, sf_dir):
     return a.unionByName(b).select("id", "raw", RF.normalize_url("raw").alias("url"))
 
 
+@query
+def url_resolve(spark, sf_dir):
+    """F1 + P10: every link of every page, as it stands and in five relative forms, resolved
+    against the page's address."""
+    p = load(spark, sf_dir, "pages")
+    links = p.select("page_id", "url", F.posexplode_outer(F.regexp_extract_all("html", F.lit('href="(/[^"/?#.]+)"'), F.lit(1))).alias("pos", "h")).where("h is not null")
+    forms = [F.col("h"), F.concat(F.lit("."), "h"), F.concat(F.lit("a/../.."), "h"), F.concat(F.lit("a/./b/../.."), "h"),
+             F.concat(F.lit("//cdn.example.org/x/.."), "h"), F.lit("?q=1")]
+    rows = links.select("page_id", "url", "pos", F.posexplode(F.array(*forms)).alias("form", "ref"))
+    return rows.select("page_id", F.col("pos").cast("long").alias("pos"), F.col("form").cast("long").alias("form"), RF.resolve_url("url", "ref").alias("resolved"))
+
+
 @query
 def conform_13(spark, sf_dir):
     """13-column frame over all items (Entry_ID is a hash: keyed only)."""

@@ -771,3 +771,15 @@ s AS (SELECT doc_id, coalesce(p, 0) AS positive, coalesce(n, 0) AS negative, CAS
 SELECT doc_id, positive, negative, score,
        CASE WHEN positive + negative = 0 THEN 'Neutral' WHEN score > 0.2 THEN 'Positive' WHEN score < -0.2 THEN 'Negative' ELSE 'Mixed' END AS sentiment FROM s
 """
+
+# Each form's result is written from the parts of the page's address; no segments are folded.
+SQL["url_resolve"] = r"""
+WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+:') AS scheme, regexp_extract(url, '^[a-z]+://[^/?#]*') AS origin,
+                  regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract_all(html, 'href="(/[^"/?#.]+)"', 1) AS links FROM pages),
+l AS (SELECT *, unnest(links) AS h, unnest(range(0, len(links))) AS pos,
+             CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END AS dir FROM p),
+f AS (SELECT page_id, pos, unnest(range(0, 6)) AS form, unnest([
+    origin || h, origin || dir || substring(h, 2), origin || regexp_replace(dir, '[^/]+/$', '') || substring(h, 2), origin || dir || substring(h, 2),
+    scheme || '//cdn.example.org' || h, origin || path || '?q=1']) AS resolved FROM l)
+SELECT page_id, pos, form, resolved FROM f
+"""
