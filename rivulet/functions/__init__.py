@@ -9,6 +9,7 @@ from .keys import (entry_key, feed_key, partition_key_from_title, post_key,  # n
 from .links import ascii_host, punycode, resolve_url  # noqa: F401
 from .markdown import markdown_document_to_html  # noqa: F401
 from .markup import page_to_markdown  # noqa: F401
+from .npy import array_to_npy, npy_to_array  # noqa: F401
 from .scores import engagement_score, str_to_bool  # noqa: F401
 from .structured import (embedding_to_json, full_content, image_from_json,  # noqa: F401
                          image_to_json, json_path, parse_sentiment_reply,

@@ -676,6 +676,15 @@ def polarity_sentiment(spark, sf_dir):
     return polarity.score_polarity(d, learnt, within="lang").select("doc_id", "sentiment", "score", "positive", "negative")
 
 
+@query
+def npy_roundtrip(spark, sf_dir):
+    """Every embedding written as a ``.npy`` blob and read back, component by component."""
+    e = load(spark, sf_dir, "embeddings")
+    blob = e.select("vec_id", RF.array_to_npy(F.col("embedding").cast("array<float>")).alias("blob"))
+    read = blob.select("vec_id", F.length("blob").cast("long").alias("n_bytes"), F.posexplode_outer(RF.npy_to_array("blob")).alias("pos", "x"))
+    return read.where("pos is not null").select("vec_id", "n_bytes", F.col("pos").cast("long").alias("pos"), "x")
+
+
 @query
 def model_reply_parse(spark, sf_dir):
     """replies parsed — user turns answered by the offline model in

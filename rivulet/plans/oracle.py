@@ -783,3 +783,7 @@ f AS (SELECT page_id, pos, unnest(range(0, 6)) AS form, unnest([
     scheme || '//cdn.example.org' || h, origin || path || '?q=1']) AS resolved FROM l)
 SELECT page_id, pos, form, resolved FROM f
 """
+
+SQL["npy_roundtrip"] = """
+SELECT vec_id, 128 + 4 * len(embedding) AS n_bytes, unnest(range(0, len(embedding))) AS pos, unnest(embedding::FLOAT[])::DOUBLE AS x FROM embeddings
+"""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions._col import let
 from ..functions.dates import parse_date
+from ..functions.npy import npy_to_array
 from ..functions.scores import str_to_bool
 
 RSS_SCHEMA = (
@@ -203,3 +204,10 @@ def read_blobs(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return df.select("path", "length", "content_type",
                      F.when(is_text, F.decode("content", "UTF-8")).alias("text"),
                      F.when(~is_text, F.col("content")).alias("content"))
+
+
+def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
+    """Landed ``.npy`` blobs as (row_key, embedding ``array<float>``); the key is the file's
+    name, a blob that is no array of real numbers has a NULL embedding."""
+    blobs = read_blobs(spark, path, "*.npy")
+    return blobs.select(F.regexp_extract("path", r"([^/]+)\.npy$", 1).alias("row_key"), npy_to_array("content").cast("array<float>").alias("embedding"))
