@@ -643,6 +643,23 @@ def feed_xml_parse(spark, sf_dir):
                         _joined("categories").alias("categories"))
 
 
+@query
+def feed_bytes(spark, sf_dir):
+    """S3: every document as the bytes of a feed in one of four states (UTF-16 either way, Latin-1
+    where it can be, broken off with a stray sign and a control character), decoded, mended, parsed."""
+    from ..sources.feeds import parse_feed_xml, rss_document
+    d = load(spark, sf_dir, "documents")
+    xml = rss_document(d)
+    broken = F.replace(F.replace(xml, F.lit("</category></item></channel></rss>"), F.lit("")), F.lit("<channel><title>"), F.lit("<channel><title>R & D\x07<br>"))
+    latin = F.when(xml.rlike(r"^[\x00-\x7f\xa0-\xff]*$"), F.encode(F.replace(xml, F.lit("UTF-8"), F.lit("ISO-8859-1")), "ISO-8859-1")).otherwise(F.encode(xml, "UTF-8"))
+    state = F.pmod("doc_id", F.lit(4))
+    data = (F.when(state == 0, F.encode(xml, "UTF-16")).when(state == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(xml, "UTF-16LE")))
+            .when(state == 2, latin).otherwise(F.encode(broken, "UTF-8")))
+    items = parse_feed_xml(d.select("doc_id", data.alias("data")), "data", repair=True)
+    return items.select("doc_id", "parsed", F.col("id").cast("long").alias("item_id"), "title", "link", F.col("summary").alias("text"),
+                        _joined("categories").alias("categories"))
+
+
 @query
 def markdown_to_html(spark, sf_dir):
     """F10d: page Markdown rendered back to HTML."""

@@ -787,3 +787,7 @@ SELECT page_id, pos, form, resolved FROM f
 SQL["npy_roundtrip"] = """
 SELECT vec_id, 128 + 4 * len(embedding) AS n_bytes, unnest(range(0, len(embedding))) AS pos, unnest(embedding::FLOAT[])::DOUBLE AS x FROM embeddings
 """
+
+SQL["feed_bytes"] = f"""
+SELECT doc_id, true AS parsed, doc_id AS item_id, {first_line('text')} AS title, {ENTRY_LINK} AS link, text, concat_ws('|', lang, source) AS categories FROM documents
+"""

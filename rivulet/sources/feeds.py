@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions._col import let
 from ..functions.dates import parse_date
+from ..functions.encoding import decode_document, repair_xml
 from ..functions.npy import npy_to_array
 from ..functions.scores import str_to_bool
 
@@ -72,16 +73,27 @@ def _atom_shape(x: Column) -> Column:
                     x["subtitle"].alias("subtitle"), items.alias("items"))
 
 
-def parse_feed_xml(docs: DataFrame, xml_col: str = "xml") -> DataFrame:
+ATOM_ROOT = r"^\s*(?:<\?xml[^>]*\?>\s*)?(?:<!--(?s:.*?)-->\s*)*(?:<!DOCTYPE[^>]*>\s*)?(?:<!--(?s:.*?)-->\s*)*<feed[\s>]"
+
+
+def _parse(x: Column) -> Column:
+    # each document is parsed once (the shapes read many fields of the parse)
+    return (F.when(x.rlike(ATOM_ROOT), let(F.from_xml(x, ATOM_SCHEMA, XML_OPTIONS), _atom_shape))
+            .otherwise(let(F.from_xml(x, RSS_SCHEMA, XML_OPTIONS), _rss_shape)))
+
+
+def parse_feed_xml(docs: DataFrame, xml_col: str = "xml", repair: bool = False) -> DataFrame:
     """Parse feed documents (RSS 2.0, RSS 1.0 or Atom) into one row per item with
     the feed's fields alongside.  ``parsed`` is false for documents that did
     not parse (or had neither channel nor entries); ``item_pos`` is the item's
-    place in its document."""
+    place in its document.  A binary column is decoded first; with ``repair`` a
+    document that does not parse is parsed again with its markup mended."""
+    if docs.schema[xml_col].dataType.typeName() == "binary":
+        docs = docs.withColumn(xml_col, decode_document(xml_col))
     x = F.col(xml_col)
-    is_atom = x.rlike(r"^\s*(?:<\?xml[^>]*\?>\s*)?(?:<!--(?s:.*?)-->\s*)*(?:<!DOCTYPE[^>]*>\s*)?(?:<!--(?s:.*?)-->\s*)*<feed[\s>]")
-    # each document is parsed once (the shapes read many fields of the parse)
-    feed = F.when(is_atom, let(F.from_xml(x, ATOM_SCHEMA, XML_OPTIONS), _atom_shape)) \
-            .otherwise(let(F.from_xml(x, RSS_SCHEMA, XML_OPTIONS), _rss_shape))
+    feed = _parse(x)
+    if repair:
+        feed = let(feed, lambda f: F.when(f["items"].isNotNull(), f).otherwise(let(repair_xml(x), _parse)))
     keep = [c for c in docs.columns if c != xml_col]
     parsed = docs.select(*keep, feed.alias("__f"))
     out = parsed.select(*keep,
