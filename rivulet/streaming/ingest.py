@@ -38,7 +38,7 @@ from ..sources.queue import (ENTRY_MESSAGE_SCHEMA, FEED_MESSAGE_SCHEMA, decode_b
 from ..sources.store import KeyedTable
 
 
-# hash sub-buckets per feed partition of the entry tables (hot feeds)
+# hash buckets of the entry tables, unless a run is told otherwise
 ENTRY_BUCKETS = 16
 KEYS = ["partition_key", "row_key"]
 
@@ -102,7 +102,7 @@ def _write_epoch(df: DataFrame, path: str, kind: str) -> None:
 
 def ingest_batch(batch: DataFrame, epoch_id: int, spark: SparkSession, landed: DataFrame,
                  tables: dict[str, str], entry_queue_dir: str, now: str | None = None,
-                 pages: DataFrame | None = None) -> None:
+                 pages: DataFrame | None = None, buckets: int = ENTRY_BUCKETS) -> None:
     """One micro-batch of stage 1 (T3): all writes are keyed upserts or
     appends of rows that carry the batch's own keys, so a replay is safe."""
     kept = [batch.persist()]
@@ -145,8 +145,8 @@ def ingest_batch(batch: DataFrame, epoch_id: int, spark: SparkSession, landed: D
                      tables["quarantine"], "validation")
         good_entries = ev.filter(F.size("violations") == 0).drop("violations")
         if pages is not None:
-            good_entries = keep(_with_content(spark, good_entries, pages, tables, epoch_id))
-        KeyedTable(spark, tables["entries"], KEYS, buckets=ENTRY_BUCKETS).upsert(good_entries.drop("item_pos"))
+            good_entries = keep(_with_content(spark, good_entries, pages, tables, epoch_id, buckets))
+        KeyedTable(spark, tables["entries"], KEYS, buckets=buckets).upsert(good_entries.drop("item_pos"))
         ts = F.lit(now).cast("timestamp") if now else F.current_timestamp()
         # document order, the same in any run
         lists = entry_key_lists(good_entries, "feed_key", "item_pos")
@@ -158,13 +158,13 @@ def ingest_batch(batch: DataFrame, epoch_id: int, spark: SparkSession, landed: D
 
 
 def _with_content(spark: SparkSession, entries: DataFrame, pages: DataFrame, tables: dict[str, str],
-                  epoch_id: int) -> DataFrame:
+                  epoch_id: int, buckets: int = ENTRY_BUCKETS) -> DataFrame:
     """An entry is saved only with content — stored content
     first, else its landed page as Markdown.  New content is written to the
     content table; entries without any go to the quarantine."""
     from ..functions.html import text_or_html_to_markdown
     from ..operators.relational import content_with_fallback
-    content = KeyedTable(spark, tables["content"], KEYS, buckets=ENTRY_BUCKETS)
+    content = KeyedTable(spark, tables["content"], KEYS, buckets=buckets)
     stored = (content.read_for(entries) if content.exists()      # only the buckets of this batch
               else spark.createDataFrame([], "partition_key string, row_key string, content string"))
     path = scratch_path(spark, f"content-{uuid.uuid4().hex}")
@@ -179,7 +179,7 @@ def _with_content(spark: SparkSession, entries: DataFrame, pages: DataFrame, tab
 
 def start_feed_ingest(spark: SparkSession, queue_dir: str, landed: DataFrame, tables: dict[str, str],
                       entry_queue_dir: str, name: str = "feed_ingest", available_now: bool = True,
-                      now: str | None = None, pages: DataFrame | None = None) -> StreamingQuery:
+                      now: str | None = None, pages: DataFrame | None = None, buckets: int = ENTRY_BUCKETS) -> StreamingQuery:
     """Run stage 1 over the feed queue; ``available_now`` processes
     what is there and stops (the scheduled run), else it keeps running.
     With ``pages`` (landed ``url``, ``html``), entries are saved only with
@@ -190,51 +190,52 @@ def start_feed_ingest(spark: SparkSession, queue_dir: str, landed: DataFrame, ta
     # with dedupe state kept for the watermark's span only
     m = m.withWatermark("arrived_at", "1 day").dropDuplicatesWithinWatermark(["dedupe_key"])
     w = (m.writeStream.option("checkpointLocation", checkpoint_path(tables, name))
-         .foreachBatch(lambda b, i: ingest_batch(b, i, spark, landed, tables, entry_queue_dir, now, pages)))
+         .foreachBatch(lambda b, i: ingest_batch(b, i, spark, landed, tables, entry_queue_dir, now, pages, buckets)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.queryName(name).start()
 
 
 # ------------------------------------------------------------ stage 2 --
 
-def enrich_batch(batch: DataFrame, epoch_id: int, spark: SparkSession, tables: dict[str, str]) -> None:
+def enrich_batch(batch: DataFrame, epoch_id: int, spark: SparkSession, tables: dict[str, str], buckets: int = ENTRY_BUCKETS) -> None:
     keys = (batch.select(F.explode_outer("payload.entries").alias("k"))
             .select(F.col("k")[0].alias("partition_key"), F.col("k")[1].alias("row_key"))
             .dropna().distinct())
-    entries = KeyedTable(spark, tables["entries"], KEYS, buckets=ENTRY_BUCKETS).read_for(keys)
+    entries = KeyedTable(spark, tables["entries"], KEYS, buckets=buckets).read_for(keys)
     e = enrich(entries, "summary")
-    KeyedTable(spark, tables["enrichment"], KEYS, buckets=ENTRY_BUCKETS).upsert(
+    KeyedTable(spark, tables["enrichment"], KEYS, buckets=buckets).upsert(
         e.select("partition_key", "row_key", F.col("ai_summary").alias("summary"),
                  F.col("sentiment"), F.col("sentiment_score"), F.col("readability"),
                  F.col("embedding").alias("embeddings")))
 
 
 def start_entry_enrichment(spark: SparkSession, entry_queue_dir: str, tables: dict[str, str],
-                           name: str = "entry_enrichment", available_now: bool = True) -> StreamingQuery:
+                           name: str = "entry_enrichment", available_now: bool = True, buckets: int = ENTRY_BUCKETS) -> StreamingQuery:
     """Second stage, fed by the first stage's entry queue."""
     stream = spark.readStream.format("text").load(entry_queue_dir)
     m = stream.withColumn("payload", decode_body(F.col("value"), ENTRY_MESSAGE_SCHEMA)) \
               .filter(F.col("payload.envelope.status") == fixed.ENVELOPE_RETRIEVED)
     w = (m.writeStream.option("checkpointLocation", checkpoint_path(tables, name))
-         .foreachBatch(lambda b, i: enrich_batch(b, i, spark, tables)))
+         .foreachBatch(lambda b, i: enrich_batch(b, i, spark, tables, buckets)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.queryName(name).start()
 
 
 def run_pipeline(spark: SparkSession, feeds: DataFrame, fetch_log: DataFrame, landed: DataFrame,
-                 root: str, run_start: str, pages: DataFrame | None = None) -> dict[str, str]:
+                 root: str, run_start: str, pages: DataFrame | None = None, buckets: int = ENTRY_BUCKETS) -> dict[str, str]:
     """T4 + T7: one scheduled (or on-demand) run of all stages: enqueue the
     due feeds, drain the feed queue, drain the entry queue.  Each stage
     stops when its input is processed (``availableNow``); the schedule
     itself lives outside.  With ``pages`` entries are saved only with content.
-    Returns the table paths."""
+    ``buckets`` is the number of buckets of the entry tables where they are new: about
+    a table's bytes / 1 GB.  Returns the table paths."""
     import os
     paths = {k: os.path.join(root, k) for k in
              ("feeds", "entries", "quarantine", "rejected", "enrichment", "content", "state", "q_feeds", "q_entries")}
     enqueue_changed_feeds(spark, feeds, fetch_log, paths["state"], paths["q_feeds"], run_start)
     start_feed_ingest(spark, paths["q_feeds"], landed, paths, paths["q_entries"],
-                      name="feed_ingest", now=run_start, pages=pages).awaitTermination()
-    start_entry_enrichment(spark, paths["q_entries"], paths, name="entry_enrichment").awaitTermination()
+                      name="feed_ingest", now=run_start, pages=pages, buckets=buckets).awaitTermination()
+    start_entry_enrichment(spark, paths["q_entries"], paths, name="entry_enrichment", buckets=buckets).awaitTermination()
     return paths
 
 
