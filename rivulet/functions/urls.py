@@ -15,15 +15,19 @@ _AUTH = r"^(?:([^@]*)@)?([^:@]*)(?::([0-9]*))?$"
 
 def normalize_url(col) -> Column:
     """Absolute http(s) URL in canonical text form: scheme and host
-    lower-cased (other scripts as punycode), default port dropped, ``/`` for an empty path, spaces in
+    lower-cased, default port dropped, ``/`` for an empty path, spaces in
     the rest escaped as ``%20``.  Anything that is not an absolute http or
     https URL with a host gives NULL."""
     return let(strip_ws(as_col(col)), _normalize)
 
 
 def normalize_link(base, ref) -> Column:
-    """A link of a page as an absolute URL in that form: resolved against the page's address."""
-    return normalize_url(resolve_url(base, ref))
+    """A link of a page as an absolute URL in that form: resolved against the page's address, a
+    host of another script as punycode (a large expression, so ``normalize_url`` goes without)."""
+    host = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?)([^/?#:]*)(.*)$"
+    encoded = let(resolve_url(base, ref), lambda u: F.when(u.rlike(r"^[^/]*//[^/?#]*[^\x00-\x7f]"), F.concat(
+        F.regexp_extract(u, host, 1), ascii_host(F.regexp_extract(u, host, 2)), F.regexp_extract(u, host, 3))).otherwise(u))
+    return normalize_url(encoded)
 
 
 def _normalize(u: Column) -> Column:
@@ -37,7 +41,7 @@ def _normalize(u: Column) -> Column:
 def _assemble(p: Column) -> Column:
     scheme, authority, rest = p["scheme"], p["authority"], p["rest"]
     auth = F.struct(F.regexp_extract(authority, _AUTH, 1).alias("userinfo"),
-                    ascii_host(F.regexp_extract(authority, _AUTH, 2)).alias("host"),
+                    F.lower(F.regexp_extract(authority, _AUTH, 2)).alias("host"),
                     F.regexp_extract(authority, _AUTH, 3).alias("port"),
                     authority.rlike(_AUTH).alias("ok"))
 
