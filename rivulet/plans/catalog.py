@@ -101,9 +101,9 @@ def sentence_boundaries(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select("doc_id", "text")
     keyed = boundaries.keyed_texts(d)
     ends = boundaries.boundaries(keyed, boundaries.learn_boundaries(keyed))
-    found = keyed.join(ends, "key", "left").select(F.col("text").alias("t"), "ends", _size(boundaries.split_at("text", "ends")).alias("n"))
-    return d.join(found, F.col("text") == F.col("t"), "left").select(
-        "doc_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_sentences"), F.coalesce(F.array_join("ends", "|"), F.lit("")).alias("ends"))
+    n = F.when(F.col("text").isNotNull(), _size(boundaries.split_at("text", "ends")))
+    return boundaries.of_texts(d, keyed, ends).select(
+        "doc_id", F.coalesce(n, F.lit(0).cast("long")).alias("n_sentences"), F.coalesce(F.array_join("ends", "|"), F.lit("")).alias("ends"))
 
 
 @query

@@ -113,3 +113,21 @@ def test_limits_and_ties(spark):
     assert len(out[2]["summary"]) == 40 and len(out[3]["summary"]) == 40         # a first sentence that is too long is cut
     assert out[4]["summary"] == "Same words here. Same words here."
     assert S.extractive_summary(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_the_short_class_of_white_space_is_that_of_all_white_space(spark):
+    chars = spark.range(1, 0x10000).where("id < 55296 or id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    assert chars.where(F.col("c").rlike(f"^[{B.SPACE}]$") != F.translate("c", B.WS_CHARS, "").eqNullSafe("")).count() == 0
+    text = F.lit("a bé é x​.\u001cy,\u0085 ü z　")
+    got = spark.range(1).select(F.regexp_extract_all(text, F.lit(B.TOKEN), F.lit(0)), F.array_join(F.regexp_extract_all(text, F.lit(B.PIECE), F.lit(0)), "") == text).first()
+    assert got[0] == ["a", "bé", "é", "x​.", "y,", "ü", "z"] and got[1]
+
+
+def test_results_return_to_their_rows_without_the_texts(spark, texts):
+    """Only the input itself is dealt with its texts, and a candidate is cut out of a text once."""
+    keyed = B.keyed_texts(texts)
+    known = B.learn_boundaries(keyed)
+    assert "regexp_extract_all" not in B.boundaries(keyed, known)._jdf.queryExecution().executedPlan().toString()
+    plan = B.with_sentences(texts, known=known)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and not any("text" in line for line in joins)
