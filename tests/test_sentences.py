@@ -131,3 +131,19 @@ def test_results_return_to_their_rows_without_the_texts(spark, texts):
     plan = B.with_sentences(texts, known=known)._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert joins and not any("text" in line for line in joins)
+
+
+def test_words_are_dealt_within_their_text(spark, texts):
+    """No exchange by sentence or by word of a text: rows of a text stay together, words come back as numbers."""
+    keyed = B.keyed_texts(texts)
+    plan = S.ranked_sentences(keyed, B.learn_boundaries(keyed))._jdf.queryExecution().optimizedPlan().toString()
+    lists = [line for line in plan.splitlines() if "Aggregate [key" in line]
+    assert lists and not any("word" in line for line in lists)
+
+
+def test_rare_and_frequent_words_weigh_alike(spark, texts, monkeypatch):
+    keyed = B.keyed_texts(texts)
+    weights = lambda: {r["key"]: r["idf"] for r in S._weights(keyed).collect()}
+    got = weights()
+    monkeypatch.setattr(S, "BROADCAST", 20)     # most words go the other way
+    assert weights() == got and len(got) > 100
