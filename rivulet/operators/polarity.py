@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .boundaries import _rate_ll
+from .boundaries import _rate_ll, digest
 from .enrich import MIXED_BAND, NEGATIVE_WORDS, POSITIVE_WORDS, tokens
 
 MIN_RATIO = 10.83        # one in a thousand by chance (chi-squared, one degree)
@@ -59,7 +59,7 @@ def word_contexts(texts: DataFrame, positive: list[str], negative: list[str], te
     """(g, words, p, q): the distinct words of each context of the distinct texts, and whether it holds a seed of either side."""
     stretches = _distinct_texts(texts, text_col, within).select("g", F.explode_outer(F.split("text", context)).alias("stretch"))
     words = stretches.select("g", F.array_distinct(tokens("stretch")).alias("words")).where(F.size("words") > 0)
-    holds = lambda seeds: F.exists("words", lambda w: w.isin(seeds)) if seeds else F.lit(False)
+    holds = lambda seeds: F.arrays_overlap("words", F.array(*map(F.lit, seeds))) if seeds else F.lit(False)
     return words.select("g", "words", holds(positive).alias("p"), holds(negative).alias("q"))
 
 
@@ -69,9 +69,13 @@ def learn_polarity(texts: DataFrame, positive: list[str] = POSITIVE_WORDS, negat
     """(g, word, polarity): the words that are not neutral, in 1024ths; ``within`` names a column
     (the language) in whose groups the rates are taken."""
     contexts = word_contexts(texts, positive, negative, text_col, within, context)
-    total = contexts.groupBy("g").agg(F.count(F.lit(1)).alias("nn"), F.count_if("p").alias("pp"), F.count_if("q").alias("qq"))
-    counts = (contexts.select("g", F.explode_outer("words").alias("word"), "p", "q").groupBy("g", "word")
+    # the empty word stands for the context itself, so that totals are counted in the same pass;
+    # a word that never meets a seed is neutral: it leaves before anything is joined
+    words = F.concat("words", F.array(F.lit("")))
+    counts = (contexts.select("g", F.explode_outer(words).alias("word"), "p", "q").groupBy("g", "word")
               .agg(F.count(F.lit(1)).alias("n"), F.count_if("p").alias("p"), F.count_if("q").alias("q")))
+    counts = materialise(counts.where((F.col("p") > 0) | (F.col("q") > 0)), "word-contexts")
+    total = materialise(counts.where("word = ''").select("g", F.col("n").alias("nn"), F.col("p").alias("pp"), F.col("q").alias("qq")), "contexts")
 
     def weight(k: str, held: str, seeds: list[str]) -> Column:
         n, nn, kk = F.col("n"), F.col("nn"), F.col(held)
@@ -80,8 +84,7 @@ def learn_polarity(texts: DataFrame, positive: list[str] = POSITIVE_WORDS, negat
         bits = F.when(low > 0, F.floor(F.log2(low * nn / (n * kk)) * SCALE)).otherwise(0)
         sure = seed | ((bits >= int(min_bits * SCALE)) & (_ratio(F.col(k), kk, n, nn) >= min_ratio))
         return F.when((F.col(k) > 0) & (bits > 0) & sure, bits).otherwise(0)
-    # a word that never meets a seed is neutral: it leaves before the totals are joined
-    return (counts.where((F.col("p") > 0) | (F.col("q") > 0)).join(total, "g")
+    return (counts.where("word <> ''").join(total, "g")
             .select("g", "word", (weight("p", "pp", positive) - weight("q", "qq", negative)).alias("polarity")).where(F.col("polarity") != 0))
 
 
@@ -90,12 +93,15 @@ def score_polarity(df: DataFrame, polarity: DataFrame, text_col: str = "text", w
     in 1024ths), ``score`` (their difference by their sum) and ``sentiment``."""
     # written once, as the keys must not change between the passes
     keyed = materialise(_distinct_texts(df, text_col, within).select(F.monotonically_increasing_id().alias("key"), "g", "text"), "polar-texts")
+    # so are the polar words: a small table is then known as one, and the words of the texts stay where they are
+    polarity = materialise(polarity, "polar-words")
     hits = (keyed.select("key", "g", F.explode_outer(tokens("text")).alias("word")).join(polarity, ["g", "word"]).groupBy("key")
             .agg(F.sum(F.greatest("polarity", F.lit(0))).alias("__p"), F.sum(F.greatest(-F.col("polarity"), F.lit(0))).alias("__n")))
-    found = keyed.join(hits, "key").select(F.col("g").alias("__g"), F.col("text").alias("__text"), "__p", "__n")
+    found = keyed.select("key", F.col("g").alias("__g"), digest("text").alias("__digest")).join(hits, "key").drop("key")
     own = [F.col(f"`{c}`") for c in df.columns if c not in RESULTS]
     pos, neg = F.coalesce("__p", F.lit(0).cast("long")), F.coalesce("__n", F.lit(0).cast("long"))
     score = F.when(pos + neg > 0, (pos - neg) / (pos + neg)).otherwise(0.0)
     label = (F.when(pos + neg == 0, "Neutral").when(score > MIXED_BAND, "Positive").when(score < -MIXED_BAND, "Negative").otherwise("Mixed"))
-    same = (F.col(f"`{text_col}`").cast("string") == F.col("__text")) & (_group(within) == F.col("__g"))
-    return df.join(found, same, "left").select(*own, label.alias("sentiment"), score.alias("score"), pos.alias("positive"), neg.alias("negative"))
+    rows = df.withColumn("__g", _group(within)).withColumn("__digest", digest(F.col(f"`{text_col}`")))
+    return rows.join(found, ["__g", "__digest"], "left").select(
+        *own, label.alias("sentiment"), score.alias("score"), pos.alias("positive"), neg.alias("negative"))

@@ -103,3 +103,18 @@ def test_nulls_empty_texts_and_clashing_names(spark):
     assert [r[0] for r in rows] == [1, 2, 3, 3, 4] and all(r[1] == "Neutral" and r[2] == 0.0 for r in rows)
     assert learn_polarity(df.limit(0), POS, NEG).collect() == [] and score_polarity(df.limit(0), learnt).collect() == []
     assert learn_polarity(df, [], []).collect() == []
+
+
+def test_polar_words_meet_the_texts_where_they_are(spark):
+    """A small table of polar words is broadcast as planned, and no join is by the texts."""
+    rows = spark.createDataFrame(corpus(n=300), "id long, text string")
+    polarity = spark.createDataFrame([("", "lovely", 3000)], "g string, word string, polarity long").repartition(2)
+    plan = score_polarity(rows, polarity)._jdf.queryExecution().executedPlan().toString()
+    assert not any("hashpartitioning" in line and "word" in line for line in plan.splitlines())
+    assert not any("Join" in line and "text" in line for line in plan.splitlines())
+
+
+def test_contexts_and_their_words_are_counted_in_one_pass(spark):
+    """Totals come with the counts: nothing behind them reads the texts again."""
+    plan = learn_polarity(spark.createDataFrame(corpus(n=300), "id long, text string"), POS, NEG)._jdf.queryExecution().executedPlan().toString()
+    assert "split(" not in plan and "Generate" not in plan
