@@ -23,7 +23,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ._col import as_col, let
-from ._regex import strip_ws
+from ._regex import WS_CHARS
 
 CHUNK = 64
 # signs of the passes in between; noncharacters, which no text for interchange holds
@@ -34,6 +34,9 @@ HELD = "".join(chr(0xFDD2 + i) for i in range(len(MARKS)))
 
 QUOTE = r"^ {0,3}> ?"
 MARKER = r"\G {0,3}(?:> ?|(?!(?:\* *){3,}$|(?:- *){3,}$)(?:[*+-]|[0-9]{1,9}[.)])(?: {1,4}(?=[^ ])| (?= {4})| *$))"
+# what a rule, an underline, a heading, a fence or a block of HTML, and what a container begins with
+LEAF_SIGNS = ("*", "-", "_", "=", "#", "`", "~", "<")
+OPEN_SIGNS = (">", "*", "+", "-", *"0123456789")
 RULE = r"^ {0,3}(?:(?:\* *){3,}|(?:- *){3,}|(?:_ *){3,})$"
 UNDERLINE = r"^ {0,3}(=+|-+) *$"
 HEADING = r"^ {0,3}(#{1,6})(?: +(.*?))??(?: +#+)? *$"
@@ -44,6 +47,8 @@ RAW = (r"(?i)^ {0,3}(?:<!--|</?(?:address|article|aside|blockquote|body|center|d
 STATE = ("struct<out:string,nl:boolean,stack:array<struct<kind:string,width:int>>,leaf:string,fence:string,tight:boolean,first:boolean,blanks:int>")
 
 INLINE = r"(?s)(`+)(?!`).*?(?<!`)\1(?!`)|`+|\\[\\`*_\[\](){}#+.!~<>&|-]|\]\([^()\s]*(?:\([^()\s]*\)[^()\s]*)*|<[a-zA-Z/][^<>]*>|[^`\\\]<]+|."
+# without one of these a paragraph is its own HTML
+INLINE_SIGNS = rf"[*_`\[\]<>&\\{HELD[0]}-{HELD[-1]}]| \n"
 INLINE_RULES = [
     (r"&(?!#?[A-Za-z0-9]+;)", "&amp;"),
     (r"<", "&lt;"),
@@ -81,12 +86,21 @@ def _piece(t: Column) -> Column:
 
 def inline_html(text: Column) -> Column:
     """Emphasis, code, links, images, line breaks of one paragraph."""
+    return let(text, lambda t: F.when(t.rlike(INLINE_SIGNS), _inline_rules(t)).otherwise(t))
+
+
+def _inline_rules(text: Column) -> Column:
     out = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(INLINE), F.lit(0)), lambda t: _piece(t)), "")
     for pattern, to in INLINE_RULES:
         out = F.regexp_replace(out, pattern, to)
     return F.translate(out, HELD, MARKS)
 
 
+def _begins(line: Column, signs: tuple[str, ...]) -> Column:
+    """Whether the first character other than a space is one of ``signs``: asked before any pattern is run."""
+    return F.substring(F.ltrim(line), 1, 1).isin(*signs)
+
+
 def _is_list(kind: Column) -> Column:
     return kind != ">"
 
@@ -128,7 +142,7 @@ def _open(acc: Column, m: Column) -> Column:
     same = m["n"] == F.size(acc["stack"])
     fenced = same & (acc["leaf"] == "fence")
     in_par = same & (acc["leaf"] == "p")
-    none = (fenced | (in_par & m["rest"].rlike(UNDERLINE)) | (F.trim(m["rest"]) == "")
+    none = (fenced | (in_par & m["rest"].rlike(UNDERLINE)) | ~_begins(m["rest"], OPEN_SIGNS)
             | (in_par & m["rest"].rlike(r"^ {0,3}(?!0*1[.)])[0-9]{1,9}[.)]")))
     markers = F.when(none, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(m["rest"], F.lit(MARKER), F.lit(0)))
     return let(markers, lambda k: F.struct(m["rest"].alias("rest"), m["n"].alias("n"), k.alias("markers"),
@@ -149,19 +163,19 @@ def _leaf(acc: Column, x: Column) -> Column:
     blank = F.trim(b) == ""
     moved = (x["n"] < size) | (F.size(x["markers"]) > 0)
     fenced = (acc["leaf"] == "fence") & ~moved
-    is_rule, heading, fence = b.rlike(RULE), b.rlike(HEADING), b.rlike(FENCE)
-    raw = b.rlike(RAW)
+    signed = _begins(b, LEAF_SIGNS)
+    is_rule, heading, fence, raw = (signed & b.rlike(pattern) for pattern in (RULE, HEADING, FENCE, RAW))
     deep = b.startswith("    ") & ~blank
-    plain = ~blank & ~is_rule & ~heading & ~fence & ~raw
+    plain = ~blank & (~signed | (~is_rule & ~heading & ~fence & ~raw))
     lazy = (acc["leaf"] == "p") & (F.size(x["markers"]) == 0) & plain & (x["n"] < size)
     goes_on = ~moved | lazy
-    under = ~moved & (acc["leaf"] == "p") & b.rlike(UNDERLINE)
+    under = ~moved & (acc["leaf"] == "p") & signed & b.rlike(UNDERLINE)
     kind = (F.when(fenced, F.when(F.regexp_extract(b, FENCE_END, 1).startswith(acc["fence"]), "fence_end").otherwise("fence_line"))
             .when(under, "under").when(blank, F.when((acc["leaf"] == "code") & ~moved, "code_blank").otherwise("blank"))
             .when((acc["leaf"] == "raw") & ~moved, "raw_line")
             .when((acc["leaf"] == "p") & goes_on & (plain | deep), "p_line")
             .when(deep, F.when((acc["leaf"] == "code") & ~moved, "code_line").otherwise("code"))
-            .when(is_rule, "rule").when(heading, "heading").when(fence, "fence").when(raw, "raw").otherwise("p"))
+            .when(~signed, "p").when(is_rule, "rule").when(heading, "heading").when(fence, "fence").when(raw, "raw").otherwise("p"))
     return let(kind, lambda k: _emit(acc, x, k, moved & ~lazy))
 
 
@@ -212,8 +226,17 @@ def _emit(acc: Column, x: Column, kind: Column, moved: Column) -> Column:
     return let(F.struct(fresh.alias("fresh"), F.coalesce(sibling, F.lit(False)).alias("sibling")), build)
 
 
+def _in_fence(acc: Column, line: Column) -> Column:
+    """The state behind a line inside a fence, which opens and ends nothing."""
+    return F.struct(F.concat(acc["out"], _escape(line), F.lit("\n")).alias("out"), F.lit(True).alias("nl"), acc["stack"].alias("stack"), acc["leaf"].alias("leaf"),
+                    acc["fence"].alias("fence"), acc["tight"].alias("tight"), F.lit(False).alias("first"), F.lit(0).alias("blanks")).cast(STATE)
+
+
 def _step(acc: Column, line: Column) -> Column:
-    return let(_match(acc, line), lambda m: let(_open(acc, m), lambda x: _leaf(acc, x)))
+    def behind(m):
+        held = (acc["leaf"] == "fence") & (m["n"] == F.size(acc["stack"])) & ~F.regexp_extract(m["rest"], FENCE_END, 1).startswith(acc["fence"])
+        return F.when(held, _in_fence(acc, m["rest"])).otherwise(let(_open(acc, m), lambda x: _leaf(acc, x)))
+    return let(_match(acc, line), behind)
 
 
 def _fold(lines: Column) -> Column:
@@ -237,8 +260,9 @@ def _paragraph(t: Column) -> Column:
 def markdown_document_to_html(markdown) -> Column:
     """HTML of a Markdown text."""
     def body(m):
-        lines = F.split(F.replace(F.regexp_replace(F.translate(m, BEGIN + END + HELD, ""), r"\r\n?", "\n"), F.lit("\t"), F.lit("    ")), "\n")
+        clean = F.when(m.rlike(f"[{BEGIN}-{HELD[-1]}]"), F.translate(m, BEGIN + END + HELD, "")).otherwise(m)
+        lines = F.split(F.replace(F.regexp_replace(clean, r"\r\n?", "\n"), F.lit("\t"), F.lit("    ")), "\n")
         whole = let(lines, _fold)
         parts = F.regexp_extract_all(whole, F.lit(f"(?s){BEGIN}[^{END}]*+{END}.|[^{BEGIN}]++"), F.lit(0))
-        return F.when(m != "", strip_ws(F.array_join(F.transform(parts, lambda t: _paragraph(t)), "")))
+        return F.when(m != "", F.trim(F.array_join(F.transform(parts, lambda t: _paragraph(t)), ""), F.lit(WS_CHARS)))
     return let(as_col(markdown), body)

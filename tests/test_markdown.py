@@ -139,3 +139,14 @@ def test_long_texts_stay_linear(spark):
     flat = "word " * 5 + "\n" + "line of one paragraph\n" * 20_000
     n = one(spark, F.length(markdown_document_to_html("x")), (deep,), (flat,))
     assert n[0] > 8_000 * len("<li>item</li>") and n[1] > 20_000 * len("line of one paragraph")
+
+
+def test_paragraphs_without_a_mark_run_no_rules(spark):
+    """The rules of marks stand behind a question for their signs, and answer as before where one is there."""
+    from rivulet.functions.markdown import inline_html
+    rows = ["plain words, 1 + 1 = 2 (so) ~ #!", "a *b* c", "x title=\"\" />", "a < b & c", "l  \nm", "l \nm", "a\\\nb", "[t](u)", "é — ü", "", "a > b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(inline_html(F.col("t"))).collect()]
+    assert got == [rows[0], "a <em>b</em> c", "x />", "a &lt; b &amp; c", "l<br />\nm", "l\nm", "a<br />\nb", "<a href=\"u\">t</a>", "é — ü", "", "a > b"]
+    shown = df.select(inline_html(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert "CASE WHEN RLIKE" in shown
