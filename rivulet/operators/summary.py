@@ -33,6 +33,7 @@ MAX_SENTENCES = 3
 IDF_SCALE = 1024         # log(1 + texts / texts with the word), in 1024ths
 IDF_BITS = 16            # a weight has fewer: log of all numbers of texts, scaled
 UNIT_SCALE = 1 << 16     # components of unit vectors
+WORDS_PER_TASK = 500_000  # distinct words of texts whose sentences are weighed in one task
 BROADCAST = 100_000      # of all counts of words in texts: what is above one part of so many is broadcast
 WORD = r"[\p{L}\p{N}]+"
 
@@ -41,8 +42,9 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def _weights(keyed: DataFrame) -> DataFrame:
-    """(key, idf): for each text with a word the weights of its distinct words in their order.
+def _weights(keyed: DataFrame) -> tuple[DataFrame, int]:
+    """(key, idf): for each text with a word the weights of its distinct words in their order;
+    and the number of partitions by key that they are dealt to, which grows with the words.
 
     A text's words meet the corpus's counts by a join and come back as one list of numbers.
     Words that more than one in ``BROADCAST`` of all counts belong to are that many at most;
@@ -55,14 +57,18 @@ def _weights(keyed: DataFrame) -> DataFrame:
     pack = F.shiftleft(F.col("i").cast("long"), IDF_BITS) + F.col("idf")
     found = (words.join(often, "word").select("key", pack.alias("x"))
              .unionByName(words.join(often, "word", "left_anti").join(others, "word").select("key", pack.alias("x"))))
-    return found.groupBy("key").agg(F.sort_array(F.collect_list("x")).alias("x")).select(
-        "key", F.transform("x", lambda x: x.bitwiseAND(F.lit((1 << IDF_BITS) - 1).cast("long"))).alias("idf"))
+    n = -(-total // WORDS_PER_TASK) or 1
+    lists = found.repartition(n, "key").groupBy("key").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    return lists.select("key", F.transform("x", lambda x: x.bitwiseAND(F.lit((1 << IDF_BITS) - 1).cast("long"))).alias("idf")), n
 
 
 def _centralities(keyed: DataFrame, found: DataFrame) -> DataFrame:
     """(key, s, centrality): one row for each sentence of the texts, given their boundaries.
     All of it is grouped within a text: rows are numbers, dealt once by the text's key."""
-    parts = keyed.join(found, "key", "left").join(_weights(keyed), "key", "left").select("key", "idf", split_at("text", "ends").alias("sentences"))
+    weights, n = _weights(keyed)
+    # by a number of its own, as a task holds many rows for each byte that is dealt to it
+    parts = (keyed.repartition(n, "key").join(found.repartition(n, "key"), "key", "left").join(weights, "key", "left")
+             .select("key", "idf", split_at("text", "ends").alias("sentences")))
     # the words in their order, each with its sentences, cut where the next word begins
     listed = F.sort_array(F.flatten(F.transform("sentences", lambda x, s: F.transform(_words(x), lambda w: F.struct(w.alias("w"), s.alias("s"))))))
     first = lambda t: F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda k: (k == 0) | (t[k]["w"] != F.get(t, k - 1)["w"]))

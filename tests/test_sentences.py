@@ -143,7 +143,20 @@ def test_words_are_dealt_within_their_text(spark, texts):
 
 def test_rare_and_frequent_words_weigh_alike(spark, texts, monkeypatch):
     keyed = B.keyed_texts(texts)
-    weights = lambda: {r["key"]: r["idf"] for r in S._weights(keyed).collect()}
+    weights = lambda: {r["key"]: r["idf"] for r in S._weights(keyed)[0].collect()}
     got = weights()
     monkeypatch.setattr(S, "BROADCAST", 20)     # most words go the other way
     assert weights() == got and len(got) > 100
+
+
+def test_tasks_of_the_weighing_grow_in_number_with_the_words(spark, texts, monkeypatch):
+    keyed = B.keyed_texts(texts)
+    known = B.learn_boundaries(keyed)
+    ranked = lambda: sorted(map(tuple, S.ranked_sentences(keyed, known).collect()))
+    few = ranked()
+    monkeypatch.setattr(S, "WORDS_PER_TASK", 300)
+    assert S._weights(keyed)[1] > 5 and ranked() == few
+    plan = S._centralities(keyed, B.boundaries(keyed, known))._jdf.queryExecution().executedPlan().toString()
+    n = S._weights(keyed)[1]
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(key" in line]
+    assert exchanges and any(f", {n})" in line for line in exchanges) and not any("i#" in line or "s#" in line for line in exchanges)
