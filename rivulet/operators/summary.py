@@ -62,13 +62,17 @@ def _weights(keyed: DataFrame) -> tuple[DataFrame, int]:
     return lists.select("key", F.transform("x", lambda x: x.bitwiseAND(F.lit((1 << IDF_BITS) - 1).cast("long"))).alias("idf")), n
 
 
-def _centralities(keyed: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, s, centrality): one row for each sentence of the texts, given their boundaries.
+def _dealt(keyed: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """(key, text, ends) by key, to a number of partitions of its own, as a task makes many
+    rows of each byte that is dealt to it.  Where it stands twice Spark deals it once."""
+    return keyed.repartition(n, "key").join(found.repartition(n, "key"), "key", "left")
+
+
+def _centralities(keyed: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, s, centrality): one row for each sentence of the texts, given their boundaries; and the texts as they were dealt.
     All of it is grouped within a text: rows are numbers, dealt once by the text's key."""
     weights, n = _weights(keyed)
-    # by a number of its own, as a task holds many rows for each byte that is dealt to it
-    parts = (keyed.repartition(n, "key").join(found.repartition(n, "key"), "key", "left").join(weights, "key", "left")
-             .select("key", "idf", split_at("text", "ends").alias("sentences")))
+    parts = _dealt(keyed, found, n).join(weights, "key", "left").select("key", "idf", split_at("text", "ends").alias("sentences"))
     # the words in their order, each with its sentences, cut where the next word begins
     listed = F.sort_array(F.flatten(F.transform("sentences", lambda x, s: F.transform(_words(x), lambda w: F.struct(w.alias("w"), s.alias("s"))))))
     first = lambda t: F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda k: (k == 0) | (t[k]["w"] != F.get(t, k - 1)["w"]))
@@ -83,28 +87,30 @@ def _centralities(keyed: DataFrame, found: DataFrame) -> DataFrame:
     unit = F.when(F.col("w") > 0, F.floor(F.col("w") * UNIT_SCALE / F.sqrt(F.col("sq").cast("double")))).otherwise(0)
     units = weighted.select("key", "i", "s", "w", sq.alias("sq")).select("key", "i", "s", unit.alias("u"))
     centre = units.select("key", "s", "u", F.sum("u").over(Window.partitionBy("key", "i")).alias("c"))
-    return centre.groupBy("key", "s").agg(F.sum(F.col("u") * F.col("c")).alias("centrality"))
+    return centre.groupBy("key", "s").agg(F.sum(F.col("u") * F.col("c")).alias("centrality")), _dealt(keyed, found, n)
 
 
 def ranked_sentences(keyed: DataFrame, known: Boundaries) -> DataFrame:
     """(key, s, sentence, centrality): all sentences of ``keyed`` (key, text), numbered from 0."""
     found = materialise(boundaries(keyed, known), "ends")
-    sentences = keyed.join(found, "key", "left").select("key", F.posexplode_outer(split_at("text", "ends")).alias("s", "sentence")).where("s is not null")
-    return sentences.join(_centralities(keyed, found), ["key", "s"])
+    scores, dealt = _centralities(keyed, found)
+    sentences = dealt.select("key", F.posexplode_outer(split_at("text", "ends")).alias("s", "sentence")).where("s is not null")
+    return sentences.join(scores, ["key", "s"])
 
 
 def summarise(keyed: DataFrame, known: Boundaries, max_sentences: int = MAX_SENTENCES, max_chars: int = fixed.MAX_SUMMARY_CHARACTERS) -> DataFrame:
     """(key, summary, score): for each text that has a sentence."""
     found = materialise(boundaries(keyed, known), "ends")
     by_key = Window.partitionBy("key")
-    ranked = _centralities(keyed, found).select("key", "s", "centrality", F.row_number().over(by_key.orderBy(F.desc("centrality"), "s")).alias("rank"),
+    scores, dealt = _centralities(keyed, found)
+    ranked = scores.select("key", "s", "centrality", F.row_number().over(by_key.orderBy(F.desc("centrality"), "s")).alias("rank"),
                                                 F.sum("centrality").over(by_key).alias("mass"))
     chosen = ranked.where(F.col("rank") <= max_sentences).groupBy("key").agg(
         F.sort_array(F.collect_list(F.struct("rank", "s", "centrality"))).alias("ranks"), F.max("mass").alias("mass"))
     # the chosen sentences are cut out of the text again: nothing but numbers was ranked
     top = let(split_at("text", "ends"), lambda x: F.transform("ranks", lambda r: F.struct(
         r["rank"].alias("rank"), r["s"].alias("s"), x[r["s"]].alias("sentence"), r["centrality"].alias("centrality"))))
-    chosen = keyed.join(found, "key", "left").join(chosen, "key").select("key", top.alias("top"), "mass")
+    chosen = dealt.join(chosen, "key").select("key", top.alias("top"), "mass")
     # in the order of their rank, while they fit with a space between
     empty = F.struct(F.lit(0).alias("n"), F.lit(False).alias("full"), F.array().cast("array<struct<s:int,sentence:string>>").alias("out"),
                      F.lit(0).cast("long").alias("mass"))

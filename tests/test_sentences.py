@@ -156,7 +156,7 @@ def test_tasks_of_the_weighing_grow_in_number_with_the_words(spark, texts, monke
     few = ranked()
     monkeypatch.setattr(S, "WORDS_PER_TASK", 300)
     assert S._weights(keyed)[1] > 5 and ranked() == few
-    plan = S._centralities(keyed, B.boundaries(keyed, known))._jdf.queryExecution().executedPlan().toString()
+    plan = S._centralities(keyed, B.boundaries(keyed, known))[0]._jdf.queryExecution().executedPlan().toString()
     n = S._weights(keyed)[1]
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(key" in line]
     assert exchanges and any(f", {n})" in line for line in exchanges) and not any("i#" in line or "s#" in line for line in exchanges)
